@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute in tasks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

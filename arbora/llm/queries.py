@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from arbora.llm import packing, token_files
+from arbora.llm import packing, token_files, toxicity
 
 QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL: dict[str, str] = {}
