@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, global_prefix, id_text, shared_dir, shuffle_partitions, table
+from arbora.llm._spark import batches, global_prefix, id_text, shared_dir, shuffle_partitions, table, written
 from arbora.llm.tokens import WordEncoder, crc32_ids, default_tokenizer
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
@@ -77,6 +77,7 @@ def checked_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, path).select("doc_id", "ids").mapInArrow(sums, "doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = written(rows, "token-index")  # three numbers a document: sorting them must not decode the ids again
     # Documents of equal id are ordered by what they hold, so that the order is total.
     return global_prefix(rows, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
