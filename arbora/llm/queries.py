@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontamination, packing, token_files, toxicity
+from arbora.llm import decontamination, packing, token_files, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-SQL: dict[str, str] = {"op6_decontamination": decontamination.OP6_SQL}
+SQL: dict[str, str] = {"op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
