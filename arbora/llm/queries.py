@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontamination, packing, token_files, toxicity, warc
+from arbora.llm import decontamination, licenses, packing, token_files, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op4_licenses": licenses.op4_licenses,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
