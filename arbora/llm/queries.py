@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontamination, licenses, packing, token_files, toxicity, warc
+from arbora.llm import decontamination, licenses, packing, quality, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_quality": quality.op2_quality,
     "op4_licenses": licenses.op4_licenses,
+    "op5_topk_search": topk.op5_topk_search,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-SQL: dict[str, str] = {"op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
+SQL: dict[str, str] = {"op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
