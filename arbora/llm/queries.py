@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontamination, licenses, packing, quality, token_files, topk, toxicity, warc
+from arbora.llm import decontamination, jaccard, licenses, packing, quality, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_packing": packing.op7_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-SQL: dict[str, str] = {"op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
+SQL: dict[str, str] = {"op10_jaccard_join": jaccard.OP10_SQL, "op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
