@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontamination, jaccard, licenses, packing, quality, token_files, topk, toxicity, warc
+from arbora.llm import decontamination, jaccard, licenses, packing, quality, substrings, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality": quality.op2_quality,
+    "op3_substrings": substrings.op3_substrings,
     "op4_licenses": licenses.op4_licenses,
     "op5_topk_search": topk.op5_topk_search,
     "op6_decontamination": decontamination.op6_decontamination,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_toxicity": toxicity.op9_toxicity,
 }
-SQL: dict[str, str] = {"op10_jaccard_join": jaccard.OP10_SQL, "op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
+SQL: dict[str, str] = {"op3_substrings": substrings.OP3_SQL, "op10_jaccard_join": jaccard.OP10_SQL, "op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
