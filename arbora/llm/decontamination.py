@@ -145,14 +145,24 @@ def _keys(window: int, k: int, name: str):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """Hits of benchmark windows in every document; see ``RESULT`` for the columns."""
-    docs = id_text(docs)
+def _broadcast_items(benchmark: DataFrame, most_bytes: int):
+    """(items, their broadcast): the broadcast is None where the texts are larger than ``most_bytes``."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size <= max_broadcast_bytes:
-        rows = items.orderBy("item_id", "text").collect()
-        kept = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+    if size > most_bytes:
+        return items, None
+    rows = items.orderBy("item_id", "text").collect()
+    return items, benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
+    """Hits of benchmark windows in every document; see ``RESULT`` for the columns.
+
+    ``with_text`` adds ``text_key``, the xxhash64 of the text (only where the benchmark is joined by a shuffle).
+    """
+    docs = id_text(docs)
+    items, kept = _broadcast_items(benchmark, max_broadcast_bytes)
+    if kept is not None:
 
         def judge(iterator):
             index = Benchmark(kept.value[0], pa.array(kept.value[1], pa.string()), window, k)
@@ -174,9 +184,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
                 row = batch.slice(n, 1)
                 own = row.column("items")[0].as_py() or []
                 index = Benchmark([x["item_id"] for x in own], pa.array([x["text"] for x in own], pa.string()), window, k)
-                yield index.judge(pa.Table.from_batches([row]))
+                judged = index.judge(pa.Table.from_batches([row]))
+                yield pa.RecordBatch.from_arrays([*judged.columns, row.column("text_key")], names=[*judged.schema.names, "text_key"]) if with_text else judged
 
-    return joined.mapInArrow(judge_rows, RESULT)
+    return joined.withColumn("text_key", F.xxhash64("text")).mapInArrow(judge_rows, RESULT + (", text_key bigint" if with_text else ""))
+
+
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that no window of the benchmark hits."""
+    _, kept = _broadcast_items(benchmark, max_broadcast_bytes)
+    if kept is not None:
+
+        def keep(iterator):
+            index = Benchmark(kept.value[0], pa.array(kept.value[1], pa.string()), window, k)
+            for t in batches(iterator):
+                clean = pa.compute.invert(index.judge(t.select(["doc_id", "text"])).column("contaminated"))
+                yield from t.filter(clean).to_batches()
+
+        return docs.mapInArrow(keep, docs.schema)
+    # Rows are told apart by id and text, so that a repeated or null id does not carry over to another text.
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    found = decontaminate(docs, benchmark, window, k, max_broadcast_bytes, with_text=True)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return keyed.join(bad, F.expr("doc_id <=> _id and _text = _key"), "left_anti").select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.llm._spark import batches, id_text, table, written
@@ -261,6 +261,15 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     return judged.unionByName(alone)
 
 
+def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have the smallest id of their class; null ids stay."""
+    losers = jaccard_classes(docs, threshold).where("class_id <> doc_id").select("doc_id").distinct()
+    left = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    # Rows repeated under one id are one document; the join has brought them together already.
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    return left.withColumn("_n", F.row_number().over(order)).where("doc_id is null or _n = 1").drop("_n")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
