@@ -1,20 +1,54 @@
-"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read again by the next.
+
+1. toxicity: documents whose passages score 0.7 or more go.
+2. jaccard: of documents joined by similarity 0.8 on word 5-grams, the one with the smallest id stays.
+3. substrings: words covered by 13 consecutive words that also start in a document with a smaller id go; a document keeps its
+   row even if no word is left, and one that loses nothing keeps its text as it is.
+4. decontamination: documents that hold a window of 10 words of a benchmark item go.
+5. packing: what is left becomes sequences of 1024 tokens along a Hilbert curve.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbora.llm import packing
+from arbora.llm import decontamination, jaccard, packing, substrings, toxicity
 from arbora.llm._spark import table, written
 from arbora.llm.tokens import default_tokenizer
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned, _ = substrings.remove_repeats(docs, target=13, max_length=13)
+    cleaned = cleaned.drop("n_words", "n_removed")
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned
+
+
+def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.reject_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens, along a Hilbert curve."""
     return packing.with_crc(packing.pack(docs, default_tokenizer()))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("jaccard", drop_near_duplicates),
+    ("substrings", cut_repeats),
+    ("decontamination", reject_contaminated),
+    ("packing", pack),
+]
 
 #: A learned score decides in the first stage, which SQL cannot express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
