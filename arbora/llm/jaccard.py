@@ -2,7 +2,7 @@
 
 1. Each text gets its set of shingles (64-bit hashes of five consecutive words; a text of one to four words is one
    shingle), a MinHash signature and a hash of the whole set. Texts with equal sets are one entry with a count.
-2. Signatures are cut into ``bands``; entries that share a band are joined by a star around the band's smallest
+2. Signatures are cut into bands; entries that share a band are joined by a star around the band's smallest
    id, and the stars' connected components are candidate clusters. With 32 bands of 4 rows a pair of
    similarity 0.8 shares no band with probability 5e-8.
 3. Within a cluster every pair is compared, in blocks of bounded size: MinHash values 16 at a time, dropping a pair as soon
@@ -210,8 +210,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     bands = written(heads.select("id", "sig").mapInArrow(band_keys, "id bigint, key bigint"), "bands")
     # Both sides aggregate before they shuffle, and the join's large side can be split where a key is frequent.
     centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
-    stars = bands.join(centres, "key").where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    clusters = components(stars)
+    stars = bands.join(centres, "key").groupBy("id").agg(F.min("centre").alias("least"), F.collect_set("centre").alias("centres"))
+    stars = written(stars, "stars")
+    # An entry needs one edge, to its least centre; that its other centres belong there is an edge between centres, of which
+    # the many entries of a large group share a few.
+    between = stars.select(F.explode(F.array_remove("centres", F.col("least"))).alias("a"), F.col("least").alias("b"))
+    clusters = components(stars.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(between).distinct())
 
     members = heads.join(clusters, "id")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
