@@ -46,7 +46,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def batches(iterator, most_bytes: int = 4 << 20, column: str = "text"):
+def batches(iterator, most_bytes: int = 1 << 20, column: str = "text"):
     """Arrow batches cut so that ``column`` holds at most ``most_bytes`` a piece, or one row."""
     for batch in iterator:
         if not batch.num_rows:

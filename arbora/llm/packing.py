@@ -73,7 +73,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
 
     def encode(iterator):
         encoder = WordEncoder(tokenizer)
-        for t in batches(iterator):
+        for t in batches(iterator, 2 << 20):
             ids, offsets = encoder.encode(t.column("text"))
             keys = hilbert_key(document_points(t.column("text")), BITS)
             wide = np.uint32 if len(ids) and int(ids.max()) > 65535 else np.uint16

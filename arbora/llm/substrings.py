@@ -253,7 +253,7 @@ def _advance(length: int, following: int | None, target: int, buckets: int, dige
     return run
 
 
-def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = None, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = None, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
     """(every row of ``docs`` without its repeated words, lengths of longer repeats).
 
     The first has the columns of ``docs`` with the kept text (unchanged where nothing went), then ``n_words`` and ``n_removed``;

@@ -27,7 +27,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
     def encode(iterator):
         encoder = WordEncoder(tokenizer)
-        for t in batches(iterator):
+        for t in batches(iterator, 4 << 20):
             ids, offsets = encoder.encode(t.column("text"))
             n = len(offsets) - 1
             ids = np.insert(ids, offsets[1:], end_id).astype(np.int32)
