@@ -105,26 +105,21 @@ def _match_image(image_id, cls, dets: pd.DataFrame, truths: pd.DataFrame) -> lis
     inter = np.prod(np.maximum(w, 0), axis=2)
     union = area(d)[:, None] + area(g)[None] - inter
     over = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+    ids, scores, size_d, size_g = dets["det_id"].tolist(), dets["score"].tolist(), area(d), area(g)
+    near = [[(float(over[k, j]), int(j)) for j in np.flatnonzero(over[k] >= min(IOUS))] for k in range(len(d))]
     out = []
     for name, (low, high) in AREAS.items():
-        ignored = (area(g) < low) | (area(g) > high)
-        order = np.argsort(ignored, kind="stable")  # truths that count come first
-        outside = (area(d) < low) | (area(d) > high)
+        ignored = ((size_g < low) | (size_g > high)).tolist()
+        outside = ((size_d < low) | (size_d > high)).tolist()
         for t, limit in enumerate(IOUS):
-            used = np.zeros(len(g), bool)
-            for k in range(len(d)):
-                best, at = min(limit, 1 - 1e-10), -1
-                for j in order:
-                    if used[j]:
-                        continue
-                    if at >= 0 and not ignored[at] and ignored[j]:
-                        break
-                    if over[k, j] >= best:
-                        best, at = over[k, j], j
+            used: set[int] = set()
+            for k, candidates in enumerate(near):
+                free = [(not ignored[j], v, j) for v, j in candidates if v >= min(limit, 1 - 1e-10) and j not in used]
+                # Truths that count come before ignored ones; then the largest overlap, the later one on ties.
+                at = max(free)[2] if free else -1
                 if at >= 0:
-                    used[at] = True
-                skip = bool(ignored[at]) if at >= 0 else bool(outside[k])
-                out.append((image_id, cls, name, t, int(dets["det_id"].iloc[k]), float(dets["score"].iloc[k]), k + 1, at >= 0, skip))
+                    used.add(at)
+                out.append((image_id, cls, name, t, ids[k], scores[k], k + 1, at >= 0, ignored[at] if at >= 0 else outside[k]))
     return out
 
 
@@ -135,7 +130,7 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """``metric, value``: AP at IoU .5:.95, .5 and .75 and by size, AR with 1, 10, 100 detections and by size; null where nothing counts.
 
     ``dets``: image_id, cls, det_id, score, x1..y2; ``truths``: image_id, cls, gt_id, x1..y2. Images and classes are matched
-    each on its own (a group is one image's boxes of one class); the curves are windows by falling score.
+    each on its own (a group is one image's boxes); the curves are windows by falling score.
     """
     box = ["x1", "y1", "x2", "y2"]
     d = dets.select("image_id", "cls", F.col("det_id"), "score", *box)
@@ -143,9 +138,11 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _MATCHED.split(", ")]
 
     def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_match_image(int(key[0]), int(key[1]), left, right) if len(left) else [], columns=names)
+        truth = dict(list(right.groupby("cls")))
+        rows = [r for c, own in left.groupby("cls") for r in _match_image(int(key[0]), int(c), own, truth.get(c, right.iloc[:0]))]
+        return pd.DataFrame(rows, columns=names)
 
-    matched = d.groupBy("image_id", "cls").cogroup(g.groupBy("image_id", "cls")).applyInPandas(match, _MATCHED)
+    matched = d.groupBy("image_id").cogroup(g.groupBy("image_id")).applyInPandas(match, _MATCHED)
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     counts = None
     for name, (low, high) in AREAS.items():
