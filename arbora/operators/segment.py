@@ -71,7 +71,8 @@ def space_peaks(peaks: DataFrame, min_distance: int = 2, checkpoint=None) -> Dat
     cell = min_distance + 1
     around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
     a = p.select("tile", F.col("box_id").alias("a"), F.col("row").alias("r"), F.col("col").alias("c")).withColumn("_x", F.floor(F.col("c") / cell)).withColumn("_y", F.floor(F.col("r") / cell))
-    b = p.select("tile", F.col("box_id").alias("b"), "row", "col").withColumn("_x", F.floor(F.col("col") / cell) + around).withColumn("_y", F.floor(F.col("row") / cell) + around)
+    b = p.select("tile", F.col("box_id").alias("b"), "row", "col").withColumn("_i", around).withColumn("_j", around)
+    b = b.withColumns({"_x": F.floor(F.col("col") / cell) + F.col("_i"), "_y": F.floor(F.col("row") / cell) + F.col("_j")})
     near = (F.abs(F.col("r") - F.col("row")) <= min_distance) & (F.abs(F.col("c") - F.col("col")) <= min_distance)
     edges = a.join(b, ["tile", "_x", "_y"]).where(near & (F.col("a") < F.col("b"))).select("a", "b")
     kept = suppress(p, edges, checkpoint=checkpoint)
