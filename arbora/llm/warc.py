@@ -163,13 +163,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(records: DataFrame) -> DataFrame:
     """One row for each response or revisit record, with ``parts``: its blocks in segment order."""
     part = F.struct(F.coalesce("segment", F.lit(1)).alias("segment"), "total_length", "block")
-    whole = records.where("record_type <> 'continuation' and segment is null").withColumn("parts", F.array(part))
+    whole = records.where("record_type <> 'continuation' and segment is null").withColumns({"parts": F.array(part), "split": F.lit(False)})
     # Only records that were split meet in a shuffle; a group is the segments of one payload.
     split = records.where("record_type = 'continuation' or segment is not null").withColumn("key", F.coalesce("origin_id", "record_id")).withColumn("part", part)
     about = ["record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes"]
     head = F.max(F.when(F.col("record_type") != "continuation", F.struct(*about))).alias("head")
     joined = split.groupBy("key").agg(head, F.sort_array(F.collect_list("part")).alias("parts"))
-    return whole.select(*about, "parts").unionByName(joined.select("head.*", "parts"))
+    return whole.select(*about, "parts", "split").unionByName(joined.select("head.*", "parts", F.lit(True).alias("split")))
 
 
 def decode_payloads(assembled: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -188,11 +188,9 @@ def decode_payloads(assembled: DataFrame, keep_payload: bool = False) -> DataFra
                     block = b"".join(p["block"] for p in parts)
                     if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
                         raise ValueError("segments are missing or repeated")
-                    if len(parts) > 1 and parts[-1]["total_length"] != len(block):
+                    if r["split"] and parts[-1]["total_length"] != len(block):
                         raise ValueError("the total length does not hold")
                     if r["record_type"] == "response":
-                        if r["refers_to"] is None and len(parts) == 1 and parts[0]["total_length"] not in (None, len(block)):
-                            raise ValueError("the total length does not hold")
                         http, _, body = block.partition(b"\r\n\r\n")
                         payload = dechunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:\s*chunked", http) else body
                         digest = hashlib.sha256(payload).hexdigest()
