@@ -42,6 +42,28 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_paths(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of tables that nothing will read again."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """The intermediate tables of one operator, in one shared folder that goes once its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, shared_dir(spark, name)
+
+    def written(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        drop_paths(self.spark, self.path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, id_text, table, written
+from arbora.llm._spark import Scratch, batches, id_text, table, written
 from arbora.llm._text import NOT_SPACE, U, mix, words_of
 from arbora.llm.components import components
 
@@ -179,6 +179,7 @@ def _compare(group: list[dict], a_no: int, b_no: int, threshold: Fraction, least
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block_entries: int = 384, block_shingles: int = 400_000) -> DataFrame:
     """``doc_id, class_id, n_links``: the smallest id of the connected documents, and how many documents are linked directly."""
     docs = id_text(docs)
+    scratch = Scratch(docs.sparkSession, "jaccard")
     exact = Fraction(threshold).limit_denominator(10_000)
     least = least_matches(threshold, tolerance)
 
@@ -190,7 +191,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
             rows = pa.array([s.tobytes() for s in sig], pa.binary())
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), pa.array(x), pa.array(y), rows], names=["doc_id", "n", "set_x", "set_y", "sig"])
 
-    signed = written(docs.mapInArrow(sign, "doc_id bigint, n bigint, set_x bigint, set_y bigint, sig binary"), "signatures")
+    signed = scratch.written(docs.mapInArrow(sign, "doc_id bigint, n bigint, set_x bigint, set_y bigint, sig binary"), "signatures")
     usable = signed.where("doc_id is not null and n > 0")
     entries = usable.groupBy("set_x", "set_y").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
 
@@ -206,16 +207,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 
     # The entry is the row with the smallest id; rows that repeat it bring the same keys.
     heads = entries.withColumnRenamed("id", "doc_id").join(usable.select("set_x", "set_y", "doc_id", "n", "sig"), ["set_x", "set_y", "doc_id"])
-    heads = written(heads.select(F.col("doc_id").alias("id"), "set_x", "set_y", "copies", "n", "sig"), "entries")
-    bands = written(heads.select("id", "sig").mapInArrow(band_keys, "id bigint, key bigint"), "bands")
+    heads = scratch.written(heads.select(F.col("doc_id").alias("id"), "set_x", "set_y", "copies", "n", "sig"), "entries")
+    bands = scratch.written(heads.select("id", "sig").mapInArrow(band_keys, "id bigint, key bigint"), "bands")
     # Both sides aggregate before they shuffle, and the join's large side can be split where a key is frequent.
     centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
     stars = bands.join(centres, "key").groupBy("id").agg(F.min("centre").alias("least"), F.collect_set("centre").alias("centres"))
-    stars = written(stars, "stars")
+    stars = scratch.written(stars, "stars")
     # An entry needs one edge, to its least centre; that its other centres belong there is an edge between centres, of which
     # the many entries of a large group share a few.
     between = stars.select(F.explode(F.array_remove("centres", F.col("least"))).alias("a"), F.col("least").alias("b"))
-    clusters = components(stars.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(between).distinct())
+    clusters = components(stars.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(between).distinct(), scratch)
 
     members = heads.join(clusters, "id")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
@@ -255,14 +256,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
             if out is not None and out.num_rows:
                 yield out
 
-    found = written(dealt.mapInArrow(compare, "id bigint, links bigint, root bigint"), "links")
+    found = scratch.written(dealt.mapInArrow(compare, "id bigint, links bigint, root bigint"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     resolved = heads.select("id", "set_x", "set_y", "copies").distinct().join(links, "id", "left").join(classes, "id", "left")
     resolved = resolved.select("set_x", "set_y", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     judged = usable.select("doc_id", "set_x", "set_y").join(resolved, ["set_x", "set_y"]).select("doc_id", "class_id", "n_links")
     alone = signed.where("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return judged.unionByName(alone)
+    result = written(judged.unionByName(alone), "classes")
+    scratch.drop()
+    return result
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -9,7 +9,7 @@ tell how long the repeats are.
 
 How a level runs: documents lie in blocks (one row of a written table each, compressed). A block sends its distinct
 hashes, sorted and cut into buckets by range; a bucket meets the hashes of all blocks and answers each with one bit
-a hash: whether another block holds it (at the target level: with a smaller document). The bits go back to the block,
+a hash: whether another block holds it (at the target level with one more: in a document with a smaller id). The bits go back to the block,
 which drops its finished documents and writes those with candidates for the next level. A sequence that
 thousands of documents share is one hash a block, so it weighs no more than a rare one, and nothing is capped.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, id_text, shared_dir, shuffle_partitions, table, written
+from arbora.llm._spark import Scratch, batches, drop_paths, id_text, shared_dir, shuffle_partitions, table
 from arbora.llm._text import NOT_SPACE, U, Words, flat_ranges, words_of
 
 NO_ID = np.iinfo(np.int64).max
@@ -89,7 +89,7 @@ class Level:
             self.hash = words.run_hash(places, length)
         self.doc = np.searchsorted(words.offsets, self.places, "right") - 1
         more = (words.run_hash(self.places, length, lane=1) >> U(32)).astype(np.uint32) if self.exact else np.zeros(len(self.places), np.uint32)
-        order = np.lexsort((self.ids[self.doc], more, self.hash)) if self.exact else np.lexsort((self.doc, self.hash))
+        order = np.lexsort((self.doc, self.ids[self.doc], more, self.hash)) if self.exact else np.lexsort((self.doc, self.hash))
         h, e = self.hash[order], more[order]
         new = np.append(True, (h[1:] != h[:-1]) | (e[1:] != e[:-1])) if len(h) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
@@ -106,16 +106,19 @@ class Level:
         place = ((self.key >> U(32)) * U(buckets)) >> U(32)
         return np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
 
-    def repeated(self, bits: dict[int, bytes], buckets: int) -> np.ndarray:
-        """By window: whether it repeats (at the target level: in a document with a smaller id)."""
+    def repeated(self, bits: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """By window: whether it repeats in another document, and (at the target level) in one with a smaller id."""
         bounds = self.bounds(buckets)
-        elsewhere = np.zeros(len(self.key), bool)
+        elsewhere, smaller = np.zeros(len(self.key), bool), np.zeros(len(self.key), bool)
         for b, blob in bits.items():
-            n = bounds[b + 1] - bounds[b]
-            elsewhere[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=int(n)).astype(bool)
-        if self.exact:
-            return elsewhere[self.of] | (self.least[self.of] < self.ids[self.doc])
-        return (elsewhere | self.several)[self.of]
+            part = slice(bounds[b], bounds[b + 1])
+            n = int(bounds[b + 1] - bounds[b])
+            packed = np.frombuffer(blob, np.uint8)
+            elsewhere[part] = np.unpackbits(packed, count=n).astype(bool)
+            if self.exact:
+                smaller[part] = np.unpackbits(packed[(n + 7) // 8 :], count=n).astype(bool)
+        again = (elsewhere | self.several)[self.of]
+        return again, smaller[self.of] | (self.least[self.of] < self.ids[self.doc]) if self.exact else again
 
 
 def _requests(length: int, target: int, buckets: int):
@@ -134,27 +137,27 @@ def _requests(length: int, target: int, buckets: int):
 
 
 def _answer(rows: list[tuple], exact: bool) -> tuple[list, list[bytes]]:
+    """For each block one bit a hash: whether another block has it; at the target level then one more: with a smaller id."""
     parts = [_from_planes(r[1], U) for r in rows]
     sizes = np.array([len(p) for p in parts])
     h = np.concatenate(parts)
+    e = np.concatenate([_from_planes(r[2], np.uint32) for r in rows]) if exact else None
+    order = np.lexsort((e, h)) if exact else np.argsort(h, kind="stable")
+    h = h[order]
+    same = h[1:] == h[:-1]
+    if exact:
+        e = e[order]
+        same &= e[1:] == e[:-1]
+    bits = [np.empty(len(h), bool)]
+    bits[0][order] = np.append(False, same) | np.append(same, False)
     if exact:
-        e = np.concatenate([_from_planes(r[2], np.uint32) for r in rows])
         least = np.concatenate([_from_planes(r[3], np.int64) for r in rows])
-        order = np.lexsort((e, h))
-        h, e = h[order], e[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (e[1:] != e[:-1]))
-        heads = np.flatnonzero(new)
-        lowest = np.minimum.reduceat(least[order], heads)
-        bit = np.empty(len(h), bool)
-        bit[order] = lowest[np.cumsum(new) - 1] < least[order]
-    else:
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        same = h[1:] == h[:-1]
-        bit = np.empty(len(h), bool)
-        bit[order] = np.append(False, same) | np.append(same, False)
+        new = np.append(True, ~same)
+        lowest = np.minimum.reduceat(least[order], np.flatnonzero(new))
+        bits.append(np.empty(len(h), bool))
+        bits[1][order] = lowest[np.cumsum(new) - 1] < least[order]
     ends = np.cumsum(sizes)
-    return [r[0] for r in rows], [np.packbits(bit[a:b]).tobytes() for a, b in zip(ends - sizes, ends)]
+    return [r[0] for r in rows], [b"".join(np.packbits(bit[a:b]).tobytes() for bit in bits) for a, b in zip(ends - sizes, ends)]
 
 
 def _replies(exact: bool):
@@ -211,7 +214,7 @@ def _advance(length: int, following: int | None, target: int, buckets: int, dige
                 t = _unpacked(blob.as_py())
                 level = Level(t, length, target)
                 words = level.words
-                hit = level.repeated({r["bucket"]: r["bits"] for r in replies or []}, buckets)
+                hit, lost = level.repeated({r["bucket"]: r["bits"] for r in replies or []}, buckets)
                 gone = np.zeros(len(words.starts), bool)
                 rows = []
                 if level.length < target:
@@ -225,7 +228,7 @@ def _advance(length: int, following: int | None, target: int, buckets: int, dige
                         rows.append((0, results(t, words, closed, gone)))
                 else:
                     if level.exact:
-                        gone[flat_ranges(level.places[hit], np.full(int(hit.sum()), length))] = True
+                        gone[flat_ranges(level.places[lost], np.full(int(lost.sum()), length))] = True
                         rows.append((0, results(t, words, np.arange(words.n_docs), gone)))
                     else:
                         longest = np.unique(level.doc[hit])
@@ -275,12 +278,13 @@ def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = N
             packed = pa.table([*own, ids, texts], names=[*names, _IDS, _TEXT])
             yield pa.RecordBatch.from_arrays([pa.array([_packed(packed)], pa.binary()), pa.array([int(pa.compute.sum(pa.compute.binary_length(texts)).as_py() or 0)], pa.int64())], names=["blob", "n_bytes"])
 
-    stored = written(source.mapInArrow(blocks, "blob binary, n_bytes bigint").withColumn("block", F.monotonically_increasing_id()), "blocks", "uncompressed")
+    scratch = Scratch(spark, "blocks")
+    stored = scratch.written(source.mapInArrow(blocks, "blob binary, n_bytes bigint").withColumn("block", F.monotonically_increasing_id()), "blocks", "uncompressed")
     total = stored.agg(F.sum("n_bytes")).first()[0] or 0
     # About a million hashes a bucket, and at least as many buckets as tasks.
     buckets = int(max(shuffle_partitions(spark), total // 6 // 1_000_000))
 
-    done, longer = [], []
+    done, longer, used = [], [], []
     length, state = (target + 1) // 2, stored.select("block", "blob")
     while True:
         last = max_length is not None and length >= max_length
@@ -299,9 +303,13 @@ def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = N
         else:
             longer.append(level.where("kind = 1").select("blob"))
         state = level.where("kind = 2").select("block", "blob")
+        used.append(f"{path}/kind=2")
         if following is None or (length >= target and state.isEmpty()):
             break
         length = following
+    # The results are written; the blocks that led to them will not be read again.
+    scratch.drop()
+    drop_paths(spark, *used)
 
     def unpack(names):
         def run(iterator):
