@@ -138,8 +138,10 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _MATCHED.split(", ")]
 
     def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        truth = dict(list(right.groupby("cls")))
-        rows = [r for c, own in left.groupby("cls") for r in _match_image(int(key[0]), int(c), own, truth.get(c, right.iloc[:0]))]
+        # A side without rows comes without columns.
+        truth = dict(list(right.groupby("cls"))) if len(right) else {}
+        none = pd.DataFrame(columns=box)
+        rows = [r for c, own in left.groupby("cls") for r in _match_image(int(key[0]), int(c), own, truth.get(c, none))] if len(left) else []
         return pd.DataFrame(rows, columns=names)
 
     matched = d.groupBy("image_id").cogroup(g.groupBy("image_id")).applyInPandas(match, _MATCHED)
