@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, id_text, table
+from arbora.llm._spark import batches, id_text, table, written
 from arbora.llm._text import ALNUM, U, Words, mix, segment_hash, words_of
 
 PREFIXES = (4, 5, 6)
 BIN = 0.5  #: width of the calibration's bins
+MOST_IN_TEXT = 4  #: occurrences of a feature that count in one training text
 
 
 def features_of(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,29 +146,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_docs: int = 30_000, max
             words = words_of(t.column("text"), ALNUM, lower=True)
             toxic = t.column("toxic").to_numpy()[words.doc_of_word()]
             doc = words.doc_of_word()
-            for kind, (at, h) in enumerate(features_of(words)):
-                # a feature counts once for each text that has it
+            for at, h in features_of(words):
+                # occurrences in a text, of which a few say as much as many
                 order = np.lexsort((doc[at], h))
                 h, d, x = h[order], doc[at][order], toxic[at][order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
-                h, x = h[new], x[new]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
+                n = np.minimum(np.diff(np.append(first, len(h))), MOST_IN_TEXT)
+                h, x = h[first], x[first]
                 keys, first = np.unique(h, return_index=True)
-                ends = np.append(first[1:], len(h))
-                sums = np.append(0, np.cumsum(x))
-                y1 = sums[ends] - sums[first]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(y1.astype(np.int64)), pa.array((ends - first - y1).astype(np.int64))], names=["feature", "y1", "y0"])
+                sums = lambda v: np.add.reduceat(v, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums(x)), pa.array(sums(1 - x)), pa.array(sums(n * x)), pa.array(sums(n * (1 - x)))], names=["feature", "d1", "d0", "y1", "y0"])
 
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
     n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel(levels=np.array([float(bool(n1))]))
-    counts = rows.mapInArrow(count, "feature bigint, y1 bigint, y0 bigint").groupBy("feature").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
-    # The prior of a feature is ``prior`` texts spread over both kinds as the feature is overall.
+    counts = rows.mapInArrow(count, "feature bigint, d1 bigint, d0 bigint, y1 bigint, y0 bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "y1", "y0")])
+    counts = written(counts.where(F.col("d1") >= min_docs), "features")
+    # So many features are tried that some look toxic by chance: the texts that have one must be more often toxic than all are
+    # by a margin whose probability (Chernoff's bound) is below one in the number of features.
+    n, q, p = F.col("d1") + F.col("d0"), F.col("d1") / (F.col("d1") + F.col("d0")), n1 / (n1 + n0)
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
+    margin = F.when(q > p, n * (part(q, p) + part(1 - q, 1 - p))).otherwise(0.0)
+    sure = margin > float(np.log(max(counts.count(), 1)))
+    # The prior of a feature is ``prior`` occurrences, spread over both kinds as it is overall.
     share = F.expr(f"(y1 + y0) / {float(n1 + n0)}D")
     a1, a0 = F.lit(prior) * share * n1 / (n1 + n0) + 0.05, F.lit(prior) * share * n0 / (n1 + n0) + 0.05
     odds = F.log((F.col("y1") + a1) / (F.col("y0") + a0))
     sigma = F.sqrt(1 / (F.col("y1") + a1 + 0.5) + 1 / (F.col("y0") + a0 + 0.5))
-    listed = counts.where(F.col("y1") >= min_docs).withColumn("score", odds - sigma * 0.5).where((F.col("score") > 1.0) & (odds - F.lit(float(np.log(n1 / n0))) > 2 * sigma))
+    listed = counts.where(sure).withColumn("score", odds - sigma * 0.5).where((F.col("score") > 0.5) & (odds - F.lit(float(np.log(n1 / n0))) > 2 * sigma))
     top = listed.orderBy(F.desc("score"), "feature").limit(max_features).select("feature", "score", "y0").collect()
     if not top:
         return ToxicityModel(levels=np.array([n1 / (n1 + n0)]))
@@ -179,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_docs: int = 30_000, max
     # Chance of each listed feature at a word of clean text, with half a text for those never seen there.
     words_clean = rows.where("toxic = 0").agg(F.sum(F.length("text") / 6.0)).first()[0] or 1.0
     chance = (clean + 0.5 / len(clean)) / max(words_clean, 1.0)
-    low, high = 1e-3, 1.0
+    low, high = 1e-3, 10.0
     for _ in range(60):  # the positive root of  sum p exp(lambda s) = 1
         middle = (low + high) / 2
         value = float((chance * np.exp(middle * score)).sum()) + (1 - min(chance.sum(), 1)) * np.exp(middle * model.drift)
