@@ -73,9 +73,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
 
     def encode(iterator):
         encoder = WordEncoder(tokenizer)
-        for t in batches(iterator, 2 << 20):
+        for t in batches(iterator, 4 << 20):
             ids, offsets = encoder.encode(t.column("text"))
-            keys = hilbert_key(document_points(t.column("text")), BITS)
+            keys = np.concatenate([hilbert_key(document_points(part.column("text")), BITS) for part in batches(t.to_batches())])
             wide = np.uint32 if len(ids) and int(ids.max()) > 65535 else np.uint16
             blobs = [np.append(ids[a:b], separator).astype(wide).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(keys), pa.array(np.diff(offsets) + 1), pa.array(blobs, pa.binary())], names=["doc_id", "hilbert_key", "doc_tokens", "blob"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -163,9 +164,12 @@ class WordEncoder:
             pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
             coded = pieces.dictionary_encode()
             found = coded.dictionary.to_pylist()
-            get = self.slots.get
-            self._learn([p for p, s in zip(found, map(get, found)) if s is None])
-            slots = np.fromiter(map(get, found), np.int64, len(found))[coded.indices.to_numpy()]
+            known = np.fromiter(map(self.slots.get, found, repeat(-1)), np.int64, len(found))
+            if len(fresh := np.flatnonzero(known < 0)):
+                unknown = [found[k] for k in fresh.tolist()]
+                self._learn(unknown)
+                known[fresh] = [self.slots[p] for p in unknown]
+            slots = known[coded.indices.to_numpy()]
             lengths = self.length[slots]
             ends = np.append(0, np.cumsum(lengths))
             ids = self.flat[np.repeat(self.start[slots] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
