@@ -134,17 +134,18 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """
     box = ["x1", "y1", "x2", "y2"]
     d = dets.select("image_id", "cls", F.col("det_id"), "score", *box)
-    g = truths.select("image_id", "cls", *box)
+    # Names of its own, as both sides may come from one table.
+    g = truths.select(F.col("image_id").alias("g_image"), F.col("cls").alias("g_cls"), *[F.col(c).alias(f"g_{c}") for c in box])
     names = [c.split()[0] for c in _MATCHED.split(", ")]
 
     def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         # A side without rows comes without columns.
-        truth = dict(list(right.groupby("cls"))) if len(right) else {}
+        truth = {c: part.rename(columns=lambda n: n.removeprefix("g_")) for c, part in right.groupby("g_cls")} if len(right) else {}
         none = pd.DataFrame(columns=box)
         rows = [r for c, own in left.groupby("cls") for r in _match_image(int(key[0]), int(c), own, truth.get(c, none))] if len(left) else []
         return pd.DataFrame(rows, columns=names)
 
-    matched = d.groupBy("image_id").cogroup(g.groupBy("image_id")).applyInPandas(match, _MATCHED)
+    matched = d.groupBy("image_id").cogroup(g.groupBy("g_image")).applyInPandas(match, _MATCHED)
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     counts = None
     for name, (low, high) in AREAS.items():

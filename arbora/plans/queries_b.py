@@ -194,10 +194,10 @@ def b25_standardize(spark, d):
     return raster.standardize(p, 4).select("tile", "band", "row", "col", F.round("value", 6).alias("value"))
 
 
-@query(duck("""SELECT tile, band, row, col, round(CASE WHEN b > a THEN least(greatest((value - a) / (b - a), 0), 1) ELSE 0 END, 6) AS value FROM pixels JOIN
+@query(duck("""SELECT tile, band, row, col, round(CASE WHEN b > a THEN least(greatest((value - a) / (b - a), 0), 1) ELSE 0 END, 10) AS value FROM pixels JOIN
  (SELECT tile, band, quantile_cont(CAST(value AS DOUBLE), 0.02) AS a, quantile_cont(CAST(value AS DOUBLE), 0.98) AS b FROM pixels GROUP BY tile, band) USING (tile, band)""", "pixels"))
 def b26_percentile_stretch(spark, d):
-    return raster.percentile_stretch(load(spark, d, "pixels"), ["tile", "band"]).select("tile", "band", "row", "col", F.round("value", 6).alias("value"))
+    return raster.percentile_stretch(load(spark, d, "pixels"), ["tile", "band"]).select("tile", "band", "row", "col", F.round("value", 10).alias("value"))
 
 
 @query(duck("SELECT gt_id, 640 - x2 AS x1, 640 - x1 AS x2, true AS flipped FROM gt_boxes", "gt_boxes"))
