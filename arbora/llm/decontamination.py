@@ -122,8 +122,19 @@ class Benchmark:
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"])
 
 
-def _keys(window: int, k: int, name: str):
-    """Task function: (name, key) of each fingerprint and of each run as long as a short item may be."""
+def _short_lengths(items: DataFrame, window: int) -> list[int]:
+    """The numbers of words below ``window`` that items have: window - 1 at most."""
+
+    def count(iterator):
+        for t in batches(iterator):
+            n = np.unique(words_of(t.column("text"), ALNUM, lower=True).counts())
+            yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < window)].astype(np.int64))], names=["n"])
+
+    return sorted(r["n"] for r in items.select("text").mapInArrow(count, "n bigint").distinct().collect())
+
+
+def _keys(window: int, k: int, name: str, short: list[int]):
+    """Task function: (name, key) of each fingerprint and of each run as long as a short item."""
 
     def run(iterator):
         for t in batches(iterator):
@@ -131,7 +142,7 @@ def _keys(window: int, k: int, name: str):
             places = fingerprints(words, window, k)
             doc = words.doc_of_word()
             parts = [(doc[places], words.run_hash(places, k) if len(places) else np.zeros(0, U))]
-            for n in range(1, window):
+            for n in short:
                 first, d = words.runs(n)
                 if name == "item_row":
                     whole = words.counts()[d] == n
@@ -173,9 +184,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
     # Equal texts meet the benchmark once, whatever their ids; a hash that two texts share only adds items to verify.
     docs = docs.withColumn("text_key", F.xxhash64("text"))
-    doc_keys = docs.select("text_key", "text").mapInArrow(_keys(window, k, "text_key"), "text_key bigint, key bigint").distinct()
+    short = _short_lengths(items, window)
+    doc_keys = docs.select("text_key", "text").mapInArrow(_keys(window, k, "text_key", short), "text_key bigint, key bigint").distinct()
     item_rows = items.withColumn("item_row", F.xxhash64("item_id", "text"))
-    item_keys = item_rows.select("item_row", "text").mapInArrow(_keys(window, k, "item_row"), "item_row bigint, key bigint").distinct()
+    item_keys = item_rows.select("item_row", "text").mapInArrow(_keys(window, k, "item_row", short), "item_row bigint, key bigint").distinct()
     pairs = doc_keys.join(item_keys, "key").select("text_key", "item_row").distinct()
     met = pairs.join(item_rows.dropDuplicates(["item_row"]), "item_row").groupBy("text_key").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
     joined = docs.join(met, "text_key", "left")
