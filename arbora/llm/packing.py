@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm._spark import batches, global_prefix, id_text, table, written
 from arbora.llm._text import NOT_SPACE, words_of
-from arbora.llm.tokens import WordEncoder, crc32_ids, default_tokenizer
+from arbora.llm.tokens import crc32_ids, default_tokenizer, encoder
 
 DIMENSIONS, BITS = 4, 15
 
@@ -72,9 +72,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
     """Pieces ``doc_id, start, length, ids, doc_tokens, sequence_id, offset, hilbert_key``; ``ids`` is uint32 binary."""
 
     def encode(iterator):
-        encoder = WordEncoder(tokenizer)
         for t in batches(iterator, 4 << 20):
-            ids, offsets = encoder.encode(t.column("text"))
+            ids, offsets = encoder(tokenizer).encode(t.column("text"))
             keys = np.concatenate([hilbert_key(document_points(part.column("text")), BITS) for part in batches(t.to_batches())])
             wide = np.uint32 if len(ids) and int(ids.max()) > 65535 else np.uint16
             blobs = [np.append(ids[a:b], separator).astype(wide).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]

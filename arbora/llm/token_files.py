@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm._spark import batches, global_prefix, id_text, shared_dir, shuffle_partitions, table, written
-from arbora.llm.tokens import WordEncoder, crc32_ids, default_tokenizer
+from arbora.llm.tokens import crc32_ids, default_tokenizer, encoder
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 
@@ -26,9 +26,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     ordered = id_text(docs, id_col, text_col).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
 
     def encode(iterator):
-        encoder = WordEncoder(tokenizer)
         for t in batches(iterator, 4 << 20):
-            ids, offsets = encoder.encode(t.column("text"))
+            ids, offsets = encoder(tokenizer).encode(t.column("text"))
             n = len(offsets) - 1
             ids = np.insert(ids, offsets[1:], end_id).astype(np.int32)
             offsets = offsets + np.arange(n + 1)

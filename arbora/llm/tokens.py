@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -20,8 +21,8 @@ import pyarrow.compute as pc
 
 from arbora.llm._spark import strings
 
-#: Pre-tokens remembered in one Python worker; past this the memory starts anew (results do not depend on it).
-CACHE_WORDS = 1_000_000
+#: Pre-tokens remembered in one Python worker; past this only those of the last batch stay (results do not depend on it).
+CACHE_WORDS = 600_000
 _LETTER, _DIGIT, _SIGN, _SPACE, _WHITE = range(5)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[128:] = _LETTER
@@ -142,8 +143,6 @@ class WordEncoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, offsets of the texts)."""
-        if len(self.slots) > CACHE_WORDS:
-            self._forget()
         texts = strings(column)
         n = len(texts)
         if not n:
@@ -174,6 +173,11 @@ class WordEncoder:
             ends = np.append(0, np.cumsum(lengths))
             ids = self.flat[np.repeat(self.start[slots] - ends[:-1], lengths) + np.arange(int(ends[-1]))]
             offsets = ends[np.searchsorted(starts, edges)]
+            if len(self.slots) > CACHE_WORDS:
+                lengths = self.length[known]
+                own = self.flat[np.repeat(self.start[known] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+                self._forget()
+                self._add(found, own, lengths)
         else:
             ids, offsets = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if len(whole):
@@ -185,6 +189,12 @@ class WordEncoder:
         return ids, offsets
 
 
+@cache
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which serves one task after another and keeps what it has learned."""
+    return WordEncoder(path)
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
