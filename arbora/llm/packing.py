@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm._spark import batches, global_prefix, id_text, table, written
 from arbora.llm._text import NOT_SPACE, words_of
-from arbora.llm.tokens import crc32_ids, default_tokenizer, encoder
+from arbora.llm.tokens import default_tokenizer, encoder
 
 DIMENSIONS, BITS = 4, 15
 
