@@ -1,22 +1,23 @@
 """Licence scans with a positional index of rare template words.
 
 1. Document frequencies of the templates' words are counted over all documents; a word's weight is its IDF.
-2. In each file the ``rare_words`` licence words of highest IDF are looked
-   up in the templates' postings. Each (template, place in the file minus place in the template) that they agree on
-   is a candidate alignment.
+2. Of each template the places of highest IDF are indexed, as many as leave the others together below ``coverage``: no
+   alignment that reaches it can do without them. Each (template, place in the file minus place in the template) at which
+   an indexed word stands is a candidate alignment, however many notices a file holds.
 3. At a candidate alignment the template is compared word by word; the licence is labelled if the share of equal words,
    weighted by IDF, reaches ``coverage`` and every mandatory phrase stands consecutively within the aligned region.
 
 Base phrases are labelled wherever their words stand consecutively, whatever the templates say.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are judged each on its own;
-an empty table gives an empty result; other columns are ignored; among equal IDFs the smaller word hash is rarer.
+an empty table gives an empty result; other columns are ignored; of a licence that stands several times the alignment of
+highest coverage counts, of equal ones the first.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -57,20 +58,30 @@ def _hashes(words: list[bytes]) -> list[int]:
 
 
 class LicenseIndex:
-    def __init__(self, templates=TEMPLATES, base=BASE, rare_words: int = 6, coverage: float = 0.8):
-        self.rare_words, self.coverage = rare_words, coverage
+    def __init__(self, templates=TEMPLATES, base=BASE, coverage: float = 0.8):
+        self.coverage = coverage
         self.templates = [(label, _split(text), [_split(p) for p in phrases]) for label, text, phrases in templates]
         self.base = [(_split(phrase), _hashes(_split(phrase)), label) for phrase, label in base.items()]
         self.hashes = [_hashes(words) for _, words, _ in self.templates]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, hs in enumerate(self.hashes):
-            for q, h in enumerate(hs):
-                self.postings[h].append((t, q))
-        self.vocabulary = np.array(sorted(self.postings), np.uint64)
-        self.idf = dict.fromkeys(self.postings, 1.0)
+        self.vocabulary = np.array(sorted({h for hs in self.hashes for h in hs}), np.uint64)
+        self.idf = dict.fromkeys(self.vocabulary.tolist(), 1.0)
+        self._post()
 
     def weigh(self, n_docs: int, frequency: dict[int, int]) -> None:
-        self.idf = {h: math.log((n_docs + 1) / (frequency.get(h, 0) + 0.5)) + 1e-6 for h in self.postings}
+        self.idf = {h: math.log((n_docs + 1) / (frequency.get(h, 0) + 0.5)) + 1e-6 for h in self.idf}
+        self._post()
+
+    def _post(self) -> None:
+        """Index each template's places of highest IDF, until the rest cannot reach the coverage alone."""
+        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, hs in enumerate(self.hashes):
+            rest = total = sum(self.idf[h] for h in hs)
+            for q in sorted(range(len(hs)), key=lambda q: (-self.idf[hs[q]], hs[q], q)):
+                if rest < (self.coverage - 1e-9) * total:
+                    break
+                self.postings[hs[q]].append((t, q))
+                rest -= self.idf[hs[q]]
+        self.indexed = np.array(sorted(self.postings), np.uint64)
 
     def places(self, words: Words) -> np.ndarray:
         """Word places of licence words in a batch."""
@@ -81,19 +92,12 @@ class LicenseIndex:
 
     def align(self, places: list[int], hashes: list[int], base: int, words: Words) -> dict[str, tuple[float, int]]:
         """Labels of one document with their coverage and first word (from 0), best alignment each."""
-        rare = sorted(set(hashes), key=lambda h: (-self.idf[h], h))[: self.rare_words]
-        chosen, votes = set(rare), Counter()
-        for p, h in zip(places, hashes):
-            if h in chosen:
-                for t, q in self.postings[h]:
-                    votes[t, p - q] += 1
+        candidates = {(t, p - q) for p, h in zip(places, hashes) for t, q in self.postings.get(h, ())}
         at = dict(zip(places, hashes))
         found: dict[str, tuple[float, int]] = {}
-        for (t, shift), n in votes.items():
+        for t, shift in candidates:
             label, own, phrases = self.templates[t]
             hs = self.hashes[t]
-            if n < min(2, len(hs)):
-                continue
             total = sum(self.idf[h] for h in hs)
             same = sum(self.idf[h] for q, h in enumerate(hs) if at.get(shift + q) == h)
             if same < self.coverage * total:
@@ -121,10 +125,12 @@ class LicenseIndex:
         labels, score = [set(x) for x in base_labels], [0.5 if x else 0.0 for x in base_labels]
         places = self.places(words)
         docs = doc_of(places)
+        # Only documents with an indexed word have a candidate.
+        open_ = np.zeros(n, bool)
+        open_[docs[np.isin(words.hashes[places], self.indexed)]] = True
+        places, docs = places[open_[docs]], docs[open_[docs]]
         edges = np.flatnonzero(np.diff(docs, prepend=-1, append=n))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if b - a < 2:
-                continue
             d = int(docs[a])
             base = int(words.offsets[d])
             found = self.align((places[a:b] - base).tolist(), words.hashes[places[a:b]].tolist(), base, words)

@@ -232,6 +232,39 @@ def test_licenses_brute_force(spark, docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_several_notices(spark):
+    """Labels and scores against every alignment of every template, in files of many notices and scattered licence words."""
+    rng = random.Random(4)
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    scattered = sorted({w for text in notices for w in alnum(text)})
+    by = {n: t for n, t, _ in licenses.TEMPLATES}
+    data = [(1, " x ".join(t for n, t, _ in licenses.TEMPLATES if n in ("mit", "bsd", "mpl-2.0") or t.startswith("Licensed under the Apache"))), (2, " x ".join(["Licensed under the Apache License, Version 2.0", by["cc-by-nc-4.0"], by["gpl-2.0"], by["mit"]])), (3, " ".join(notices)), (4, " ".join(rng.choices(scattered, k=3000)) + " " + by["mit"] + " " + " ".join(rng.choices(scattered, k=3000))), (5, "MIT")]
+    for i in range(6, 60):
+        parts = [phrase(rng, 5)] + [rng.choice(notices) for _ in range(rng.randrange(7))] + [" ".join(rng.choices(scattered, k=rng.randrange(60))) for _ in range(2)]
+        rng.shuffle(parts)
+        w = " y ".join(parts).split()
+        data.append((i, " ".join("z" if rng.random() < 0.03 else x for x in w)))
+    data += [(100 + i, phrase(rng, 30) + " the of license") for i in range(60)]
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    n = {w: sum(w in set(alnum(t)) for _, t in data) for w in scattered}
+    idf = {w: np.log((len(data) + 1) / (n[w] + 0.5)) + 1e-6 for w in scattered}
+    for i, t in data:
+        w, scores = alnum(t), {}
+        for label, text, phrases in licenses.TEMPLATES:
+            own = alnum(text)
+            for shift in range(-len(own) + 1, len(w)):
+                same = sum(idf[x] for q, x in enumerate(own) if 0 <= shift + q < len(w) and w[shift + q] == x)
+                share = same / sum(idf[x] for x in own)
+                region = " ".join(["", *w[max(shift, 0) : shift + len(own) + 8], ""])
+                if share >= 0.8 and all(" " + " ".join(alnum(p)) + " " in region for p in phrases):
+                    scores[label] = max(scores.get(label, 0), share)
+        base = set(filter(None, found[i]["base_labels"].split(",")))
+        assert found[i]["labels"] == ",".join(sorted(base | set(scores))), i
+        assert found[i]["score"] == pytest.approx(min(1.0, max([0.5 if base else 0.0, *scores.values()]))), i
+    assert {"apache-2.0", "mit", "bsd", "mpl-2.0"} <= set(found[1]["labels"].split(","))
+    assert {"apache-2.0", "mit", "cc-by-nc-4.0", "gpl-2.0"} <= set(found[2]["labels"].split(","))
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 
 
