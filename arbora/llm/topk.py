@@ -4,13 +4,14 @@ Codes are cut into ``segments`` parts. Two codes within distance d agree in some
 parts were looked up at radius r every code closer than segments * (r + 1) has been seen. Each block of codes has a bucket
 table for each part; the radius grows by one until the kth verified distance of every query lies within what is covered.
 
-Equal codes are one entry with its k smallest ids, and equal query codes are answered once. Codes are dealt to
+Equal codes are one entry with its k + 1 smallest distinct ids, each as often as it stands there, and equal query codes are answered once. Codes are dealt to
 blocks by hash; every query visits every block and the blocks' answers are merged. Work in a block is
 bounded by its size; there is no cap on buckets or candidates.
 
 Defined cases: null vectors are left out (neither queries nor answers); null elements count as 0; an id that is repeated with
-other vectors is several entries; ties in distance go to the smaller id; a query finds other rows only (not
-its own id); fewer than k other rows give fewer answers; an empty table gives an empty result.
+other vectors is several entries; ties in distance go to the smaller id; a query finds rows of other ids only;
+a row that is repeated is an answer as often as it stands there; the rows of a query's id, repeated or with other vectors,
+share k answers, the nearest of all their pairs; fewer than k other rows give fewer answers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ class MultiIndex:
     def part(self, codes: np.ndarray, s: int) -> np.ndarray:
         return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
-    def nearest(self, query: int, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, distances) that surely hold the k nearest rows, an entry counting for ``weight`` rows."""
+    def nearest(self, query: int, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, distances) that surely hold the ``least`` nearest rows, an entry counting for ``weight`` rows."""
         q = np.uint64(query)
         seen = np.zeros(len(self.codes), bool)
         entries, distances = [], []
@@ -69,31 +70,35 @@ class MultiIndex:
             distances.append(np.bitwise_count(self.codes[found] ^ q).astype(np.int64))
             e, d = np.concatenate(entries), np.concatenate(distances)
             covered = self.segments * (radius + 1) - 1  # every code at most this far was seen
-            # Covered once k rows lie within it (one more, as a query's own row does not count).
-            if weight[e[d <= covered]].sum() >= k + 1 or len(e) == len(self.codes):
+            if weight[e[d <= covered]].sum() >= least or len(e) == len(self.codes):
                 break
         order = np.lexsort((e, d))
         rows = np.cumsum(weight[e[order]])
-        last = int(np.searchsorted(rows, k + 1))
+        last = int(np.searchsorted(rows, least))
         stop = len(order) if last >= len(order) else int(np.searchsorted(d[order], d[order][last], "right"))
         return e[order][:stop], d[order][:stop]
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 8) -> DataFrame:
-    """``vec_id, rank, neighbor_id, distance`` of the k rows of ``codes`` nearest to each row of ``queries``."""
+    """``vec_id, rank, neighbor_id, distance`` of the k rows of ``codes`` nearest to each id of ``queries``."""
     spark = codes.sparkSession
     width = 64 // segments
+    # Of one code and id at most k rows are ever answers, and without a query's own id k of k + 1 distinct ids are left.
+    counted = codes.groupBy("code", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     # The k + 1 smallest ids of each code: the window keeps that many in each task before it shuffles.
     rank = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
-    entries = codes.withColumn("n", rank).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = counted.withColumn("n", rank).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times"))))).alias("ids"))
     n_codes = entries.count()
     n_blocks = max(1, -(-n_codes // BLOCK))
     blocks = entries.withColumn("block", F.expr(f"pmod(xxhash64(code), {n_blocks})"))
-    asked = queries.select("code").distinct()
+    # Rows of a query's own id do not count: k and as many rows as that id has are enough.
+    own_rows = counted.groupBy("vec_id").agg(F.sum("times").alias("own"))
+    asking = queries.groupBy("vec_id", "code").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    asked = asking.select("vec_id", "code").join(own_rows, "vec_id", "left").groupBy("code").agg((k + F.max(F.coalesce("own", F.lit(0)))).alias("least"))
     # Packets of query codes, each sent to every block; few blocks are copied so that there are tasks enough.
     n_packets = max(64, asked.count() // 1024)
     copies = -(-64 // n_blocks)
-    packets = asked.withColumn("packet", F.expr(f"pmod(xxhash64(code, 7), {n_packets})")).groupBy("packet").agg(F.collect_list("code").alias("queries"))
+    packets = asked.withColumn("packet", F.expr(f"pmod(xxhash64(code, 7), {n_packets})")).groupBy("packet").agg(F.collect_list(F.struct("code", "least")).alias("queries"))
     packets = packets.withColumn("copy", F.col("packet") % copies).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
     packed = blocks.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries"))
     packed = packed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
@@ -109,20 +114,22 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 8)
                 index = MultiIndex(np.ascontiguousarray(block), segments, width)
                 out = []
                 for q in batch.column("queries")[r].as_py():
-                    e, d = index.nearest(q & 0xFFFFFFFFFFFFFFFF, weight, k)
-                    out.append((q, block[e], d))
+                    e, d = index.nearest(q["code"] & 0xFFFFFFFFFFFFFFFF, weight, q["least"])
+                    out.append((q["code"], block[e], d, q["least"]))
                 if out:
                     n = [len(x[1]) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], n)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out]))], names=["query", "code", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], n)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])), pa.array(np.repeat([x[3] for x in out], n))], names=["query", "code", "distance", "least"])
 
-    near = joined.select("queries", "entries").mapInArrow(answer, "query bigint, code bigint, distance bigint")
-    # At most k + 1 rows a query code matter, and of codes at the same distance any may hold the smaller ids.
-    best = near.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy("distance"))).where(F.col("n") <= k + 1)
-    rows = best.join(entries, "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))).where(F.col("n") <= k + 1)
+    near = joined.select("queries", "entries").mapInArrow(answer, "query bigint, code bigint, distance bigint, least bigint")
+    # At most ``least`` rows a query code matter, and of codes at the same distance any may hold the smaller ids.
+    best = near.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy("distance"))).where("n <= least")
+    rows = best.join(entries, "code").select("query", "distance", "least", F.explode("ids").alias("neighbor_id"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))).where("n <= least")
     lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
-    own = queries.join(lists, queries["code"] == lists["query"]).select("vec_id", F.expr(f"slice(filter(near, x -> x.neighbor_id <> vec_id), 1, {k})").alias("near"))
-    return own.select("vec_id", F.posexplode("near").alias("pos", "x")).select("vec_id", (F.col("pos") + 1).alias("rank"), "x.neighbor_id", "x.distance")
+    own = asking.join(lists, asking["code"] == lists["query"]).select("vec_id", "times", F.explode(F.expr(f"slice(filter(near, x -> x.neighbor_id <> vec_id), 1, {k})")).alias("x"))
+    pairs = own.select("vec_id", F.explode(F.expr("array_repeat(x, times)")).alias("x")).select("vec_id", "x.neighbor_id", "x.distance")
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
+    return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

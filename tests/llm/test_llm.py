@@ -294,6 +294,20 @@ def test_topk_small_tables(spark):
         assert topk.search(codes, codes).count() == 0
 
 
+def test_topk_repeated_ids(spark, tmp_path):
+    """Rows repeated under one id, of queries and others, with equal and with other vectors: the rows of the SQL."""
+    rng = np.random.default_rng(6)
+    data = [(i, rng.normal(size=64).tolist()) for i in range(1, 61)]
+    data += [data[19]] + [data[39]] * 11 + [data[2]] * 3 + [data[4]] * 25 + [(60, data[9][1])] * 4 + [(7, data[19][1])] * 2
+    data += [(200 + i, data[39][1]) for i in range(3)] + [(300, data[59][1])] * 14 + [(400, data[0][1])] * 12
+    spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(tmp_path)
+    con.sql(f"create or replace view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    names, want = rows_of_sql(con, topk.OP5_SQL)
+    assert {r[names.index("vec_id")] for r in want} == {20, 40, 60, 200, 300, 400} and sum(want.values()) == 60
+    assert rows_of_spark(topk.op5_topk_search(spark, str(tmp_path))) == (names, want)
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 
