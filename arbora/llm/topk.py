@@ -8,7 +8,8 @@ Equal codes are one entry with its k + 1 smallest distinct ids, each as often as
 blocks by hash; every query visits every block and the blocks' answers are merged. Work in a block is
 bounded by its size; there is no cap on buckets or candidates.
 
-Defined cases: null vectors are left out (neither queries nor answers); null elements count as 0; an id that is repeated with
+Defined cases: null vectors are left out (neither queries nor answers); null elements count as 0; a vector
+of other than 64 dimensions is an error; an id that is repeated with
 other vectors is several entries; ties in distance go to the smaller id; a query finds rows of other ids only;
 a row that is repeated is an answer as often as it stands there; the rows of a query's id, repeated or with other vectors,
 share k answers, the nearest of all their pairs; fewer than k other rows give fewer answers; an empty table gives an empty result.
@@ -29,8 +30,10 @@ BLOCK = 1 << 15  #: codes in a block, about
 
 
 def sign_codes(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, code``: one bit for each of the first 64 dimensions, set where the value is above 0."""
-    bits = F.expr(f"aggregate(slice(transform(`{vector_col}`, v -> coalesce(cast(v as double), 0D)), 1, 64), 0L, (a, v) -> shiftleft(a, 1) | if(v > 0, 1L, 0L))")
+    """``vec_id, code``: one bit for each of the 64 dimensions, set where the value is above 0; another width is an error."""
+    bits = F.expr(f"aggregate(transform(`{vector_col}`, v -> coalesce(cast(v as double), 0D)), 0L, (a, v) -> shiftleft(a, 1) | if(v > 0, 1L, 0L))")
+    wrong = F.raise_error(F.concat(F.lit("sign_codes takes vectors of 64 dimensions, not "), F.size(vector_col).cast("string"))).cast("bigint")
+    bits = F.when(F.size(vector_col) == 64, bits).otherwise(wrong)
     return embeddings.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), bits.alias("code"))
 
 

@@ -294,6 +294,14 @@ def test_topk_small_tables(spark):
         assert topk.search(codes, codes).count() == 0
 
 
+@pytest.mark.parametrize("width", [0, 63, 65, 128])
+def test_topk_other_widths_fail(spark, width):
+    df = spark.createDataFrame([(0, [1.0] * 64), (1, None), (2, [1.0] * width)], "vec_id bigint, embedding array<double>")
+    assert topk.sign_codes(df.where("vec_id < 2")).count() == len(topk.sign_codes(df.where("vec_id < 2")).collect()) == 1
+    with pytest.raises(Exception, match=f"64 dimensions, not {width}"):
+        topk.sign_codes(df).collect()
+
+
 def test_topk_repeated_ids(spark, tmp_path):
     """Rows repeated under one id, of queries and others, with equal and with other vectors: the rows of the SQL."""
     rng = np.random.default_rng(6)
