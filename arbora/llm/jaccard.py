@@ -1,21 +1,22 @@
 """Join of documents whose sets of word 5-grams have a Jaccard similarity of at least 0.8, with Bayesian pruning.
 
 1. Each text gets its set of shingles (64-bit hashes of five consecutive words; a text of one to four words is one
-   shingle), a MinHash signature and a hash of the whole set. Texts with equal sets are one entry with a count.
+   shingle), a MinHash signature and a hash of the whole set. Texts with equal sets are one entry with a count, known by 64 bits of that hash.
 2. Signatures are cut into bands; entries that share a band are joined by a star around the band's smallest
-   id, and the stars' connected components are candidate clusters. With 32 bands of 4 rows a pair of
+   entry, and the stars' connected components are candidate clusters. With 32 bands of 4 rows a pair of
    similarity 0.8 shares no band with probability 5e-8.
 3. Within a cluster every pair is compared, in blocks of bounded size: MinHash values 16 at a time, dropping a pair as soon
    as the posterior probability (uniform prior) that its similarity reaches the threshold falls below ``tolerance``; the
    pairs that remain are verified exactly on the shingle sets.
-4. A block gives each entry's number of links and the smallest id of its connected entries, never the pairs; these
-   join to classes.
+4. A block gives each entry's number of links and the smallest of its connected entries, never the pairs; these
+   join to classes, named by the smallest ``doc_id`` among their entries.
 
 Large clusters are cut into blocks of entries and each pair of blocks is a task's row group of its own, so no cluster needs to
 fit in one task, and no bucket, cluster or list of partners is capped.
 
 Defined cases: null texts and texts without words link to nothing and are classes of their own; a null
-``doc_id`` is returned with a null class and no links; repeated rows are copies of each other; an empty table
+``doc_id`` is returned with a null class and no links; repeated rows are copies of each other, and other texts
+under the same ``doc_id`` are documents of their own; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -193,7 +194,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 
     signed = scratch.written(docs.mapInArrow(sign, "doc_id bigint, n bigint, set_x bigint, set_y bigint, sig binary"), "signatures")
     usable = signed.where("doc_id is not null and n > 0")
-    entries = usable.groupBy("set_x", "set_y").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    entries = usable.groupBy("set_x", "set_y").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
     def band_keys(iterator):
         for batch in iterator:
@@ -205,9 +206,10 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
             ids = np.repeat(batch.column("id").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "key"])
 
-    # The entry is the row with the smallest id; rows that repeat it bring the same keys.
-    heads = entries.withColumnRenamed("id", "doc_id").join(usable.select("set_x", "set_y", "doc_id", "n", "sig"), ["set_x", "set_y", "doc_id"])
-    heads = scratch.written(heads.select(F.col("doc_id").alias("id"), "set_x", "set_y", "copies", "n", "sig"), "entries")
+    # The entry is the row with the smallest doc_id; rows that repeat it bring the same keys. Its id is the set's hash, as one
+    # doc_id may carry several texts.
+    heads = entries.join(usable.select("set_x", "set_y", "doc_id", "n", "sig"), ["set_x", "set_y", "doc_id"])
+    heads = scratch.written(heads.select(F.col("set_x").alias("id"), "doc_id", "set_x", "set_y", "copies", "n", "sig"), "entries")
     bands = scratch.written(heads.select("id", "sig").mapInArrow(band_keys, "id bigint, key bigint"), "bands")
     # Both sides aggregate before they shuffle, and the join's large side can be split where a key is frequent.
     centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
@@ -221,7 +223,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     members = heads.join(clusters, "id")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block_entries), F.ceil(F.col("w") / block_shingles)).cast("bigint")).select("root", "blocks")
-    members = members.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)")).select("id", "set_x", "set_y", "copies", "sig", "root", "blocks", "block")
+    members = members.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)")).select("id", "doc_id", "set_x", "set_y", "copies", "sig", "root", "blocks", "block")
 
     def shingles(iterator):
         for t in batches(iterator):
@@ -233,7 +235,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
             rest = t.select(["id", "copies", "sig", "root", "blocks", "block"]).take(pa.array(right)).combine_chunks()
             yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in rest.columns), blobs], names=[*rest.column_names, "shingles"])
 
-    full = docs.withColumnRenamed("doc_id", "id").join(members, "id").mapInArrow(shingles, "id bigint, copies bigint, sig binary, root bigint, blocks bigint, block bigint, shingles binary")
+    full = docs.join(members, "doc_id").mapInArrow(shingles, "id bigint, copies bigint, sig binary, root bigint, blocks bigint, block bigint, shingles binary")
     # Each entry meets every block of its cluster once: the pair of blocks is the group.
     dealt = full.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "id", "copies", "sig", "shingles")
@@ -259,8 +261,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     found = scratch.written(dealt.mapInArrow(compare, "id bigint, links bigint, root bigint"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    resolved = heads.select("id", "set_x", "set_y", "copies").distinct().join(links, "id", "left").join(classes, "id", "left")
-    resolved = resolved.select("set_x", "set_y", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    names = heads.select("id", "doc_id").join(classes, "id").groupBy("root").agg(F.min("doc_id").alias("name"))
+    resolved = heads.select("id", "doc_id", "set_x", "set_y", "copies").distinct().join(links, "id", "left").join(classes, "id", "left").join(names, "root", "left")
+    resolved = resolved.select("set_x", "set_y", F.coalesce("name", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     judged = usable.select("doc_id", "set_x", "set_y").join(resolved, ["set_x", "set_y"]).select("doc_id", "class_id", "n_links")
     alone = signed.where("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     result = written(judged.unionByName(alone), "classes")

@@ -530,6 +530,17 @@ def test_jaccard_dense_group(spark):
         assert tuples(jaccard.jaccard_classes(df, block_entries=block), "doc_id", "class_id", "n_links") == want
 
 
+@pytest.mark.parametrize("block", [2, 384])
+def test_jaccard_texts_under_one_id(spark, block):
+    """One id with two texts that differ, each the smallest of a class; with two that are near; and with copies besides."""
+    rng = random.Random(3)
+    near = lambda t, k: t + " " + phrase(rng, k)
+    a, b, c, d = (phrase(rng, 60) for _ in range(4))
+    data = [(1, a), (1, b), (2, near(a, 2)), (3, near(b, 3)), (4, b), (1, b), (5, c), (5, near(c, 2)), (6, c), (7, d), (7, near(a, 3)), (8, near(d, 1)), (9, phrase(rng, 30))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    assert tuples(jaccard.jaccard_classes(df, block_entries=block), "doc_id", "class_id", "n_links") == brute_classes(data)
+
+
 def test_least_matches():
     least = jaccard.least_matches(0.8, 1e-9)
     assert all(0 <= least[n] <= n for n in least) and list(least.values()) == sorted(least.values())
