@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -25,17 +27,28 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 @cache
 def local_folder() -> str:
-    """One temporary folder of this process, for sessions without a shared one (local tests)."""
+    """One temporary folder of this process, for sessions in local mode without a shared one."""
     return tempfile.mkdtemp(prefix="arbora-")
 
 
+#: Folders that ``shared_dir`` gave out and nobody has dropped yet.
+_given: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place in local mode, where there is one machine only; on a
+    cluster it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = local_folder()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -46,11 +59,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders() -> list[str]:
+    """The shared folders in use: what results not yet written elsewhere are read from."""
+    return list(_given)
+
+
+def release(spark: SparkSession, keep: list[str] = ()) -> None:
+    """Delete the shared folders in use but for ``keep``; for when the results that are read from them are written elsewhere."""
+    drop_paths(spark, *[p for p in _given if p not in keep])
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     """Delete folders of tables that nothing will read again."""
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _given:
+            _given.remove(path)
 
 
 class Scratch:
@@ -68,6 +93,18 @@ class Scratch:
         drop_paths(self.spark, self.path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20):
+    """Writes within send Arrow batches of at most ``most_bytes`` (or one row) to Python: for tables of large binaries."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

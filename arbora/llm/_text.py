@@ -8,6 +8,7 @@ on equality of hashes use two independent ones (128 bits) or compare the words t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,32 +43,60 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Values hashed at a time, so that a step's numbers stay in a core's cache whatever the length of the texts.
+STEP = 1 << 16
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
+    """base**0 .. base**n modulo 2**64; those of an ordinary step (1 MB a base) are kept."""
     have = _powers.get(int(base))
     if have is None or len(have) <= n:
-        size = max(n + 1, 1 << 16) * 5 // 4
-        steps = np.full(size, base, U)
+        steps = np.full(max(n, 2 * STEP) + 1, base, U)
         steps[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(steps)
-        if have.nbytes > 256 << 20:  # one very long text; do not keep its powers
-            del _powers[int(base)]
+        have = np.multiply.accumulate(steps)
+        if n <= 2 * STEP:
+            _powers[int(base)] = have
     return have[: n + 1]
 
 
+@cache
 def inverse(base: np.uint64) -> np.uint64:
     return U(pow(int(base), -1, 1 << 64))
 
 
 def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of values[starts:ends] for each pair, not mixed; equal runs have equal hashes wherever they stand."""
-    n = len(values)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(values * powers(base, n)[:n], out=sums[1:])
-    return (sums[ends] - sums[starts]) * powers(inverse(base), n)[starts]
+    """Polynomial hash of values[starts:ends] for each pair, not mixed; equal runs have equal hashes wherever they stand.
+
+    ``starts`` are ascending. Byte values count one more than they are, so that a zero byte tells lengths apart.
+    """
+    out = np.empty(len(starts), U)
+    back = inverse(base)
+    cuts = np.searchsorted(starts, np.arange(0, len(values) + STEP, STEP))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part, low = slice(cuts[k], cuts[k + 1]), k * STEP
+        high = int(ends[part].max())
+        own = values[low:high].astype(U)
+        if values.dtype == np.uint8:
+            own += U(1)
+        n = high - low
+        own *= powers(base, n)[:n]
+        sums = np.zeros(n + 1, U)
+        np.cumsum(own, out=sums[1:])
+        at = starts[part] - low
+        out[part] = (sums[ends[part] - low] - sums[at]) * powers(back, n)[at]
+    return out
+
+
+def least_in_window(values: np.ndarray, first: np.ndarray, wide: int, last: bool = False) -> np.ndarray:
+    """For each window values[first : first + wide] the place of its smallest value; of equal ones the first, or the last."""
+    at, low = first.copy(), values[first]
+    for k in range(1, wide):
+        now = values[first + k]
+        better = now <= low if last else now < low
+        at[better] = first[better] + k
+        low = np.minimum(low, now)
+    return at
 
 
 @dataclass
@@ -127,7 +156,7 @@ def words_of(column, table: np.ndarray, lower: bool = False) -> Words:
     ends[cuts] = True
     ends = np.flatnonzero(ends & before)
     offsets = np.searchsorted(starts, edges)
-    h = segment_hash(data.astype(U) + U(1), starts, ends, _BASE)
+    h = segment_hash(data, starts, ends, _BASE)
     return Words(data, starts, ends, offsets, mix(h + (ends - starts).astype(U)))
 
 

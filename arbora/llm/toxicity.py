@@ -39,11 +39,10 @@ MOST_IN_TEXT = 4  #: occurrences of a feature that count in one training text
 def features_of(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """(indexes of words, feature hash) for whole words and for each prefix length; hashes as int64."""
     found = [(np.arange(len(words.starts)), words.hashes.view(np.int64))]
-    data = words.data.astype(U) + U(1)
     size = words.ends - words.starts
     for k in PREFIXES:
         at = np.flatnonzero(size > k)
-        h = segment_hash(data, words.starts[at], words.starts[at] + k, U(0x2545F4914F6CDD1D))
+        h = segment_hash(words.data, words.starts[at], words.starts[at] + k, U(0x2545F4914F6CDD1D))
         found.append((at, mix(h + U(1000 + k)).view(np.int64)))
     return found
 
