@@ -4,14 +4,15 @@ A level has a window length; its candidates are looked up by hash in all documen
 windows of the next length, at most twice as long, candidates. The first level takes windows of half the target length, and
 of those only the one with the smallest hash within each window of the target length (equal windows choose the
 same one). The level of the target length decides which words go: those covered by a window whose words also start in a
-document with a smaller id. Longer levels, each twice the last, go on until no candidate survives or ``max_length`` is reached; they
-tell how long the repeats are.
+document with a smaller id. Longer levels, each twice the last, go on until no candidate survives; they tell how long the
+repeats are.
 
 How a level runs: documents lie in blocks (one row of a written table each, compressed). A block sends its distinct
 hashes, sorted and cut into buckets by range; a bucket meets the hashes of all blocks and answers each with one bit
 a hash: whether another block holds it (at the target level with one more: in a document with a smaller id). The bits go back to the block,
 which drops its finished documents and writes those with candidates for the next level. A sequence that
-thousands of documents share is one hash a block, so it weighs no more than a rare one, and nothing is capped.
+thousands of documents share is one hash a block, so it weighs no more than a rare one, and nothing is capped. A level has
+a row for each block and bucket that share a hash, so never more rows than hashes.
 
 Windows at the target level are compared by 96 bits (a false match is expected once in 10**15 candidate
 windows against 10**14 others); other levels only narrow the search or report lengths and use 64.
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import Scratch, batches, drop_paths, id_text, shared_dir, shuffle_partitions, table
-from arbora.llm._text import NOT_SPACE, U, Words, flat_ranges, words_of
+from arbora.llm._spark import Scratch, batches, drop_paths, id_text, shared_dir, shuffle_partitions, small_batches, table
+from arbora.llm._text import NOT_SPACE, U, Words, flat_ranges, least_in_window, mix, words_of
 
 NO_ID = np.iinfo(np.int64).max
 #: Marks of the level's positions and lengths travel with a block under these names, which no input column can have.
@@ -73,10 +74,10 @@ class Level:
             first, _ = words.runs(target)
             if len(first):
                 grams = words.run_hash(np.arange(len(words.starts) - length + 1), length)
-                view = np.lib.stride_tricks.sliding_window_view(grams, target - length + 1)
-                self.chosen = first + np.argmin(view[first], axis=1)
+                self.chosen = least_in_window(grams, first, target - length + 1)
                 self.first, self.places = first, np.unique(self.chosen)
-                self.hash = grams[self.places]
+                # Least hashes crowd at the low end; mixed again they fill the buckets evenly.
+                self.hash = mix(grams[self.places] + U(1))
             else:
                 self.first = self.chosen = self.places = first
                 self.hash = np.zeros(0, U)
@@ -181,7 +182,7 @@ def _replies(exact: bool):
     return run
 
 
-def _kept(words: Words, d: int, gone: np.ndarray | None, text: bytes) -> bytes:
+def _kept(gone: np.ndarray | None, text: bytes) -> bytes:
     if gone is None:
         return b" ".join(text.split())
     return b" ".join(compress(text.split(), (~gone).tolist()))
@@ -198,13 +199,13 @@ def _advance(length: int, following: int | None, target: int, buckets: int, dige
             lost = int(gone[a:b].sum())
             n_words.append(b - a)
             n_removed.append(lost)
-            raw = (texts[d].as_py() or "").encode()
             if digest:
-                kept.append(hashlib.sha256(_kept(words, d, gone[a:b] if lost else None, raw)).hexdigest())
+                kept.append(hashlib.sha256(_kept(gone[a:b] if lost else None, (texts[d].as_py() or "").encode())).hexdigest())
             else:
-                kept.append(_kept(words, d, gone[a:b], raw).decode() if lost else texts[d].as_py())
+                kept.append(_kept(gone[a:b], texts[d].as_py().encode()).decode() if lost else texts[d].as_py())
         out = t.drop_columns([c for c in (_IDS, _TEXT, _LONGEST, _CANDIDATES) if c in t.column_names]).take(pa.array(docs))
-        for name, values, kind in (("\0n_words", n_words, pa.int64()), ("\0n_removed", n_removed, pa.int64()), ("\0kept", kept, pa.string())):
+        counts = [("\0n_words", n_words, pa.int64()), ("\0n_removed", n_removed, pa.int64())] if digest else []
+        for name, values, kind in (*counts, ("\0kept", kept, pa.string())):
             out = out.append_column(name, pa.array(values, kind))
         return _packed(out)
 
@@ -230,16 +231,15 @@ def _advance(length: int, following: int | None, target: int, buckets: int, dige
                     if level.exact:
                         gone[flat_ranges(level.places[lost], np.full(int(lost.sum()), length))] = True
                         rows.append((0, results(t, words, np.arange(words.n_docs), gone)))
-                    else:
-                        longest = np.unique(level.doc[hit])
-                        names = [t.column(_IDS)[d].as_py() for d in longest.tolist()]
-                        rows.append((1, _packed(pa.table({"doc_id": pa.array(names, pa.int64()), "longest": pa.array([length] * len(names), pa.int64())}))))
+                    longest = level.ids[np.unique(level.doc[hit])]
+                    if len(longest):
+                        rows.append((1, _packed(pa.table({"doc_id": pa.array(longest, pa.int64()), "longest": pa.array(np.full(len(longest), length))}))))
                     following_places = doc = np.zeros(0, np.int64)
                     if following:
                         # A window of the next length needs both its halves; overlapping ones if it is less than twice as long.
                         good = np.zeros(len(words.starts) + following, bool)
                         good[level.places[hit]] = True
-                        at = np.flatnonzero(good[: len(words.starts)])
+                        at = np.flatnonzero(good)
                         at = at[good[at + following - length]]
                         d = np.searchsorted(words.offsets, at, "right") - 1
                         fits = at + following <= words.offsets[d + 1]
@@ -256,26 +256,27 @@ def _advance(length: int, following: int | None, target: int, buckets: int, dige
     return run
 
 
-def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = None, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
-    """(every row of ``docs`` without its repeated words, lengths of longer repeats).
+def remove_repeats(docs: DataFrame, target: int = 13, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20) -> tuple[DataFrame, DataFrame]:
+    """(every row of ``docs`` without its repeated words, lengths of the repeats).
 
-    The first has the columns of ``docs`` with the kept text (unchanged where nothing went), then ``n_words`` and ``n_removed``;
-    with ``digest``, ``doc_id, n_words, n_removed, kept_sha256``. The second has ``doc_id, longest`` for documents with
-    windows of twice the target or more that repeat in another document.
+    The first has the columns of ``docs`` with the kept text, unchanged where nothing went; with ``digest``,
+    ``doc_id, n_words, n_removed, kept_sha256``. The second has ``doc_id, longest`` for documents with a window that
+    repeats in another document: the largest of ``target``, twice the target, four times ... of which that holds.
     """
     spark = docs.sparkSession
     columns = docs.columns
     plain = [f"c{k}" for k in range(len(columns))]
     source = docs.select(*[docs[c].alias(p) for c, p in zip(columns, plain)], docs[text_col].cast("string").alias("text"), docs[id_col].cast("bigint").alias("id"))
-    keep = [] if digest else plain
+    # The text travels once, as what is searched.
+    keep = [] if digest else [p for c, p in zip(columns, plain) if c != text_col]
+    source = source.select(*keep, "text", "id")
 
     def blocks(iterator):
         for t in batches(iterator, block_bytes):
             ids = pa.compute.fill_null(t.column("id"), NO_ID)
             texts = t.column("text").cast(pa.large_string())
-            own = [t.column(c) for c in keep] + ([t.column("id")] if digest else [])
             names = keep + (["id"] if digest else [])
-            packed = pa.table([*own, ids, texts], names=[*names, _IDS, _TEXT])
+            packed = pa.table([*(t.column(c) for c in names), ids, texts], names=[*names, _IDS, _TEXT])
             yield pa.RecordBatch.from_arrays([pa.array([_packed(packed)], pa.binary()), pa.array([int(pa.compute.sum(pa.compute.binary_length(texts)).as_py() or 0)], pa.int64())], names=["blob", "n_bytes"])
 
     scratch = Scratch(spark, "blocks")
@@ -284,32 +285,30 @@ def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = N
     # About a million hashes a bucket, and at least as many buckets as tasks.
     buckets = int(max(shuffle_partitions(spark), total // 6 // 1_000_000))
 
-    done, longer, used = [], [], []
-    length, state = (target + 1) // 2, stored.select("block", "blob")
+    done, repeats = [], []
+    length, state, origin = (target + 1) // 2, stored.select("block", "blob"), scratch.path
     while True:
-        last = max_length is not None and length >= max_length
-        following = target if length < target else None if last else 2 * length
-        exact = length == target
+        following = target if length < target else 2 * length
         asked = state.mapInArrow(_requests(length, target, buckets), "bucket bigint, block bigint, hashes binary, extras binary, least binary")
         asked = asked.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-        replies = asked.mapInArrow(_replies(exact), "block bigint, bucket bigint, bits binary")
+        replies = asked.mapInArrow(_replies(length == target), "block bigint, bucket bigint, bits binary")
         gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
         moved = state.join(gathered, "block", "left").select("block", "blob", "replies").mapInArrow(_advance(length, following, target, buckets, digest), "kind int, block bigint, blob binary")
         path = shared_dir(spark, f"level-{length}")
-        moved.write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
+        with small_batches(spark):
+            moved.write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
+        # What led to this level will not be read again.
+        drop_paths(spark, origin)
         level = spark.read.schema("block bigint, blob binary, kind int").parquet(path)
         if length <= target:
             done.append(level.where("kind = 0").select("blob"))
-        else:
-            longer.append(level.where("kind = 1").select("blob"))
-        state = level.where("kind = 2").select("block", "blob")
-        used.append(f"{path}/kind=2")
-        if following is None or (length >= target and state.isEmpty()):
+        if length >= target:
+            repeats.append(level.where("kind = 1").select("blob"))
+        state, origin = level.where("kind = 2").select("block", "blob"), f"{path}/kind=2"
+        if length >= target and state.isEmpty():
             break
         length = following
-    # The results are written; the blocks that led to them will not be read again.
-    scratch.drop()
-    drop_paths(spark, *used)
+    drop_paths(spark, origin)
 
     def unpack(names):
         def run(iterator):
@@ -325,28 +324,39 @@ def remove_repeats(docs: DataFrame, target: int = 13, max_length: int | None = N
     if digest:
         cleaned = results.mapInArrow(unpack(["doc_id", "n_words", "n_removed", "kept_sha256"]), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     else:
-        schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(plain, columns))
-        names = [*plain, "n_words", "n_removed", "kept"]
-        cleaned = results.mapInArrow(unpack(names), f"{schema}, n_words bigint, n_removed bigint, kept string")
-        cleaned = cleaned.select(*[(F.col("kept") if c == text_col else F.col(p)).alias(c) for c, p in zip(columns, plain)], "n_words", "n_removed")
-    lengths = spark.createDataFrame([], "doc_id bigint, longest bigint")
-    for part in longer:
-        lengths = lengths.unionByName(part.mapInArrow(unpack(["doc_id", "longest"]), "doc_id bigint, longest bigint"))
+        schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(plain, columns) if p in keep)
+        cleaned = results.mapInArrow(unpack([*keep, "kept"]), f"{schema}, kept string" if keep else "kept string")
+        cleaned = cleaned.select(*[(F.col("kept") if c == text_col else F.col(p)).alias(c) for c, p in zip(columns, plain)])
+    lengths = repeats[0]
+    for part in repeats[1:]:
+        lengths = lengths.unionByName(part)
+    lengths = lengths.mapInArrow(unpack(["doc_id", "longest"]), "doc_id bigint, longest bigint")
     return cleaned, lengths.where(F.col("doc_id") < NO_ID).groupBy("doc_id").agg(F.max("longest").alias("longest"))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned, _ = remove_repeats(id_text(table(spark, sf_dir, "documents")), target=13, max_length=13, digest=True)
-    return cleaned
+    cleaned, lengths = remove_repeats(id_text(table(spark, sf_dir, "documents")), target=13, digest=True)
+    return cleaned.join(lengths, "doc_id", "left").withColumn("longest", F.coalesce("longest", F.lit(0).cast("bigint")))
+
+
+def _longest_sql(levels: int = 12) -> str:
+    """CTEs r0, r1, ...: the windows of 13, 26, ... words by a hash of their halves, in texts that have a repeated one."""
+    text = "h0 AS (SELECT doc_id, p, hash(g) AS h FROM p)"
+    for k in range(levels):
+        text += f", r{k} AS MATERIALIZED (SELECT doc_id, p, h FROM h{k} WHERE h IN (SELECT h FROM h{k} GROUP BY h HAVING count(DISTINCT doc_id) > 1))"
+        text += f", h{k + 1} AS (SELECT a.doc_id, a.p, hash(a.h, b.h) AS h FROM r{k} AS a JOIN r{k} AS b ON a.doc_id = b.doc_id AND b.p = a.p + {13 << k})"
+    return text + ", z AS (SELECT doc_id, max(n) AS longest FROM (" + " UNION ALL ".join(f"SELECT doc_id, {13 << k} AS n FROM r{k}" for k in range(levels)) + ") GROUP BY doc_id)"
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
 m AS (SELECT g, min(doc_id) AS low FROM p GROUP BY g),
 c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM p JOIN m USING (g) WHERE low < doc_id),
 k AS (SELECT doc_id, list(q) AS gone FROM c GROUP BY doc_id),
+{_longest_sql()},
 f AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS x,
       CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END AS kept FROM d LEFT JOIN k USING (doc_id))
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(x AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM f
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(x AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM f LEFT JOIN z USING (doc_id)
 """
