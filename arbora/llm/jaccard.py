@@ -1,23 +1,26 @@
 """Join of documents whose sets of word 5-grams have a Jaccard similarity of at least 0.8, with Bayesian pruning.
 
 1. Each text gets its set of shingles (64-bit hashes of five consecutive words; a text of one to four words is one
-   shingle), a MinHash signature and a hash of the whole set. Texts with equal sets are one entry with a count, known by 64 bits of that hash.
+   shingle), a MinHash signature and two hashes of the whole set. Texts with equal sets are one entry with a count.
 2. Signatures are cut into bands; entries that share a band are joined by a star around the band's smallest
-   entry, and the stars' connected components are candidate clusters. With 32 bands of 4 rows a pair of
-   similarity 0.8 shares no band with probability 5e-8.
-3. Within a cluster every pair is compared, in blocks of bounded size: MinHash values 16 at a time, dropping a pair as soon
-   as the posterior probability (uniform prior) that its similarity reaches the threshold falls below ``tolerance``; the
-   pairs that remain are verified exactly on the shingle sets.
-4. A block gives each entry's number of links and the smallest of its connected entries, never the pairs; these
+   entry. The stars' connected components only say which entries are brought together; candidates are the pairs that share a
+   band. With 32 bands of 4 rows a pair of similarity 0.8 shares none with probability 5e-8.
+3. A component is cut into blocks of bounded size, and an entry goes to those pairs of blocks in which an entry of the other block shares a band
+   with it. There, MinHash values of the candidates are compared 16 at a time, dropping a pair as soon as the posterior probability
+   (uniform prior) that its similarity reaches the threshold falls below ``tolerance``; the pairs that remain are
+   verified exactly on the shingle sets.
+4. A pair of blocks gives each entry's number of links and the smallest of its connected entries, never the pairs; these
    join to classes, named by the smallest ``doc_id`` among their entries.
 
-Large clusters are cut into blocks of entries and each pair of blocks is a task's row group of its own, so no cluster needs to
-fit in one task, and no bucket, cluster or list of partners is capped.
+No component needs to fit in one task, and no bucket, component or list of partners is capped. Among m texts that all share bands with each
+other the work is the square of m, as each of their links is counted, but the rows moved are m times its number of blocks.
 
 Defined cases: null texts and texts without words link to nothing and are classes of their own; a null
 ``doc_id`` is returned with a null class and no links; repeated rows are copies of each other, and other texts
 under the same ``doc_id`` are documents of their own; an empty table
 gives an empty result; other columns are ignored.
+``keep_one_of_each`` keeps, of each class, the row of smallest ``doc_id`` (of smallest hash of the text, if that id has several texts
+of the class), and of rows that repeat its id and text the first by their other columns; rows with a null ``doc_id`` stay.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import Scratch, batches, id_text, table, written
+from arbora.llm._spark import Scratch, batches, id_text, small_batches, table, written
 from arbora.llm._text import NOT_SPACE, U, mix, words_of
-from arbora.llm.components import components
+from arbora.llm.components import star_components
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 4, 16
 HASHES = BANDS * ROWS
@@ -80,6 +83,15 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) hashes of the bands; those of different bands differ."""
+    rows = sigs.reshape(-1, BANDS, ROWS)
+    keys = np.full(rows.shape[:2], U(1))
+    for r in range(ROWS):
+        keys = mix(keys * U(31) + rows[:, :, r])
+    return mix(keys + np.arange(BANDS, dtype=U)[None])
+
+
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     """After n MinHash values, the fewest equal ones that leave P(similarity >= threshold) at ``tolerance`` or more.
 
@@ -98,22 +110,29 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
 class Block:
     def __init__(self, ids, copies, sigs, sets):
         self.ids, self.copies = np.array(ids, np.int64), np.array(copies, np.int64)
-        self.sigs = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), HASHES)
-        self.sets = [np.frombuffer(s, U) for s in sets]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.sigs = sigs
+        self.bands = band_keys(sigs)
+        self.sets = sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+
+    def part(self, which: np.ndarray) -> Block:
+        return Block(self.ids[which], self.copies[which], self.sigs[which], [self.sets[k] for k in which.tolist()])
 
 
 def similar(a: Block, b: Block, threshold: Fraction, least: dict[int, int], same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (i in a, j in b) of the verified pairs; i < j if both are the same block."""
+    alive = np.zeros((len(a.ids), len(b.ids)), bool)
+    for k in range(BANDS):
+        alive |= a.bands[:, None, k] == b.bands[None, :, k]
     small, large = np.minimum(a.sizes[:, None], b.sizes[None]), np.maximum(a.sizes[:, None], b.sizes[None])
-    alive = small * threshold.denominator >= large * threshold.numerator
+    alive &= small * threshold.denominator >= large * threshold.numerator
     if same:
         alive &= np.triu(np.ones_like(alive), 1)
     i, j = np.nonzero(alive)
     matches = np.zeros(len(i), np.int64)
     for n in range(STEP, HASHES + 1, STEP):
         if not len(i):
-            break
+            return i, j
         part = slice(n - STEP, n)
         for k in range(0, len(i), 1 << 16):
             s = slice(k, k + (1 << 16))
@@ -122,29 +141,34 @@ def similar(a: Block, b: Block, threshold: Fraction, least: dict[int, int], same
         i, j, matches = i[keep], j[keep], matches[keep]
     if not len(i):
         return i, j
-    common = np.zeros(len(i), np.int64)
     if len(i) > 2000:
-        # Many pairs: all intersections at once, as products of 0/1 matrices over slices of the shingles.
-        every = [*a.sets, *([] if same else b.sets)]
-        names, code = np.unique(np.concatenate(every), return_inverse=True)
-        row = np.repeat(np.arange(len(every)), [len(s) for s in every])
-        order = np.argsort(code, kind="stable")
-        code, row = code[order], row[order]
-        total = np.zeros((len(a.ids), len(b.ids)), np.float64)
-        for low in range(0, len(names), 4096):
-            x, y = np.searchsorted(code, [low, low + 4096])
-            m = np.zeros((len(every), min(4096, len(names) - low)), np.float32)
-            m[row[x:y], code[x:y] - low] = 1
-            total += m[: len(a.ids)] @ (m if same else m[len(a.ids) :]).T
-        common = total[i, j].astype(np.int64)
+        common = _common(a, b, same)[i, j]
     else:
-        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
-            common[k] = len(np.intersect1d(a.sets[x], b.sets[y], assume_unique=True))
+        common = np.array([len(np.intersect1d(a.sets[x], b.sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], np.int64)
     p, q = threshold.numerator, threshold.denominator
     keep = common * (p + q) >= p * (a.sizes[i] + b.sizes[j])
     return i[keep], j[keep]
 
 
+def _common(a: Block, b: Block, same: bool, wide: int = 2048) -> np.ndarray:
+    """Sizes of all intersections at once, as products of 0/1 matrices over slices of the shingles that several entries have."""
+    every = [*a.sets, *([] if same else b.sets)]
+    names, code, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    shared = np.cumsum(n > 1) - 1
+    several = (n > 1)[code]
+    code, row = shared[code[several]], row[several]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    total = np.zeros((len(a.ids), len(b.ids)), np.float32)  # exact up to 2**24 shingles a product
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, wide):
+        x, y = np.searchsorted(code, [low, low + wide])
+        m = np.zeros((len(every), wide), np.float32)
+        m[row[x:y], code[x:y] - low] = 1
+        total += m[: len(a.ids)] @ (m if same else m[len(a.ids) :]).T
+    return total.astype(np.int64)
+
+
 def _roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest id connected to each place by the pairs (i, j)."""
     root = ids.copy()
@@ -158,28 +182,51 @@ def _roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(group: list[dict], a_no: int, b_no: int, threshold: Fraction, least: dict) -> pa.RecordBatch:
-    once = {r["id"]: r for r in group}  # repeated rows of the table bring an entry more than once
-    rows = sorted(once.values(), key=lambda r: (r["block"], r["id"]))
-    make = lambda part: Block([r["id"] for r in part], [r["copies"] for r in part], [r["sig"] for r in part], [r["shingles"] for r in part])
-    left = [r for r in rows if r["block"] == a_no]
-    right = left if a_no == b_no else [r for r in rows if r["block"] == b_no]
-    if not left or not right:
+def _compare(group: pa.Table, a_no: int, b_no: int, threshold: Fraction, least: dict) -> pa.RecordBatch | None:
+    """Links and connected entries within one pair of blocks; an entry that the table repeats counts once."""
+    ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
+    group = group.take(pa.array(first))
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+    block = group.column("block").to_numpy()
+    whole = Block(ids, group.column("copies").to_numpy(), sigs, [np.frombuffer(s, U) for s in group.column("shingles").to_pylist()])
+    left, right = np.flatnonzero(block == a_no), np.flatnonzero(block == b_no)
+    if not len(left) or not len(right):
         return None
-    a = make(left)
-    b = a if a_no == b_no else make(right)
+    a = whole.part(left)
+    b = a if a_no == b_no else whole.part(right)
     i, j = similar(a, b, threshold, least, a is b)
-    ids = a.ids if a is b else np.append(a.ids, b.ids)
-    copies = a.copies if a is b else np.append(a.copies, b.copies)
-    j = j if a is b else j + len(a.ids)
-    links = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
+    i, j = left[i], right[j]
+    links = np.bincount(i, weights=whole.copies[j], minlength=len(ids)) + np.bincount(j, weights=whole.copies[i], minlength=len(ids))
     some = links > 0
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(_roots(ids, i, j)[some])], names=["id", "links", "root"])
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block_entries: int = 384, block_shingles: int = 400_000) -> DataFrame:
-    """``doc_id, class_id, n_links``: the smallest id of the connected documents, and how many documents are linked directly."""
-    docs = id_text(docs)
+def _groups(iterator, keys: list[str]):
+    """(key, table) for each run of rows with equal ``keys`` over all batches."""
+    key, parts = None, []
+    for batch in iterator:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys])
+        edges = np.flatnonzero(np.append(True, (values[:, 1:] != values[:, :-1]).any(0)))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
+            own = tuple(values[:, a].tolist())
+            if own != key and parts:
+                yield key, pa.Table.from_batches(parts).combine_chunks()
+                parts = []
+            key = own
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield key, pa.Table.from_batches(parts).combine_chunks()
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block_entries: int = 1024, block_shingles: int = 1_000_000, detail: bool = False) -> DataFrame:
+    """``doc_id, class_id, n_links``: the smallest id of the connected documents, and how many documents are linked directly.
+
+    ``detail`` adds ``text_key``, a hash of the text, and ``class_key``, which tells classes of one name apart (null for rows
+    that are classes of their own).
+    """
+    docs = id_text(docs).withColumn("text_key", F.xxhash64("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
     exact = Fraction(threshold).limit_denominator(10_000)
     least = least_matches(threshold, tolerance)
@@ -188,96 +235,96 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
         for t in batches(iterator):
             h, offsets = shingle_sets(t.column("text"))
             x, y = set_hashes(h, offsets)
-            sig = signatures(h, offsets)
-            rows = pa.array([s.tobytes() for s in sig], pa.binary())
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(np.diff(offsets)), pa.array(x), pa.array(y), rows], names=["doc_id", "n", "set_x", "set_y", "sig"])
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * HASHES), t.num_rows, [None, pa.py_buffer(signatures(h, offsets))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("doc_id", "text_key")), pa.array(np.diff(offsets)), pa.array(x), pa.array(y), rows], names=["doc_id", "text_key", "n", "set_x", "set_y", "sig"])
 
-    signed = scratch.written(docs.mapInArrow(sign, "doc_id bigint, n bigint, set_x bigint, set_y bigint, sig binary"), "signatures")
+    signed = scratch.written(docs.mapInArrow(sign, "doc_id bigint, text_key bigint, n bigint, set_x bigint, set_y bigint, sig binary"), "signatures")
     usable = signed.where("doc_id is not null and n > 0")
-    entries = usable.groupBy("set_x", "set_y").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    # One entry for each set, which any of its rows describes; its text is found again by its smallest id.
+    heads = usable.groupBy("set_x", "set_y").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    heads = scratch.written(heads.select(F.monotonically_increasing_id().alias("id"), "head.*", "set_x", "set_y", "copies", "n", "sig"), "entries")
 
-    def band_keys(iterator):
+    def bands_of(iterator):
         for batch in iterator:
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(U)
-            keys = np.full(sigs.shape[:2], U(1))
-            for r in range(ROWS):
-                keys = mix(keys * U(31) + sigs[:, :, r])
-            keys = mix(keys + np.arange(BANDS, dtype=U)[None])
-            ids = np.repeat(batch.column("id").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "key"])
-
-    # The entry is the row with the smallest doc_id; rows that repeat it bring the same keys. Its id is the set's hash, as one
-    # doc_id may carry several texts.
-    heads = entries.join(usable.select("set_x", "set_y", "doc_id", "n", "sig"), ["set_x", "set_y", "doc_id"])
-    heads = scratch.written(heads.select(F.col("set_x").alias("id"), "doc_id", "set_x", "set_y", "copies", "n", "sig"), "entries")
-    bands = scratch.written(heads.select("id", "sig").mapInArrow(band_keys, "id bigint, key bigint"), "bands")
+            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), BANDS)), pa.array(band_keys(sigs).reshape(-1).view(np.int64))], names=["id", "key"])
+
+    bands = scratch.written(heads.select("id", "sig").mapInArrow(bands_of, "id bigint, key bigint"), "bands")
     # Both sides aggregate before they shuffle, and the join's large side can be split where a key is frequent.
     centres = bands.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("key", "centre")
-    stars = bands.join(centres, "key").groupBy("id").agg(F.min("centre").alias("least"), F.collect_set("centre").alias("centres"))
-    stars = scratch.written(stars, "stars")
-    # An entry needs one edge, to its least centre; that its other centres belong there is an edge between centres, of which
-    # the many entries of a large group share a few.
-    between = stars.select(F.explode(F.array_remove("centres", F.col("least"))).alias("a"), F.col("least").alias("b"))
-    clusters = components(stars.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(between).distinct(), scratch)
+    clusters = star_components(bands.join(centres, "key").select("id", "centre"), scratch)
 
     members = heads.join(clusters, "id")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block_entries), F.ceil(F.col("w") / block_shingles)).cast("bigint")).select("root", "blocks")
-    members = members.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)")).select("id", "doc_id", "set_x", "set_y", "copies", "sig", "root", "blocks", "block")
+    members = members.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)")).select("id", "doc_id", "text_key", "set_x", "set_y", "copies", "sig", "root", "blocks", "block")
+    members = scratch.written(members, "members")
+    # Blocks in which some entry shares a band with this one, for entries of components of several blocks.
+    placed = bands.join(members.where("blocks > 1").select("id", "block"), "id")
+    meets = placed.join(placed.groupBy("key").agg(F.collect_set("block").alias("others")), "key")
+    meets = meets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    members = members.join(meets, "id", "left").withColumn("others", F.coalesce("others", F.array("block")))
 
     def shingles(iterator):
+        kept = ["id", "copies", "sig", "root", "block", "others"]
+        seen: set = set()  # rows that repeat an entry's text stand together after the join
         for t in batches(iterator):
             h, offsets = shingle_sets(t.column("text"))
             x, y = set_hashes(h, offsets)
-            # A doc_id that is repeated with another text does not match its entry's set.
-            right = np.flatnonzero((x == t.column("set_x").to_numpy()) & (y == t.column("set_y").to_numpy()))
-            blobs = pa.array([h[offsets[k] : offsets[k + 1]].tobytes() for k in right.tolist()], pa.binary())
-            rest = t.select(["id", "copies", "sig", "root", "blocks", "block"]).take(pa.array(right)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in rest.columns), blobs], names=[*rest.column_names, "shingles"])
-
-    full = docs.join(members, "doc_id").mapInArrow(shingles, "id bigint, copies bigint, sig binary, root bigint, blocks bigint, block bigint, shingles binary")
-    # Each entry meets every block of its cluster once: the pair of blocks is the group.
-    dealt = full.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+            # A doc_id that is repeated with another text of the same hash does not match its entry's set.
+            right = np.flatnonzero((x == t.column("set_x").to_numpy()) & (y == t.column("set_y").to_numpy())).tolist()
+            ids = t.column("id").to_pylist()
+            right = [k for k in right if not (ids[k] in seen or seen.add(ids[k]))]
+            blobs = pa.array([h[offsets[k] : offsets[k + 1]].tobytes() for k in right], pa.binary())
+            rest = t.select(kept).take(pa.array(right, pa.int64())).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in rest.columns), blobs], names=[*kept, "shingles"])
+
+    full = docs.join(members, ["doc_id", "text_key"]).mapInArrow(shingles, "id bigint, copies bigint, sig binary, root bigint, block bigint, others array<bigint>, shingles binary")
+    # The pair of blocks is the group.
+    dealt = full.withColumn("with", F.explode("others"))
     dealt = dealt.select("root", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "id", "copies", "sig", "shingles")
-    dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "block", "id")
+    dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
 
     def compare(iterator):
-        key, group = None, []
-        for batch in iterator:
-            for row in batch.to_pylist():
-                own = (row["root"], row["x"], row["y"])
-                if own != key and group:
-                    out = _compare(group, key[1], key[2], exact, least)
-                    if out is not None and out.num_rows:
-                        yield out
-                    group = []
-                key = own
-                group.append(row)
-        if group:
-            out = _compare(group, key[1], key[2], exact, least)
+        for (_, x, y), group in _groups(iterator, ["root", "x", "y"]):
+            out = _compare(group, x, y, exact, least)
             if out is not None and out.num_rows:
                 yield out
 
-    found = scratch.written(dealt.mapInArrow(compare, "id bigint, links bigint, root bigint"), "links")
+    with small_batches(docs.sparkSession):
+        found = scratch.written(dealt.mapInArrow(compare, "id bigint, links bigint, root bigint"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    classes = star_components(found.select("id", F.col("root").alias("centre")), scratch)
     names = heads.select("id", "doc_id").join(classes, "id").groupBy("root").agg(F.min("doc_id").alias("name"))
-    resolved = heads.select("id", "doc_id", "set_x", "set_y", "copies").distinct().join(links, "id", "left").join(classes, "id", "left").join(names, "root", "left")
-    resolved = resolved.select("set_x", "set_y", F.coalesce("name", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    judged = usable.select("doc_id", "set_x", "set_y").join(resolved, ["set_x", "set_y"]).select("doc_id", "class_id", "n_links")
-    alone = signed.where("doc_id is null or n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    result = written(judged.unionByName(alone), "classes")
+    resolved = heads.select("id", "doc_id", "set_x", "set_y", "copies").join(links, "id", "left").join(classes, "id", "left").join(names, "root", "left")
+    resolved = resolved.select("set_x", "set_y", F.coalesce("name", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("class_key"))
+    judged = usable.select("doc_id", "text_key", "set_x", "set_y").join(resolved, ["set_x", "set_y"]).drop("set_x", "set_y")
+    alone = signed.where("doc_id is null or n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("class_key"))
+    result = judged.unionByName(alone)
+    result = written(result if detail else result.select("doc_id", "class_id", "n_links"), "classes")
     scratch.drop()
     return result
 
 
-def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have the smallest id of their class; null ids stay."""
-    losers = jaccard_classes(docs, threshold).where("class_id <> doc_id").select("doc_id").distinct()
-    left = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    # Rows repeated under one id are one document; the join has brought them together already.
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    return left.withColumn("_n", F.row_number().over(order)).where("doc_id is null or _n = 1").drop("_n")
+def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, of each class; rows of null id stay (see the module's defined cases)."""
+    columns = docs.columns
+    plain = [f"c{k}" for k in range(len(columns))]
+    # Inner names that no column of the input has.
+    rows = docs.select(*[docs[c].alias(p) for c, p in zip(columns, plain)], docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("key"))
+    judged = jaccard_classes(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), threshold, detail=True).where("doc_id is not null")
+    texts = judged.groupBy("doc_id", "text_key").agg(F.max("class_key").alias("class_key"), F.count("*").alias("n"))
+    first = texts.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    loses = F.col("first").isNotNull() & (F.col("first") != F.struct("doc_id", "text_key"))
+    fates = texts.join(first, "class_key", "left").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.coalesce(loses, F.lit(False)).alias("loses"), "n")
+    fates = written(fates.where("loses or n > 1"), "fates")
+    left = rows.join(fates.where("loses").select("id", "key"), ["id", "key"], "left_anti")
+    repeated = fates.where("not loses").select("id", "key")
+    if not repeated.isEmpty():
+        others = F.to_json(F.struct(*[p for c, p in zip(columns, plain) if c != text_col]))
+        several = left.join(repeated, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by(F.struct(*plain), others).alias("row")).select("row.*")
+        left = left.join(repeated, ["id", "key"], "left_anti").select(*plain).unionByName(several)
+    return left.select(*[F.col(p).alias(c) for c, p in zip(columns, plain)])
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
