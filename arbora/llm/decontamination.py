@@ -6,8 +6,10 @@ at the same relative place. Matching fingerprints are extended word by word in b
 themselves; the extended span counts when it is at least ``window`` words long. An item of fewer words than the
 window is one window of its own and is looked up by the hash of all its words.
 
-A benchmark of at most ``max_broadcast_bytes`` of text is sent to every task. Beyond that, fingerprints are joined
-by a shuffle, and each document meets only the items that share a fingerprint with it.
+A benchmark of at most ``max_broadcast_bytes`` of text is sent to every task. A larger one is joined by shuffles, with the same
+rows as a result: fingerprints tell which documents share one with any item; of those the windows around the shared
+fingerprints are joined with the items' distinct windows, and overlapping hits extend each other. No item's text
+travels, and a window that many items share is one row a document until the items are listed.
 
 Defined cases: null and empty texts have no words (n_words 0, not contaminated; an item without words is skipped);
 repeated rows are judged each on its own; items repeated under one id count once, items with a null id hit words but
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, id_text, table
-from arbora.llm._text import ALNUM, U, Words, words_of
+from arbora.llm._spark import batches, id_text, table, written
+from arbora.llm._text import ALNUM, U, Words, least_in_window, words_of
 
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<bigint>, spans array<struct<first:int,length:int,item_id:bigint>>"
+RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<bigint>, spans array<struct<first:bigint,length:bigint>>"
 
 
 def fingerprints(words: Words, window: int, k: int) -> np.ndarray:
@@ -37,10 +39,8 @@ def fingerprints(words: Words, window: int, k: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     grams = words.run_hash(np.arange(n - k + 1), k)
     wide = window - k + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, wide)
     first, _ = words.runs(window)
-    picked = np.unique(first + (wide - 1 - np.argmin(view[first][:, ::-1], axis=1)))
-    return picked
+    return np.unique(least_in_window(grams, first, wide, last=True))
 
 
 class Benchmark:
@@ -110,117 +110,173 @@ class Benchmark:
         hit, ids, spans, shas = np.zeros(len(counts), np.int64), [[]] * len(counts), [[]] * len(counts), [hashlib.sha256(b"").hexdigest()] * len(counts)
         for d, hits in found.items():
             base = int(words.offsets[d])
-            mark = np.zeros(int(counts[d]), bool)
+            mark = np.zeros(int(counts[d]) + 2, np.int8)
             for a, n, _ in hits:
-                mark[a - base : a - base + n] = True
+                mark[a - base + 1 : a - base + n + 1] = 1
             hit[d] = int(mark.sum())
             ids[d] = sorted({self.ids[i] for *_, i in hits} - {None}, key=str)
             shas[d] = hashlib.sha256(",".join(map(str, ids[d])).encode()).hexdigest()
-            spans[d] = sorted(({"first": a - base, "length": n, "item_id": self.ids[i]} for a, n, i in hits), key=lambda s: (s["first"], s["length"], str(s["item_id"])))
-        span = pa.list_(pa.struct([("first", pa.int32()), ("length", pa.int32()), ("item_id", pa.int64())]))
+            edges = np.flatnonzero(np.diff(mark)).reshape(-1, 2)
+            spans[d] = [{"first": a, "length": b - a} for a, b in edges.tolist()]
+        span = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
         cols = [t.column("doc_id").combine_chunks(), pa.array(counts.astype(np.int64)), pa.array(hit), pa.array([len(x) for x in ids], pa.int64()), pa.array(shas), pa.array(hit > 0), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, span)]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"])
 
 
-def _short_lengths(items: DataFrame, window: int) -> list[int]:
-    """The numbers of words below ``window`` that items have: window - 1 at most."""
+def _broadcast_items(benchmark: DataFrame, most_bytes: int):
+    """(items, their broadcast): the broadcast is None where the texts are larger than ``most_bytes``."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if size > most_bytes:
+        return items, None
+    rows = items.orderBy("item_id", "text").collect()
+    return items, benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
-    def count(iterator):
-        for t in batches(iterator):
-            n = np.unique(words_of(t.column("text"), ALNUM, lower=True).counts())
-            yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < window)].astype(np.int64))], names=["n"])
 
-    return sorted(r["n"] for r in items.select("text").mapInArrow(count, "n bigint").distinct().collect())
+def _pairs_of_hashes(words: Words, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    return words.run_hash(first, length).view(np.int64), words.run_hash(first, length, lane=1).view(np.int64)
 
 
-def _keys(window: int, k: int, name: str, short: list[int]):
-    """Task function: (name, key) of each fingerprint and of each run as long as a short item."""
+def _item_windows(window: int, k: int):
+    """Task function: the windows of items by 128 bits of hash, with the keys of their fingerprints (null but at one window each)."""
 
     def run(iterator):
         for t in batches(iterator):
             words = words_of(t.column("text"), ALNUM, lower=True)
-            places = fingerprints(words, window, k)
-            doc = words.doc_of_word()
-            parts = [(doc[places], words.run_hash(places, k) if len(places) else np.zeros(0, U))]
-            for n in short:
-                first, d = words.runs(n)
-                if name == "item_row":
-                    whole = words.counts()[d] == n
-                    first, d = first[whole], d[whole]
-                parts.append((d, words.run_hash(first, n)))
-            at = np.concatenate([p[0] for p in parts])
-            keys = np.concatenate([p[1] for p in parts]).view(np.int64)
-            ids = t.column(name).combine_chunks().take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys)], names=[name, "key"])
+            counts = words.counts()
+            ids = t.column("item_id").combine_chunks()
+            for n in [window, *np.unique(counts[(counts > 0) & (counts < window)]).tolist()]:
+                first, doc = words.runs(n)
+                if n < window:
+                    first, doc = first[counts[doc] == n], doc[counts[doc] == n]
+                x, y = _pairs_of_hashes(words, first, n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(np.full(len(first), n)), pa.array(x), pa.array(y)], names=["item_id", "n", "x", "y"])
 
     return run
 
 
-def _broadcast_items(benchmark: DataFrame, most_bytes: int):
-    """(items, their broadcast): the broadcast is None where the texts are larger than ``most_bytes``."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    if size > most_bytes:
-        return items, None
-    rows = items.orderBy("item_id", "text").collect()
-    return items, benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+def _item_keys(window: int, k: int):
+    """Task function: (words, key) of every fingerprint and of every short item as a whole."""
 
+    def run(iterator):
+        for t in batches(iterator):
+            words = words_of(t.column("text"), ALNUM, lower=True)
+            counts = words.counts()
+            places = fingerprints(words, window, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), window)), pa.array(words.run_hash(places, k).view(np.int64))], names=["n", "key"])
+            for n in np.unique(counts[(counts > 0) & (counts < window)]).tolist():
+                first = words.offsets[:-1][counts == n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n)), pa.array(words.run_hash(first, n).view(np.int64))], names=["n", "key"])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
-    """Hits of benchmark windows in every document; see ``RESULT`` for the columns.
-
-    ``with_text`` adds ``text_key``, the xxhash64 of the text (only where the benchmark is joined by a shuffle).
-    """
-    docs = id_text(docs)
-    items, kept = _broadcast_items(benchmark, max_broadcast_bytes)
-    if kept is not None:
+    return run
 
-        def judge(iterator):
-            index = Benchmark(kept.value[0], pa.array(kept.value[1], pa.string()), window, k)
-            for t in batches(iterator):
-                yield index.judge(t)
 
-        return docs.mapInArrow(judge, RESULT)
+def _shared(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """``doc_id, text_key`` and the columns of ``RESULT`` by shuffled joins."""
+    docs = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
+    item_keys = items.mapInArrow(_item_keys(window, k), "n bigint, key bigint").distinct()
+    item_keys = written(item_keys, "item-keys")
+    lengths = [r["n"] for r in item_keys.select("n").distinct().collect()]  # at most ``window`` numbers
+    short = sorted(n for n in lengths if n < window)
 
-    # Equal texts meet the benchmark once, whatever their ids; a hash that two texts share only adds items to verify.
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
-    short = _short_lengths(items, window)
-    doc_keys = docs.select("text_key", "text").mapInArrow(_keys(window, k, "text_key", short), "text_key bigint, key bigint").distinct()
-    item_rows = items.withColumn("item_row", F.xxhash64("item_id", "text"))
-    item_keys = item_rows.select("item_row", "text").mapInArrow(_keys(window, k, "item_row", short), "item_row bigint, key bigint").distinct()
-    pairs = doc_keys.join(item_keys, "key").select("text_key", "item_row").distinct()
-    met = pairs.join(item_rows.dropDuplicates(["item_row"]), "item_row").groupBy("text_key").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    joined = docs.join(met, "text_key", "left")
+    def keys(iterator):
+        for t in batches(iterator):
+            words = words_of(t.column("text"), ALNUM, lower=True)
+            places = fingerprints(words, window, k)
+            parts = [(np.searchsorted(words.offsets, places, "right") - 1, words.run_hash(places, k))]
+            for n in short:
+                first, d = words.runs(n)
+                parts.append((d, words.run_hash(first, n)))
+            doc, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).view(np.int64)
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) if len(doc) else np.zeros(0, bool)
+            doc, key = doc[new], key[new]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(t.num_rows + 1)).astype(np.int32)), pa.array(key))
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), t.column("text_key").combine_chunks(), pa.array(words.counts().astype(np.int64)), lists], names=["doc_id", "text_key", "n_words", "keys"])
+
+    # Equal texts meet the benchmark once, whatever their ids.
+    counted = written(docs.mapInArrow(keys, "doc_id bigint, text_key string, n_words bigint, keys array<bigint>"), "doc-keys")
+    met = counted.select("text_key", F.explode("keys").alias("key")).distinct().join(item_keys.select("key").distinct(), "key")
+    met = met.groupBy("text_key").agg(F.collect_set("key").alias("keys"))
+
+    def windows(iterator):
+        for t in batches(iterator):
+            words = words_of(t.column("text"), ALNUM, lower=True)
+            own = t.column("keys").combine_chunks()
+            wanted = np.unique(own.flatten().to_numpy(zero_copy_only=False)).view(U)
+            places = fingerprints(words, window, k)
+            places = places[np.isin(words.run_hash(places, k), wanted)]
+            near = np.zeros(len(words.starts) + 1, np.int64)
+            np.add.at(near, np.maximum(places - (window - k), 0), 1)
+            np.add.at(near, places + 1, -1)
+            at, doc = words.runs(window)
+            some = np.cumsum(near)[at] > 0
+            found = [(at[some], doc[some], window)]
+            for n in short:
+                at, doc = words.runs(n)
+                some = np.isin(words.run_hash(at, n), wanted)
+                found.append((at[some], doc[some], n))
+            for at, doc, n in found:
+                x, y = _pairs_of_hashes(words, at, n)
+                yield pa.RecordBatch.from_arrays([t.column("text_key").combine_chunks().take(pa.array(doc)), pa.array(at - words.offsets[doc]), pa.array(np.full(len(at), n)), pa.array(x), pa.array(y)], names=["text_key", "place", "n", "x", "y"])
+
+    item_windows = written(items.mapInArrow(_item_windows(window, k), "item_id bigint, n bigint, x bigint, y bigint").distinct(), "item-windows")
+    candidates = docs.join(met, "text_key").mapInArrow(windows, "text_key string, place bigint, n bigint, x bigint, y bigint")
+    hits = written(candidates.join(item_windows.select("n", "x", "y").distinct(), ["n", "x", "y"]).distinct(), "hits")
+    marks = hits.groupBy("text_key").agg(F.expr("array_sort(array_distinct(flatten(transform(collect_set(struct(place, n)), v -> sequence(v.place, v.place + v.n - 1)))))").alias("w"))
+    # A word that no hit word precedes begins a span, one that none follows ends it.
+    runs = "filter(w, (v, i) -> i = 0 or w[i - 1] <> v - 1)"
+    ends = "filter(w, (v, i) -> i = size(w) - 1 or w[i + 1] <> v + 1)"
+    marks = marks.select("text_key", F.size("w").cast("bigint").alias("n_hit"), F.expr(f"zip_with({runs}, {ends}, (a, b) -> struct(a as first, b - a + 1 as length))").alias("spans"))
+    named = hits.select("text_key", "n", "x", "y").distinct().join(item_windows.where("item_id is not null"), ["n", "x", "y"]).select("text_key", "item_id").distinct()
+    named = named.groupBy("text_key").agg(F.expr("array_sort(collect_set(item_id), (a, b) -> case when cast(a as string) < cast(b as string) then -1 when a = b then 0 else 1 end)").alias("item_ids"))
+    joined = counted.drop("keys").join(marks.join(named, "text_key", "left"), "text_key", "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    return joined.select(
+        "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"), ids.alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<first:bigint,length:bigint>>")).alias("spans"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """Hits of benchmark windows in every document; see ``RESULT`` for the columns, ``spans`` are the runs of hit words."""
+    docs = id_text(docs)
+    items, kept = _broadcast_items(benchmark, max_broadcast_bytes)
+    if kept is None:
+        return _shared(docs, items, window, k).drop("text_key")
 
-    def judge_rows(iterator):
-        for batch in iterator:
-            for n in range(batch.num_rows):
-                row = batch.slice(n, 1)
-                own = row.column("items")[0].as_py() or []
-                index = Benchmark([x["item_id"] for x in own], pa.array([x["text"] for x in own], pa.string()), window, k)
-                judged = index.judge(pa.Table.from_batches([row]))
-                yield pa.RecordBatch.from_arrays([*judged.columns, row.column("text_key")], names=[*judged.schema.names, "text_key"]) if with_text else judged
+    def judge(iterator):
+        index = Benchmark(kept.value[0], pa.array(kept.value[1], pa.string()), window, k)
+        for t in batches(iterator):
+            yield index.judge(t)
 
-    return joined.mapInArrow(judge_rows, RESULT + (", text_key bigint" if with_text else ""))
+    return docs.mapInArrow(judge, RESULT)
 
 
-def reject_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+def reject_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, max_broadcast_bytes: int = 32 << 20, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that no window of the benchmark hits."""
-    _, kept = _broadcast_items(benchmark, max_broadcast_bytes)
+    columns = docs.columns
+    plain = [f"c{n}" for n in range(len(columns))]
+    # Inner names that no column of the input has.
+    rows = docs.select(*[docs[c].alias(p) for c, p in zip(columns, plain)], docs[text_col].cast("string").alias("text"))
+    items, kept = _broadcast_items(benchmark, max_broadcast_bytes)
     if kept is not None:
+        rows = rows.drop(plain[columns.index(text_col)])
+        names = [p for p in plain if p in rows.columns]
 
         def keep(iterator):
             index = Benchmark(kept.value[0], pa.array(kept.value[1], pa.string()), window, k)
             for t in batches(iterator):
-                clean = pa.compute.invert(index.judge(t.select(["doc_id", "text"])).column("contaminated"))
+                clean = pa.compute.invert(index.judge(pa.table({"doc_id": pa.nulls(t.num_rows, pa.int64()), "text": t.column("text")})).column("contaminated"))
                 yield from t.filter(clean).to_batches()
 
-        return docs.mapInArrow(keep, docs.schema)
-    # Rows are told apart by id and text, so that a repeated or null id does not carry over to another text.
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    found = decontaminate(docs, benchmark, window, k, max_broadcast_bytes, with_text=True)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return keyed.join(bad, F.expr("doc_id <=> _id and _text = _key"), "left_anti").select(*docs.columns)
+        clean = rows.select(*names, "text").mapInArrow(keep, rows.select(*names, "text").schema)
+        return clean.select(*[F.col("text" if c == text_col else p).alias(c) for c, p in zip(columns, plain)])
+    found = _shared(rows.select(F.lit(None).cast("bigint").alias("doc_id"), "text"), items, window, k)
+    bad = found.where("contaminated").select("text_key").distinct()
+    clean = rows.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")))).join(bad, "text_key", "left_anti")
+    return clean.select(*[F.col(p).alias(c) for c, p in zip(columns, plain)])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
