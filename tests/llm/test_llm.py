@@ -191,7 +191,7 @@ def brute_repeats(data, n):
 @pytest.mark.parametrize("block", [200, 4 << 20])
 @pytest.mark.parametrize("target", [2, 5, 13])
 def test_substrings_brute_force(spark, docs, rows, target, block):
-    cleaned, _ = substrings.remove_repeats(docs, target=target, max_length=target, digest=True, block_bytes=block)
+    cleaned, _ = substrings.remove_repeats(docs, target=target, digest=True, block_bytes=block)
     assert tuples(cleaned, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats([r[:2] for r in rows], target)
 
 
@@ -201,11 +201,27 @@ def test_substrings_levels_go_on(spark, docs, rows, empty):
     texts = {r["doc_id"]: r["text"] for r in cleaned.select("doc_id", "text").collect()}
     assert texts[1] == rows[0][1] and texts[5] == "" and texts[2] is None
     lengths = dict(tuples(longer, "doc_id", "longest"))
+    assert cleaned.columns == docs.columns and {r[0] for r in cleaned.select("n_words").collect()} == {"x"}
     # Levels 10, 20, 40: 60 equal words hold a repeat of 40, a passage of 40 words one of 40, its 30-word halves one of 20.
     assert lengths[1] == 40 and lengths[7] == 40 and lengths[8] == 40 and 11 not in lengths
     assert substrings.remove_repeats(empty, digest=True)[0].count() == 0
 
 
+def test_substrings_longest(spark, docs, rows):
+    """The largest of 13, 26, 52 ... words of which a window stands in two documents, whatever their ids."""
+    _, longer = substrings.remove_repeats(docs, target=13, block_bytes=300)
+    want = {}
+    for k in (13, 26, 52, 104, 208):
+        seen = {}
+        for n, (_, t, *_) in enumerate(rows):
+            for p in range(len(words(t)) - k + 1):
+                seen.setdefault(tuple(words(t)[p : p + k]), set()).add(n)
+        for held in seen.values():
+            if len(held) > 1:
+                want |= {rows[n][0]: k for n in held if rows[n][0] is not None}
+    assert dict(tuples(longer, "doc_id", "longest")) == want and 52 in want.values()
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -355,6 +371,29 @@ def test_decontamination_brute_force(spark, docs, rows, items, most):
     assert tuples(clean, "doc_id", "text") == sorted(want, key=str)
 
 
+def test_decontamination_paths_agree(spark, docs, items):
+    """The broadcast and the shuffled path, with their spans; many documents and items around one common phrase."""
+    rng = random.Random(8)
+    common = phrase(rng, 12)
+    texts = [(i, f"{phrase(rng, 4)} {common} {phrase(rng, rng.randrange(9))} {common if i % 3 else ''}") for i in range(60)]
+    bench = [(100 + i, f"{phrase(rng, i % 4)} {common} {phrase(rng, i % 5)}") for i in range(20)] + [(200, " ".join(common.split()[2:7])), (None, " ".join(common.split()[:3]))]
+    made = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
+    for d, b in ((docs, items[0]), made):
+        by = [tuples(decontamination.decontaminate(d, b, max_broadcast_bytes=most), "doc_id", "n_words", "n_hit", "items_sha256", "item_ids", "spans") for most in (1 << 20, 0)]
+        assert by[0] == by[1]
+    assert tuples(decontamination.decontaminate(*made, max_broadcast_bytes=0), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_hits(texts, bench, 10)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination_keeps_columns(spark, docs, items, most):
+    """Columns of the names that the operator uses inside pass unchanged; a null id is judged by its own text."""
+    df = docs.withColumns({c: F.lit("own") for c in ("_text", "c0", "c1", "text_key", "keys")}).drop("doc_id")
+    clean = decontamination.reject_contaminated(df, items[0], max_broadcast_bytes=most)
+    assert clean.columns == df.columns
+    assert {tuple(r) for r in clean.select("_text", "c0", "c1", "text_key", "keys").collect()} == {("own",) * 5}
+    assert clean.count() == decontamination.decontaminate(docs, items[0]).where("not contaminated").count()
+
+
 def test_decontamination_empty(docs, empty, items):
     assert decontamination.decontaminate(empty, items[0]).count() == 0
     assert decontamination.decontaminate(docs, items[0].limit(0)).where("contaminated").count() == 0
@@ -541,6 +580,60 @@ def test_jaccard_texts_under_one_id(spark, block):
     assert tuples(jaccard.jaccard_classes(df, block_entries=block), "doc_id", "class_id", "n_links") == brute_classes(data)
 
 
+def brute_kept(data):
+    """One of each class: the smallest id, of its texts any one; null ids all."""
+    classes = {}
+    known = [(i, t) for i, t in data if i is not None]
+    def sets(t):
+        w = words(t)
+        return {tuple(w[p : p + min(5, len(w))]) for p in range(max(len(w) - 4, 1))} if w else set()
+    linked = lambda a, b: a and b and 5 * len(a & b) >= 4 * len(a | b)
+    left = list(range(len(known)))
+    groups = []
+    while left:
+        group, stack = set(), [left[0]]
+        while stack:
+            x = stack.pop()
+            if x not in group:
+                group.add(x)
+                stack += [y for y in left if linked(sets(known[x][1]), sets(known[y][1])) or known[x] == known[y]]
+        groups.append({known[x] for x in group})
+        left = [x for x in left if x not in group]
+    return groups, [t for i, t in data if i is None]
+
+
+def test_keep_one_of_each(spark, docs, rows):
+    """Each class keeps one row of its smallest id, whatever else that id or its other rows hold; no text of its own is lost."""
+    rng = random.Random(13)
+    a, b, c = (phrase(rng, 60) for _ in range(3))
+    data = [r[:2] for r in rows] + [(30, a), (50, a), (50, b), (51, b), (51, a + " x"), (60, c), (60, c + " y"), (60, c), (61, c), (None, a), (None, None), (None, a), (2, None), (70, None)]
+    df = spark.createDataFrame([(*d, f"v{k}", k) for k, d in enumerate(data)], "doc_id bigint, text string, _n string, c0 int").withColumn("id", F.lit(7)).withColumn("key", F.lit("k"))
+    kept = jaccard.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    groups, free = brute_kept(data)
+    assert sorted((r["text"] for r in got if r["doc_id"] is None), key=str) == sorted(free, key=str)
+    left = [(r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None]
+    assert len(left) == len(groups)
+    for g in groups:
+        assert len(own := [x for x in left if x in g]) == 1 and own[0][0] == min(i for i, _ in g)
+    assert all(r["key"] == "k" and r["id"] == 7 and data[r["c0"]] == (r["doc_id"], r["text"]) and r["_n"] == f"v{r['c0']}" for r in got)
+    assert sorted(map(tuple, jaccard.keep_one_of_each(df.repartition(5)).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert jaccard.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_jaccard_long_chain(spark):
+    """Texts along a chain share bands with their neighbours only: blocks bring together what may be similar, and every link is counted."""
+    rng = random.Random(5)
+    w, data = phrase(rng, 200).split(), []
+    for i in range(90):
+        data.append((i, " ".join(w)))
+        for _ in range(2):
+            w[rng.randrange(200)] = f"n{i}"
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert tuples(jaccard.jaccard_classes(df, block_entries=7), "doc_id", "class_id", "n_links") == brute_classes(data)
+
+
 def test_least_matches():
     least = jaccard.least_matches(0.8, 1e-9)
     assert all(0 <= least[n] <= n for n in least) and list(least.values()) == sorted(least.values())
@@ -587,6 +680,43 @@ def test_pipeline_brute_force(spark):
     assert got == want
 
 
+def test_pipeline_edges(spark, docs, rows, empty, tmp_path):
+    """Nulls, repeated rows, an empty table and clashing columns through every stage and the whole."""
+    import corpus_pipeline
+
+    extra = {c: F.lit("own") for c in ("n_removed", "longest", "kept", "c0", "_n", "sig", "text_len", "contaminated", "predicted", "blob")}
+    for name, df in (("full", docs.withColumns(extra)), ("empty", empty)):
+        folder = f"{tmp_path}/{name}"
+        df.write.parquet(f"{folder}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+        stage = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, stage, folder)
+            assert out.columns == stage.columns and [x.dataType for x in out.schema] == [x.dataType for x in stage.schema]
+            out.write.mode("overwrite").parquet(f"{folder}/out")
+            stage = spark.createDataFrame(spark.read.parquet(f"{folder}/out").collect(), stage.schema)
+        if name == "full":
+            assert all(r[c] == "own" for r in stage.collect() for c in extra)
+            ids = sorted((r["doc_id"] for r in stage.collect()), key=str)
+            # Of the copies 1, 5, 5 and the near copy 6 the first stays, and null ids all.
+            assert ids == sorted([1, 2, 3, 4, 7, 8, 9, 10, None, None, 11, 12, 14], key=str)
+        assert corpus_pipeline.run(spark, folder).selectExpr("sum(length)").first()[0] == corpus_pipeline.pack(spark, stage, folder).selectExpr("sum(length)").first()[0]
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    from arbora.llm._spark import folders, release, written
+
+    before = folders()
+    df = written(spark.range(3), "short")
+    path = [p for p in folders() if p not in before]
+    assert df.count() == 3 and len(path) == 1 and os.path.isdir(path[0].removeprefix("file:"))
+    release(spark, keep=before)
+    assert folders() == before and not os.path.isdir(path[0].removeprefix("file:"))
+
+
 def test_registry():
     import __spark_entry__ as entry
 
