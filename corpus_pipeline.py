@@ -6,6 +6,10 @@
    row even if no word is left, and one that loses nothing keeps its text as it is.
 4. decontamination: documents that hold a window of 10 words of a benchmark item go.
 5. packing: what is left becomes sequences of 1024 tokens along a Hilbert curve.
+
+Defined cases: an empty table gives no rows; null and empty texts pass the first four stages and are packed as their end id; rows
+with a null doc_id pass the second stage as they are; of rows that repeat an id and a text one passes the second stage; other
+columns, whatever their names, pass the first four stages unchanged (n_chars, where there is one, follows the text).
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import decontamination, jaccard, packing, substrings, toxicity
-from arbora.llm._spark import table, written
+from arbora.llm._spark import folders, release, table, written
 from arbora.llm.tokens import default_tokenizer
 
 
@@ -27,9 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned, _ = substrings.remove_repeats(docs, target=13, max_length=13)
-    cleaned = cleaned.drop("n_words", "n_removed")
-    if "n_chars" in docs.columns:
+    cleaned, _ = substrings.remove_repeats(docs, target=13)
+    if "n_chars" in docs.columns:  # a column of the documents table, which tells the length of the text
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned
 
@@ -56,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    others = folders()
     for name, stage in STAGES[:-1]:
+        before = folders()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        # The stage's rows are written, so what they came from goes: its own tables and the stage before.
+        release(spark, keep=[*others, *[p for p in folders() if p not in before and f"/stage-{name}-" in p]])
     return STAGES[-1][1](spark, docs, sf_dir)
