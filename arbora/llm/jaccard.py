@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm._spark import Scratch, batches, id_text, small_batches, table, written
 from arbora.llm._text import NOT_SPACE, U, mix, words_of
-from arbora.llm.components import star_components
+from arbora.llm.components import look_up, star_components
 
 SHINGLE, BANDS, ROWS, STEP = 5, 32, 4, 16
 HASHES = BANDS * ROWS
@@ -223,8 +223,8 @@ def _groups(iterator, keys: list[str]):
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block_entries: int = 1024, block_shingles: int = 1_000_000, detail: bool = False) -> DataFrame:
     """``doc_id, class_id, n_links``: the smallest id of the connected documents, and how many documents are linked directly.
 
-    ``detail`` adds ``text_key``, a hash of the text, and ``class_key``, which tells classes of one name apart (null for rows
-    that are classes of their own).
+    ``detail`` adds ``text_key``, a hash of the text, and ``leads``: whether the row has the smallest id, and of that id's texts in the
+    class the one with the smallest hash.
     """
     docs = id_text(docs).withColumn("text_key", F.xxhash64("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
@@ -257,13 +257,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     members = heads.join(clusters, "id")
     sizes = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / block_entries), F.ceil(F.col("w") / block_shingles)).cast("bigint")).select("root", "blocks")
-    members = members.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)")).select("id", "doc_id", "text_key", "set_x", "set_y", "copies", "sig", "root", "blocks", "block")
+    members = look_up(members, sizes, "root").withColumn("block", F.expr("pmod(xxhash64(id, 3), blocks)")).select("id", "doc_id", "text_key", "set_x", "set_y", "copies", "sig", "root", "blocks", "block")
     members = scratch.written(members, "members")
-    # Blocks in which some entry shares a band with this one, for entries of components of several blocks.
-    placed = bands.join(members.where("blocks > 1").select("id", "block"), "id")
+    # Blocks in which some entry shares a band with this one.
+    placed = bands.join(members.select("id", "block"), "id")
     meets = placed.join(placed.groupBy("key").agg(F.collect_set("block").alias("others")), "key")
-    meets = meets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
-    members = members.join(meets, "id", "left").withColumn("others", F.coalesce("others", F.array("block")))
+    members = members.join(meets.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")), "id")
 
     def shingles(iterator):
         kept = ["id", "copies", "sig", "root", "block", "others"]
@@ -295,11 +294,14 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float =
         found = scratch.written(dealt.mapInArrow(compare, "id bigint, links bigint, root bigint"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = star_components(found.select("id", F.col("root").alias("centre")), scratch)
-    names = heads.select("id", "doc_id").join(classes, "id").groupBy("root").agg(F.min("doc_id").alias("name"))
-    resolved = heads.select("id", "doc_id", "set_x", "set_y", "copies").join(links, "id", "left").join(classes, "id", "left").join(names, "root", "left")
-    resolved = resolved.select("set_x", "set_y", F.coalesce("name", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("class_key"))
-    judged = usable.select("doc_id", "text_key", "set_x", "set_y").join(resolved, ["set_x", "set_y"]).drop("set_x", "set_y")
-    alone = signed.where("doc_id is null or n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("bigint").alias("class_key"))
+    first = F.struct("doc_id", "text_key")
+    names = heads.select("id", "doc_id", "text_key").join(classes, "id").groupBy("root").agg(F.min(first).alias("first"))
+    named = look_up(classes, names, "root").select("id", "first")
+    resolved = heads.select("id", first.alias("own"), "set_x", "set_y", "copies").join(links, "id", "left").join(named, "id", "left")
+    resolved = resolved.select("set_x", "set_y", F.coalesce("first", "own").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    judged = usable.select("doc_id", "text_key", "set_x", "set_y").join(resolved, ["set_x", "set_y"])
+    judged = judged.select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("first") == first).alias("leads"))
+    alone = signed.where("doc_id is null or n = 0").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("leads"))
     result = judged.unionByName(alone)
     result = written(result if detail else result.select("doc_id", "class_id", "n_links"), "classes")
     scratch.drop()
@@ -313,10 +315,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc
     # Inner names that no column of the input has.
     rows = docs.select(*[docs[c].alias(p) for c, p in zip(columns, plain)], docs[id_col].cast("bigint").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("key"))
     judged = jaccard_classes(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), threshold, detail=True).where("doc_id is not null")
-    texts = judged.groupBy("doc_id", "text_key").agg(F.max("class_key").alias("class_key"), F.count("*").alias("n"))
-    first = texts.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    loses = F.col("first").isNotNull() & (F.col("first") != F.struct("doc_id", "text_key"))
-    fates = texts.join(first, "class_key", "left").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.coalesce(loses, F.lit(False)).alias("loses"), "n")
+    fates = judged.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg((~F.bool_and("leads")).alias("loses"), F.count("*").alias("n"))
     fates = written(fates.where("loses or n > 1"), "fates")
     left = rows.join(fates.where("loses").select("id", "key"), ["id", "key"], "left_anti")
     repeated = fates.where("not loses").select("id", "key")
