@@ -1,15 +1,18 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
-Codes are cut into ``segments`` parts. Two codes within distance d agree in some part up to d // segments, so after all
-parts were looked up at radius r every code closer than segments * (r + 1) has been seen. Each block of codes has a bucket
-table for each part; the radius grows by one until the kth verified distance of every query lies within what is covered.
-
-Equal codes are one entry with its k + 1 smallest distinct ids, each as often as it stands there, and equal query codes are answered once. Codes are dealt to
-blocks by hash; every query visits every block and the blocks' answers are merged. Work in a block is
-bounded by its size; there is no cap on buckets or candidates.
-
-Defined cases: null vectors are left out (neither queries nor answers); null elements count as 0; a vector
-of other than 64 dimensions is an error; an id that is repeated with
+Codes are cut into segments. Two codes within distance d agree in some segment up to d // segments, so once all
+segments were looked up at radius r every code closer than segments * (r + 1) has been seen. The index is a written table: for each
+segment, codes lie in buckets by the high bits of the segment's value, in blocks of bounded size. Each round looks the open
+queries up at the next radius, in the buckets whose high bits can lie within it; within a block either the values at that
+radius are enumerated and looked up or, where they outnumber the block's codes, the codes' own values are compared. A code is verified
+in the one segment and round that finds it first, and only if it is not farther than the query's kth distance over
+all blocks so far. A query is closed once its kth verified distance is covered; the radius grows until none is open.
+
+Equal codes are one entry with its k + 1 smallest distinct ids, each as often as it stands there, and equal query codes are answered once.
+There is no cap on buckets or candidates: a bucket of a frequent value has more blocks, queries travel in packets.
+
+Defined cases: null vectors are left out (neither queries nor answers); null elements count as 0; vectors may have any number of
+dimensions, the same in all rows, else it is an error; an id that is repeated with
 other vectors is several entries; ties in distance go to the smaller id; a query finds rows of other ids only;
 a row that is repeated is an answer as often as it stands there; the rows of a query's id, repeated or with other vectors,
 share k answers, the nearest of all their pairs; fewer than k other rows give fewer answers; an empty table gives an empty result.
@@ -18,23 +21,27 @@ share k answers, the nearest of all their pairs; fewer than k other rows give fe
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import table
+from arbora.llm._spark import Scratch, table, written
 
-BLOCK = 1 << 15  #: codes in a block, about
+BLOCK = 1 << 15  #: codes in a block of a bucket, about
+PACKET = 1 << 11  #: queries in a packet, about
+WIDTH, HIGH = 16, 4  #: bits of a segment, and those of them that choose the bucket
+CODE = "array<bigint>"  #: 64 dimensions a number
 
 
 def sign_codes(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, code``: one bit for each of the 64 dimensions, set where the value is above 0; another width is an error."""
-    bits = F.expr(f"aggregate(transform(`{vector_col}`, v -> coalesce(cast(v as double), 0D)), 0L, (a, v) -> shiftleft(a, 1) | if(v > 0, 1L, 0L))")
-    wrong = F.raise_error(F.concat(F.lit("sign_codes takes vectors of 64 dimensions, not "), F.size(vector_col).cast("string"))).cast("bigint")
-    bits = F.when(F.size(vector_col) == 64, bits).otherwise(wrong)
-    return embeddings.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), bits.alias("code"))
+    """``vec_id, code``: one bit for each dimension, set where the value is above 0, 64 to a number (the last padded with unset bits)."""
+    signs = f"transform(`{vector_col}`, v -> coalesce(cast(v as double), 0D) > 0)"
+    words = f"transform(sequence(0, cast(ceil(size(`{vector_col}`) / 64.0) as int) - 1), w -> aggregate(slice({signs}, w * 64 + 1, 64), 0L, (a, v) -> shiftleft(a, 1) | if(v, 1L, 0L)))"
+    code = F.when(F.size(vector_col) > 0, F.expr(words)).otherwise(F.array().cast(CODE))
+    return embeddings.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), code.alias("code"), F.size(vector_col).alias("dimensions"))
 
 
 def _masks(width: int, radius: int) -> np.ndarray:
@@ -42,97 +49,167 @@ def _masks(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
 
 
-class MultiIndex:
-    def __init__(self, codes: np.ndarray, segments: int = 8, width: int = 8):
-        self.codes, self.segments, self.width = codes.view(np.uint64), segments, width
-        self.tables = []
-        for s in range(segments):
-            part = self.part(self.codes, s)
-            order = np.argsort(part, kind="stable")
-            self.tables.append((order, np.searchsorted(part[order], np.arange((1 << width) + 1))))
-
-    def part(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-
-    def nearest(self, query: int, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, distances) that surely hold the ``least`` nearest rows, an entry counting for ``weight`` rows."""
-        q = np.uint64(query)
-        seen = np.zeros(len(self.codes), bool)
-        entries, distances = [], []
-        for radius in range(self.width + 1):
-            masks = _masks(self.width, radius)
-            fresh = []
-            for s, (order, bounds) in enumerate(self.tables):
-                values = int(self.part(np.array([q]), s)[0]) ^ masks
-                for v in values.tolist():
-                    fresh.append(order[bounds[v] : bounds[v + 1]])
-            found = np.concatenate(fresh)
-            found = np.unique(found[~seen[found]])
-            seen[found] = True
-            entries.append(found)
-            distances.append(np.bitwise_count(self.codes[found] ^ q).astype(np.int64))
-            e, d = np.concatenate(entries), np.concatenate(distances)
-            covered = self.segments * (radius + 1) - 1  # every code at most this far was seen
-            if weight[e[d <= covered]].sum() >= least or len(e) == len(self.codes):
-                break
-        order = np.lexsort((e, d))
-        rows = np.cumsum(weight[e[order]])
-        last = int(np.searchsorted(rows, least))
-        stop = len(order) if last >= len(order) else int(np.searchsorted(d[order], d[order][last], "right"))
-        return e[order][:stop], d[order][:stop]
-
-
-def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 8) -> DataFrame:
+def _segments(codes: np.ndarray) -> np.ndarray:
+    """(codes, segments) values of the segments of (codes, words) numbers; those of a word from its low bits on."""
+    return np.ascontiguousarray(codes.astype("<i8")).view("<u2").astype(np.int64).reshape(len(codes), -1)
+
+
+def _fresh(a: np.ndarray, b: np.ndarray, s: int, radius: int) -> np.ndarray:
+    """Whether pairs of segment values are found first in segment ``s`` at ``radius``: no other is nearer, none before as near."""
+    near = np.bitwise_count(a ^ b)
+    return (near[:, :s] > radius).all(1) & (near[:, s + 1 :] >= radius).all(1)
+
+
+def lookup(codes: np.ndarray, queries: np.ndarray, s: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, codes) places whose values in segment ``s`` differ in exactly ``radius`` bits; both are (n, segments)."""
+    own, asked = codes[:, s], queries[:, s]
+    if comb(WIDTH, radius) >= len(own):
+        found = [np.nonzero(np.bitwise_count(asked[k : k + 256, None] ^ own[None]) == radius) for k in range(0, len(asked), 256)]
+        return np.concatenate([q + 256 * k for k, (q, _) in enumerate(found)]), np.concatenate([c for _, c in found])
+    order = np.argsort(own, kind="stable")
+    values, starts, counts = np.unique(own[order], return_index=True, return_counts=True)
+    at = np.full(1 << WIDTH, -1)
+    at[values] = np.arange(len(values))
+    q_found, c_found = [], []
+    for mask in _masks(WIDTH, radius).tolist():
+        k = at[asked ^ mask]
+        q = np.flatnonzero(k >= 0)
+        n = counts[k[q]]
+        q_found.append(np.repeat(q, n))
+        c_found.append(order[np.repeat(starts[k[q]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+    return np.concatenate(q_found), np.concatenate(c_found)
+
+
+def nearest_of(distance: np.ndarray, weight: np.ndarray, least: int) -> np.ndarray:
+    """Places of the nearest entries that hold ``least`` rows, with all that are as far as the last of them."""
+    order = np.argsort(distance, kind="stable")
+    last = int(np.searchsorted(np.cumsum(weight[order]), least))
+    return order if last >= len(order) else order[: int(np.searchsorted(distance[order], distance[order[last]], "right"))]
+
+
+def _found(queries: list, entries: list, distances: list, weights: list) -> pa.RecordBatch:
+    n = np.append(0, np.cumsum([len(e) for e in entries])).astype(np.int32)
+    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    lists = [pa.ListArray.from_arrays(pa.array(n), pa.array(cat(x, np.int64))) for x in (entries, distances, weights)]
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), *lists], names=["query", "entries", "distances", "weights"])
+
+
+FOUND = "query bigint, entries array<bigint>, distances array<bigint>, weights array<bigint>"
+
+
+def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``vec_id, rank, neighbor_id, distance`` of the k rows of ``codes`` nearest to each id of ``queries``."""
     spark = codes.sparkSession
-    width = 64 // segments
+    scratch = Scratch(spark, "topk")
+    sizes = codes.agg(F.min("dimensions").alias("low"), F.max("dimensions").alias("high")).first()
+    asked_for = queries.agg(F.min("dimensions").alias("low"), F.max("dimensions").alias("high")).first()
+    if len({x for x in (*sizes, *asked_for) if x is not None}) > 1:
+        raise ValueError(f"search takes codes of one number of dimensions, not of {sizes['low']} to {sizes['high']} and {asked_for['low']} to {asked_for['high']}")
+    n_segments = -(-(sizes["high"] or 64) // 64) * 64 // WIDTH
     # Of one code and id at most k rows are ever answers, and without a query's own id k of k + 1 distinct ids are left.
     counted = codes.groupBy("code", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
     # The k + 1 smallest ids of each code: the window keeps that many in each task before it shuffles.
     rank = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
     entries = counted.withColumn("n", rank).where(F.col("n") <= k + 1).groupBy("code").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times"))))).alias("ids"))
-    n_codes = entries.count()
-    n_blocks = max(1, -(-n_codes // BLOCK))
-    blocks = entries.withColumn("block", F.expr(f"pmod(xxhash64(code), {n_blocks})"))
-    # Rows of a query's own id do not count: k and as many rows as that id has are enough.
+    entries = scratch.written(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
+    # Rows of a query's own id do not count: k and as many rows as that id has are enough, or all there are.
     own_rows = counted.groupBy("vec_id").agg(F.sum("times").alias("own"))
-    asking = queries.groupBy("vec_id", "code").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
-    asked = asking.select("vec_id", "code").join(own_rows, "vec_id", "left").groupBy("code").agg((k + F.max(F.coalesce("own", F.lit(0)))).alias("least"))
-    # Packets of query codes, each sent to every block; few blocks are copied so that there are tasks enough.
-    n_packets = max(64, asked.count() // 1024)
-    copies = -(-64 // n_blocks)
-    packets = asked.withColumn("packet", F.expr(f"pmod(xxhash64(code, 7), {n_packets})")).groupBy("packet").agg(F.collect_list(F.struct("code", "least")).alias("queries"))
-    packets = packets.withColumn("copy", F.col("packet") % copies).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("entries"))
-    packed = packed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
-    joined = packets.join(packed, ["block", "copy"])
-
-    def answer(iterator):
+    asking = scratch.written(queries.groupBy("vec_id", "code").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times")), "asking")
+    every = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
+    asked = asking.select("vec_id", "code").join(own_rows, "vec_id", "left").groupBy("code").agg(F.least(k + F.max(F.coalesce("own", F.lit(0))), F.lit(every)).alias("least"))
+    asked = scratch.written(asked.withColumn("query", F.monotonically_increasing_id()), "asked")
+    bucket = lambda s: f"cast(shiftright(code[{s * WIDTH // 64}], {s * WIDTH % 64 + WIDTH - HIGH}) & {(1 << HIGH) - 1} as int)"
+    places = F.explode(F.array(*[F.expr(f"struct({s} as s, {bucket(s)} as bucket)") for s in range(n_segments)])).alias("at")
+    index = entries.select("entry", "code", F.size("ids").cast("bigint").alias("weight"), places).select("entry", "code", "weight", "at.*")
+    # A row for each segment and bucket, whatever the number of codes.
+    parts = index.groupBy("s", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
+    index = index.join(F.broadcast(parts), ["s", "bucket"]).withColumn("part", F.expr("pmod(xxhash64(entry), parts)"))
+    index = scratch.written(index.groupBy("s", "bucket", "part").agg(F.collect_list(F.struct("entry", "code", "weight")).alias("codes")), "index")
+    n_packets = max(1, -(-asked.count() // PACKET))
+
+    def look_up(radius: int):
+        def run(iterator):
+            for batch in iterator:
+                for row in range(batch.num_rows):
+                    own, ask = batch.column("codes")[row].values, batch.column("queries")[row].values
+                    s = batch.column("s")[row].as_py()
+                    codes_of = lambda x: x.field("code").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                    own_code, ask_code = codes_of(own), codes_of(ask)
+                    own_parts, ask_parts = _segments(own_code), _segments(ask_code)
+                    name, weight = own.field("entry").to_numpy(zero_copy_only=False), own.field("weight").to_numpy(zero_copy_only=False)
+                    query, least, bound = (ask.field(c).to_numpy(zero_copy_only=False) for c in ("query", "least", "bound"))
+                    out: tuple[list, list, list, list] = ([], [], [], [])
+                    for low in range(0, len(query), 256):
+                        q, c = lookup(own_parts, ask_parts[low : low + 256], s, radius)
+                        q = q + low
+                        first = _fresh(ask_parts[q], own_parts[c], s, radius)
+                        q, c = q[first], c[first]
+                        d = np.bitwise_count((ask_code[q] ^ own_code[c]).view(np.uint64)).sum(1).astype(np.int64)  # of signed numbers it counts the bits of the magnitude
+                        near = d <= bound[q]
+                        q, c, d = q[near], c[near], d[near]
+                        order = np.argsort(q, kind="stable")
+                        q, c, d = q[order], c[order], d[order]
+                        edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1)) if len(q) else np.zeros(1, np.int64)
+                        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                            keep = a + nearest_of(d[a:b], weight[c[a:b]], int(least[q[a]]))
+                            for into, x in zip(out, (query[q[a]], name[c[keep]], d[keep], weight[c[keep]])):
+                                into.append(x)
+                    if out[0]:
+                        yield _found(*out)
+
+        return run
+
+    def merge(iterator):
         for batch in iterator:
-            for r in range(batch.num_rows):
-                own = batch.column("entries")[r].values
-                block = own.field("code").to_numpy(zero_copy_only=False)
-                lists = own.field("ids")
-                weight = np.diff(lists.offsets.to_numpy())
-                index = MultiIndex(np.ascontiguousarray(block), segments, width)
-                out = []
-                for q in batch.column("queries")[r].as_py():
-                    e, d = index.nearest(q["code"] & 0xFFFFFFFFFFFFFFFF, weight, q["least"])
-                    out.append((q["code"], block[e], d, q["least"]))
-                if out:
-                    n = [len(x[1]) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in out], n)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.concatenate([x[2] for x in out])), pa.array(np.repeat([x[3] for x in out], n))], names=["query", "code", "distance", "least"])
-
-    near = joined.select("queries", "entries").mapInArrow(answer, "query bigint, code bigint, distance bigint, least bigint")
-    # At most ``least`` rows a query code matter, and of codes at the same distance any may hold the smaller ids.
-    best = near.withColumn("n", F.rank().over(Window.partitionBy("query").orderBy("distance"))).where("n <= least")
-    rows = best.join(entries, "code").select("query", "distance", "least", F.explode("ids").alias("neighbor_id"))
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            bounds, leasts = [], []
+            for row in range(batch.num_rows):
+                least = batch.column("least")[row].as_py()
+                e, d, w = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) if batch.column(c)[row].is_valid else np.zeros(0, np.int64) for c in ("entries", "distances", "weights"))
+                keep = nearest_of(d, w, least)
+                for into, x in zip(out, (batch.column("query")[row].as_py(), e[keep], d[keep], w[keep])):
+                    into.append(x)
+                # The kth distance so far: what is farther is no answer.
+                bounds.append(int(d[keep[-1]]) if len(keep) and w[keep].sum() >= least else farthest)
+                leasts.append(least)
+            t = _found(*out)
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(bounds, pa.int64()), pa.array(leasts, pa.int64())], names=[*t.schema.names, "bound", "least"])
+
+    farthest = n_segments * WIDTH
+    none = F.array().cast(CODE)
+    state = asked.select("query", none.alias("entries"), none.alias("distances"), none.alias("weights"), F.lit(farthest).cast("bigint").alias("bound"), "least")
+    done = []
+    for radius in range(WIDTH + 1):
+        open_ = state.select("query", "bound", "least").join(asked.select("query", "code"), "query")
+        near = ", ".join(str(b) for b in range(1 << HIGH) if b.bit_count() <= radius)
+        sent = F.explode(F.array(*[F.expr(f"struct({s} as s, transform(array({near}), m -> m ^ {bucket(s)}) as buckets)") for s in range(n_segments)])).alias("at")
+        sent = open_.select("query", "code", "bound", "least", sent).select("query", "code", "bound", "least", "at.s", F.explode("at.buckets").alias("bucket"))
+        packets = sent.groupBy("s", "bucket", F.expr(f"pmod(xxhash64(query), {n_packets})").alias("packet")).agg(F.collect_list(F.struct("query", "code", "bound", "least")).alias("queries"))
+        met = packets.join(index, ["s", "bucket"]).repartition("s", "bucket", "part", "packet").select("s", "codes", "queries")
+        found = met.mapInArrow(look_up(radius), FOUND)
+        flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("entries", "distances", "weights")]
+        found = found.unionByName(state.select("query", "entries", "distances", "weights")).groupBy("query").agg(*flat)
+        state = scratch.written(found.join(state.select("query", "least"), "query").mapInArrow(merge, f"{FOUND}, bound bigint, least bigint"), "state")
+        covered = n_segments * (radius + 1) - 1  # every code at most this far was seen
+        last = radius == WIDTH
+        done.append(state if last else state.where(F.col("bound") <= covered))
+        state = state.where(F.col("bound") > covered)
+        if last or state.isEmpty():
+            break
+    best = done[0]
+    for d in done[1:]:
+        best = best.unionByName(d)
+    pairs = best.select("query", "least", F.explode(F.arrays_zip("entries", "distances")).alias("x")).select("query", "least", F.col("x.entries").alias("entry"), F.col("x.distances").alias("distance"))
+    rows = pairs.join(entries.select("entry", "ids"), "entry").select("query", "distance", "least", F.explode("ids").alias("neighbor_id"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbor_id"))).where("n <= least")
     lists = rows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))
-    own = asking.join(lists, asking["code"] == lists["query"]).select("vec_id", "times", F.explode(F.expr(f"slice(filter(near, x -> x.neighbor_id <> vec_id), 1, {k})")).alias("x"))
+    lists = lists.join(asked.select("query", "code"), "query").drop("query")
+    own = asking.join(lists, "code").select("vec_id", "times", F.explode(F.expr(f"slice(filter(near, x -> x.neighbor_id <> vec_id), 1, {k})")).alias("x"))
     pairs = own.select("vec_id", F.explode(F.expr("array_repeat(x, times)")).alias("x")).select("vec_id", "x.neighbor_id", "x.distance")
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
-    return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance")
+    result = written(pairs.withColumn("rank", place).where(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", "distance"), "neighbours")
+    scratch.drop()
+    return result
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
