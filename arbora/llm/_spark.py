@@ -132,6 +132,20 @@ def strings(column) -> pa.Array:
     return pa.compute.fill_null(column.cast(pa.large_string()), "")
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """``doc_id, text, label`` of about ``most`` labelled rows at most, chosen by hashes, written to the shared folder.
+
+    Labels other than 0 and 1 and null ids are left out, of an id that is labelled several times the largest label counts,
+    rows that repeat an id and a text are one, and so are the texts under one id weighed like others.
+    """
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = lambda n, key: F.expr(f"pmod(xxhash64({key}), 1000000) < {int(1e6 * min(1.0, most / max(n, 1)))}")
+    # About ``most`` rows of two numbers: small enough to send to every task, whatever the input.
+    rows = docs.join(F.broadcast(known.where(share(known.count(), "doc_id"))), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id", "text"])
+    rows = written(rows, "sample")
+    return rows.where(share(rows.count(), "doc_id, text"))
+
+
 def global_prefix(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in ``order`` (which must be a total order).
 

@@ -5,14 +5,16 @@
    informative Dirichlet prior (the background frequency of the feature); features whose shrunk log-odds are
    clearly positive form the lexicon, every other word scores slightly below zero.
 2. One linear scan of a text's scores finds all maximal scoring segments (Ruzzo and Tompa 1999).
-3. A segment of score s in a text of n words has the expected count E = K n exp(-lambda s) in clean text, with
-   lambda from the training rows' clean scores (Karlin and Altschul 1990). Segments with E below ``max_e`` are
-   significant; a text's statistic is the sum of their -log E, and a monotone fit on the training rows turns it
-   into a probability.
+3. A segment of score s in a text of n words has the expected count E = K n exp(-lambda s) in clean text (Karlin and
+   Altschul 1990), so the largest score of a clean text is Gumbel distributed; lambda and K are fitted to those maxima by
+   maximum likelihood, texts without any segment counting as censored. Segments with E below ``max_e`` are
+   significant; a text's statistic is the sum of their -log E, and a monotone fit turns it into a probability.
 
-Bounds, none of which depends on what is scored: at most ``max_training_docs`` labelled rows are learned from
-(chosen by a hash of the id) and at most ``max_features`` features are kept, so the lexicon that is broadcast has
-at most 16 bytes times that. Every whole text is scored.
+The maxima and the monotone fit come from texts that their lexicon has not seen: the training rows are dealt to ``FOLDS``
+folds, each scored by a lexicon of the others. The lexicon that scores the input is of all training rows.
+
+Bound, which does not depend on what is scored: about ``max_training_docs`` labelled rows at most are learned from
+(chosen by a hash of the id); the lexicon holds features of theirs only. Every whole text is scored.
 
 Defined cases: a null or empty text has no words and gets the score of statistic 0; null ``doc_id`` rows are
 scored and never learned from; rows repeated in the labels count once; without labels of both kinds every score
@@ -21,19 +23,21 @@ is the base rate (0.0 if there are no labels); an empty table gives an empty res
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, id_text, table, written
+from arbora.llm._spark import batches, id_text, table, training_sample, written
 from arbora.llm._text import ALNUM, U, Words, mix, segment_hash, words_of
 
 PREFIXES = (4, 5, 6)
 BIN = 0.5  #: width of the calibration's bins
-MOST_IN_TEXT = 4  #: occurrences of a feature that count in one training text
+FOLDS = 3
+UNIT = 1024  #: occurrences are counted in such parts, so that sums do not depend on their order
+LEAST_MAXIMA = 20  #: of clean texts with a segment that lambda and K are fitted to; with fewer both are 1
 
 
 def features_of(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -113,6 +117,12 @@ class ToxicityModel:
             out[d] = sorted((r for r in rated if r[3] <= self.max_e), key=lambda r: (r[3], r[0]))
         return out
 
+    def maxima(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(words, score of the best segment or 0) of each text."""
+        plain = replace(self, lam=0.0, k=0.0)  # every segment is kept
+        best = [max((s for _, _, s, _ in found), default=0.0) for found in plain.passages(column)]
+        return words_of(column, ALNUM, lower=True).counts(), np.array(best, float)
+
     def statistic(self, found: list[tuple[int, int, float, float]]) -> float:
         return min(sum(-float(np.log(max(e, 1e-300))) for *_, e in found), 200.0)
 
@@ -131,81 +141,106 @@ def monotone(n: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(c), b / a) for a, b, c in blocks]) if blocks else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_training_docs: int = 30_000, max_features: int = 50_000, prior: float = 0.5, min_docs: int = 3) -> ToxicityModel:
-    """``docs``: doc_id, text. ``labels``: doc_id, toxic (0 or 1), of training rows only."""
-    labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = labels.count()
-    if n > max_training_docs:
-        labels = labels.where(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {int(1e6 * max_training_docs / n)}"))
-    # About max_training_docs rows of two numbers: small enough to send to every task, whatever the input.
-    rows = docs.join(F.broadcast(labels), "doc_id").select("doc_id", "text", "toxic")
+def gumbel(n: np.ndarray, best: np.ndarray, least: np.ndarray) -> tuple[float, float]:
+    """(lambda, K) of P(best < s) = exp(-K n exp(-lambda s)) by maximum likelihood; where ``best`` is 0 it is below ``least``."""
+    seen = best > 0
+    if seen.sum() < LEAST_MAXIMA:
+        return 1.0, 1.0
+    edge, m = np.where(seen, best, least), float(seen.sum())
+    top = (-np.inf, 1.0, 1.0)
+    for lam in np.geomspace(0.05, 10, 400):
+        k = m / float((n * np.exp(-lam * edge)).sum())
+        top = max(top, (m * np.log(lam) + m * np.log(k) - lam * float(best[seen].sum()), float(lam), k))
+    return top[1], top[2]
 
-    def count(iterator):
-        for t in batches(iterator):
-            words = words_of(t.column("text"), ALNUM, lower=True)
-            toxic = t.column("toxic").to_numpy()[words.doc_of_word()]
-            doc = words.doc_of_word()
-            for at, h in features_of(words):
-                # occurrences in a text, of which a few say as much as many
-                order = np.lexsort((doc[at], h))
-                h, d, x = h[order], doc[at][order], toxic[at][order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
-                n = np.minimum(np.diff(np.append(first, len(h))), MOST_IN_TEXT)
-                h, x = h[first], x[first]
-                keys, first = np.unique(h, return_index=True)
-                sums = lambda v: np.add.reduceat(v, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums(x)), pa.array(sums(1 - x)), pa.array(sums(n * x)), pa.array(sums(n * (1 - x)))], names=["feature", "d1", "d0", "y1", "y0"])
-
-    kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
-    if not n1 or not n0:
-        return ToxicityModel(levels=np.array([float(bool(n1))]))
-    counts = rows.mapInArrow(count, "feature bigint, d1 bigint, d0 bigint, y1 bigint, y0 bigint").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "y1", "y0")])
-    counts = written(counts.where(F.col("d1") >= min_docs), "features")
+
+def _lexicon(counts: DataFrame, without: int | None, n1: int, n0: int, prior: float, min_docs: int) -> ToxicityModel:
+    """The features of the training rows, but for those of fold ``without``, that speak for toxic texts."""
+    folds = [k for k in range(FOLDS) if k != without]
+    counts = counts.select("feature", *[sum(F.col(f"{c}_{k}") for k in folds).alias(c) for c in ("d1", "d0", "y1", "y0")]).where(F.col("d1") >= min_docs)
     # So many features are tried that some look toxic by chance: the texts that have one must be more often toxic than all are
     # by a margin whose probability (Chernoff's bound) is below one in the number of features.
-    n, q, p = F.col("d1") + F.col("d0"), F.col("d1") / (F.col("d1") + F.col("d0")), n1 / (n1 + n0)
+    n, q, p = F.col("d1") + F.col("d0"), F.col("d1") / (F.col("d1") + F.col("d0")), n1 / max(n1 + n0, 1)
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
     margin = F.when(q > p, n * (part(q, p) + part(1 - q, 1 - p))).otherwise(0.0)
     sure = margin > float(np.log(max(counts.count(), 1)))
     # The prior of a feature is ``prior`` occurrences, spread over both kinds as it is overall.
-    share = F.expr(f"(y1 + y0) / {float(n1 + n0)}D")
+    y1, y0 = F.col("y1") / UNIT, F.col("y0") / UNIT
+    share = (y1 + y0) / float(n1 + n0)
     a1, a0 = F.lit(prior) * share * n1 / (n1 + n0) + 0.05, F.lit(prior) * share * n0 / (n1 + n0) + 0.05
-    odds = F.log((F.col("y1") + a1) / (F.col("y0") + a0))
-    sigma = F.sqrt(1 / (F.col("y1") + a1 + 0.5) + 1 / (F.col("y0") + a0 + 0.5))
+    odds = F.log((y1 + a1) / (y0 + a0))
+    sigma = F.sqrt(1 / (y1 + a1 + 0.5) + 1 / (y0 + a0 + 0.5))
     listed = counts.where(sure).withColumn("score", odds - sigma * 0.5).where((F.col("score") > 0.5) & (odds - F.lit(float(np.log(n1 / n0))) > 2 * sigma))
-    top = listed.orderBy(F.desc("score"), "feature").limit(max_features).select("feature", "score", "y0").collect()
-    if not top:
-        return ToxicityModel(levels=np.array([n1 / (n1 + n0)]))
-    feature = np.array([r["feature"] for r in top], np.int64)
-    score = np.array([r["score"] for r in top])
-    clean = np.array([r["y0"] for r in top], float)
-    order = np.argsort(feature)
-    model = ToxicityModel(feature[order], score[order])
-    # Chance of each listed feature at a word of clean text, with half a text for those never seen there.
-    words_clean = rows.where("toxic = 0").agg(F.sum(F.length("text") / 6.0)).first()[0] or 1.0
-    chance = (clean + 0.5 / len(clean)) / max(words_clean, 1.0)
-    low, high = 1e-3, 10.0
-    for _ in range(60):  # the positive root of  sum p exp(lambda s) = 1
-        middle = (low + high) / 2
-        value = float((chance * np.exp(middle * score)).sum()) + (1 - min(chance.sum(), 1)) * np.exp(middle * model.drift)
-        low, high = (middle, high) if value < 1 else (low, middle)
-    model.lam = low
-    keep = docs.sparkSession.sparkContext.broadcast(model)
+    rows = listed.select("feature", "score").orderBy("feature").collect()  # of the bounded sample's features
+    return ToxicityModel(np.array([r["feature"] for r in rows], np.int64), np.array([r["score"] for r in rows]))
 
-    def rate(iterator):
-        m = keep.value
-        for t in batches(iterator):
-            stats = np.array([m.statistic(x) for x in m.passages(t.column("text"))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.floor(stats / BIN).astype(np.int64)), pa.array(t.column("toxic").to_numpy().astype(np.int64))], names=["bin", "toxic"])
 
+def fit(docs: DataFrame, labels: DataFrame, max_training_docs: int = 30_000, prior: float = 0.5, min_docs: int = 3) -> ToxicityModel:
+    """``docs``: doc_id, text. ``labels``: doc_id, toxic (0 or 1), of training rows only."""
+    rows = training_sample(docs, labels, "toxic", max_training_docs).withColumn("fold", F.expr(f"pmod(xxhash64(doc_id, 5), {FOLDS})"))
+
+    def count(iterator):
+        for t in batches(iterator):
+            words = words_of(t.column("text"), ALNUM, lower=True)
+            doc = words.doc_of_word()
+            kind = 2 * t.column("fold").to_numpy() + t.column("label").to_numpy()
+            for at, h in features_of(words):
+                # Each further occurrence in a text says less than the one before.
+                order = np.lexsort((doc[at], h))
+                h, d = h[order], doc[at][order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
+                n = np.rint(UNIT * (1 + np.log2(np.diff(np.append(first, len(h)))))).astype(np.int64)
+                h, x = h[first], kind[d[first]]
+                keys, of = np.unique(h, return_inverse=True)
+                cols = []
+                for k in range(FOLDS):
+                    for toxic in (1, 0):
+                        own = x == 2 * k + toxic
+                        cols += [np.bincount(of[own], minlength=len(keys)), np.bincount(of[own], weights=n[own], minlength=len(keys))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c.astype(np.int64)) for c in cols)], names=["feature", *names])
+
+    names = [f"{c}{toxic}_{k}" for k in range(FOLDS) for toxic in (1, 0) for c in ("d", "y")]
+    kinds = {(r["fold"], r["label"]): r["n"] for r in rows.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    total = [sum(n for (_, label), n in kinds.items() if label == x) for x in (0, 1)]
+    if not all(total):
+        return ToxicityModel(levels=np.array([float(bool(total[1]))]))
+    counts = rows.mapInArrow(count, "feature bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in names])
+    counts = written(counts.where(" + ".join(f"d1_{k}" for k in range(FOLDS)) + f" >= {min_docs}"), "features")
+    left = lambda x, k: total[x] - kinds.get((k, x), 0)
+    folds = [_lexicon(counts, k, left(1, k), left(0, k), prior, min_docs) if left(1, k) and left(0, k) else ToxicityModel() for k in range(FOLDS)]
+    model = _lexicon(counts, None, total[1], total[0], prior, min_docs)
+    if not len(model.features):
+        return ToxicityModel(levels=np.array([total[1] / sum(total)]))
+
+    def by_fold(kept, task):
+        def run(iterator):
+            for t in batches(iterator):
+                fold = t.column("fold").to_numpy()
+                for k in range(FOLDS):
+                    own = t.filter(pa.array(fold == k))
+                    if own.num_rows:
+                        yield task(kept.value[k], own)
+
+        return run
+
+    def best(m, t):
+        n, score = m.maxima(t.column("text"))
+        return pa.RecordBatch.from_arrays([t.column("fold").combine_chunks(), pa.array(n.astype(np.int64)), pa.array(score)], names=["fold", "n", "best"])
+
+    def rate(m, t):
+        stats = np.array([m.statistic(x) for x in m.passages(t.column("text"))])
+        return pa.RecordBatch.from_arrays([pa.array(np.floor(stats / BIN).astype(np.int64)), pa.array(t.column("label").to_numpy().astype(np.int64))], names=["bin", "toxic"])
+
+    send = docs.sparkSession.sparkContext.broadcast
+    # Three numbers a clean row of the bounded sample.
+    clean = rows.where("label = 0").mapInArrow(by_fold(send(folds), best), "fold bigint, n bigint, best double").where("n > 0").collect()
+    least = [float(m.scores.min()) if len(m.scores) else np.inf for m in folds]
+    lam, k = gumbel(np.array([r["n"] for r in clean], float), np.array([r["best"] for r in clean]), np.array([least[r["fold"]] for r in clean]))
+    folds, model = [replace(m, lam=lam, k=k) for m in folds], replace(model, lam=lam, k=k)
     # At most 200 / BIN rows come back, whatever the number of texts.
-    bins = rows.mapInArrow(rate, "bin bigint, toxic bigint").groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")).orderBy("bin").collect()
+    bins = rows.mapInArrow(by_fold(send(folds), rate), "bin bigint, toxic bigint").groupBy("bin").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")).orderBy("bin").collect()
     n, hits = np.array([r["n"] for r in bins], float), np.array([r["hits"] for r in bins], float)
-    rates = monotone(n + 0.2, hits + 0.1)
-    model.steps = np.array([r["bin"] * BIN for r in bins])[1:]
-    model.levels = rates
-    return model
+    return replace(model, steps=np.array([r["bin"] * BIN for r in bins])[1:], levels=monotone(n + 0.2, hits + 0.1))
 
 
 SCORED = "doc_id bigint, score double, statistic double, n_passages bigint, best_first bigint, best_last bigint, best_score double, best_e double"
