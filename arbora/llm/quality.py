@@ -5,9 +5,9 @@ bounded sample of labelled rows. Grouped sums over all documents then give each
 host (source) a posterior share of good documents: hosts are shrunk toward the global share and paths
 toward their host, each by a strength that the spread between the groups determines (method of moments), so a
 site with few documents stays close to its prior. A document's score joins both: the odds of its evidence times its path's
-odds against the global odds, where the document's own evidence is left out of its path.
+odds against the global odds, where the document's own evidence is left out of its path and of its host.
 
-Bounds: at most ``max_training_docs`` labelled rows are learned from; the model is one table of bins.
+Bounds: about ``max_training_docs`` labelled rows at most are learned from; the model is one table of bins.
 
 Defined cases: a null or empty text has the features of the empty text; null source or language is a site of its
 own; repeated rows count as rows; without labels of both kinds the evidence is the global share (0.5 without any);
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, strings, table, written
+from arbora.llm._spark import batches, strings, table, training_sample, written
 from arbora.llm._text import NOT_SPACE, words_of
 from arbora.llm.toxicity import monotone
 
@@ -59,15 +59,15 @@ def shape(column) -> np.ndarray:
     return np.stack([np.log1p(counts), upper, signs, digits, length, distinct / c / np.power(c, -0.15), seen / lines, np.log1p(counts / lines), top / c], axis=1)
 
 
-def train(rows: DataFrame, max_training_docs: int) -> dict:
-    """Bin edges and log-odds from ``text, good`` rows: edges are quantiles of all kinds together."""
+def train(rows: DataFrame) -> dict:
+    """Bin edges and log-odds from ``text, label`` rows, as few as a sample: edges are quantiles of all kinds together."""
 
     def features(iterator):
         for t in batches(iterator):
             x = shape(t.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("good").to_numpy().astype(np.int64)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["good", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("label").to_numpy().astype(np.int64)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["good", "x"])
 
-    # At most about max_training_docs rows of a few numbers.
+    # A few numbers a row of the bounded sample.
     sample = rows.mapInArrow(features, "good bigint, x array<double>").collect()
     good = np.array([r["good"] for r in sample], float)
     if not len(good) or good.min() == good.max():
@@ -95,12 +95,7 @@ def evidence(model: dict, x: np.ndarray) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame, max_training_docs: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """``doc_id, host, path, evidence, host_rate, path_rate, score, keep`` for every row."""
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["source"].cast("string").alias("host"), docs["lang"].cast("string").alias("path"))
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good in (0, 1)").groupBy("doc_id").agg(F.max("good").alias("good"))
-    n = known.count()
-    if n > max_training_docs:
-        known = known.where(F.expr(f"pmod(xxhash64(doc_id, 2), 1000000) < {int(1e6 * max_training_docs / n)}"))
-    # The sample's size is bounded, so it can go to every task.
-    model = train(docs.join(F.broadcast(known), "doc_id").select("text", "good"), max_training_docs)
+    model = train(training_sample(docs.select("doc_id", "text"), labels, "quality", max_training_docs))
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(iterator):
@@ -131,10 +126,11 @@ def classify(docs: DataFrame, labels: DataFrame, max_training_docs: int = 20_000
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     share = float(total["s"] / total["n"]) if total["n"] else 0.5
     a, b = strength(hosts), strength(paths)
-    hosts = hosts.select("host", ((F.col("s") + a * share) / (F.col("n") + a)).alias("host_rate"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     # Null hosts and paths are groups like others.
-    sites = paths.alias("p").join(hosts.alias("h"), F.expr("p.host <=> h.host")).select("p.host", "p.path", "n", "s", "host_rate")
-    joined = rated.alias("r").join(sites.alias("g"), F.expr("r.host <=> g.host and r.path <=> g.path")).select("doc_id", "r.host", "r.path", "evidence", "n", "s", "host_rate")
+    sites = paths.alias("p").join(hosts.alias("h"), F.expr("p.host <=> h.host")).select("p.host", "p.path", "n", "s", "host_n", "host_s")
+    joined = rated.alias("r").join(sites.alias("g"), F.expr("r.host <=> g.host and r.path <=> g.path")).select("doc_id", "r.host", "r.path", "evidence", "n", "s", "host_n", "host_s")
+    joined = joined.withColumn("host_rate", (F.col("host_s") - F.col("evidence") + a * share) / (F.col("host_n") - 1 + a))
     path_rate = (F.col("s") - F.col("evidence") + b * F.col("host_rate")) / (F.col("n") - 1 + b)
     joined = joined.withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4)))
     logit = lambda c: F.log(c / (1 - c))
