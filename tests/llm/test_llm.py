@@ -156,6 +156,41 @@ def test_quality_shrinks_sparse_sites(spark):
     assert rate["bad"] < rate["lone"] < rate["big"]
 
 
+def test_quality_posteriors_brute_force(spark, docs, labels):
+    """Posteriors and scores of every row from its evidence, in plain Python; hosts and paths of one row and of null among them."""
+    found = quality.classify(docs, labels).collect() + quality.op2_quality(spark, DATA).collect()
+    for part in (found[: docs.count()], found[docs.count() :]):
+        ev = [(r["host"], r["path"], r["evidence"]) for r in part]
+        share = sum(e for *_, e in ev) / len(ev)
+
+        def sums(key):
+            out = {}
+            for h, p, e in ev:
+                n, s = out.get(key(h, p), (0, 0.0))
+                out[key(h, p)] = (n + 1, s + e)
+            return out
+
+        def strength(groups):
+            n, s = sum(n for n, _ in groups), sum(s for _, s in groups)
+            if not n or len(groups) < 2:
+                return 100.0
+            m = s / n
+            between = sum(s * s / n for n, s in groups) - n * m * m - (len(groups) - 1) * m * (1 - m)
+            variance = max(between / max(n - sum(k * k for k, _ in groups) / n, 1e-9), 1e-9)
+            return min(max(m * (1 - m) / variance - 1, 1.0), 1e4)
+
+        hosts, paths = sums(lambda h, p: h), sums(lambda h, p: (h, p))
+        a, b = strength(list(hosts.values())), strength(list(paths.values()))
+        odds = lambda x: np.log(x / (1 - x))
+        for r in part:
+            e, (hn, hs), (pn, ps) = r["evidence"], hosts[r["host"]], paths[r["host"], r["path"]]
+            host = (hs - e + a * share) / (hn - 1 + a)
+            path = min(max((ps - e + b * host) / (pn - 1 + b), 1e-4), 1 - 1e-4)
+            score = 1 / (1 + np.exp(-(odds(e) + odds(path) - odds(share))))
+            assert (r["host_rate"], r["path_rate"], r["score"]) == pytest.approx((host, path, score), abs=1e-5)
+            assert r["keep"] == (r["score"] >= 0.5)
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -514,6 +549,97 @@ def test_maximal_segments():
         assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores)]
 
 
+def brute_toxic(data, marks, fold_of):
+    """Scores of every text in plain Python: lexicons of strings, segments by their definition, Gumbel fit, pooled rates."""
+    import math
+    from collections import Counter, defaultdict
+
+    def features(t):
+        out = []
+        for w in alnum(t):
+            b = w.encode()
+            out.append([("w", b)] + [(k, b[:k]) for k in toxicity.PREFIXES if len(b) > k])
+        return out
+
+    train = [(fold_of[i], marks[i], t) for i, t in data if i in marks]
+    total = Counter(y for _, y, _ in train)
+
+    def lexicon(rows):
+        n = Counter(y for _, y, _ in rows)
+        d, y = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for _, toxic, t in rows:
+            for f, c in Counter(f for fs in features(t) for f in fs).items():
+                d[f][toxic] += 1
+                y[f][toxic] += round(toxicity.UNIT * (1 + math.log2(c)))
+        d = {f: c for f, c in d.items() if c[1] >= 3}
+        p, out = n[1] / (n[1] + n[0]), {}
+        for f, (d0, d1) in d.items():
+            q = d1 / (d1 + d0)
+            part = lambda a, b: a * math.log(a / b) if a > 0 else 0.0
+            if q <= p or (d1 + d0) * (part(q, p) + part(1 - q, 1 - p)) <= math.log(max(len(d), 1)):
+                continue
+            y1, y0 = y[f][1] / toxicity.UNIT, y[f][0] / toxicity.UNIT
+            share = (y1 + y0) / (n[1] + n[0])
+            a1, a0 = 0.5 * share * n[1] / (n[1] + n[0]) + 0.05, 0.5 * share * n[0] / (n[1] + n[0]) + 0.05
+            odds = math.log((y1 + a1) / (y0 + a0))
+            sigma = math.sqrt(1 / (y1 + a1 + 0.5) + 1 / (y0 + a0 + 0.5))
+            if odds - sigma * 0.5 > 0.5 and odds - math.log(n[1] / n[0]) > 2 * sigma:
+                out[f] = odds - sigma * 0.5
+        return out
+
+    def segments(t, lex):
+        scores = [max((lex.get(f, 0.0) for f in fs), default=0.0) or -0.05 for fs in features(t)]
+        places = [k for k, s in enumerate(scores) if s > 0]
+        return len(scores), [s for *_, s in toxicity.max_segments(places, [scores[k] for k in places], len(scores), -0.05)]
+
+    by_fold = [lexicon([r for r in train if r[0] != k]) for k in range(toxicity.FOLDS)]
+    maxima = [(*segments(t, by_fold[k]), k) for k, y, t in train if y == 0]
+    maxima = [(n, max(s, default=0.0), min(by_fold[k].values(), default=math.inf)) for n, s, k in maxima if n]
+    lam, k_ = toxicity.gumbel(*(np.array(x, float) for x in zip(*maxima)))
+
+    def statistic(t, lex):
+        n, s = segments(t, lex)
+        e = [k_ * n * math.exp(-min(lam * x, 700)) for x in s]
+        return min(sum(-math.log(max(x, 1e-300)) for x in e if x <= 0.5), 200.0)
+
+    bins = defaultdict(lambda: [0, 0])
+    for k, y, t in train:
+        b = bins[math.floor(statistic(t, by_fold[k]) / toxicity.BIN)]
+        b[0] += 1
+        b[1] += y
+    keys = sorted(bins)
+    # Pool adjacent violators by its max-min form.
+    n, hits = [bins[b][0] + 0.2 for b in keys], [bins[b][1] + 0.1 for b in keys]
+    rates = [max(min(sum(hits[a : b + 1]) / sum(n[a : b + 1]) for b in range(j, len(keys))) for a in range(j + 1)) for j in range(len(keys))]
+    final = lexicon(train)
+    scored = {}
+    for i, t in data:
+        at = sum(b * toxicity.BIN <= statistic(t, final) for b in keys[1:])
+        scored[i] = rates[at] if final and all(total[x] for x in (0, 1)) else total[1] / max(sum(total.values()), 1)
+    return scored, lam, k_
+
+
+def test_toxicity_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    known = {r["doc_id"]: r["toxic"] for r in marks.collect() if r["toxic"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id, 5), {toxicity.FOLDS})").collect()}
+    want, lam, k = brute_toxic(data, known, fold)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op9_toxicity(spark, d).collect()}
+    assert got.keys() == want.keys() and len(set(want.values())) > 1
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_gumbel_is_recovered():
+    rng = np.random.default_rng(2)
+    n = rng.integers(50, 3000, 4000).astype(float)
+    best = (np.log(0.02 * n) - np.log(-np.log(rng.random(4000)))) / 1.3
+    least = np.full(4000, 2.0)
+    lam, k = toxicity.gumbel(n, np.where(best < least, 0.0, best), least)
+    assert abs(lam - 1.3) < 0.08 and 0.5 < k / 0.02 < 2
+
+
 def test_toxicity_edges(spark, docs, rows, empty, labels):
     for marks in (labels, labels.limit(0), labels.where("toxic = 1")):
         found = toxicity.classify(docs, marks).collect()
