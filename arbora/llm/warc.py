@@ -10,12 +10,14 @@ Reading parses each file on its own; whole records pass on, segments are grouped
 and checked (numbers 1 to n without gap, total length, chunk framing, payload digest).
 
 Of records with equal payloads of at least ``least_revisit`` bytes the one with the smallest id is the response and
-the others are revisit records without payload that refer to it.
+the others are revisit records without payload that refer to its record by ``WARC-Refers-To``. A payload that very many
+pages share is written by several tasks (``SALTS``).
 
 Defined cases: null html is an empty payload; a null page_id is written without the id header and reads back
 as null; rows that repeat an id and a payload are written each on their own, those with the smallest id all as
 responses; an empty table gives an empty result; other columns are ignored. A broken or incomplete record
-comes back with its fault in ``problem`` rather than being dropped.
+comes back with its fault in ``problem`` rather than being dropped: damaged compression, bytes that are no record, a missing or
+wrong length, headers that are no numbers, a file that ends within a record; reading goes on at the file's next record.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import batches, shared_dir, table
+from arbora.llm._spark import batches, shared_dir, shuffle_partitions, table
 
-RECORD = "record_id string, origin_id string, record_type string, page_id bigint, url string, refers_to bigint, payload_digest string, payload_bytes bigint, segment int, total_length bigint, block binary"
+RECORD = "record_id string, origin_id string, record_type string, page_id bigint, url string, refers_to bigint, payload_digest string, payload_bytes bigint, segment int, total_length bigint, block binary, problem string"
+SALTS = 16
 RESULT = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, n_segments int, problem string"
 
 
@@ -47,6 +51,8 @@ def dechunked(body: bytes) -> bytes:
         if end < 0:
             raise ValueError("no chunk size")
         size = int(body[at:end].split(b";")[0].strip(), 16)
+        if size < 0:
+            raise ValueError("a chunk of negative size")
         at = end + 2
         if size == 0:
             return b"".join(parts)
@@ -66,26 +72,39 @@ def with_revisits(pages: DataFrame, least_revisit: int) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("n", F.octet_length("html").cast("bigint"))
     first = pages.where(F.col("n") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_id")
-    joined = pages.join(first, "digest", "left")
+    # Rows of one payload are dealt to SALTS tasks by their id, those of one id stand next to each other there.
+    salt = F.expr(f"pmod(xxhash64(coalesce(page_id, monotonically_increasing_id())), {SALTS})")
+    dealt = pages.withColumn("salt", salt).repartition(shuffle_partitions(pages.sparkSession), "digest", "salt").sortWithinPartitions("digest", "salt", "page_id")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    joined = dealt.join(first, ["digest", "salt"], "left")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.lit(False))
     return joined.select("page_id", "url", "html", "digest", "n", revisit.alias("revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
+def record_name(page_id: int | None, digest: str, occurrence: int) -> str:
+    """The id of a page's record: revisits name that of the first row of their first page; others that could clash are random."""
+    if page_id is None or occurrence:
+        return f"<urn:uuid:{uuid.uuid4()}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
 def write_archive(pages: DataFrame, path: str, least_revisit: int = 100, segment_bytes: int = 32 << 10, chunk_bytes: int = 8 << 10, records_per_file: int = 400) -> None:
     """Write a record for each row of ``page_id, url, html`` as gzip-compressed WARC files under ``path``."""
 
     def records(iterator):
+        before, occurrence = None, 0
         for t in batches(iterator, 2 << 20, "html"):
             out: list[bytes] = []
             for row in t.to_pylist():
                 payload = row["html"].encode()
-                page = "unknown" if row["page_id"] is None else row["page_id"]
                 # Ids are unique to the record, so that rows repeating a page_id stay apart.
-                record_id = f"<urn:page:{page}:{uuid.uuid4()}>"
+                occurrence = occurrence + 1 if (row["page_id"], row["digest"]) == before else 0
+                before = row["page_id"], row["digest"]
+                record_id = record_name(row["page_id"], row["digest"], occurrence)
                 url = re.sub(r"[\r\n]+", " ", row["url"]) if row["url"] is not None else None
                 about = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("X-Page-Id", row["page_id"]), ("WARC-Payload-Digest", f"sha256:{row['digest']}"), ("X-Payload-Length", row["n"])]
                 if row["revisit"]:
-                    about += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")]
+                    about += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_name(row["refers_to"], row["digest"], 0)), ("X-Refers-To-Page", row["refers_to"])]
                     out.append(header([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), *about, ("Content-Length", 0)]))
                     continue
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
@@ -106,56 +125,89 @@ def write_archive(pages: DataFrame, path: str, least_revisit: int = 100, segment
 
 
 def parse_records(data: bytes):
-    """The records of one archive file as (headers with lower-case names, block). ValueError if the file is cut short."""
+    """The records of one archive file as (headers with lower-case names, block, fault or None).
+
+    After a fault, parsing goes on where the next line begins a record.
+    """
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):
             at += 2
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
-            name, _, value = line.partition(b":")
-            fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-        size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError("a record is cut short")
-        yield fields, block
-        at = end + 4 + size
+        end, fields, fault = data.find(b"\r\n\r\n", at), {}, None
+        if not data.startswith(b"WARC/", at) or end < 0:
+            fault = f"no WARC record at byte {at}"
+        else:
+            for line in data[at:end].split(b"\r\n")[1:]:
+                name, _, value = line.partition(b":")
+                fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+            if not re.fullmatch(r"\d+", fields.get("content-length", "")):
+                fault = "no length"
+            elif end + 4 + int(fields["content-length"]) > len(data):
+                fault = "the file ends within the record"
+            elif data[(stop := end + 4 + int(fields["content-length"])) : stop + 4] not in (b"\r\n\r\n", b"\r\n", b""):
+                fault = "the length does not hold"
+        if fault is None:
+            yield fields, data[end + 4 : stop], None
+            at = stop
+        else:
+            yield fields, b"", fault
+            after = data.find(b"\r\nWARC/", at + 1)
+            at = len(data) if after < 0 else after + 2
+
+
+def inflated(data: bytes) -> tuple[bytes, str | None]:
+    """The plain bytes of a file that may be gzip-compressed, in one member or one a record; what could be read, and a fault."""
+    plain = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            plain.append(z.decompress(data))
+        except zlib.error as e:
+            return b"".join(plain), f"damaged compression: {e}"
+        if not z.eof:
+            return b"".join(plain), "the compressed file is cut short"
+        data = z.unused_data
+    return b"".join([*plain, data]), None
+
+
+def _record(h: dict, block: bytes, fault: str | None) -> tuple:
+    def number(name: str) -> int | None:
+        nonlocal fault
+        if h.get(name) and not re.fullmatch(r"-?\d{1,18}", h[name]):
+            fault = fault or f"{name} is no number"
+            return None
+        return int(h[name]) if h.get(name) else None
+
+    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    segment = number("warc-segment-number")
+    if segment is not None and not 0 < segment < 1 << 31:
+        segment, fault = None, fault or "warc-segment-number is out of range"
+    row = (h.get("warc-record-id"), h.get("warc-segment-origin-id"), h.get("warc-type"), number("x-page-id"), h.get("warc-target-uri"), number("x-refers-to-page"), digest, number("x-payload-length"), segment, number("warc-segment-total-length"))
+    return *row, block, fault
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the files under ``path`` (plain or gzip; see ``RECORD``)."""
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
 
     def parse(iterator):
-        import zlib
-
-        names = [c.split()[0] for c in RECORD.split(", ")]
-        kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
         for batch in iterator:
             for k in range(batch.num_rows):
-                data = batch.column("content")[k].as_py()
-                if data[:2] == b"\x1f\x8b":
-                    plain, rest = [], data
-                    while rest:  # one member a file, or one a record
-                        z = zlib.decompressobj(31)
-                        plain.append(z.decompress(rest))
-                        rest = z.unused_data
-                    data = b"".join(plain)
+                data, fault = inflated(batch.column("content")[k].as_py())
                 rows, size = [], 0
-                for h, block in parse_records(data):
-                    refers = re.search(r"<urn:page:(-?\d+)>", h.get("warc-refers-to", ""))
-                    number = lambda name: int(h[name]) if h.get(name) else None  # noqa: B023, E731
-                    rows.append((h.get("warc-record-id"), h.get("warc-segment-origin-id"), h.get("warc-type"), number("x-page-id"), h.get("warc-target-uri"), int(refers[1]) if refers else None, h.get("warc-payload-digest", "").removeprefix("sha256:") or None, number("x-payload-length"), number("warc-segment-number"), number("warc-segment-total-length"), block))
+                for h, block, wrong in parse_records(data):
+                    rows.append(_record(h, block, wrong))
                     size += len(block)
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                        yield batch_of(rows)
                         rows, size = [], 0
+                if fault:
+                    rows.append(_record({}, b"", fault))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
 
@@ -163,10 +215,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassemble(records: DataFrame) -> DataFrame:
     """One row for each response or revisit record, with ``parts``: its blocks in segment order."""
     part = F.struct(F.coalesce("segment", F.lit(1)).alias("segment"), "total_length", "block")
-    whole = records.where("record_type <> 'continuation' and segment is null").withColumns({"parts": F.array(part), "split": F.lit(False)})
+    # A faulty record stands for itself; a segment that is missing for it is then found missing.
+    alone = F.col("problem").isNotNull() | (F.coalesce("record_type", F.lit("")) != "continuation") & F.col("segment").isNull()
+    whole = records.where(alone).withColumns({"parts": F.array(part), "split": F.lit(False)})
     # Only records that were split meet in a shuffle; a group is the segments of one payload.
-    split = records.where("record_type = 'continuation' or segment is not null").withColumn("key", F.coalesce("origin_id", "record_id")).withColumn("part", part)
-    about = ["record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes"]
+    split = records.where(~alone).withColumn("key", F.coalesce("origin_id", "record_id")).withColumn("part", part)
+    about = ["record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes", "problem"]
     head = F.max(F.when(F.col("record_type") != "continuation", F.struct(*about))).alias("head")
     joined = split.groupBy("key").agg(head, F.sort_array(F.collect_list("part")).alias("parts"))
     return whole.select(*about, "parts", "split").unionByName(joined.select("head.*", "parts", F.lit(True).alias("split")))
@@ -183,7 +237,9 @@ def decode_payloads(assembled: DataFrame, keep_payload: bool = False) -> DataFra
             for r in batch.to_pylist():
                 parts, payload, problem = r["parts"], None, None
                 try:
-                    if r["record_type"] is None:
+                    if r["problem"] is not None:
+                        raise ValueError(r["problem"])
+                    if r["record_type"] is None and r["split"]:
                         raise ValueError("continuation records without their first one")
                     block = b"".join(p["block"] for p in parts)
                     if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
