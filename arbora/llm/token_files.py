@@ -1,7 +1,7 @@
 """Token-id files: Parquet list columns in id order, with dictionary or delta encoding, row groups and page indexes.
 
-Each row is one document: ``doc_id``, ``n_tokens``, ``ids``. Files are range-partitioned and sorted by ``doc_id``,
-so a filter on ``doc_id`` skips files and row groups by their statistics and pages by the page index, and
+Each row is one document: ``doc_id``, ``n_tokens``, ``ids``. Files are range-partitioned and sorted by ``doc_id``, rows of
+one ``doc_id`` by their place in the input (so they may fill several files), and the index follows the files' order. So a filter on ``doc_id`` skips files and row groups by their statistics and pages by the page index, and
 a read of ``doc_id, n_tokens`` never touches the ids.
 
 Defined cases: a null text is the empty text and still gets its end id; a null ``doc_id`` sorts first; repeated
@@ -23,7 +23,8 @@ FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` in ascending ``doc_id`` order over the partitions."""
-    ordered = id_text(docs, id_col, text_col).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = id_text(docs, id_col, text_col).withColumn("place", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place")
 
     def encode(iterator):
         for t in batches(iterator, 4 << 20):
@@ -73,12 +74,14 @@ def checked_index(spark: SparkSession, path: str) -> DataFrame:
             lists = batch.column("ids")
             values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             crc = [crc32_ids(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32"])
-
-    rows = read_tokens(spark, path).select("doc_id", "ids").mapInArrow(sums, "doc_id bigint, n_tokens bigint, ids_crc32 bigint")
-    rows = written(rows, "token-index")  # three numbers a document: sorting them must not decode the ids again
-    # Documents of equal id are ordered by what they hold, so that the order is total.
-    return global_prefix(rows, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "row", "n_tokens", "ids_crc32"])
+
+    # Files are numbered by the partition that wrote them; a row's place in its file is known to the reader.
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint").alias("file")
+    rows = read_tokens(spark, path).select("doc_id", "ids", number, F.col("_metadata.row_index").alias("row"))
+    rows = rows.mapInArrow(sums, "doc_id bigint, file bigint, row bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = written(rows, "token-index")  # a few numbers a document: sorting them must not decode the ids again
+    return global_prefix(rows, ["file", "row"], "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
