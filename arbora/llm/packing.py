@@ -81,7 +81,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
 
     coded = id_text(docs, id_col, text_col).mapInArrow(encode, "doc_id bigint, hilbert_key bigint, doc_tokens bigint, blob binary")
     coded = written(coded.withColumn("row", F.monotonically_increasing_id()), "pack-tokens")
-    starts = global_prefix(coded.select("hilbert_key", "doc_id", "row", "doc_tokens"), ["hilbert_key", "doc_id", "row"], "doc_tokens", "at")
+    # The ids travel along, so that pieces come out in the order of the stream but for where a file begins.
+    placed = global_prefix(coded, ["hilbert_key", "doc_id", "row"], "doc_tokens", "at").select("doc_id", "hilbert_key", "doc_tokens", "blob", "at")
 
     def cut(iterator):
         for batch in iterator:
@@ -98,7 +99,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, separator: int = 0
                     begin += size
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], names=list(out))
 
-    placed = coded.select("row", "blob").join(starts, "row").select("doc_id", "hilbert_key", "doc_tokens", "blob", "at")
     return placed.mapInArrow(cut, "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, hilbert_key bigint")
 
 
