@@ -45,6 +45,30 @@ TEMPLATES = [
     ("mit", "Released under the MIT License", ["mit license"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products"]),
+    ("bsd-4-clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement", ["advertising materials"]),
+    ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", ["bsd style license"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee", "and or distribute"]),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED", ["with or without fee is hereby granted the software"]),
+    ("lgpl-2.1-or-later", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", ["lesser general public license", "version 2 1 of the license"]),
+    ("lgpl-3.0-or-later", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["lesser general public license", "version 3 of the license"]),
+    ("agpl-3.0-or-later", "redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["affero general public license"]),
+    ("cc0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ["public domain worldwide"]),
+    ("cc0-1.0", "licensed under CC0 1.0 Universal", ["cc0 1 0"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", ["you want to public license"]),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ["will the authors be held liable"]),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", ["boost software license"]),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    ("epl-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0", ["eclipse public license v1 0"]),
+    ("cddl-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License", ["common development and distribution license"]),
+    ("artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0)", ["artistic license 2 0"]),
+    ("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1", ["sil open font license"]),
+    ("psf-2.0", "Licensed under the Python Software Foundation License Version 2", ["python software foundation license"]),
+    ("cc-by-sa-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["attribution sharealike 4 0"]),
+    ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["attribution noncommercial 4 0"]),
+    ("cc-by-nd-4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["attribution noderivatives 4 0"]),
+    ("ms-pl", "This source is subject to the Microsoft Public License", ["microsoft public license"]),
 ]
 
 
