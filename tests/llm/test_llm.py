@@ -122,8 +122,51 @@ def test_warc_faults_are_named(spark, pages):
     assert {r["problem"] for r in warc.decode_payloads(warc.reassemble(cut)).collect()} <= {"segments are missing or repeated", "the total length does not hold"}
     headless = records.where("record_type = 'continuation'")
     assert {r["problem"] for r in warc.decode_payloads(warc.reassemble(headless)).collect()} == {"continuation records without their first one"}
-    with pytest.raises(ValueError):
-        list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+
+
+def test_warc_damaged_files(spark, pages, tmp_path):
+    """Every fault comes back with its name, and sound records around it are read."""
+    import gzip
+
+    record = lambda n, length=3, body=b"abc", more="": f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r{n}>\r\n{more}Content-Length: {length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    odd = b"junk\r\n" + record(1) + record(2).replace(b"Content-Length: 3\r\n", b"") + record(3) + record(4, "x") + record(5, more="X-Page-Id: seven\r\n") + record(6, 2) + record(7, more="WARC-Segment-Number: -4\r\n") + record(8)
+    (tmp_path / "odd.warc").write_bytes(odd + record(9, 50))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record(10))[:-6])
+    (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(record(11)) + b"\x1f\x8b\x08\x00garbage garbage garbage")
+    (tmp_path / "none.warc").write_bytes(b"")
+    read = warc.read_records(spark, f"{tmp_path}/*.warc*")
+    rows = {(r["record_id"], r["problem"]) for r in read.collect()}
+    assert {i for i, p in rows if p is None} >= {"<r1>", "<r3>", "<r8>", "<r11>"}
+    faults = " ".join(p for _, p in rows if p)
+    for said in ("no WARC record at byte 0", "no length", "is no number", "does not hold", "out of range", "ends within", "cut short", "damaged"):
+        assert said in faults, said
+    found = warc.decode_payloads(warc.reassemble(read)).collect()
+    assert sum(r["problem"] is None for r in found) >= 4 and {r["problem"] for r in found} >= {p for _, p in rows}
+
+
+def test_warc_revisits_name_records(spark, pages, tmp_path):
+    """WARC-Refers-To is the id of a response in the archive, of the page that the revisit refers to; no id stands twice."""
+    df, _ = pages
+    path = shared_dir(spark, "warc-test")
+    warc.write_archive(df, path)
+    import glob
+    import gzip
+
+    found = [h for f in glob.glob(path.removeprefix("file://") + "/*.gz") for h, _, fault in warc.parse_records(gzip.open(f).read())]
+    ids = {h["warc-record-id"]: h for h in found}
+    assert len(ids) == len(found)
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert len(revisits) > 2
+    for h in revisits:
+        first = ids[h["warc-refers-to"]]
+        assert first["warc-type"] == "response" and first["x-page-id"] == h["x-refers-to-page"] and first["warc-payload-digest"] == h["warc-payload-digest"]
+
+
+def test_warc_empty(spark, pages):
+    df, _ = pages
+    path = shared_dir(spark, "warc-test")
+    warc.write_archive(df.limit(0), path)
+    assert warc.decode_payloads(warc.reassemble(warc.read_records(spark, path))).count() == 0
 
 
 def test_chunks():
@@ -480,6 +523,18 @@ def test_packing_round_trip(spark, docs, rows, empty):
         parts = sorted(by[i])
         joined = [x for _, _, part in parts for x in part]
         assert joined == ids * (2 if i == 5 else 1) or i == 5
+    # Rows that repeat an id, and those without one, are packed as rows of their own.
+    for i in (5, None):
+        rows_of = [x + [0] for j, x in encoded([r[:2] for r in rows]) if j == i]
+        starts = [p for p in by[i] if p[0] == 0]
+        assert len(starts) == len(rows_of) and sum(len(x) for *_, x in by[i]) == sum(map(len, rows_of))
+    # The stream follows the curve, and pieces come in its order but for where a range's file begins.
+    stream = sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))
+    keys = [p["hilbert_key"] for p in stream]
+    assert keys == sorted(keys)
+    assert sum((a["sequence_id"] * 64 + a["offset"] + a["length"]) != b["sequence_id"] * 64 + b["offset"] for a, b in zip(pieces, pieces[1:])) < 4
+    own = {i: int(packing.hilbert_key(packing.document_points(pa.array([t])), packing.BITS)[0]) for i, t, *_ in rows if i is not None}
+    assert all(p["hilbert_key"] == own[p["doc_id"]] for p in pieces if p["doc_id"] is not None)
     assert packing.pack(empty, default_tokenizer()).count() == 0
 
 
@@ -509,6 +564,29 @@ def test_token_files(spark, docs, rows, encoding):
     assert token_files.read_metadata(spark, path).count() == len(rows)
 
 
+def test_token_files_repeated_ids(spark, empty):
+    """``start`` says where a row's ids stand in the files read one after the other, also among rows of one id."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(6)
+    data = [(5, phrase(rng, 50)), (5, "short"), (5, phrase(rng, 9)), (None, phrase(rng, 20)), (None, "a"), (4, "b"), (5, "short"), (6, None)] + [(7, phrase(rng, k % 13)) for k in range(40)]
+    path = shared_dir(spark, "tokens-test")
+    token_files.write_token_files(token_files.encode_documents(spark.createDataFrame(data, "doc_id bigint, text string").repartition(3), default_tokenizer(), 2), path)
+    stored = [r for f in sorted(glob.glob(path.removeprefix("file://") + "/*.parquet")) for r in pq.read_table(f).to_pylist()]
+    stream = [i for r in stored for i in r["ids"]]
+    found = token_files.checked_index(spark, path).collect()
+    assert len(found) == len(data)
+    for r in found:
+        part = stream[r["start"] : r["start"] + r["n_tokens"]]
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+    assert [r["doc_id"] for r in stored] == sorted((i for i, _ in data), key=lambda i: (i is not None, i))
+    path = shared_dir(spark, "tokens-test")
+    token_files.write_token_files(token_files.encode_documents(empty, default_tokenizer(), 2), path)
+    assert token_files.checked_index(spark, path).count() == 0
+
+
 def test_token_files_have_page_indexes(spark, docs):
     import glob
 
