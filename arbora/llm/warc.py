@@ -74,9 +74,9 @@ def with_revisits(pages: DataFrame, least_revisit: int) -> DataFrame:
     first = pages.where(F.col("n") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_id")
     # Rows of one payload are dealt to SALTS tasks by their id, those of one id stand next to each other there.
     salt = F.expr(f"pmod(xxhash64(coalesce(page_id, monotonically_increasing_id())), {SALTS})")
-    dealt = pages.withColumn("salt", salt).repartition(shuffle_partitions(pages.sparkSession), "digest", "salt").sortWithinPartitions("digest", "salt", "page_id")
+    dealt = pages.withColumn("salt", salt).repartition(shuffle_partitions(pages.sparkSession), "digest", "salt")
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    joined = dealt.join(first, ["digest", "salt"], "left")
+    joined = dealt.join(first, ["digest", "salt"], "left").sortWithinPartitions("digest", "salt", "page_id")
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")), F.lit(False))
     return joined.select("page_id", "url", "html", "digest", "n", revisit.alias("revisit"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
