@@ -27,14 +27,16 @@ def assign_classes(trees: DataFrame, classes: DataFrame, genus: str = "genus") -
 
     A conifer genus is labelled as conifer, another one by its own class, the rest as other deciduous.
     """
-    groups = classes.where(F.col("class_name").isin(CONIFER_CLASS, OTHER_CLASS)).groupBy("class_name").agg(F.max("class_id").alias("class_id")).collect()
+    # Names as those of the trees; of a name that stands twice the last row counts.
+    classes = classes.select(normalize_genus(F.col("class_name")).alias("class_name"), "class_id", F.monotonically_increasing_id().alias("_place"))
+    groups = classes.where(F.col("class_name").isin(CONIFER_CLASS, OTHER_CLASS)).groupBy("class_name").agg(F.max_by("class_id", "_place").alias("class_id")).collect()
     ids = {r["class_name"]: r["class_id"] for r in groups}  # two rows at most
     missing = {CONIFER_CLASS, OTHER_CLASS} - set(ids)
     if missing:
         raise ValueError(f"classes missing from the table: {sorted(missing)}")
     named = trees.withColumn(genus, normalize_genus(F.col(genus))).where(F.col(genus) != "")
     group = F.when(F.col(genus).isin(CONIFERS), CONIFER_CLASS).otherwise(F.col(genus))
-    unique = classes.groupBy("class_name").agg(F.max("class_id").alias("training_class"))
+    unique = classes.groupBy("class_name").agg(F.max_by("class_id", "_place").alias("training_class"))
     found = named.withColumn("_group", group).join(unique.withColumnRenamed("class_name", "_group"), "_group", "left")
     return found.withColumn("training_class", F.coalesce("training_class", F.lit(ids[OTHER_CLASS]))).drop("_group")
 

@@ -85,7 +85,7 @@ def percentile_stretch(pixels: DataFrame, keys: list[str], low: float = 0.02, hi
 
 def draw(keys: list[str], seed: int, salt: str = "") -> Column:
     """A number in [0, 1) from the row's key: the same in every run and for every partitioning."""
-    return F.expr(f"pmod(xxhash64({', '.join(keys)}, {seed}, '{salt}'), 1000003)") / 1000003.0
+    return F.expr(f"cast(conv(substr(md5(concat_ws('|', {', '.join(keys)}, {seed}, '{salt}')), 1, 8), 16, 10) as double)") / 4294967296.0
 
 
 def flip_boxes(boxes: DataFrame, width: float, keys: list[str], p: float = 0.5, seed: int = 0) -> DataFrame:
@@ -95,46 +95,65 @@ def flip_boxes(boxes: DataFrame, width: float, keys: list[str], p: float = 0.5,
 
 
 def augment_geometry(pixels: DataFrame, size: int, key: str, seed: int = 0, crop: float = 0.8) -> DataFrame:
-    """Crop with nearest resize (p 0.5), flips (p 0.5 each) and a quarter turn (p 0.5) of square chips, as pixel index algebra."""
+    """Crop with bilinear resize (p 0.5), flips (p 0.5 each) and a turn by 0 to 3 quarters (p 0.5) of square chips, as pixel index algebra."""
     inner = max(1, int(size * crop))
     u = lambda salt: draw([key], seed, salt)
     cropped = u("crop") < 0.5
     top, left = F.floor(u("top") * (size - inner + 1)), F.floor(u("left") * (size - inner + 1))
     grid = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    # Each target pixel names its source pixel.
     chips = pixels.select(key).distinct().withColumn("row", grid).withColumn("col", grid)
     r, c = F.col("row"), F.col("col")
     turn = F.when(u("turn") < 0.5, F.floor(u("angle") * 4)).otherwise(0)
-    r1 = F.when(turn == 1, size - 1 - c).when(turn == 2, size - 1 - r).when(turn == 3, c).otherwise(r)
-    c1 = F.when(turn == 1, r).when(turn == 2, size - 1 - c).when(turn == 3, size - 1 - r).otherwise(c)
+    r1 = F.when(turn == 1, c).when(turn == 2, size - 1 - r).when(turn == 3, size - 1 - c).otherwise(r)
+    c1 = F.when(turn == 1, size - 1 - r).when(turn == 2, size - 1 - c).when(turn == 3, r).otherwise(c)
     r2 = F.when(u("v") < 0.5, size - 1 - r1).otherwise(r1)
     c2 = F.when(u("h") < 0.5, size - 1 - c1).otherwise(c1)
-    chips = chips.withColumn("_r", F.when(cropped, top + F.floor(r2 * inner / size)).otherwise(r2).cast("int")).withColumn("_c", F.when(cropped, left + F.floor(c2 * inner / size)).otherwise(c2).cast("int"))
-    source = pixels.withColumnsRenamed({"row": "_r", "col": "_c"})
-    return chips.join(source, [key, "_r", "_c"]).drop("_r", "_c")
+    # Centres of pixels map to the cropped window; a target pixel is a mean of up to four source pixels.
+    inside = lambda x: F.least(F.greatest((x + 0.5) * inner / size - 0.5, F.lit(0.0)), F.lit(inner - 1.0))
+    y, x = F.when(cropped, inside(r2)).otherwise(r2.cast("double")), F.when(cropped, inside(c2)).otherwise(c2.cast("double"))
+    edge = F.when(cropped, inner - 1).otherwise(size - 1)
+    chips = chips.select(key, "row", "col", y.alias("_y"), x.alias("_x"), edge.alias("_e"), F.when(cropped, top).otherwise(0).alias("_t"), F.when(cropped, left).otherwise(0).alias("_l"))
+    corner = lambda dy, dx: F.struct(
+        (F.col("_t") + F.least(F.floor("_y") + dy, F.col("_e"))).cast("int").alias("r"), (F.col("_l") + F.least(F.floor("_x") + dx, F.col("_e"))).cast("int").alias("c"),
+        (F.abs(1 - dy - (F.col("_y") - F.floor("_y"))) * F.abs(1 - dx - (F.col("_x") - F.floor("_x")))).alias("w"))
+    chips = chips.select(key, "row", "col", F.explode(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("_p"))
+    chips = chips.select(key, "row", "col", F.col("_p.r").alias("_r"), F.col("_p.c").alias("_c"), F.col("_p.w").alias("_w")).where("_w > 0")
+    source = pixels.select(key, "band", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    return chips.join(source, [key, "_r", "_c"]).groupBy(key, "band", "row", "col").agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
 
 
-def augment_light(pixels: DataFrame, key: str, seed: int = 0, brightness: float = 0.2, noise: float = 0.05, height_noise: float = 0.02, height_p: float = 0.3) -> DataFrame:
-    """Brightness of bands 1 to 4, noise on all of them, noise on band 5 with ``height_p``; values stay in 0..1.
+def _clamped(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
-    The draws of noise are hashes of the pixel's place (Box and Muller), so runs repeat.
-    """
-    place = [key, "band", "row", "col"]
-    normal = F.sqrt(-2 * F.log(1 - draw(place, seed, "a"))) * F.cos(2 * 3.141592653589793 * draw(place, seed, "b"))
-    gain = 1 - brightness + 2 * brightness * draw([key], seed, "gain")
-    colour = F.col("value") * gain + noise * normal
-    height = F.when(draw([key], seed, "height") < height_p, F.col("value") + height_noise * normal).otherwise(F.col("value"))
-    out = F.when(F.col("band") <= 4, colour).otherwise(height)
-    return pixels.withColumn("value", F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
 
+def _normal(place: list[str], seed: int, salt: str = "") -> Column:
+    """A standard normal number from hashes of the pixel's place (Box and Muller), so runs repeat."""
+    return F.sqrt(-2 * F.log(1 - draw(place, seed, f"{salt}a"))) * F.cos(2 * 3.141592653589793 * draw(place, seed, f"{salt}b"))
 
-def augment_detector(pixels: DataFrame, key: str, seed: int = 0, p: float = 0.5, drop: float = 0.1) -> DataFrame:
-    """Gain, noise and drop-out of the near-infrared band; scale, shift, noise and drop-out of the height band."""
-    place = [key, "band", "row", "col"]
-    normal = F.sqrt(-2 * F.log(1 - draw(place, seed, "a"))) * F.cos(2 * 3.141592653589793 * draw(place, seed, "b"))
+
+def augment_light(pixels: DataFrame, key: str, seed: int = 0, brightness: float = 0.2, noise: float = 0.05, height_noise: float = 0.02, p: float = 0.5, height_p: float = 0.3) -> DataFrame:
+    """Brightness and then noise of bands 1 to 4, each with its own draw of ``p``; noise on band 5 with ``height_p``; each step ends within 0..1."""
+    on = lambda salt, prob: draw([key], seed, salt) < prob
+    normal, v = _normal([key, "band", "row", "col"], seed), F.col("value")
+    lit = F.when(on("light", p), _clamped(v * (1 - brightness + 2 * brightness * draw([key], seed, "gain")))).otherwise(v)
+    colour = F.when(on("noise", p), _clamped(lit + noise * normal)).otherwise(lit)
+    height = F.when(on("height", height_p), _clamped(v + height_noise * normal)).otherwise(v)
+    return pixels.withColumn("value", F.when(F.col("band") <= 4, colour).when(F.col("band") == 5, height).otherwise(v))
+
+
+# Probabilities and ranges of the detector's augmentation.
+DETECTOR = {"nir_gain": (0.6, 0.85, 0.30), "nir_noise": (0.3, 0.01, 0.02), "nir_drop": 0.03, "h_scale": (0.6, 0.95, 0.10), "h_shift": 0.10, "h_noise": (0.25, 0.01), "h_drop": 0.03}
+
+
+def augment_detector(pixels: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Gain, noise and drop-out of band 4; scale with shift, noise and drop-out of band 5. Each has its own draw (``DETECTOR``) and ends within 0..1."""
     on = lambda salt, prob: draw([key], seed, salt) < prob
-    v = F.col("value")
-    nir = F.when(on("nir_drop", drop), 0.0).when(on("nir", p), v * (0.8 + 0.4 * draw([key], seed, "nir_gain")) + 0.02 * normal).otherwise(v)
-    height = F.when(on("h_drop", drop), 0.0).when(on("h", p), v * (0.9 + 0.2 * draw([key], seed, "h_scale")) + 0.1 * (draw([key], seed, "h_shift") - 0.5) + 0.02 * normal).otherwise(v)
-    out = F.when(F.col("band") == 4, nir).when(F.col("band") == 5, height).otherwise(v)
-    return pixels.withColumn("value", F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0)))
+    normal, v, d = _normal([key, "band", "row", "col"], seed), F.col("value"), DETECTOR
+    between = lambda salt, low, wide: low + wide * draw([key], seed, salt)
+    nir = F.when(on("nir", d["nir_gain"][0]), _clamped(v * between("nir_gain", *d["nir_gain"][1:]))).otherwise(v)
+    nir = F.when(on("nir_noise", d["nir_noise"][0]), _clamped(nir + between("nir_std", *d["nir_noise"][1:]) * normal)).otherwise(nir)
+    nir = F.when(on("nir_drop", d["nir_drop"]), 0.0).otherwise(nir)
+    height = F.when(on("h", d["h_scale"][0]), _clamped(v * between("h_scale", *d["h_scale"][1:]) + d["h_shift"] * (draw([key], seed, "h_shift") - 0.5))).otherwise(v)
+    height = F.when(on("h_noise", d["h_noise"][0]), _clamped(height + d["h_noise"][1] * normal)).otherwise(height)
+    height = F.when(on("h_drop", d["h_drop"]), 0.0).otherwise(height)
+    return pixels.withColumn("value", F.when(F.col("band") == 4, nir).when(F.col("band") == 5, height).otherwise(v))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.operators.matching import dense
+from arbora.plans.workspace import stored
 
 
 def class_confusion(rows: DataFrame, n_classes: int, truth: str = "y", pred: str = "p") -> DataFrame:
@@ -127,7 +128,8 @@ _MATCHED = "image_id bigint, cls int, area string, t int, det_id bigint, score d
 
 
 def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
-    """``metric, value``: AP at IoU .5:.95, .5 and .75 and by size, AR with 1, 10, 100 detections and by size; null where nothing counts.
+    """``metric, value``: AP at IoU .5:.95, .5 and .75 and by size, AR with 1, 10, 100 detections and by size; null where nothing counts,
+    and all of them without any detection.
 
     ``dets``: image_id, cls, det_id, score, x1..y2; ``truths``: image_id, cls, gt_id, x1..y2. Images and classes are matched
     each on its own (a group is one image's boxes); the curves are windows by falling score.
@@ -146,6 +148,8 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     matched = d.groupBy("image_id").cogroup(g.groupBy("g_image")).applyInPandas(match, _MATCHED)
+    matched = stored(matched, "matched")  # read by both curves
+    none = matched.isEmpty()
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     counts = None
     for name, (low, high) in AREAS.items():
@@ -171,6 +175,7 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     every, area, t = F.lit(True), F.col("area"), F.col("t")
     a = ap.agg(*[where("ap", (area == n) & c).alias(m) for m, n, c in (("AP", "all", every), ("AP50", "all", t == 0), ("AP75", "all", t == 5), ("AP_small", "small", every), ("AP_medium", "medium", every), ("AP_large", "large", every))])
     r = ar.agg(*[where(f"r{k}", area == n).alias(m) for m, n, k in (("AR1", "all", 1), ("AR10", "all", 10), ("AR100", "all", 100), ("AR_small", "small", 100), ("AR_medium", "medium", 100), ("AR_large", "large", 100))])
-    return a.unpivot([], a.columns, "metric", "value").unionByName(r.unpivot([], r.columns, "metric", "value"))
+    figures = a.unpivot([], a.columns, "metric", "value").unionByName(r.unpivot([], r.columns, "metric", "value"))
+    return figures.withColumn("value", F.lit(None).cast("double")) if none else figures
 
 

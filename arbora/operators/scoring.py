@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.plans.workspace import ranked
+
 Scorer = Callable[[np.ndarray], list[tuple[float, float, float, float, float, int]]]
 
 
@@ -95,16 +97,11 @@ def predict_tabular(model, df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0, partition: str | None = None) -> DataFrame:
     """Sequential numbers in ``order``, within each ``partition`` or over all rows.
 
-    Over all rows, partitions of a range sort count on their own and are shifted by the sizes of those before them.
+    Over all rows, ranges count on their own and are shifted by the sizes of those before them.
     """
     if partition:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1 + start).cast("bigint"))
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    sizes = local.groupBy("_pid").agg(F.count("*").alias("_n"))
-    # One row for each partition.
-    base = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(base), "_pid").withColumn(name, (F.col("_k") - 1 + F.col("_before") + start).cast("bigint")).drop("_pid", "_k", "_n", "_before")
+    return ranked(df, order, "_place").withColumn(name, F.col("_place") - 1 + start).drop("_place")
 
 
 def coco_tables(truth: DataFrame, dets: DataFrame, min_score: float = 0.05) -> dict[str, DataFrame]:

@@ -95,23 +95,32 @@ def _flood(levels: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndar
     return labels
 
 
+def _reached(free: np.ndarray) -> np.ndarray:
+    """The free pixels that a path of free neighbours (side by side) joins to the border: whole runs at a time, by rows and columns in turn."""
+    out = np.zeros_like(free)
+    out[[0, -1]], out[:, [0, -1]] = free[[0, -1]], free[:, [0, -1]]
+    while True:
+        before = int(out.sum())
+        for f, o in ((free, out), (free.T, out.T)):
+            runs = np.cumsum(np.diff(f, axis=1, prepend=False), axis=1) + np.arange(len(f))[:, None] * (f.shape[1] + 2)
+            hit = np.zeros(int(runs.max()) + 1, bool)
+            hit[runs[o]] = True
+            o |= f & hit[runs]
+        if int(out.sum()) == before:
+            return out
+
+
 def _fill_holes(labels: np.ndarray) -> np.ndarray:
-    """Holes of each label filled, in ascending order, so that a later label overwrites an earlier one."""
+    """Holes of each label as it stands in ``labels``, filled in ascending order: a later label overwrites an earlier one's filling."""
     out = labels.copy()
-    n, m = labels.shape
-    for label in np.unique(labels[labels > 0]):
-        own = out == label
-        outside, edge = np.zeros_like(own), []
-        for r in range(n):
-            edge += [(r, c) for c in (range(m) if r in (0, n - 1) else (0, m - 1))]
-        stack = [(r, c) for r, c in edge if not own[r, c]]
-        while stack:
-            r, c = stack.pop()
-            if outside[r, c] or own[r, c]:
-                continue
-            outside[r, c] = True
-            stack += [(y, x) for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if 0 <= y < n and 0 <= x < m and not outside[y, x] and not own[y, x]]
-        out[~outside] = label
+    r, c = np.nonzero(labels)
+    order = np.argsort(labels[r, c], kind="stable")
+    r, c = r[order], c[order]
+    names, first = np.unique(labels[r, c], return_index=True)
+    for name, a, b in zip(names, first, [*first[1:], len(r)]):
+        box = slice(r[a:b].min(), r[a:b].max() + 1), slice(c[a:b].min(), c[a:b].max() + 1)
+        own = labels[box] == name
+        out[box][~_reached(~own)] = name
     return out
 
 

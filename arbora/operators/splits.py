@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.plans.workspace import ranked
+
 
 def _draw(key: str, seed: int):
-    return F.expr(f"xxhash64({key}, {seed})")
+    return F.expr(f"md5(concat_ws('|', {key}, {seed}))")
 
 
 def split_by_lists(tiles: DataFrame, train: DataFrame | None = None, val: DataFrame | None = None) -> DataFrame:
@@ -42,10 +44,9 @@ def split_stratified(rows: DataFrame, key: str, label: str, val_frac: float, see
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     facts = sizes.agg(F.count("*").alias("k"), F.min("_n").alias("least")).first()  # one row
     if facts["k"] > 1 and facts["least"] >= 2:
-        place = F.row_number().over(Window.partitionBy(label).orderBy(_draw(key, seed), key))
-        ranked = rows.withColumn("_r", place).join(sizes, label)
+        placed = ranked(rows.withColumn("_h", _draw(key, seed)), ["_h", key], "_r", by=label).join(sizes, label)
         train = F.col("_r") <= F.bround(F.col("_n") * (1 - val_frac))
-        return ranked.withColumn("split", F.when(train, "train").otherwise("val")).drop("_r", "_n")
+        return placed.withColumn("split", F.when(train, "train").otherwise("val")).drop("_h", "_r", "_n")
     return rows.join(split_random(rows, val_frac, seed, key), key)
 
 
@@ -60,9 +61,10 @@ def balanced_sample(rows: DataFrame, label: str, n: int, seed: int = 0, key: str
         return rows.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
     names = F.array(*[F.lit(c) for c, _ in classes])
     counts = F.array(*[F.lit(m) for _, m in classes])
-    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.expr(f"pmod(xxhash64(id, {seed}, 'class'), {len(classes)})").cast("int").alias("_c"), F.expr(f"xxhash64(id, {seed}, 'row')").alias("_h"))
-    draws = draws.select("draw", F.get(names, F.col("_c")).alias(label), (F.pmod("_h", F.get(counts, F.col("_c"))) + 1).cast("int").alias("_r"))
-    placed = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(_draw(key, seed), key)))
+    number = lambda what: f"cast(conv(substr(md5(concat_ws('|', id, {seed}, '{what}')), 1, 15), 16, 10) as bigint)"
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.expr(f"{number('class')} % {len(classes)}").cast("int").alias("_c"), F.expr(number("row")).alias("_h"))
+    draws = draws.select("draw", F.get(names, F.col("_c")).alias(label), (F.pmod("_h", F.get(counts, F.col("_c"))) + 1).alias("_r"))
+    placed = ranked(rows.withColumn("_h", _draw(key, seed)), ["_h", key], "_r", by=label).drop("_h")
     return draws.join(placed, [label, "_r"]).drop("_r")
 
 

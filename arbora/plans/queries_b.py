@@ -205,24 +205,57 @@ def b27_flip_boxes(spark, d):
     return raster.flip_boxes(load(spark, d, "gt_boxes"), 640.0, ["image_id"], p=1.0).select("gt_id", "x1", "x2", "flipped")
 
 
-@query()
+def _u(keys: str, seed: int, salt: str) -> str:
+    """DuckDB's form of ``raster.draw``."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {keys}, {seed}, '{salt}')), 1, 8) AS BIGINT) / 4294967296.0e0)"
+
+
+_HALF = _u("image_id", 3, "") + " < 0.5e0"
+
+
+@query(duck(f"SELECT gt_id, CASE WHEN {_HALF} THEN 640e0 - x2 ELSE x1 END AS x1, CASE WHEN {_HALF} THEN 640e0 - x1 ELSE x2 END AS x2, {_HALF} AS flipped FROM gt_boxes", "gt_boxes"))
 def b27_flip_boxes_half(spark, d):
     return raster.flip_boxes(load(spark, d, "gt_boxes"), 640.0, ["image_id"], seed=3).select("gt_id", "x1", "x2", "flipped")
 
 
-@query()
+_TURNED = f"""
+g AS (SELECT tile, r, c, {_u("tile", 1, "crop")} < 0.5e0 AS cropped, floor({_u("tile", 1, "top")} * 3) AS t, floor({_u("tile", 1, "left")} * 3) AS l,
+      CASE WHEN {_u("tile", 1, "turn")} < 0.5e0 THEN floor({_u("tile", 1, "angle")} * 4) ELSE 0 END AS turn, {_u("tile", 1, "v")} < 0.5e0 AS v, {_u("tile", 1, "h")} < 0.5e0 AS h
+      FROM (SELECT DISTINCT tile FROM pixels), range(8) AS a(r), range(8) AS b(c)),
+q AS (SELECT *, CASE turn WHEN 1 THEN c WHEN 2 THEN 7 - r WHEN 3 THEN 7 - c ELSE r END AS r1, CASE turn WHEN 1 THEN 7 - r WHEN 2 THEN 7 - c WHEN 3 THEN r ELSE c END AS c1 FROM g),
+f AS (SELECT *, CASE WHEN v THEN 7 - r1 ELSE r1 END AS r2, CASE WHEN h THEN 7 - c1 ELSE c1 END AS c2 FROM q),
+s AS (SELECT *, CASE WHEN cropped THEN least(greatest((r2 + 0.5e0) * 6 / 8 - 0.5e0, 0), 5) ELSE r2 END AS y, CASE WHEN cropped THEN least(greatest((c2 + 0.5e0) * 6 / 8 - 0.5e0, 0), 5) ELSE c2 END AS x FROM f),
+w AS (SELECT s.tile, r, c, (CASE WHEN cropped THEN t ELSE 0 END) + least(floor(y) + dy, CASE WHEN cropped THEN 5 ELSE 7 END) AS pr, (CASE WHEN cropped THEN l ELSE 0 END) + least(floor(x) + dx, CASE WHEN cropped THEN 5 ELSE 7 END) AS pc,
+      abs(1 - dy - (y - floor(y))) * abs(1 - dx - (x - floor(x))) AS w FROM s, range(2) AS a(dy), range(2) AS b(dx))
+SELECT w.tile, band, CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(value * w), 6) AS value FROM w JOIN pixels AS p ON p.tile = w.tile AND p.row = pr AND p.col = pc GROUP BY ALL"""
+
+
+@query(duck("WITH " + _TURNED.strip(), "pixels"))
 def b28_augment_geometry(spark, d):
-    return raster.augment_geometry(load(spark, d, "pixels"), 8, "tile", seed=1)
+    return raster.augment_geometry(load(spark, d, "pixels"), 8, "tile", seed=1).withColumn("value", F.round("value", 6))
+
+
+_PLACE = "tile, band, row, col"
+_NOISE = f"sqrt(-2 * ln(1 - {_u(_PLACE, 1, 'a')})) * cos(2 * 3.141592653589793e0 * {_u(_PLACE, 1, 'b')}) AS z"
+_UNIT = f"u AS (SELECT tile, band, row, col, value / 255e0 AS v, {_NOISE} FROM pixels)"
+_IN = lambda e: f"least(greatest({e}, 0e0), 1e0)"
+_ON = lambda salt, p: f"{_u('tile', 1, salt)} < {p}e0"
 
 
-@query()
+@query(duck(f"""WITH {_UNIT}, l AS (SELECT *, CASE WHEN {_ON("light", 0.5)} THEN {_IN("v * (1 - 0.2e0 + 0.4e0 * " + _u("tile", 1, "gain") + ")")} ELSE v END AS x FROM u)
+SELECT tile, band, row, col, round(CASE WHEN band <= 4 THEN CASE WHEN {_ON("noise", 0.5)} THEN {_IN("x + 0.05e0 * z")} ELSE x END WHEN {_ON("height", 0.3)} THEN {_IN("v + 0.02e0 * z")} ELSE v END, 6) AS value FROM l""", "pixels"))
 def b29_augment_light(spark, d):
-    return raster.augment_light(raster.scale_to_unit(load(spark, d, "pixels"), "uint8", ["tile"]), "tile", seed=1)
+    unit = raster.scale_to_unit(load(spark, d, "pixels"), "uint8", ["tile"])
+    return raster.augment_light(unit, "tile", seed=1).select("tile", "band", "row", "col", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(duck(f"""WITH {_UNIT}, a AS (SELECT *, CASE WHEN band = 4 AND {_ON("nir", 0.6)} THEN {_IN("v * (0.85e0 + 0.3e0 * " + _u("tile", 1, "nir_gain") + ")")}
+ WHEN band = 5 AND {_ON("h", 0.6)} THEN {_IN("v * (0.95e0 + 0.1e0 * " + _u("tile", 1, "h_scale") + ") + 0.1e0 * (" + _u("tile", 1, "h_shift") + " - 0.5e0)")} ELSE v END AS x FROM u),
+b AS (SELECT *, CASE WHEN band = 4 AND {_ON("nir_noise", 0.3)} THEN {_IN("x + (0.01e0 + 0.02e0 * " + _u("tile", 1, "nir_std") + ") * z")} WHEN band = 5 AND {_ON("h_noise", 0.25)} THEN {_IN("x + 0.01e0 * z")} ELSE x END AS y FROM a)
+SELECT tile, band, row, col, round(CASE WHEN band = 4 AND {_ON("nir_drop", 0.03)} OR band = 5 AND {_ON("h_drop", 0.03)} THEN 0 ELSE y END, 6) AS value FROM b""", "pixels"))
 def b29_augment_detector(spark, d):
-    return raster.augment_detector(raster.scale_to_unit(load(spark, d, "pixels"), "uint8", ["tile"]), "tile", seed=1)
+    unit = raster.scale_to_unit(load(spark, d, "pixels"), "uint8", ["tile"])
+    return raster.augment_detector(unit, "tile", seed=1).select("tile", "band", "row", "col", F.round("value", 6).alias("value"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE replace(trim(c_mktsegment || ' tree '), ' ', '_') END AS folder FROM customer")

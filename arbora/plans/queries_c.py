@@ -62,9 +62,9 @@ def c04_point_in_tile(spark, d):
 @query(duck("SELECT p_partkey AS id, class_name, class_id FROM part JOIN classes ON p_partkey % 10 = class_id", "classes"))
 def c05_class_lookup(spark, d):
     classes = load(spark, d, "classes")
-    named = load(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 10).cast("int").alias("class_id")).join(F.broadcast(classes), "class_id", "left")
+    named = load(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 10).cast("int").alias("class_id")).join(classes, "class_id", "left")
     # And back: a name that is not in the table is an error.
-    back = named.select("id", "class_name").join(F.broadcast(classes), "class_name", "left")
+    back = named.select("id", "class_name").join(classes, "class_name", "left")
     return back.select("id", "class_name", F.coalesce("class_id", F.raise_error(F.concat(F.lit("unknown class "), "class_name")).cast("int")).alias("class_id"))
 
 

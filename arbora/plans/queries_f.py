@@ -28,7 +28,7 @@ def f02_first_ten(spark, d):
     return load(spark, d, "pred_boxes").orderBy(F.desc("conf"), "pred_id").limit(10).select("pred_id", "conf")
 
 
-@query()
+@query(duck("SELECT * FROM image_paths ORDER BY md5(concat_ws('|', image_path, 7)), image_path LIMIT 12", "image_paths"))
 def f03_preview(spark, d):
     return splits.preview(load(spark, d, "image_paths"), "image_path", 12, seed=7)
 
@@ -40,18 +40,25 @@ def f04_split_by_lists(spark, d):
     return splits.split_by_lists(tiles, tiles.where(k == 2), tiles.where(k == 1))
 
 
-@query()
+@query(duck("""WITH i AS (SELECT tile_id, row_number() OVER (ORDER BY md5(concat_ws('|', tile_id, 42)), tile_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT tile_id FROM tiles))
+SELECT tile_id, CASE WHEN r <= round_even(n * 0.2e0, 0) THEN 'val' ELSE 'train' END AS split FROM i""", "tiles"))
 def f05_split_random(spark, d):
     return splits.split_random(load(spark, d, "tiles"), 0.2, seed=42)
 
 
-@query()
+@query(duck("""WITH i AS (SELECT image_path, split_part(image_path, '/', 4) AS class_name FROM image_paths),
+r AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY md5(concat_ws('|', image_path, 42)), image_path) AS r, count(*) OVER (PARTITION BY class_name) AS n FROM i)
+SELECT image_path, class_name, CASE WHEN r <= round_even(n * (1 - 0.2e0), 0) THEN 'train' ELSE 'val' END AS split FROM r""", "image_paths"))
 def f06_split_stratified(spark, d):
-    index = image_index(load(spark, d, "image_paths")).drop("split")
+    index = image_index(load(spark, d, "image_paths")).select("image_path", "class_name")
     return splits.split_stratified(index, "image_path", "class_name", 0.2, seed=42)
 
 
-@query()
+@query(duck("""WITH i AS (SELECT image_path, split_part(image_path, '/', 4) AS class_name FROM image_paths),
+r AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY md5(concat_ws('|', image_path, 1)), image_path) AS r FROM i),
+k AS (SELECT class_name, count(*) AS n, row_number() OVER (ORDER BY class_name) - 1 AS c, count(*) OVER () AS m FROM i GROUP BY class_name),
+h AS (SELECT id AS draw, CAST('0x' || substr(md5(concat_ws('|', id, 1, 'class')), 1, 15) AS BIGINT) AS x, CAST('0x' || substr(md5(concat_ws('|', id, 1, 'row')), 1, 15) AS BIGINT) AS y FROM range((SELECT count(*) FROM i)) AS t(id))
+SELECT class_name, draw, image_path FROM h JOIN k ON c = x % m JOIN r USING (class_name) WHERE r = y % n + 1""", "image_paths"))
 def f07_balanced_sample(spark, d):
     index = image_index(load(spark, d, "image_paths")).select("image_path", "class_name")
     return splits.balanced_sample(index, "class_name", index.count(), seed=1, key="image_path")

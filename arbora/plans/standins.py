@@ -1,6 +1,7 @@
 """Stand-in inputs: tiles, trees, boxes, pixels and so on, as SQL over the driver tables.
 
-The text is the same in Spark and DuckDB unless a pair is given (Spark, DuckDB). A 20 x 10 world of 1000 m tiles.
+The text is the same in Spark and DuckDB unless a pair is given (Spark, DuckDB). A world of 1000 m tiles, 20 wide and as long
+as the tables are large; every stand-in takes all rows of its table.
 """
 
 from __future__ import annotations
@@ -19,32 +20,32 @@ SELECT concat('32_', 355 + p_partkey % 20, '_', 6040 + CAST(floor(p_partkey / 20
        concat('32', 355 + p_partkey % 20, 6040 + CAST(floor(p_partkey / 20.0e0) AS BIGINT)) AS dop_kachel,
        CAST(355000 + (p_partkey % 20) * 1000 AS DOUBLE) AS xmin, 6040000e0 + floor(p_partkey / 20.0e0) * 1000 AS ymin,
        CAST(356000 + (p_partkey % 20) * 1000 AS DOUBLE) AS xmax, 6041000e0 + floor(p_partkey / 20.0e0) * 1000 AS ymax
-FROM part WHERE p_partkey < 200""")
+FROM part""")
 _both("trees", """
 SELECT c_custkey AS tree_id,
        CASE c_nationkey % 12 WHEN 0 THEN 'Acer' WHEN 1 THEN ' Tilia ' WHEN 2 THEN 'Pinus' WHEN 3 THEN NULL WHEN 4 THEN '   '
             WHEN 5 THEN 'Malus' WHEN 6 THEN 'Quercus' WHEN 7 THEN 'Picea' WHEN 8 THEN 'acer' WHEN 9 THEN 'Fagus'
             WHEN 10 THEN 'Coniferous' ELSE 'Prunus' END AS genus,
        CASE WHEN c_custkey % 17 = 0 THEN 'n/a' WHEN c_custkey % 19 = 0 THEN NULL ELSE concat(c_custkey % 13, '.5') END AS canopyWidt,
-       355000e0 + (c_custkey * 7919) % 20500 + 0.5e0 AS x, 6040000e0 + (c_custkey * 104729) % 10250 + 0.25e0 AS y
+       355000e0 + (c_custkey * 7919) % 20500 + 0.5e0 AS x, 6040000e0 + (c_custkey * 104729) % 10250 + floor(c_custkey / 1500.0e0) * 10000 + 0.25e0 AS y
 FROM customer""")
 _both("classes", """
 SELECT CAST(o AS INT) AS class_id, g AS class_name FROM (VALUES (0, 'Acer'), (1, 'Aesculus'), (2, 'Carpinus'), (3, 'Coniferous'), (4, 'Fagus'),
  (5, 'Other Deciduous'), (6, 'Platanus'), (7, 'Prunus'), (8, 'Quercus'), (9, 'Tilia')) AS t(o, g)""")
 _both("gt_boxes", """
-SELECT o_orderkey % 200 AS image_id, o_orderkey AS gt_id, CAST(o_custkey % 10 AS INT) AS gt_cls,
+SELECT CAST(floor(o_orderkey / 20.0e0) AS BIGINT) AS image_id, o_orderkey AS gt_id, CAST(o_custkey % 10 AS INT) AS gt_cls,
        CAST((o_orderkey * 7919) % 640 AS DOUBLE) AS x1, CAST((o_orderkey * 104729) % 640 AS DOUBLE) AS y1,
        CAST((o_orderkey * 7919) % 640 + 20 + o_custkey % 60 AS DOUBLE) AS x2, CAST((o_orderkey * 104729) % 640 + 20 + o_custkey % 40 AS DOUBLE) AS y2
-FROM orders WHERE o_orderkey < 4000""")
+FROM orders""")
 _both("pred_boxes", """
 SELECT image_id, pred_id, pred_cls, x1, y1, x2, y2, conf FROM (
-  SELECT l_orderkey % 200 AS image_id, l_orderkey * 10 + l_linenumber AS pred_id, CAST(l_partkey % 10 AS INT) AS pred_cls,
+  SELECT CAST(floor(l_orderkey / 20.0e0) AS BIGINT) AS image_id, l_orderkey * 10 + l_linenumber AS pred_id, CAST(l_partkey % 10 AS INT) AS pred_cls,
          CAST((l_orderkey * 7919) % 640 + l_linenumber * 2 AS DOUBLE) AS x1, CAST((l_orderkey * 104729) % 640 + l_linenumber AS DOUBLE) AS y1,
          CAST((l_orderkey * 7919) % 640 + l_linenumber * 2 + 20 + l_suppkey % 60 AS DOUBLE) AS x2,
          CAST((l_orderkey * 104729) % 640 + l_linenumber + 20 + l_suppkey % 40 AS DOUBLE) AS y2,
          (1 + (l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 1000) / 1000.0e0 AS conf,
          row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn
-  FROM lineitem WHERE l_orderkey < 4000) AS t
+  FROM lineitem) AS t
 WHERE rn = 1""")
 _both("xyz", """
 SELECT 355000e0 + (l_orderkey * 7919) % 1100 AS x, 6040000e0 + (l_partkey * 31 + l_suppkey * 17) % 1100 AS y, l_extendedprice / 1000 AS z FROM lineitem""")
@@ -77,9 +78,9 @@ FROM documents""")
 _both("map_boxes", """
 SELECT l_orderkey * 10 + l_linenumber AS box_id, CAST(l_partkey % 10 AS INT) AS class_id, 355000e0 + x AS xmin, 6040000e0 + y AS ymin,
        355000e0 + x + 3 + l_suppkey % 9 AS xmax, 6040000e0 + y + 3 + l_suppkey % 7 AS ymax, (1 + (l_partkey * 31 + l_suppkey * 17 + l_linenumber) % 1000) / 1000.0e0 AS conf
-FROM (SELECT *, (l_orderkey * 7919) % 2000 + l_linenumber AS x, (l_orderkey * 104729) % 2000 + l_linenumber AS y,
+FROM (SELECT *, (l_orderkey * 7919) % 2000 + l_linenumber AS x, (l_orderkey * 104729) % 2000 + floor(l_orderkey / 6000.0e0) * 2000 + l_linenumber AS y,
              row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn
-      FROM lineitem WHERE l_orderkey < 6000) AS t
+      FROM lineitem) AS t
 WHERE rn = 1""")
 
 _BASES = ("part", "customer", "nation", "orders", "lineitem", "events", "embeddings", "documents", "supplier")

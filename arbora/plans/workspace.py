@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 @cache
 def local_folder() -> str:
-    """One temporary folder of this process, for sessions without a shared one (local tests)."""
+    """One temporary folder of this process, for sessions in local mode without a shared one."""
     return tempfile.mkdtemp(prefix="arbora-")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only where that is unset, as in local tests, under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder()
+    """A fresh path under ``spark.checkpoint.dir``; where that is unset, under a temporary folder in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,3 +32,22 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, order: list[str], name: str, by: str | None = None) -> DataFrame:
+    """Add ``name``: the row's place from 1 in ``order`` (a total one), within each ``by`` or over all rows.
+
+    The rows are range-sorted and written; each partition counts on its own and is shifted by those before it, so no task
+    sees more than its range, however frequent a value of ``by`` is.
+    """
+    keys = [by] if by else []
+    ranged = stored(df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("_pid", F.spark_partition_id()), "ranked")
+    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order)))
+    # One row for each partition and value.
+    sizes = ranged.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_{c}") for c in keys], F.coalesce(before, F.lit(0)).alias("_before"))
+    on = F.col("_pid") == F.col("_p")
+    for c in keys:
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return local.join(sizes, on).withColumn(name, (F.col("_k") + F.col("_before")).cast("bigint")).select(*df.columns, name)
