@@ -131,14 +131,19 @@ def _normal(place: list[str], seed: int, salt: str = "") -> Column:
     return F.sqrt(-2 * F.log(1 - draw(place, seed, f"{salt}a"))) * F.cos(2 * 3.141592653589793 * draw(place, seed, f"{salt}b"))
 
 
+def _with_draws(pixels: DataFrame, key: str, seed: int, salts: tuple[str, ...]) -> DataFrame:
+    """The pixels with a column of each draw of their image and of the pixel's normal number, so that steps can use them again."""
+    drawn = pixels.select(key).distinct().withColumns({f"_{s}": draw([key], seed, s) for s in salts})
+    return pixels.join(drawn, key).withColumn("_z", _normal([key, "band", "row", "col"], seed))
+
+
 def augment_light(pixels: DataFrame, key: str, seed: int = 0, brightness: float = 0.2, noise: float = 0.05, height_noise: float = 0.02, p: float = 0.5, height_p: float = 0.3) -> DataFrame:
     """Brightness and then noise of bands 1 to 4, each with its own draw of ``p``; noise on band 5 with ``height_p``; each step ends within 0..1."""
-    on = lambda salt, prob: draw([key], seed, salt) < prob
-    normal, v = _normal([key, "band", "row", "col"], seed), F.col("value")
-    lit = F.when(on("light", p), _clamped(v * (1 - brightness + 2 * brightness * draw([key], seed, "gain")))).otherwise(v)
-    colour = F.when(on("noise", p), _clamped(lit + noise * normal)).otherwise(lit)
-    height = F.when(on("height", height_p), _clamped(v + height_noise * normal)).otherwise(v)
-    return pixels.withColumn("value", F.when(F.col("band") <= 4, colour).when(F.col("band") == 5, height).otherwise(v))
+    rows = _with_draws(pixels, key, seed, ("light", "gain", "noise", "height"))
+    colour, v, u, z = F.col("band") <= 4, F.col("value"), lambda salt: F.col(f"_{salt}"), F.col("_z")
+    rows = rows.withColumn("value", F.when(colour & (u("light") < p), _clamped(v * (1 - brightness + 2 * brightness * u("gain")))).otherwise(v))
+    noisy = F.when(colour & (u("noise") < p), _clamped(v + noise * z)).when((F.col("band") == 5) & (u("height") < height_p), _clamped(v + height_noise * z))
+    return rows.withColumn("value", noisy.otherwise(v)).select(*pixels.columns)
 
 
 # Probabilities and ranges of the detector's augmentation.
@@ -147,13 +152,13 @@ DETECTOR = {"nir_gain": (0.6, 0.85, 0.30), "nir_noise": (0.3, 0.01, 0.02), "nir_
 
 def augment_detector(pixels: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Gain, noise and drop-out of band 4; scale with shift, noise and drop-out of band 5. Each has its own draw (``DETECTOR``) and ends within 0..1."""
-    on = lambda salt, prob: draw([key], seed, salt) < prob
-    normal, v, d = _normal([key, "band", "row", "col"], seed), F.col("value"), DETECTOR
-    between = lambda salt, low, wide: low + wide * draw([key], seed, salt)
-    nir = F.when(on("nir", d["nir_gain"][0]), _clamped(v * between("nir_gain", *d["nir_gain"][1:]))).otherwise(v)
-    nir = F.when(on("nir_noise", d["nir_noise"][0]), _clamped(nir + between("nir_std", *d["nir_noise"][1:]) * normal)).otherwise(nir)
-    nir = F.when(on("nir_drop", d["nir_drop"]), 0.0).otherwise(nir)
-    height = F.when(on("h", d["h_scale"][0]), _clamped(v * between("h_scale", *d["h_scale"][1:]) + d["h_shift"] * (draw([key], seed, "h_shift") - 0.5))).otherwise(v)
-    height = F.when(on("h_noise", d["h_noise"][0]), _clamped(height + d["h_noise"][1] * normal)).otherwise(height)
-    height = F.when(on("h_drop", d["h_drop"]), 0.0).otherwise(height)
-    return pixels.withColumn("value", F.when(F.col("band") == 4, nir).when(F.col("band") == 5, height).otherwise(v))
+    d, v, u, z = DETECTOR, F.col("value"), lambda salt: F.col(f"_{salt}"), F.col("_z")
+    rows = _with_draws(pixels, key, seed, ("nir", "nir_gain", "nir_noise", "nir_std", "nir_drop", "h", "h_scale", "h_shift", "h_noise", "h_drop"))
+    nir, high = F.col("band") == 4, F.col("band") == 5
+    between = lambda salt, low, wide: low + wide * u(salt)
+    scaled = F.when(nir & (u("nir") < d["nir_gain"][0]), _clamped(v * between("nir_gain", *d["nir_gain"][1:])))
+    scaled = scaled.when(high & (u("h") < d["h_scale"][0]), _clamped(v * between("h_scale", *d["h_scale"][1:]) + d["h_shift"] * (u("h_shift") - 0.5)))
+    noisy = F.when(nir & (u("nir_noise") < d["nir_noise"][0]), _clamped(v + between("nir_std", *d["nir_noise"][1:]) * z)).when(high & (u("h_noise") < d["h_noise"][0]), _clamped(v + d["h_noise"][1] * z))
+    rows = rows.withColumn("value", scaled.otherwise(v)).withColumn("value", noisy.otherwise(v))
+    dropped = nir & (u("nir_drop") < d["nir_drop"]) | high & (u("h_drop") < d["h_drop"])
+    return rows.withColumn("value", F.when(dropped, 0.0).otherwise(v)).select(*pixels.columns)
