@@ -51,18 +51,17 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 def _segments(codes: np.ndarray) -> np.ndarray:
     """(codes, segments) values of the segments of (codes, words) numbers; those of a word from its low bits on."""
-    return np.ascontiguousarray(codes.astype("<i8")).view("<u2").astype(np.int64).reshape(len(codes), -1)
+    return np.ascontiguousarray(codes.astype("<i8")).view("<u2").reshape(len(codes), -1)
 
 
-def _fresh(a: np.ndarray, b: np.ndarray, s: int, radius: int) -> np.ndarray:
-    """Whether pairs of segment values are found first in segment ``s`` at ``radius``: no other is nearer, none before as near."""
-    near = np.bitwise_count(a ^ b)
+def _fresh(near: np.ndarray, s: int, radius: int) -> np.ndarray:
+    """Whether pairs, by their segments' distances, are found first in segment ``s`` at ``radius``: no other is nearer, none before as near."""
     return (near[:, :s] > radius).all(1) & (near[:, s + 1 :] >= radius).all(1)
 
 
 def lookup(codes: np.ndarray, queries: np.ndarray, s: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(queries, codes) places whose values in segment ``s`` differ in exactly ``radius`` bits; both are (n, segments)."""
-    own, asked = codes[:, s], queries[:, s]
+    own, asked = np.ascontiguousarray(codes[:, s]), np.ascontiguousarray(queries[:, s])
     if comb(WIDTH, radius) >= len(own):
         found = [np.nonzero(np.bitwise_count(asked[k : k + 256, None] ^ own[None]) == radius) for k in range(0, len(asked), 256)]
         return np.concatenate([q + 256 * k for k, (q, _) in enumerate(found)]), np.concatenate([c for _, c in found])
@@ -72,7 +71,7 @@ def lookup(codes: np.ndarray, queries: np.ndarray, s: int, radius: int) -> tuple
     at[values] = np.arange(len(values))
     q_found, c_found = [], []
     for mask in _masks(WIDTH, radius).tolist():
-        k = at[asked ^ mask]
+        k = at[asked ^ np.uint16(mask)]
         q = np.flatnonzero(k >= 0)
         n = counts[k[q]]
         q_found.append(np.repeat(q, n))
@@ -134,18 +133,16 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     own, ask = batch.column("codes")[row].values, batch.column("queries")[row].values
                     s = batch.column("s")[row].as_py()
                     codes_of = lambda x: x.field("code").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-                    own_code, ask_code = codes_of(own), codes_of(ask)
-                    own_parts, ask_parts = _segments(own_code), _segments(ask_code)
+                    own_parts, ask_parts = _segments(codes_of(own)), _segments(codes_of(ask))
                     name, weight = own.field("entry").to_numpy(zero_copy_only=False), own.field("weight").to_numpy(zero_copy_only=False)
                     query, least, bound = (ask.field(c).to_numpy(zero_copy_only=False) for c in ("query", "least", "bound"))
                     out: tuple[list, list, list, list] = ([], [], [], [])
                     for low in range(0, len(query), 256):
                         q, c = lookup(own_parts, ask_parts[low : low + 256], s, radius)
                         q = q + low
-                        first = _fresh(ask_parts[q], own_parts[c], s, radius)
-                        q, c = q[first], c[first]
-                        d = np.bitwise_count((ask_code[q] ^ own_code[c]).view(np.uint64)).sum(1).astype(np.int64)  # of signed numbers it counts the bits of the magnitude
-                        near = d <= bound[q]
+                        apart = np.bitwise_count(ask_parts[q] ^ own_parts[c])
+                        d = apart.sum(1, dtype=np.int64)
+                        near = (d <= bound[q]) & _fresh(apart, s, radius)
                         q, c, d = q[near], c[near], d[near]
                         order = np.argsort(q, kind="stable")
                         q, c, d = q[order], c[order], d[order]
