@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from arbora.llm._spark import strings
 
 #: Pre-tokens remembered in one Python worker; past this only those of the last batch stay (results do not depend on it).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 _LETTER, _DIGIT, _SIGN, _SPACE, _WHITE = range(5)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[128:] = _LETTER
