@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.geo import Affine, map_to_pixel
@@ -51,38 +53,72 @@ def stack(bands: DataFrame, heights: DataFrame, height_band: int = 5) -> DataFra
     return kept.select("tile", "band", "row", "col", "value").unionByName(scaled)
 
 
-def _reflected(i: Column, n: int) -> Column:
-    """Index i of a line of n pixels, mirrored at its edges (d c b a | a b c d | d c b a)."""
-    k = F.pmod(i, F.lit(2 * n))
-    return F.when(k >= n, 2 * n - 1 - k).otherwise(k)
+#: Side of the blocks of pixels that one task filters at a time.
+BLOCK = 512
 
+_PIXELS = "row int, col int, value double"
 
-def _along(pixels: DataFrame, axis: str, radius: int, n: int) -> DataFrame:
-    """For each pixel its neighbours along an axis as rows (offset ``k``, ``v``), mirrored at the edges."""
-    target = pixels.select("tile", "row", "col").withColumn("k", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
-    source = pixels.select("tile", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("v"))
-    r = _reflected(F.col("row") + F.col("k"), n) if axis == "row" else F.col("row")
-    c = _reflected(F.col("col") + F.col("k"), n) if axis == "col" else F.col("col")
-    return target.withColumn("_r", r.cast("int")).withColumn("_c", c.cast("int")).join(source, ["tile", "_r", "_c"])
+
+def _filtered(pixels: DataFrame, n_rows: int, n_cols: int, radius: int, along) -> DataFrame:
+    """``along`` applied to every block of a tile, which also gets the pixels up to ``radius`` around it, mirrored at the tile's edges.
+
+    ``along(values)`` takes an array with a margin of ``radius`` (nan: unknown or absent) and returns the array without it.
+    Only pixels that exist give a row. A block is at most ``BLOCK + 2 * radius`` pixels wide, whatever the tile's size.
+    """
+    if radius > BLOCK:
+        raise ValueError(f"a filter may reach {BLOCK} pixels at most, not {radius}")
+    last = lambda n: (n - 1) // BLOCK
+    reach = lambda c, n: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - radius) / BLOCK), F.lit(0)), F.least(F.floor((F.col(c) + radius) / BLOCK), F.lit(last(n)))))
+    inside = pixels.where(F.col("row").between(0, n_rows - 1) & F.col("col").between(0, n_cols - 1)).select("tile", "row", "col", F.col("value").cast("double").alias("value"))
+    dealt = inside.withColumn("_br", reach("row", n_rows)).withColumn("_bc", reach("col", n_cols))
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tile, br, bc = key
+        y0, x0 = int(br) * BLOCK, int(bc) * BLOCK
+        h, w = min(BLOCK, n_rows - y0), min(BLOCK, n_cols - x0)
+        r, c = pdf["row"].to_numpy() - y0 + radius, pdf["col"].to_numpy() - x0 + radius
+        known, here = np.full((h + 2 * radius, w + 2 * radius), np.nan), np.zeros((h + 2 * radius, w + 2 * radius), bool)
+        near = (r < known.shape[0]) & (c < known.shape[1])
+        known[r[near], c[near]], here[r[near], c[near]] = pdf["value"].to_numpy(float)[near], True
+        # Places of the margin beyond the tile take the pixel that mirrors them; it lies in the block or its margin.
+        mirror = lambda o, size, n: np.where((k := (np.arange(-radius, size + radius) + o) % (2 * n)) >= n, 2 * n - 1 - k, k) - o + radius
+        out = along(known[np.ix_(mirror(y0, h, n_rows), mirror(x0, w, n_cols))])
+        y, x = np.nonzero(here[radius : radius + h, radius : radius + w])
+        return pd.DataFrame({"tile": tile, "row": (y + y0).astype("int32"), "col": (x + x0).astype("int32"), "value": out[y, x]})
+
+    made = dealt.groupBy("tile", "_br", "_bc").applyInPandas(block, f"tile {pixels.schema['tile'].dataType.simpleString()}, {_PIXELS}")
+    return made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+
+
+def _weighted(values: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
+    """Weighted sum of neighbours along an axis, unknown ones counting as 0; nan where none is known."""
+    n = values.shape[axis] - len(weights) + 1
+    part = lambda a, k: np.take(a, range(k, k + n), axis=axis)
+    filled, known = np.nan_to_num(values, nan=0.0), ~np.isnan(values)
+    total, any_ = sum(w * part(filled, k) for k, w in enumerate(weights)), np.logical_or.reduce([part(known, k) for k in range(len(weights))])
+    return np.where(any_, total, np.nan)
 
 
 def smooth_gaussian(pixels: DataFrame, n_rows: int, n_cols: int, sigma: float = 1.5, truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian of ``tile, row, col, value``, edges mirrored."""
+    """Separable Gaussian of ``tile, row, col, value``, edges mirrored; unknown pixels count as 0, and one without a known neighbour is null."""
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = F.array(*[F.lit(w / sum(raw)) for w in raw])
-    for axis, n in (("row", n_rows), ("col", n_cols)):
-        near = _along(pixels, axis, radius, n)
-        pixels = near.groupBy("tile", "row", "col").agg(F.sum(F.col("v") * F.get(weights, F.col("k") + radius)).alias("value"))
-    return pixels
+    weights = [w / sum(raw) for w in raw]
+    return _filtered(pixels, n_rows, n_cols, radius, lambda v: _weighted(_weighted(v, weights, 0), weights, 1))
 
 
 def smooth_median(pixels: DataFrame, n_rows: int, n_cols: int, size: int = 3) -> DataFrame:
+    """Median of the known pixels of a square of odd ``size``, edges mirrored; null where none is known."""
     r = size // 2
-    rows = _along(pixels, "row", r, n_rows).select("tile", "row", "col", F.col("_r"), F.col("k"))
-    target = rows.withColumn("j", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn("_c", _reflected(F.col("col") + F.col("j"), n_cols).cast("int"))
-    source = pixels.select("tile", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("v"))
-    return target.join(source, ["tile", "_r", "_c"]).groupBy("tile", "row", "col").agg(F.median("v").alias("value"))
+
+    def along(values: np.ndarray) -> np.ndarray:
+        h, w = values.shape[0] - 2 * r, values.shape[1] - 2 * r
+        near = np.sort(np.stack([values[i : i + h, j : j + w] for i in range(2 * r + 1) for j in range(2 * r + 1)]), axis=0)  # nan last
+        n = (~np.isnan(near)).sum(axis=0)
+        at = lambda k: np.take_along_axis(near, np.clip(k, 0, len(near) - 1)[None], axis=0)[0]
+        return (at((n - 1) // 2) + at(n // 2)) / 2
+
+    return _filtered(pixels, n_rows, n_cols, r, along)
 
 
 def smooth(pixels: DataFrame, n_rows: int, n_cols: int, method: str = "gaussian") -> DataFrame:
@@ -95,33 +131,71 @@ def smooth(pixels: DataFrame, n_rows: int, n_cols: int, method: str = "gaussian"
 
 def sobel(pixels: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """Gradient magnitude: root of the mean square of both directions, weights (1, 2, 1) / 4 and (1, 0, -1) / 2, edges mirrored."""
-    smoother, slope = F.array(*map(F.lit, (0.25, 0.5, 0.25))), F.array(*map(F.lit, (-0.5, 0.0, 0.5)))
+    smoother, slope = [0.25, 0.5, 0.25], [-0.5, 0.0, 0.5]
+
+    def along(values: np.ndarray) -> np.ndarray:
+        down, across = (_weighted(_weighted(values, first, 0), second, 1) for first, second in ((slope, smoother), (smoother, slope)))
+        return np.sqrt((down * down + across * across) / 2)
 
-    def both(first, second):
-        out = pixels
-        for axis, n, w in (("row", n_rows, first), ("col", n_cols, second)):
-            out = _along(out, axis, 1, n).groupBy("tile", "row", "col").agg(F.sum(F.col("v") * F.get(w, F.col("k") + 1)).alias("value"))
-        return out
+    return _filtered(pixels, n_rows, n_cols, 1, along)
 
-    a, b = both(slope, smoother), both(smoother, slope).withColumnRenamed("value", "other")
-    return a.join(b, ["tile", "row", "col"]).select("tile", "row", "col", F.sqrt((F.col("value") * F.col("value") + F.col("other") * F.col("other")) / 2).alias("value"))
+
+#: Columns whose nearest rows one task finds at a time.
+STRIPE = 32
+
+
+def _lowest(f: np.ndarray) -> np.ndarray:
+    """For each column of ``f`` and each row r: the least of ``f[s] + (r - s) ** 2`` over the rows s.
+
+    The least s that attains it never falls as r grows, so rows are settled from the middle of what is open, each searching only
+    between the finds of the settled rows around it: n log n steps a column, all rows of a round and all columns at once.
+    """
+    n, m = f.shape
+    arg = np.zeros((n + 2, m), np.int64)  # shifted by one: bounds above the first and below the last row
+    arg[n + 1] = n - 1
+    best = np.empty((n, m), f.dtype)
+    step = 1 << max(n.bit_length(), 1)
+    columns = np.arange(m)
+    while step >= 1:
+        rows = np.arange(step, n + 1, 2 * step)
+        if len(rows):
+            low, high = arg[rows - step], arg[np.minimum(rows + step, n + 1)]
+            sizes = (high - low + 1).ravel()
+            starts = np.cumsum(sizes) - sizes
+            s = np.arange(sizes.sum()) - np.repeat(starts - low.ravel(), sizes)
+            cost = f[s, np.repeat(np.tile(columns, len(rows)), sizes)] + (s - np.repeat(np.repeat(rows - 1, m), sizes)) ** 2
+            least = np.minimum.reduceat(cost, starts)
+            hit = np.flatnonzero(cost == np.repeat(least, sizes))
+            first = hit[np.searchsorted(hit, starts)]
+            arg[rows], best[rows - 1] = s[first].reshape(-1, m), least.reshape(-1, m)
+        step //= 2
+    return best
 
 
 def distance_to_background(mask: DataFrame) -> DataFrame:
     """Euclidean distance from each pixel of ``tile, row, col, on`` to the nearest one that is off; null where a tile has none.
 
-    Along the rows by windows; along the columns the nearest of the column's row distances.
+    Along the rows by running windows; along the columns by stripes of ``STRIPE`` columns.
     """
-    by = Window.partitionBy("tile", "row").orderBy("col")
     off = F.when(~F.col("on"), F.col("col"))
-    left = F.last(off, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(off, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    line = Window.partitionBy("tile", "row").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.last(off, ignorenulls=True).over(line.orderBy("col"))
+    right = F.last(off, ignorenulls=True).over(line.orderBy(F.desc("col")))
     # least() skips nulls: the nearer of those there are.
-    rows = mask.withColumn("_d", F.least(F.col("col") - left, right - F.col("col")))
-    columns = rows.where("_d is not null").groupBy("tile", "col").agg(F.collect_list(F.struct("row", "_d")).alias("_all"))
-    joined = rows.join(columns, ["tile", "col"], "left")
-    square = F.array_min(F.transform("_all", lambda p: (p["row"] - F.col("row")) * (p["row"] - F.col("row")) + p["_d"] * p["_d"]))
-    return joined.select("tile", "row", "col", "on", F.sqrt(square.cast("double")).alias("distance"))
+    rows = mask.withColumn("_d", F.least(F.col("col") - left, right - F.col("col")).cast("bigint"))
+    rows = rows.select("tile", "row", "col", "on", F.coalesce("_d", F.lit(-1)).alias("_d"), F.floor(F.col("col") / STRIPE).alias("_stripe"))
+
+    def stripe(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, d = pdf["row"].to_numpy() - pdf["row"].min(), pdf["col"].to_numpy() - pdf["col"].min(), pdf["_d"].to_numpy()
+        far = np.int64(1) << 60  # a row that knows no background
+        f = np.full((r.max() + 1, c.max() + 1), far, np.int64)
+        f[r, c] = np.where(d >= 0, d * d, far)
+        square = _lowest(f)[r, c]
+        return pdf[["tile", "row", "col", "on"]].assign(distance=np.where(square < far, np.sqrt(square), np.nan))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4])
+    made = rows.groupBy("tile", "_stripe").applyInPandas(stripe, f"{schema}, distance double")
+    return made.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
 
 
 def resample_bilinear(pixels: DataFrame, n_rows: int, n_cols: int, scale: float) -> DataFrame:

@@ -10,35 +10,81 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Side of the blocks of pixels whose components one task finds at a time.
+BLOCK = 256
+
+
+def _joined(row: np.ndarray, col: np.ndarray, value: np.ndarray | None, diagonal: bool) -> np.ndarray:
+    """For each pixel of a block the place of the first pixel, by row and column, of its component."""
+    order = np.lexsort((col, row))
+    r, c = row[order] - row.min(), col[order] - col.min()
+    place = np.full((r.max() + 2, c.max() + 3), -1)  # a margin for neighbours that are not there
+    place[r, c + 1] = np.arange(len(r))
+    ends = []
+    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1))[: 4 if diagonal else 2]:
+        other = place[r + dy, c + 1 + dx]
+        a = np.flatnonzero(other >= 0)
+        b = other[a]
+        if value is not None:
+            same = (value[order][a] == value[order][b]) & pd.notna(value[order][a])
+            a, b = a[same], b[same]
+        ends.append((a, b))
+    a, b = (np.concatenate(x) for x in zip(*ends))
+    root = np.arange(len(r))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        while not np.array_equal(further := after[after], after):
+            after = further
+        if (after == root).all():
+            break
+        root = after
+    out = np.empty(len(r), np.int64)
+    out[order] = order[root]
+    return out
+
+
 def label_components(pixels: DataFrame, diagonal: bool = True, equal: str | None = None, checkpoint=None) -> DataFrame:
-    """Add ``comp`` to the pixels ``tile, row, col``: connected ones (8 or 4 neighbours, of equal ``equal``) share a number.
+    """Add ``comp`` to the pixels ``tile, row, col``: connected ones of a tile (8 or 4 neighbours, of equal ``equal``; null equals nothing) share a number.
 
-    Runs along the rows are one node each; touching runs of neighbouring rows are edges, and the smallest run number
-    spreads over them, jumping ahead, until nothing changes.
+    The number is that of the component's first pixel, ``row << 32 | col``. Components are found block by block; only where they
+    touch at a block's side are they joined to each other, by rounds in which the smallest number spreads and jumps ahead.
     """
     cut = checkpoint or (lambda df: df.checkpoint())
-    keys = ["tile", *([equal] if equal else [])]
-    by = Window.partitionBy(*keys, "row").orderBy("col")
-    # Along a run, column minus place is constant.
-    placed = pixels.select(*keys, "row", "col").withColumn("_g", F.col("col") - F.row_number().over(by))
-    runs = placed.groupBy(*keys, "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    runs = cut(runs.withColumn("run", F.xxhash64(*keys, "row", "c0")))
-    reach = 1 if diagonal else 0
-    a = runs.select(*keys, "row", "c0", "c1", F.col("run").alias("a"))
-    b = runs.select(*keys, (F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("run").alias("b"))
-    down = a.join(b, [*keys, "row"]).where((F.col("c0") <= F.col("d1") + reach) & (F.col("d0") <= F.col("c1") + reach)).select("a", "b")
-    both = cut(down.union(down.select("b", "a")))
-    labels = runs.select("run", F.col("run").alias("comp"))
+    extra = [equal] if equal else []
+    block = [F.floor(F.col(c) / BLOCK).alias(f"_b{c}") for c in ("row", "col")]
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        first = _joined(r, c, pdf[equal].to_numpy() if equal else None, diagonal)
+        return pdf[["tile", *extra, "row", "col"]].assign(part=r[first] << 32 | c[first])
+
+    kept = pixels.select("tile", *extra, "row", "col")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+    parts = cut(kept.groupBy("tile", *block).applyInPandas(inside, f"{schema}, part bigint"))
+    # Pixels at the sides of blocks, and their neighbours in other blocks.
+    side = lambda c: (F.col(c) % BLOCK).isin(0, BLOCK - 1)
+    rim = parts.where(side("row") | side("col"))
+    steps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, 0), (1, 1), (1, -1))[: 4 if diagonal else 2]]))
+    out = rim.withColumn("_s", steps).select("tile", *extra, "row", "col", F.col("part").alias("a"), (F.col("row") + F.col("_s.y")).alias("_r"), (F.col("col") + F.col("_s.x")).alias("_c"))
+    crossing = (F.floor(F.col("row") / BLOCK) != F.floor(F.col("_r") / BLOCK)) | (F.floor(F.col("col") / BLOCK) != F.floor(F.col("_c") / BLOCK))
+    there = rim.select("tile", *extra, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("part").alias("b"))
+    down = out.where(crossing).join(there, ["tile", *extra, "_r", "_c"]).select("tile", "a", "b").distinct()
+    both = cut(down.union(down.select("tile", F.col("b").alias("a"), F.col("a").alias("b"))))
+    if both.isEmpty():
+        return parts.withColumnRenamed("part", "comp")
+    labels = both.select("tile", F.col("a").alias("part")).distinct().withColumn("comp", F.col("part"))
     while True:
-        near = both.join(labels.select(F.col("run").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "run"), "run", "left").select("run", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        jump = lower.select(F.col("run").alias("comp"), F.col("comp").alias("further"))
-        after = cut(lower.join(jump, "comp", "left").select("run", "old", F.coalesce("further", "comp").alias("comp")))
-        labels = after.select("run", "comp")
+        near = both.join(labels.withColumnRenamed("part", "b"), ["tile", "b"]).groupBy("tile", "a").agg(F.min("comp").alias("m"))
+        lower = labels.join(near.withColumnRenamed("a", "part"), ["tile", "part"]).select("tile", "part", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        jump = lower.select("tile", F.col("part").alias("comp"), F.col("comp").alias("further"))
+        after = cut(lower.join(jump, ["tile", "comp"]).select("tile", "part", "old", F.col("further").alias("comp")))
+        labels = after.select("tile", "part", "comp")
         if after.where("comp <> old").isEmpty():
             break
-    found = runs.join(labels, "run").select(*keys, "row", "_g", "comp")
-    return placed.join(found, [*keys, "row", "_g"]).drop("_g")
+    return parts.join(labels, ["tile", "part"], "left").select("tile", *extra, "row", "col", F.coalesce("comp", "part").alias("comp"))
 
 
 def clean_mask(mask: DataFrame, min_area: int = 10, checkpoint=None) -> DataFrame:
@@ -46,8 +92,8 @@ def clean_mask(mask: DataFrame, min_area: int = 10, checkpoint=None) -> DataFram
     if min_area <= 1:
         return mask.select("tile", "row", "col")
     labelled = label_components(mask, checkpoint=checkpoint)
-    size = F.count("*").over(Window.partitionBy("tile", "comp"))
-    return labelled.withColumn("_n", size).where(F.col("_n") >= min_area).select("tile", "row", "col")
+    large = labelled.groupBy("tile", "comp").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_area).select("tile", "comp")
+    return labelled.join(large, ["tile", "comp"], "left_semi").select("tile", "row", "col")
 
 
 def local_maxima(heights: DataFrame, min_distance: int = 2, least: float | None = None) -> DataFrame:
@@ -59,8 +105,11 @@ def local_maxima(heights: DataFrame, min_distance: int = 2, least: float | None
     across = Window.partitionBy("tile", "row").orderBy("col").rangeBetween(-min_distance, min_distance)
     down = Window.partitionBy("tile", "col").orderBy("row").rangeBetween(-min_distance, min_distance)
     peaks = heights.withColumn("h", h).withColumn("_m", F.max("h").over(across)).withColumn("_m", F.max("_m").over(down))
-    floor = F.lit(least) if least is not None else F.min("h").over(Window.partitionBy("tile"))
-    return peaks.withColumn("_floor", floor).where((F.col("h") == F.col("_m")) & (F.col("h") > F.col("_floor")) & F.col("canopy")).select("tile", "row", "col", F.col("h").alias("height"))
+    if least is not None:
+        peaks = peaks.withColumn("_floor", F.lit(least))
+    else:
+        peaks = peaks.join(peaks.groupBy("tile").agg(F.min("h").alias("_floor")), "tile")
+    return peaks.where((F.col("h") == F.col("_m")) & (F.col("h") > F.col("_floor")) & F.col("canopy")).select("tile", "row", "col", F.col("h").alias("height"))
 
 
 def space_peaks(peaks: DataFrame, min_distance: int = 2, checkpoint=None) -> DataFrame:
@@ -81,18 +130,32 @@ def space_peaks(peaks: DataFrame, min_distance: int = 2, checkpoint=None) -> Dat
 
 
 def _flood(levels: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Priority flood from the markers over the 4-neighbours; plateaus go by level, then marker, then row and column."""
-    labels = np.where(mask, markers, 0)
-    heap = [(levels[r, c], int(labels[r, c]), int(r), int(c)) for r, c in zip(*np.nonzero(labels))]
+    """Priority flood from the markers over the 4-neighbours; plateaus go by level, then marker, then row and column.
+
+    A heap of whole numbers that hold rank of level, marker and place, over flat lists with a margin.
+    """
+    n, m = levels.shape
+    wide = m + 2
+    pad = lambda a, fill: np.pad(a, 1, constant_values=fill).ravel()
+    steps, rank = np.unique(levels, return_inverse=True)
+    names, name = np.unique(np.where(mask, markers, 0), return_inverse=True)  # 0 sorts first wherever a pixel has none
+    names, name = (names, name) if names[0] == 0 else (np.append(0, names), name + 1)
+    cells = (n + 2) * wide
+    per_level = len(names) * cells
+    name = pad(name.reshape(n, m), 0)
+    free, label, rank = (pad(mask, False) & (name == 0)).tolist(), name.tolist(), pad(rank.reshape(n, m), 0).tolist()
+    heap = [rank[i] * per_level + label[i] * cells + i for i in range(cells) if label[i]]
     heapq.heapify(heap)
-    n, m = labels.shape
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        level, label, r, c = heapq.heappop(heap)
-        for y, x in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
-            if 0 <= y < n and 0 <= x < m and mask[y, x] and not labels[y, x]:
-                labels[y, x] = label
-                heapq.heappush(heap, (max(level, levels[y, x]), label, y, x))
-    return labels
+        key = pop(heap)
+        level, rest = divmod(key, per_level)
+        own, i = divmod(rest, cells)
+        for j in (i - wide, i - 1, i + 1, i + wide):
+            if free[j]:
+                free[j], label[j] = False, own
+                push(heap, (level if level > rank[j] else rank[j]) * per_level + own * cells + j)
+    return names[np.array(label).reshape(n + 2, wide)[1:-1, 1:-1]]
 
 
 def _reached(free: np.ndarray) -> np.ndarray:
@@ -110,42 +173,51 @@ def _reached(free: np.ndarray) -> np.ndarray:
             return out
 
 
-def _fill_holes(labels: np.ndarray) -> np.ndarray:
-    """Holes of each label as it stands in ``labels``, filled in ascending order: a later label overwrites an earlier one's filling."""
-    out = labels.copy()
-    r, c = np.nonzero(labels)
-    order = np.argsort(labels[r, c], kind="stable")
-    r, c = r[order], c[order]
-    names, first = np.unique(labels[r, c], return_index=True)
-    for name, a, b in zip(names, first, [*first[1:], len(r)]):
-        box = slice(r[a:b].min(), r[a:b].max() + 1), slice(c[a:b].min(), c[a:b].max() + 1)
-        own = labels[box] == name
-        out[box][~_reached(~own)] = name
-    return out
+def fill_holes(labels: DataFrame) -> DataFrame:
+    """``tile, row, col, label`` with the holes of each label filled, each label as it stands in the input.
+
+    A label is filled within its own bounding box, so crowns are spread over the tasks; where fillings and labels meet, the largest
+    label stays, as if they had been filled in ascending order.
+    """
 
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
+        r, c = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
+        own = np.zeros((r.max() + 1, c.max() + 1), bool)
+        own[r, c] = True
+        y, x = np.nonzero(~_reached(~own))
+        return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": (y + y0).astype("int32"), "col": (x + x0).astype("int32"), "label": pdf["label"].iloc[0]})
 
-def watershed(pixels: DataFrame, min_pixels: int = 10, fill: bool = True) -> DataFrame:
+    schema = f"tile {labels.schema['tile'].dataType.simpleString()}, row int, col int, label int"
+    return labels.groupBy("tile", "label").applyInPandas(fill, schema).groupBy("tile", "row", "col").agg(F.max("label").alias("label"))
+
+
+def watershed(pixels: DataFrame, min_pixels: int = 10, fill: bool = True, checkpoint=None) -> DataFrame:
     """``tile, row, col, label`` of the crowns of each tile, by a marker watershed within the canopy.
 
-    ``pixels``: tile, row, col, level (flooded from low to high), canopy, marker (0 or null: none). A tile is flooded
-    as a whole, as its plateaus cannot be cut; one with fewer canopy pixels than ``min_pixels`` or no marker gives no row.
+    ``pixels``: tile, row, col, level (flooded from low to high), canopy, marker (0 or null: none). A connected part of the
+    canopy is flooded as a whole, as its plateaus cannot be cut, and parts without a marker give no row; nor does a tile with
+    fewer canopy pixels than ``min_pixels``.
     """
+    cut = checkpoint or (lambda df: df.checkpoint())
+    canopy = cut(pixels.where("canopy").select("tile", "row", "col", "level", F.coalesce("marker", F.lit(0)).cast("int").alias("marker")))
+    parts = label_components(canopy, diagonal=False, checkpoint=checkpoint)
+    large = canopy.groupBy("tile").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pixels).select("tile")
+    marked = canopy.where("marker > 0").join(parts, ["tile", "row", "col"]).select("tile", "comp").distinct().join(large, "tile")
+    flooded = canopy.join(parts, ["tile", "row", "col"]).join(marked, ["tile", "comp"])
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        canopy = pdf["canopy"].to_numpy(bool)
-        none = pd.DataFrame({"tile": pd.Series(dtype="int64"), "row": pd.Series(dtype="int32"), "col": pd.Series(dtype="int32"), "label": pd.Series(dtype="int32")})
-        if canopy.sum() < min_pixels or not (pdf["marker"].fillna(0).to_numpy()[canopy] > 0).any():
-            return none
-        r, c = pdf["row"].to_numpy() - pdf["row"].min(), pdf["col"].to_numpy() - pdf["col"].min()
+        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
+        r, c = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
         shape = (r.max() + 1, c.max() + 1)
         level, marker, mask = np.full(shape, np.inf), np.zeros(shape, np.int64), np.zeros(shape, bool)
-        level[r, c], marker[r, c], mask[r, c] = pdf["level"].to_numpy(float), pdf["marker"].fillna(0).to_numpy(np.int64), canopy
-        labels = _flood(np.nan_to_num(level, nan=np.inf), marker, mask)
-        labels = _fill_holes(labels) if fill else labels
-        y, x = np.nonzero(labels)
-        return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": (y + pdf["row"].min()).astype("int32"), "col": (x + pdf["col"].min()).astype("int32"), "label": labels[y, x].astype("int32")})
+        level[r, c], marker[r, c], mask[r, c] = np.nan_to_num(pdf["level"].to_numpy(float), nan=np.inf), pdf["marker"].to_numpy(np.int64), True
+        labels = _flood(level, marker, mask)
+        return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": (r + y0).astype("int32"), "col": (c + x0).astype("int32"), "label": labels[r, c].astype("int32")})
 
-    return pixels.groupBy("tile").applyInPandas(flood, "tile bigint, row int, col int, label int")
+    schema = f"tile {pixels.schema['tile'].dataType.simpleString()}, row int, col int, label int"
+    labels = flooded.groupBy("tile", "comp").applyInPandas(flood, schema)
+    return fill_holes(labels) if fill else labels
 
 
 def crown_table(labels: DataFrame, pixel_area: float = 1.0) -> DataFrame:

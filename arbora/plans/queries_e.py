@@ -104,7 +104,13 @@ _MIRROR = "CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} > 7 THEN 15 - ({i}) ELSE {
 _NEAR = f"""SELECT t.tile, t.row, t.col, i, j, coalesce(s.height, 0) AS v FROM heights AS t, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) JOIN heights AS s ON s.tile = t.tile AND s.row = {_MIRROR.format(i='t.row + i')} AND s.col = {_MIRROR.format(i='t.col + j')}"""
 
 
-@query()
+#: Weights of sigma 1.5 cut at 4 sigma, then a sum along the rows and one along the columns.
+_GAUSS = f"""WITH k AS (SELECT k, exp(-k * k / 4.5e0) / sum(exp(-k * k / 4.5e0)) OVER () AS w FROM (SELECT unnest(range(-6, 7)) AS k)),
+ a AS (SELECT t.tile, t.row, t.col, sum(w * coalesce(s.height, 0)) AS v FROM heights AS t, k JOIN heights AS s ON s.tile = t.tile AND s.col = t.col AND s.row = {_MIRROR.format(i='t.row + k')} GROUP BY t.tile, t.row, t.col)
+ SELECT t.tile, t.row, t.col, round(sum(w * s.v), 6) AS value FROM a AS t, k JOIN a AS s ON s.tile = t.tile AND s.row = t.row AND s.col = {_MIRROR.format(i='t.col + k')} GROUP BY t.tile, t.row, t.col"""
+
+
+@query(duck(_GAUSS, "heights"))
 def e07_smooth_gaussian(spark, d):
     return rasters.smooth(_filled(spark, d), 8, 8, "gaussian").withColumn("value", F.round("value", 6))
 
@@ -136,7 +142,7 @@ def _crowns(spark, d, fill: bool, gradient: bool = False):
         distance = rasters.distance_to_background(canopy.select("tile", "row", "col", F.col("canopy").alias("on")))
         level = distance.withColumn("level", -F.coalesce("distance", F.lit(0.0)))
     rows = canopy.join(level.select("tile", "row", "col", "level"), ["tile", "row", "col"]).join(peaks, ["tile", "row", "col"], "left")
-    return segment.watershed(rows.select("tile", "row", "col", "level", "canopy", "marker"), fill=fill)
+    return segment.watershed(rows.select("tile", "row", "col", "level", "canopy", "marker"), fill=fill, checkpoint=stored)
 
 
 @query()
@@ -157,10 +163,17 @@ def e11_fill_holes(spark, d):
 _LABELLED = "SELECT tile, row, col, CAST(value // 64 AS INTEGER) AS label FROM pixels WHERE band = 5"
 
 
-@query(duck(_components(False, _LABELLED, " AND a.label = b.label") + " SELECT c.tile, label, count(*) AS n_pixels FROM c JOIN m ON m.tile = c.tile AND m.row * 8 + m.col = p GROUP BY c.tile, label, comp", "pixels"))
+@query(duck(_components(False, _LABELLED, " AND a.label = b.label") + """ SELECT c.tile, label, count(*) AS n_pixels, CAST(sum(5 - k) AS BIGINT) AS n_sides, CAST(count(*) AS DOUBLE) AS ring_area FROM c JOIN m ON m.tile = c.tile AND m.row * 8 + m.col = p
+ JOIN (SELECT tile, p, count(*) AS k FROM (SELECT tile, p, q FROM e UNION SELECT tile, row * 8 + col, row * 8 + col FROM m) GROUP BY tile, p) AS near ON near.tile = c.tile AND near.p = c.p GROUP BY c.tile, label, comp""", "pixels"))
 def e12_outlines(spark, d):
+    """With the rings' sides and the area that they enclose, holes taken off."""
     rows = load(spark, d, "pixels").where("band = 5").select("tile", "row", "col", F.floor(F.col("value") / 64).cast("int").alias("label"))
-    return segment.outlines(rows, stored).select("tile", "label", "n_pixels")
+    crowns = segment.outlines(rows, stored)
+    sides = F.expr("aggregate(rings, 0L, (n, ring) -> n + size(ring))")
+    # Shoelace sums over the rings; outer rings and holes run in opposite directions.
+    area = F.expr("""abs(aggregate(rings, 0L, (s, ring) -> s + aggregate(sequence(0, size(ring) - 1), 0L,
+        (a, i) -> a + ring[i].x * ring[(i + 1) % size(ring)].y - ring[(i + 1) % size(ring)].x * ring[i].y))) / 2""")
+    return crowns.select("tile", "label", "n_pixels", sides.alias("n_sides"), area.alias("ring_area"))
 
 
 @query(duck("SELECT split, min_by(epoch, (-m, epoch)) AS best_epoch, max(m) AS best_value FROM (SELECT epoch, split, round(avg(value), 6) AS m FROM history GROUP BY epoch, split) WHERE split = 'click' GROUP BY split", "history"))

@@ -285,12 +285,6 @@ def test_watershed_splits_two_hills(spark):
     assert segment.watershed(df.where("col < 2"), min_pixels=10).count() == 0
 
 
-def test_fill_holes():
-    ring = np.ones((3, 3), int)
-    ring[1, 1] = 0
-    assert segment._fill_holes(ring).tolist() == [[1] * 3] * 3
-
-
 def brute_filled(labels):
     """Each label's holes by a flood from outside, one pixel at a time, on the labels as they came."""
     n, m = labels.shape
@@ -310,17 +304,128 @@ def brute_filled(labels):
     return out
 
 
-def test_fill_holes_keeps_nested_crowns():
+def test_fill_holes_keeps_nested_crowns(spark):
     nested = np.ones((5, 5), int)
     nested[2, 2] = 2
-    assert (segment._fill_holes(nested) == nested).all()
+    ring = np.ones((300, 300), int)
+    ring[5:-5, 5:-5] = 0
     rng = np.random.default_rng(3)
+    tiles = [nested, ring]
     for k in range(60):
-        labels = rng.integers(0, 4, (rng.integers(1, 12), rng.integers(1, 12))) if k % 2 else np.repeat(np.repeat(rng.integers(0, 3, (4, 5)), 3, 0), 2, 1)
-        assert (segment._fill_holes(labels) == brute_filled(labels)).all()
-    ring = np.ones((1500, 1500), int)
-    ring[5:-5, 5:-5] = 0
-    assert (segment._fill_holes(ring) == 1).all()
+        tiles.append(rng.integers(0, 4, (rng.integers(1, 12), rng.integers(1, 12))) if k % 2 else np.repeat(np.repeat(rng.integers(0, 3, (4, 5)), 3, 0), 2, 1))
+    rows = [(t, r, c, int(v)) for t, a in enumerate(tiles) for r, line in enumerate(a) for c, v in enumerate(line) if v]
+    got = [np.zeros_like(a) for a in tiles]
+    for t, r, c, v in values(segment.fill_holes(spark.createDataFrame(rows, "tile bigint, row int, col int, label int")).select("tile", "row", "col", "label")):
+        got[t][r, c] = v
+    assert (got[0] == nested).all() and (got[1] == 1).all()
+    for found, a in zip(got[2:], tiles[2:]):
+        assert (found == brute_filled(a)).all()
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+@pytest.mark.parametrize("side", [1, 3, 5])
+def test_components_across_blocks(spark, monkeypatch, diagonal, side):
+    monkeypatch.setattr(segment, "BLOCK", side)
+    mask = np.random.default_rng(side).random((13, 17)) < (0.42 if diagonal else 0.6)
+    df = pixels(spark, mask).where("value > 0").drop("value")
+    got = {}
+    for r in segment.label_components(df, diagonal, checkpoint=stored).collect():
+        got.setdefault(r["comp"], []).append((r["row"], r["col"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, grown(mask, diagonal)))
+    assert all(k == min(v)[0] << 32 | min(v)[1] for k, v in got.items())
+
+
+def test_components_of_equal_value_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(segment, "BLOCK", 4)
+    kinds = np.random.default_rng(8).integers(0, 2, (11, 11))
+    df = pixels(spark, kinds, name="kind")
+    got = {}
+    for r in segment.label_components(df, False, equal="kind", checkpoint=stored).collect():
+        got.setdefault(r["comp"], set()).add((r["row"], r["col"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, grown(kinds == 0, False) + grown(kinds == 1, False)))
+
+
+def brute_flood(levels, markers, mask):
+    """The flood as stated: of all open pixels the one of lowest level goes next, then smallest marker, row and column."""
+    labels, open_ = {}, []
+    for r, c in zip(*np.nonzero(mask)):
+        if markers[r, c]:
+            labels[r, c] = markers[r, c]
+            open_.append((levels[r, c], markers[r, c], r, c))
+    while open_:
+        at = min(open_)
+        open_.remove(at)
+        level, label, r, c = at
+        for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+            if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x] and (y, x) not in labels:
+                labels[y, x] = label
+                open_.append((max(level, levels[y, x]), label, y, x))
+    return {(int(r), int(c)): int(v) for (r, c), v in labels.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_watershed_equals_the_stated_flood(spark, monkeypatch, seed):
+    monkeypatch.setattr(segment, "BLOCK", 5)
+    rng = np.random.default_rng(seed)
+    mask, level = rng.random((14, 19)) < 0.7, rng.integers(0, 3 + seed, (14, 19)).astype(float)
+    marker = np.where(rng.random((14, 19)) < 0.06, rng.permutation(14 * 19).reshape(14, 19) + 1, 0)
+    df = pixels(spark, level, name="level").join(pixels(spark, marker, name="marker"), ["tile", "row", "col"])
+    df = df.join(pixels(spark, mask, name="on"), ["tile", "row", "col"]).withColumn("canopy", F.col("on") > 0)
+    got = {(r["row"], r["col"]): r["label"] for r in segment.watershed(df, fill=False, checkpoint=stored).collect()}
+    assert got == brute_flood(level, marker, mask)
+
+
+def mirrored(i, n):
+    k = i % (2 * n)
+    return 2 * n - 1 - k if k >= n else k
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 20), (9, 7), (17, 16)])
+def test_filters_equal_the_plain_sums(spark, monkeypatch, shape):
+    """Blocks of 8 with their margins against sums over mirrored places; a tenth of the pixels is unknown, some are absent."""
+    monkeypatch.setattr(rasters, "BLOCK", 8)
+    rng = np.random.default_rng(shape[1])
+    v = rng.normal(size=shape)
+    v[rng.random(shape) < 0.1] = np.nan
+    df = pixels(spark, v).where("not (row = 2 and col = 3)")
+    if v.shape[0] > 2:
+        v[2, 3] = np.nan
+    n, m = shape
+
+    def brute(weight, reach, median=False):
+        out = {}
+        for r in range(n):
+            for c in range(m):
+                if (r, c) == (2, 3):
+                    continue
+                near = [(weight(i, j), v[mirrored(r + i, n), mirrored(c + j, m)]) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+                near = [(w, x) for w, x in near if not np.isnan(x)]
+                out[r, c] = None if not near else float(np.median([x for _, x in near])) if median else sum(w * x for w, x in near)
+        return out
+
+    def same(df, wanted):
+        got = {(r["row"], r["col"]): r["value"] for r in df.collect()}
+        assert set(got) == set(wanted)
+        for at, x in wanted.items():
+            assert (got[at] is None) == (x is None) and (x is None or abs(got[at] - x) < 1e-9)
+
+    norm = sum(np.exp(-0.5 * (k / 1.5) ** 2) for k in range(-6, 7))
+    same(rasters.smooth_gaussian(df, n, m), brute(lambda i, j: np.exp(-0.5 * (i * i + j * j) / 2.25) / norm**2, 6))
+    same(rasters.smooth_median(df, n, m), brute(lambda i, j: 1, 1, True))
+    smooth = (0.25, 0.5, 0.25)
+    a, b = brute(lambda i, j: i / 2 * smooth[j + 1], 1), brute(lambda i, j: j / 2 * smooth[i + 1], 1)
+    same(rasters.sobel(df, n, m), {k: None if a[k] is None else ((a[k] ** 2 + b[k] ** 2) / 2) ** 0.5 for k in a})
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.5, 1.0])
+def test_distance_equals_the_nearest_of_all(spark, monkeypatch, share):
+    monkeypatch.setattr(rasters, "STRIPE", 4)
+    off = np.random.default_rng(2).random((23, 19)) < share
+    df = pixels(spark, ~off).withColumn("on", F.col("value") > 0).drop("value")
+    ys, xs = np.nonzero(off)
+    for r in rasters.distance_to_background(df).collect():
+        wanted = None if not len(ys) else float(np.sqrt(((ys - r["row"]) ** 2 + (xs - r["col"]) ** 2).min()))
+        assert r["distance"] == wanted
 
 
 def test_peaks_keep_their_distance(spark):
