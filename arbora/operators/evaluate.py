@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.operators.matching import dense
-from arbora.plans.workspace import stored
+from arbora.plans.workspace import ranked, stored
 
 
 def class_confusion(rows: DataFrame, n_classes: int, truth: str = "y", pred: str = "p") -> DataFrame:
@@ -65,13 +65,21 @@ def epoch_rollup(batches: DataFrame, value: str = "value", size: str = "n") -> D
 def impute_median(df: DataFrame, columns: list[str], split: str | None = None, fit_on: str | None = None) -> DataFrame:
     """Fill null and NaN with the column's exact median, of the row's own split, or of the split ``fit_on`` for all."""
     clean = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
-    if split and not fit_on:
-        medians = clean.groupBy(split).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-        joined = clean.join(medians, split)
+    grouped = bool(split) and not fit_on
+    basis = clean.where(F.col(split) == fit_on) if fit_on else clean
+    which = F.col(split) if grouped else F.lit(0)
+    long = basis.select(F.explode(F.array(*[F.struct(which.alias("s"), F.lit(k).alias("c")) for k in range(len(columns))])).alias("_key"), *columns)
+    long = long.select("_key", F.get(F.array(*[F.col(c).cast("double") for c in columns]), F.col("_key.c")).alias("_v")).where("_v is not null")
+    # The middle of the values by rank over ranges: no task holds a column.
+    places = stored(ranked(long, ["_v"], "_k", "_key"), "ranked-values")
+    sizes = places.groupBy("_key").agg(F.max("_k").alias("_n"))
+    middle = places.join(sizes, "_key").where("_k = floor((_n + 1) / 2) or _k = floor(_n / 2) + 1").groupBy("_key").agg(F.avg("_v").alias("_m"))
+    medians = middle.groupBy(F.col("_key.s").alias("_s")).agg(*[F.max(F.when(F.col("_key.c") == k, F.col("_m"))).alias(f"_m_{c}") for k, c in enumerate(columns)])
+    if grouped:
+        joined = clean.join(medians, which.eqNullSafe(F.col("_s")), "left")
     else:
-        basis = clean.where(F.col(split) == fit_on) if fit_on else clean
-        row = basis.agg(*[F.median(c).alias(c) for c in columns]).first()  # one row
-        joined = clean.withColumns({f"_m_{c}": F.lit(row[c]).cast("double") for c in columns})
+        row = medians.first()  # one row, or none where no value is known
+        joined = clean.withColumns({f"_m_{c}": F.lit(row[f"_m_{c}"] if row else None).cast("double") for c in columns})
     return joined.withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).select(*df.columns)
 
 
@@ -97,8 +105,12 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**
 LIMITS = (1, 10, 100)
 
 
-def _match_image(image_id, cls, dets: pd.DataFrame, truths: pd.DataFrame) -> list[tuple]:
-    """Greedy matching of one image and class for each IoU threshold and area range; the detections come by falling score."""
+def _match_image(dets: pd.DataFrame, truths: pd.DataFrame) -> pd.DataFrame:
+    """Greedy matching of one image and class for each area range and IoU threshold.
+
+    ``det_id, score, place`` by falling score and, as bits, whether the detection is a hit (``hits``) and whether it does not count
+    (``skips``); bit ``10 * area + threshold``.
+    """
     dets = dets.sort_values(["score", "det_id"], ascending=[False, True], kind="stable").head(LIMITS[-1])
     d, g = dets[["x1", "y1", "x2", "y2"]].to_numpy(float), truths[["x1", "y1", "x2", "y2"]].to_numpy(float)
     area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
@@ -106,25 +118,28 @@ def _match_image(image_id, cls, dets: pd.DataFrame, truths: pd.DataFrame) -> lis
     inter = np.prod(np.maximum(w, 0), axis=2)
     union = area(d)[:, None] + area(g)[None] - inter
     over = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-    ids, scores, size_d, size_g = dets["det_id"].tolist(), dets["score"].tolist(), area(d), area(g)
-    near = [[(float(over[k, j]), int(j)) for j in np.flatnonzero(over[k] >= min(IOUS))] for k in range(len(d))]
-    out = []
-    for name, (low, high) in AREAS.items():
-        ignored = ((size_g < low) | (size_g > high)).tolist()
-        outside = ((size_d < low) | (size_d > high)).tolist()
+    # Only detections that reach the lowest threshold somewhere can be hits.
+    near = [(int(k), [(float(over[k, j]), int(j)) for j in np.flatnonzero(over[k] >= min(IOUS))]) for k in np.flatnonzero((over >= min(IOUS)).any(axis=1))]
+    hits, skips = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
+    for n, (low, high) in enumerate(AREAS.values()):
+        ignored = ((area(g) < low) | (area(g) > high)).tolist()
+        outside = (area(d) < low) | (area(d) > high)
+        skips |= np.where(outside, (1 << len(IOUS)) - 1 << n * len(IOUS), 0)
         for t, limit in enumerate(IOUS):
+            bit = 1 << n * len(IOUS) + t
             used: set[int] = set()
-            for k, candidates in enumerate(near):
+            for k, candidates in near:
                 free = [(not ignored[j], v, j) for v, j in candidates if v >= min(limit, 1 - 1e-10) and j not in used]
                 # Truths that count come before ignored ones; then the largest overlap, the later one on ties.
-                at = max(free)[2] if free else -1
-                if at >= 0:
+                if free:
+                    at = max(free)[2]
                     used.add(at)
-                out.append((image_id, cls, name, t, ids[k], scores[k], k + 1, at >= 0, ignored[at] if at >= 0 else outside[k]))
-    return out
+                    hits[k] |= bit
+                    skips[k] = skips[k] | bit if ignored[at] else skips[k] & ~bit
+    return dets[["det_id", "score"]].assign(place=np.arange(1, len(d) + 1), hits=hits, skips=skips)
 
 
-_MATCHED = "image_id bigint, cls int, area string, t int, det_id bigint, score double, place int, hit boolean, skip boolean"
+_MATCHED = "image_id bigint, cls int, det_id bigint, score double, place int, hits bigint, skips bigint"
 
 
 def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
@@ -132,7 +147,8 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     and all of them without any detection.
 
     ``dets``: image_id, cls, det_id, score, x1..y2; ``truths``: image_id, cls, gt_id, x1..y2. Images and classes are matched
-    each on its own (a group is one image's boxes); the curves are windows by falling score.
+    each on its own (a group is one image's boxes). The curves run along ranges of falling score, each shifted by the sums of those
+    before it, so no task sorts a whole class.
     """
     box = ["x1", "y1", "x2", "y2"]
     d = dets.select("image_id", "cls", F.col("det_id"), "score", *box)
@@ -144,32 +160,46 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
         # A side without rows comes without columns.
         truth = {c: part.rename(columns=lambda n: n.removeprefix("g_")) for c, part in right.groupby("g_cls")} if len(right) else {}
         none = pd.DataFrame(columns=box)
-        rows = [r for c, own in left.groupby("cls") for r in _match_image(int(key[0]), int(c), own, truth.get(c, none))] if len(left) else []
-        return pd.DataFrame(rows, columns=names)
+        parts = [_match_image(own, truth.get(c, none)).assign(image_id=int(key[0]), cls=int(c)) for c, own in left.groupby("cls")] if len(left) else []
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
     matched = d.groupBy("image_id").cogroup(g.groupBy("g_image")).applyInPandas(match, _MATCHED)
-    matched = stored(matched, "matched")  # read by both curves
+    matched = stored(matched, "matched")
     none = matched.isEmpty()
+    ranged = matched.repartitionByRange(F.desc("score"), "image_id", "place").withColumn("_pid", F.spark_partition_id())
+    ranged = stored(ranged, "matched-by-score")  # read by all that follows, so its parts must not change
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    counts = None
-    for name, (low, high) in AREAS.items():
-        part = truths.where((size >= low) & (size <= high)).groupBy("cls").agg(F.count("*").alias("n_truth")).withColumn("area", F.lit(name))
-        counts = part if counts is None else counts.unionByName(part)
+    inside = F.filter(F.array(*[F.when((size >= low) & (size <= high), F.lit(name)) for name, (low, high) in AREAS.items()]), lambda n: n.isNotNull())
+    counts = truths.select("cls", F.explode(inside).alias("area")).groupBy("cls", "area").agg(F.count("*").alias("n_truth"))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(len(AREAS) * len(IOUS) - 1))).alias("_bit")
+    each = ranged.select("*", bit).select(
+        "cls", F.get(F.array(*map(F.lit, AREAS)), F.expr(f"cast(_bit div {len(IOUS)} as int)")).alias("area"), (F.col("_bit") % len(IOUS)).alias("t"), "_pid", "score", "image_id", "place",
+        (F.expr("shiftright(hits, _bit) & 1") == 1).alias("hit"), (F.expr("shiftright(skips, _bit) & 1") == 1).alias("skip"),
+    )
     # Precision and recall along falling score, for each class, area and threshold.
-    by = Window.partitionBy("cls", "area", "t").orderBy(F.desc("score"), "image_id", "place")
-    shown = matched.where(~F.col("skip")).withColumn("tp", F.sum(F.col("hit").cast("int")).over(by)).withColumn("k", F.row_number().over(by))
-    curve = shown.join(counts, ["cls", "area"]).select("cls", "area", "t", "k", (F.col("tp") / F.col("n_truth")).alias("recall"), (F.col("tp") / F.col("k")).alias("precision"))
-    back = Window.partitionBy("cls", "area", "t").orderBy(F.desc("k"))
-    curve = curve.withColumn("precision", F.max("precision").over(back))
+    keys = ["cls", "area", "t"]
+    shown = each.where(~F.col("skip")).withColumn("hit", F.col("hit").cast("int"))
+    by = Window.partitionBy("_pid", *keys).orderBy(F.desc("score"), "image_id", "place")
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = shown.groupBy("_pid", *keys).agg(F.sum("hit").alias("_tp"), F.count("*").alias("_k"))
+    sums = sums.select("_pid", *keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_tp", "_k")])
+    curve = shown.withColumn("tp", F.sum("hit").over(by)).withColumn("k", F.row_number().over(by)).join(sums, ["_pid", *keys])
+    curve = curve.withColumn("tp", F.col("tp") + F.col("_tp")).withColumn("k", F.col("k") + F.col("_k")).join(counts, ["cls", "area"])
+    # Between hits recall stands still and precision falls, so the hits alone make the curve; those before have a recall of one hit less.
+    curve = curve.where("hit = 1").select("_pid", *keys, "k", (F.col("tp") / F.col("n_truth")).alias("recall"), ((F.col("tp") - 1) / F.col("n_truth")).alias("before"), (F.col("tp") / F.col("k")).alias("precision"))
+    curve = stored(curve, "curve")
+    later = Window.partitionBy(*keys).orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    peaks = curve.groupBy("_pid", *keys).agg(F.max("precision").alias("_p")).select("_pid", *keys, F.max("_p").over(later).alias("_later"))
+    back = Window.partitionBy("_pid", *keys).orderBy(F.desc("k"))
+    curve = curve.withColumn("precision", F.max("precision").over(back)).join(peaks, ["_pid", *keys]).withColumn("precision", F.greatest("precision", "_later"))
     # At each of 101 recall points: the precision at the first place of that recall or more.
-    steps = Window.partitionBy("cls", "area", "t").orderBy("k")
-    low = F.coalesce(F.lag("recall").over(steps), F.lit(-1.0))
+    low = F.when(F.col("before") > 0, F.col("before")).otherwise(-1.0)
     spans = curve.withColumn("_low", F.greatest(F.floor(low * 100 + 1e-9) + 1, F.lit(0))).withColumn("_high", F.floor(F.col("recall") * 100 + 1e-9))
     points = spans.where("_high >= _low").select("cls", "area", "t", ((F.col("_high") - F.col("_low") + 1) * F.col("precision")).alias("v"))
     thresholds = counts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(IOUS) - 1)))).where("n_truth > 0")
     ap = thresholds.join(points.groupBy("cls", "area", "t").agg((F.sum("v") / 101).alias("ap")), ["cls", "area", "t"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
     hits = [F.sum(F.when(F.col("hit") & ~F.col("skip") & (F.col("place") <= n), 1).otherwise(0)).alias(f"h{n}") for n in LIMITS]
-    ar = thresholds.join(matched.groupBy("cls", "area", "t").agg(*hits), ["cls", "area", "t"], "left")
+    ar = thresholds.join(each.groupBy("cls", "area", "t").agg(*hits), ["cls", "area", "t"], "left")
     ar = ar.select("area", "t", *[(F.coalesce(f"h{n}", F.lit(0)) / F.col("n_truth")).alias(f"r{n}") for n in LIMITS])
     where = lambda c, cond: F.avg(F.when(cond, F.col(c)))
     every, area, t = F.lit(True), F.col("area"), F.col("t")

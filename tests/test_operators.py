@@ -556,3 +556,67 @@ def test_augmentation_keeps_pixels(spark):
     assert out.count() == 16
     light = raster.augment_light(raster.scale_to_unit(chip, "uint8", ["tile"]), "tile", seed=2)
     assert light.where("value < 0 or value > 1").count() == 0
+
+
+def brute_precision(dets, truths, cls, low, high, limit):
+    """AP of one class, area range and threshold by the loop over falling score and the 101 points of the interpolated curve."""
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+
+    def over(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        inter = max(w, 0) * max(h, 0)
+        return inter / (size(a) + size(b) - inter) if inter else 0.0
+
+    judged = []
+    for image in {d[0] for d in dets}:
+        mine = sorted([d for d in dets if d[0] == image and d[1] == cls], key=lambda d: (-d[3], d[2]))[:100]
+        real = [t for t in truths if t[0] == image and t[1] == cls]
+        used = set()
+        for place, d in enumerate(mine):
+            ways = [(low <= size(t[3:]) <= high, over(d[4:], t[3:]), j) for j, t in enumerate(real) if j not in used and over(d[4:], t[3:]) >= limit]
+            if ways:
+                counts, _, j = max(ways)
+                used.add(j)
+                if counts:
+                    judged.append((-d[3], image, place, 1))
+            elif low <= size(d[4:]) <= high:
+                judged.append((-d[3], image, place, 0))
+    n = sum(1 for t in truths if t[1] == cls and low <= size(t[3:]) <= high)
+    if not n:
+        return None
+    tp, curve = 0, []
+    for k, (*_, hit) in enumerate(sorted(judged), 1):
+        tp += hit
+        curve.append((tp / n, tp / k))
+    return sum(max((p for r, p in curve if r * 100 + 1e-9 >= point), default=0.0) for point in range(101)) / 101
+
+
+def test_average_precision_equals_the_loop(spark):
+    rng = random.Random(5)
+    box = lambda s: (x := rng.uniform(0, 200), y := rng.uniform(0, 200), x + s, y + s)
+    truths = [(i, c, 100 * i + 10 * c + k, *box(rng.choice([10, 20, 50, 120]))) for i in range(12) for c in range(2) for k in range(5)]
+    dets = []
+    for k, t in enumerate(truths):
+        for j in range(rng.choice([0, 1, 2])):
+            dets.append((t[0], t[1], 2 * k + j, round(rng.random(), 1), *[v + rng.uniform(-3, 3) for v in t[3:]]))
+    dets += [(rng.randrange(12), rng.randrange(2), 1000 + k, round(rng.random(), 1), *box(rng.choice([8, 40]))) for k in range(60)]
+    d = spark.createDataFrame(dets, "image_id bigint, cls int, det_id bigint, score double, x1 double, y1 double, x2 double, y2 double")
+    t = spark.createDataFrame(truths, "image_id bigint, cls int, gt_id bigint, x1 double, y1 double, x2 double, y2 double")
+    got = dict(values(evaluate.average_precision(d, t)))
+
+    def mean(area, ious):
+        found = [brute_precision(dets, truths, c, *evaluate.AREAS[area], v) for c in range(2) for v in ious]
+        found = [v for v in found if v is not None]
+        return sum(found) / len(found) if found else None
+
+    wanted = {"AP": mean("all", evaluate.IOUS), "AP50": mean("all", [0.5]), "AP75": mean("all", [0.75]), **{f"AP_{a}": mean(a, evaluate.IOUS) for a in ("small", "medium", "large")}}
+    for name, v in wanted.items():
+        assert abs(got[name] - v) < 1e-9, name
+
+
+def test_medians_by_rank(spark):
+    rows = [("a", 3.0, None), ("a", 1.0, 5.0), ("a", None, float("nan")), ("a", 2.0, 6.0), ("b", None, None), ("b", 4.0, None), (None, None, 7.0), (None, 8.0, None)]
+    df = spark.createDataFrame(rows, "s string, v double, w double")
+    got = values(evaluate.impute_median(df, ["v", "w"], "s"))
+    assert sorted(map(str, got)) == sorted(map(str, [("a", 3.0, 5.5), ("a", 1.0, 5.0), ("a", 2.0, 5.5), ("a", 2.0, 6.0), ("b", 4.0, None), ("b", 4.0, None), (None, 8.0, 7.0), (None, 8.0, 7.0)]))
+    assert {r["v"] for r in evaluate.impute_median(df.where("v is null"), ["v"]).collect()} == {None}
