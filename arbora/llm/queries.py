@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.llm import decontamination, jaccard, licenses, packing, quality, substrings, token_files, topk, toxicity, warc
+from arbora.llm import decontamination, jaccard, licenses, packing, quality, streaming_dedup, substrings, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op13_streaming_dedup": streaming_dedup.op13_streaming_dedup,
 }
-SQL: dict[str, str] = {"op3_substrings": substrings.OP3_SQL, "op10_jaccard_join": jaccard.OP10_SQL, "op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL}
+SQL: dict[str, str] = {"op3_substrings": substrings.OP3_SQL, "op10_jaccard_join": jaccard.OP10_SQL, "op5_topk_search": topk.OP5_SQL, "op1_warc": warc.OP1_SQL, "op6_decontamination": decontamination.OP6_SQL, "op13_streaming_dedup": streaming_dedup.OP13_SQL}
