@@ -35,6 +35,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else each state partition takes several MB of disk before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 BATCH_BYTES = 64 << 30  #: of files in a micro-batch, about
 
