@@ -4,9 +4,10 @@
 2. A few entries of each first codebook, far from each other, are that position's pivots and stay so. The distances of every part to its
    pivots are computed once and written with the parts.
 3. In each round only pivots and entries are measured against each other. By the triangle inequality, the difference of a part's and an
-   entry's distance to a pivot is never more than their own distance. The largest difference over the pivots orders the
-   entries; those of the least bounds are evaluated in integers first, and an entry whose bound exceeds the best
-   distance so far is not evaluated. Bounds are lowered by more than their rounding error, so the result is that of evaluating all.
+   entry's distance to a pivot is never more than their own distance. Parts near the same pivot, at like distances, form a small group, whose
+   largest difference over the pivots bounds an entry's distance to all of them and orders the entries. Those of the least bounds are evaluated first, in
+   integers; entries are left out for the parts whose best distance so far is below the bound, and the rest of them once that is so for all
+   parts of the group. Bounds are lowered by more than their rounding error, so the result is that of evaluating all.
 4. A task sums its parts by entry and sends one row an entry; the driver gets the codebooks, whose size is fixed by
    the parameters, and sends them out with the next round.
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from arbora.llm._spark import Scratch, table, written
 
 SCALE = 1024
-ROWS = 1024  #: parts compared at a time
-STEPS = (8, 24)  #: entries evaluated at first, and next, before all that are left
+GROUP = 256  #: parts with one set of bounds
+STEP = 64  #: entries evaluated between two looks at the bounds
 
 
 def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", scale: int = SCALE) -> DataFrame:
@@ -65,36 +66,33 @@ def nearest(parts: np.ndarray, to_pivot: np.ndarray, entries: np.ndarray, pivots
     """Of each part the nearest entry (of several, the first), the squared distance, and in all the number of distances evaluated."""
     between = to_pivots(entries, pivots)
     slack = 1e-12 * (1 + max(to_pivot.max(initial=0), between.max(initial=0)))
+    reach = max(int(np.abs(parts).max(initial=0)), int(np.abs(entries).max(initial=0)))
+    # Doubles hold these integers exactly below 2**53, and their products are far quicker than those of integers.
+    kind = float if 4 * reach**2 * parts.shape[1] < 1 << 53 else np.int64
+    x, e = parts.astype(kind), entries.astype(kind)
+    x_norm, e_norm = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", e, e)
     index, error, evaluated = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64), 0
-    for at in range(0, len(parts), ROWS):
-        x, own = parts[at : at + ROWS], to_pivot[at : at + ROWS]
-        low = np.zeros((len(x), len(entries)))
-        for p in range(len(pivots)):
-            np.maximum(low, np.abs(own[:, p, None] - between[None, :, p]), out=low)
-        best, least = np.full(len(x), len(entries)), np.full(len(x), np.iinfo(np.int64).max)
-        reach = lambda rows: np.sqrt(least[rows].astype(float)) + slack  # noqa: B023, E731
-        left = np.arange(len(x))
-        # First the entries of least bounds, of the parts that have such below their best distance.
-        for step in STEPS if len(entries) > sum(STEPS) else ():
-            order = np.argpartition(low[left], step - 1, axis=1)[:, :step]
-            d = squared(x[left, None], entries[order])
+    close = to_pivot.argmin(1) if len(parts) else np.zeros(0, np.int64)
+    order = np.lexsort((to_pivot[np.arange(len(parts)), close], close))
+    for at in range(0, len(parts), GROUP):
+        rows = order[at : at + GROUP]
+        own = to_pivot[rows]
+        low = np.maximum(between - own.max(0), own.min(0) - between).max(1) - slack
+        by_bound = np.argsort(low, kind="stable")
+        best, least = np.full(len(rows), len(entries)), np.full(len(rows), np.iinfo(np.int64).max)
+        for k in range(0, len(entries), STEP):
+            left = np.flatnonzero(np.sqrt(least.astype(float)) + slack >= low[by_bound[k]])
+            if not len(left):
+                break
+            columns = np.sort(by_bound[k : k + STEP])
+            d = x_norm[rows[left], None] - 2 * (x[rows[left]] @ e[columns].T) + e_norm[columns]
             evaluated += d.size
-            d_low = d.min(1)
-            k_low = np.where(d == d_low[:, None], order, len(entries)).min(1)
-            better = (d_low < least[left]) | (d_low == least[left]) & (k_low < best[left])
-            best[left[better]], least[left[better]] = k_low[better], d_low[better]
-            low[left[:, None], order] = np.inf
-            left = left[low[left].min(1) <= reach(left)]
-        row, entry = np.nonzero(low[left] <= reach(left)[:, None])
-        row = left[row]
-        d = squared(x[row], entries[entry])
-        evaluated += len(d)
-        before = least.copy()
-        np.minimum.at(least, row, d)
-        best[least < before] = len(entries)
-        tie = d == least[row]
-        np.minimum.at(best, row[tie], entry[tie])
-        index[at : at + ROWS], error[at : at + ROWS] = best, least
+            nearest_k = d.argmin(1)
+            d = d[np.arange(len(left)), nearest_k].astype(np.int64)
+            nearest_k = columns[nearest_k]
+            better = (d < least[left]) | (d == least[left]) & (nearest_k < best[left])
+            best[left[better]], least[left[better]] = nearest_k[better], d[better]
+        index[rows], error[rows] = best, least
     return index, error, evaluated
 
 
