@@ -168,17 +168,18 @@ def test_codes_by_brute_force(spark, vectors, n_entries, n_pivots):
     assert {r["vec_id"]: r["label_error"] for r in codes.collect()} == {i: sums[None if i % 3 == 0 else i % 2] for i, *_ in wanted}
 
 
-def test_pivots_prune_and_change_nothing():
+@pytest.mark.parametrize("scale", [1, 1 << 22])
+def test_pivots_prune_and_change_nothing(scale):
+    """Parts around a few centres; large ones are compared in integers of 64 bits."""
     rng = np.random.default_rng(8)
-    parts = rng.integers(-600, 600, (3000, 16))
-    parts[1000:2000] = parts[:1000] + rng.integers(-40, 40, (1000, 16))
-    entries = parts[:256].copy()
-    entries[200] = entries[100]  # a tie
+    parts = (rng.integers(-600, 600, (12, 16))[rng.integers(0, 12, 6000)] + rng.integers(-30, 30, (6000, 16))) * scale
+    parts[100:200] = parts[:100]
+    entries = parts[:256].copy()  # with ties
     pivots = vector_codes.far_apart(entries, 8)
     index, error, evaluated = vector_codes.nearest(parts, vector_codes.to_pivots(parts, pivots), entries, pivots)
     d = ((parts[:, None] - entries[None]) ** 2).sum(2)
     assert (index == d.argmin(1)).all() and (error == d.min(1)).all()
-    assert evaluated < 0.8 * d.size
+    assert evaluated < 0.5 * d.size
 
 
 def test_codes_of_few_vectors_and_none(spark):
