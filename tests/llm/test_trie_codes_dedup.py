@@ -168,7 +168,7 @@ def test_codes_by_brute_force(spark, vectors, n_entries, n_pivots):
     assert {r["vec_id"]: r["label_error"] for r in codes.collect()} == {i: sums[None if i % 3 == 0 else i % 2] for i, *_ in wanted}
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 22])
+@pytest.mark.parametrize("scale", [1, 1 << 18])
 def test_pivots_prune_and_change_nothing(scale):
     """Parts around a few centres; large ones are compared in integers of 64 bits."""
     rng = np.random.default_rng(8)
