@@ -98,42 +98,45 @@ _DELTA = (
 )
 
 
-def lonlat_to_utm32(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """EPSG:4326 degrees to EPSG:25832 metres."""
+def lonlat_to_utm32(lon, lat, m=F):
+    """EPSG:4326 degrees to EPSG:25832 metres, of columns, or of arrays with ``m=numpy``."""
     s = 2 * math.sqrt(_N) / (1 + _N)
-    sin = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin) - s * F.atanh(s * sin))
-    d = F.radians(lon - _LON0)
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    sin = m.sin(m.radians(lat))
+    t = m.sinh(m.atanh(sin) - s * m.atanh(s * sin))
+    d = m.radians(lon - _LON0)
+    xi, eta = m.atan2(t, m.cos(d)), m.atanh(m.sin(d) / m.sqrt(1 + t * t))
     x, y = eta, xi
     for k, a in enumerate(_ALPHA, 1):
-        x = x + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-        y = y + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        x = x + a * m.cos(2 * k * xi) * m.sinh(2 * k * eta)
+        y = y + a * m.sin(2 * k * xi) * m.cosh(2 * k * eta)
     return _EAST + _K0 * _RADIUS * x, _K0 * _RADIUS * y
 
 
-def utm32_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
-    """EPSG:25832 metres to EPSG:4326 degrees."""
+def utm32_to_lonlat(x, y, m=F):
+    """EPSG:25832 metres to EPSG:4326 degrees, of columns, or of arrays with ``m=numpy``."""
     xi0, eta0 = y / (_K0 * _RADIUS), (x - _EAST) / (_K0 * _RADIUS)
     xi, eta = xi0, eta0
     for k, b in enumerate(_BETA, 1):
-        xi = xi - b * F.sin(2 * k * xi0) * F.cosh(2 * k * eta0)
-        eta = eta - b * F.cos(2 * k * xi0) * F.sinh(2 * k * eta0)
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
+        xi = xi - b * m.sin(2 * k * xi0) * m.cosh(2 * k * eta0)
+        eta = eta - b * m.cos(2 * k * xi0) * m.sinh(2 * k * eta0)
+    chi = m.asin(m.sin(xi) / m.cosh(eta))
     lat = chi
     for k, d in enumerate(_DELTA, 1):
-        lat = lat + d * F.sin(2 * k * chi)
-    return _LON0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
+        lat = lat + d * m.sin(2 * k * chi)
+    return _LON0 + m.degrees(m.atan2(m.sinh(eta), m.cos(xi))), m.degrees(lat)
 
 
-def align_crs(df: DataFrame, srid: int | None, to: int | None, columns: tuple[str, str] = ("x", "y")) -> DataFrame:
-    """The points of ``df`` in the coordinate system ``to``; both systems must be known, and only 4326 and 25832 convert."""
+def converted(srid: int | None, to: int | None, x, y, m=F):
+    """The coordinates in the system ``to``; both systems must be known, and only 4326 and 25832 convert."""
     if srid is None or to is None:
         raise ValueError("both sides need a coordinate system")
-    if srid == to:
-        return df
     pairs = {(4326, 25832): lonlat_to_utm32, (25832, 4326): utm32_to_lonlat}
-    if (srid, to) not in pairs:
+    if srid != to and (srid, to) not in pairs:
         raise ValueError(f"no conversion from {srid} to {to}")
-    x, y = pairs[srid, to](F.col(columns[0]), F.col(columns[1]))
-    return df.withColumns({columns[0]: x, columns[1]: y})
+    return (x, y) if srid == to else pairs[srid, to](x, y, m)
+
+
+def align_crs(df: DataFrame, srid: int | None, to: int | None, columns: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """The points of ``df`` in the coordinate system ``to`` (see ``converted``)."""
+    x, y = converted(srid, to, F.col(columns[0]), F.col(columns[1]))
+    return df if srid == to else df.withColumns({columns[0]: x, columns[1]: y})

@@ -59,21 +59,27 @@ BLOCK = 512
 _PIXELS = "row int, col int, value double"
 
 
-def _filtered(pixels: DataFrame, n_rows: int, n_cols: int, radius: int, along) -> DataFrame:
+#: Rows of all tiles, with ``n_cols``, or a table ``tile, n_rows, n_cols`` (headers) of each tile's own size.
+Rows = int | DataFrame
+
+
+def _filtered(pixels: DataFrame, n_rows: Rows, n_cols: int | None, radius: int, along) -> DataFrame:
     """``along`` applied to every block of a tile, which also gets the pixels up to ``radius`` around it, mirrored at the tile's edges.
 
-    ``along(values)`` takes an array with a margin of ``radius`` (nan: unknown or absent) and returns the array without it.
+    Tiles are of one size or, with a table of sizes, each of its own. ``along(values)`` takes an array with a margin of ``radius`` (nan: unknown or absent) and returns the array without it.
     Only pixels that exist give a row. A block is at most ``BLOCK + 2 * radius`` pixels wide, whatever the tile's size.
     """
     if radius > BLOCK:
         raise ValueError(f"a filter may reach {BLOCK} pixels at most, not {radius}")
-    last = lambda n: (n - 1) // BLOCK
-    reach = lambda c, n: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - radius) / BLOCK), F.lit(0)), F.least(F.floor((F.col(c) + radius) / BLOCK), F.lit(last(n)))))
-    inside = pixels.where(F.col("row").between(0, n_rows - 1) & F.col("col").between(0, n_cols - 1)).select("tile", "row", "col", F.col("value").cast("double").alias("value"))
-    dealt = inside.withColumn("_br", reach("row", n_rows)).withColumn("_bc", reach("col", n_cols))
+    last = lambda n: F.floor((F.col(n) - 1) / BLOCK)
+    reach = lambda c, n: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - radius) / BLOCK), F.lit(0)), F.least(F.floor((F.col(c) + radius) / BLOCK), last(n))))
+    sizes = n_rows.select("tile", F.col("n_rows").alias("_nr"), F.col("n_cols").alias("_nc")) if isinstance(n_rows, DataFrame) else None
+    sized = pixels.join(sizes, "tile") if sizes is not None else pixels.withColumns({"_nr": F.lit(n_rows), "_nc": F.lit(n_cols)})
+    inside = sized.where("row between 0 and _nr - 1 and col between 0 and _nc - 1").select("tile", "row", "col", F.col("value").cast("double").alias("value"), "_nr", "_nc")
+    dealt = inside.withColumn("_br", reach("row", "_nr")).withColumn("_bc", reach("col", "_nc"))
 
     def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tile, br, bc = key
+        tile, n_rows, n_cols, br, bc = key
         y0, x0 = int(br) * BLOCK, int(bc) * BLOCK
         h, w = min(BLOCK, n_rows - y0), min(BLOCK, n_cols - x0)
         r, c = pdf["row"].to_numpy() - y0 + radius, pdf["col"].to_numpy() - x0 + radius
@@ -86,7 +92,7 @@ def _filtered(pixels: DataFrame, n_rows: int, n_cols: int, radius: int, along) -
         y, x = np.nonzero(here[radius : radius + h, radius : radius + w])
         return pd.DataFrame({"tile": tile, "row": (y + y0).astype("int32"), "col": (x + x0).astype("int32"), "value": out[y, x]})
 
-    made = dealt.groupBy("tile", "_br", "_bc").applyInPandas(block, f"tile {pixels.schema['tile'].dataType.simpleString()}, {_PIXELS}")
+    made = dealt.groupBy("tile", "_nr", "_nc", "_br", "_bc").applyInPandas(block, f"tile {pixels.schema['tile'].dataType.simpleString()}, {_PIXELS}")
     return made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
@@ -99,7 +105,7 @@ def _weighted(values: np.ndarray, weights: list[float], axis: int) -> np.ndarray
     return np.where(any_, total, np.nan)
 
 
-def smooth_gaussian(pixels: DataFrame, n_rows: int, n_cols: int, sigma: float = 1.5, truncate: float = 4.0) -> DataFrame:
+def smooth_gaussian(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None, sigma: float = 1.5, truncate: float = 4.0) -> DataFrame:
     """Separable Gaussian of ``tile, row, col, value``, edges mirrored; unknown pixels count as 0, and one without a known neighbour is null."""
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
@@ -107,7 +113,7 @@ def smooth_gaussian(pixels: DataFrame, n_rows: int, n_cols: int, sigma: float =
     return _filtered(pixels, n_rows, n_cols, radius, lambda v: _weighted(_weighted(v, weights, 0), weights, 1))
 
 
-def smooth_median(pixels: DataFrame, n_rows: int, n_cols: int, size: int = 3) -> DataFrame:
+def smooth_median(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None, size: int = 3) -> DataFrame:
     """Median of the known pixels of a square of odd ``size``, edges mirrored; null where none is known."""
     r = size // 2
 
@@ -121,7 +127,7 @@ def smooth_median(pixels: DataFrame, n_rows: int, n_cols: int, size: int = 3) ->
     return _filtered(pixels, n_rows, n_cols, r, along)
 
 
-def smooth(pixels: DataFrame, n_rows: int, n_cols: int, method: str = "gaussian") -> DataFrame:
+def smooth(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None, method: str = "gaussian") -> DataFrame:
     if method == "none":
         return pixels
     if method not in ("gaussian", "median"):
@@ -129,7 +135,7 @@ def smooth(pixels: DataFrame, n_rows: int, n_cols: int, method: str = "gaussian"
     return (smooth_gaussian if method == "gaussian" else smooth_median)(pixels, n_rows, n_cols)
 
 
-def sobel(pixels: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+def sobel(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None) -> DataFrame:
     """Gradient magnitude: root of the mean square of both directions, weights (1, 2, 1) / 4 and (1, 0, -1) / 2, edges mirrored."""
     smoother, slope = [0.25, 0.5, 0.25], [-0.5, 0.0, 0.5]
 

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from arbora.plans import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f  # noqa: E402, F401
+from arbora.plans import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f, queries_g  # noqa: E402, F401

@@ -83,6 +83,22 @@ FROM (SELECT *, (l_orderkey * 7919) % 2000 + l_linenumber AS x, (l_orderkey * 10
       FROM lineitem) AS t
 WHERE rn = 1""")
 
+#: A header for each raster of ``heights``: origins, resolutions and sizes of their own, every fifth turned, some with a nodata value.
+_both("headers", """
+SELECT vec_id AS tile, 0.5e0 + 0.25e0 * (vec_id % 3) AS a, CASE WHEN vec_id % 5 = 0 THEN 0.125e0 ELSE 0e0 END AS b, 355000e0 + (vec_id * 37) % 2000 AS c,
+       CASE WHEN vec_id % 5 = 0 THEN 0.125e0 ELSE 0e0 END AS d, -0.5e0 - 0.25e0 * (vec_id % 3) AS e, 6040000e0 + (vec_id * 53) % 2000 + floor(vec_id / 2000.0e0) * 2000 AS f,
+       CAST(8 - vec_id % 2 AS INT) AS n_rows, CAST(8 - vec_id % 3 AS INT) AS n_cols, CAST(25832 AS INT) AS srid, CASE WHEN vec_id % 4 = 0 THEN 5e0 END AS nodata
+FROM embeddings""")
+#: And a grid of another origin, resolution and size for each of them.
+_both("grids", """
+SELECT vec_id AS tile, 0.3e0 + 0.4e0 * (vec_id % 4) AS a, 0e0 AS b, 354999.65e0 + (vec_id * 37) % 2000 AS c, 0e0 AS d, -0.3e0 - 0.4e0 * (vec_id % 4) AS e,
+       6040000.15e0 + (vec_id * 53) % 2000 + floor(vec_id / 2000.0e0) * 2000 AS f, CAST(6 + vec_id % 3 AS INT) AS n_rows, CAST(5 + vec_id % 4 AS INT) AS n_cols, CAST(25832 AS INT) AS srid
+FROM embeddings""")
+#: Points on and beside the raster of each truth box's image.
+_both("raster_points", f"""
+SELECT gt_id, tile, a * (x1 / 60) + b * (y1 / 60) + c AS x, d * (x1 / 60) + e * (y1 / 60) + f AS y, CAST((gt_id * 31) % 977 AS DOUBLE) / 10 AS z
+FROM ({SQL['gt_boxes'][0]}) AS g JOIN ({SQL['headers'][0]}) AS h ON image_id = tile""")
+
 _BASES = ("part", "customer", "nation", "orders", "lineitem", "events", "embeddings", "documents", "supplier")
 
 
