@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.flood import flood
 
 #: Side of the blocks of pixels whose components one task finds at a time.
 BLOCK = 256
@@ -129,35 +128,6 @@ def space_peaks(peaks: DataFrame, min_distance: int = 2, checkpoint=None) -> Dat
     return kept.select("tile", F.row_number().over(order).alias("marker"), "row", "col", "height")
 
 
-def _flood(levels: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Priority flood from the markers over the 4-neighbours; plateaus go by level, then marker, then row and column.
-
-    A heap of whole numbers that hold rank of level, marker and place, over flat lists with a margin.
-    """
-    n, m = levels.shape
-    wide = m + 2
-    pad = lambda a, fill: np.pad(a, 1, constant_values=fill).ravel()
-    steps, rank = np.unique(levels, return_inverse=True)
-    names, name = np.unique(np.where(mask, markers, 0), return_inverse=True)  # 0 sorts first wherever a pixel has none
-    names, name = (names, name) if names[0] == 0 else (np.append(0, names), name + 1)
-    cells = (n + 2) * wide
-    per_level = len(names) * cells
-    name = pad(name.reshape(n, m), 0)
-    free, label, rank = (pad(mask, False) & (name == 0)).tolist(), name.tolist(), pad(rank.reshape(n, m), 0).tolist()
-    heap = [rank[i] * per_level + label[i] * cells + i for i in range(cells) if label[i]]
-    heapq.heapify(heap)
-    push, pop = heapq.heappush, heapq.heappop
-    while heap:
-        key = pop(heap)
-        level, rest = divmod(key, per_level)
-        own, i = divmod(rest, cells)
-        for j in (i - wide, i - 1, i + 1, i + wide):
-            if free[j]:
-                free[j], label[j] = False, own
-                push(heap, (level if level > rank[j] else rank[j]) * per_level + own * cells + j)
-    return names[np.array(label).reshape(n + 2, wide)[1:-1, 1:-1]]
-
-
 def _reached(free: np.ndarray) -> np.ndarray:
     """The free pixels that a path of free neighbours (side by side) joins to the border: whole runs at a time, by rows and columns in turn."""
     out = np.zeros_like(free)
@@ -193,30 +163,14 @@ def fill_holes(labels: DataFrame) -> DataFrame:
 
 
 def watershed(pixels: DataFrame, min_pixels: int = 10, fill: bool = True, checkpoint=None) -> DataFrame:
-    """``tile, row, col, label`` of the crowns of each tile, by a marker watershed within the canopy.
+    """``tile, row, col, label`` of the crowns of each tile, by a marker watershed within the canopy (see ``flood``).
 
-    ``pixels``: tile, row, col, level (flooded from low to high), canopy, marker (0 or null: none). A connected part of the
-    canopy is flooded as a whole, as its plateaus cannot be cut, and parts without a marker give no row; nor does a tile with
-    fewer canopy pixels than ``min_pixels``.
+    ``pixels``: tile, row, col, level (flooded from low to high), canopy, marker (0 or null: none). Plateaus go by level, then marker, then row and
+    column. Parts of the canopy without a marker give no row; nor does a tile with fewer canopy pixels than ``min_pixels``.
     """
-    cut = checkpoint or (lambda df: df.checkpoint())
-    canopy = cut(pixels.where("canopy").select("tile", "row", "col", "level", F.coalesce("marker", F.lit(0)).cast("int").alias("marker")))
-    parts = label_components(canopy, diagonal=False, checkpoint=checkpoint)
-    large = canopy.groupBy("tile").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pixels).select("tile")
-    marked = canopy.where("marker > 0").join(parts, ["tile", "row", "col"]).select("tile", "comp").distinct().join(large, "tile")
-    flooded = canopy.join(parts, ["tile", "row", "col"]).join(marked, ["tile", "comp"])
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
-        r, c = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
-        shape = (r.max() + 1, c.max() + 1)
-        level, marker, mask = np.full(shape, np.inf), np.zeros(shape, np.int64), np.zeros(shape, bool)
-        level[r, c], marker[r, c], mask[r, c] = np.nan_to_num(pdf["level"].to_numpy(float), nan=np.inf), pdf["marker"].to_numpy(np.int64), True
-        labels = _flood(level, marker, mask)
-        return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": (r + y0).astype("int32"), "col": (c + x0).astype("int32"), "label": labels[r, c].astype("int32")})
-
-    schema = f"tile {pixels.schema['tile'].dataType.simpleString()}, row int, col int, label int"
-    labels = flooded.groupBy("tile", "comp").applyInPandas(flood, schema)
+    canopy = pixels.where("canopy").select("tile", "row", "col", "level", F.coalesce("marker", F.lit(0)).cast("int").alias("marker"))
+    large = canopy.groupBy("tile").agg(F.count("*").alias("_n"), F.max("marker").alias("_m")).where((F.col("_n") >= min_pixels) & (F.col("_m") > 0)).select("tile")
+    labels = flood(canopy.join(large, "tile", "left_semi"), checkpoint)
     return fill_holes(labels) if fill else labels
 
 

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from arbora.functions import geo, ids, labels, losses, raster
-from arbora.operators import chips, evaluate, matching, rasters, scoring, segment, spatial, splits
+from arbora.operators import chips, evaluate, flood, matching, rasters, scoring, segment, spatial, splits
 from arbora.plans.workspace import stored
 from arbora.sources import scans, sinks
 
@@ -365,7 +365,7 @@ def brute_flood(levels, markers, mask):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_watershed_equals_the_stated_flood(spark, monkeypatch, seed):
-    monkeypatch.setattr(segment, "BLOCK", 5)
+    monkeypatch.setattr(flood, "BLOCK", 5)
     rng = np.random.default_rng(seed)
     mask, level = rng.random((14, 19)) < 0.7, rng.integers(0, 3 + seed, (14, 19)).astype(float)
     marker = np.where(rng.random((14, 19)) < 0.06, rng.permutation(14 * 19).reshape(14, 19) + 1, 0)
