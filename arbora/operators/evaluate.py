@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.functions.geo import iou
 from arbora.operators.matching import dense
 from arbora.plans.workspace import ranked, stored
 
@@ -105,88 +106,168 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**
 LIMITS = (1, 10, 100)
 
 
-def _match_image(dets: pd.DataFrame, truths: pd.DataFrame) -> pd.DataFrame:
-    """Greedy matching of one image and class for each area range and IoU threshold.
+N_BITS = len(AREAS) * len(IOUS)  #: bit ``10 * area + threshold`` of a number stands for one of all settings
 
-    ``det_id, score, place`` by falling score and, as bits, whether the detection is a hit (``hits``) and whether it does not count
-    (``skips``); bit ``10 * area + threshold``.
+
+def _bits(over: np.ndarray) -> np.ndarray:
+    """The thresholds that each overlap reaches, as bits."""
+    return sum((over >= min(limit, 1 - 1e-10)).astype(np.int64) << t for t, limit in enumerate(IOUS))
+
+
+def _in_areas(size: np.ndarray, bits: np.ndarray, inside: bool) -> np.ndarray:
+    """``bits`` in the place of each area range that ``size`` lies in, or does not."""
+    return sum((((size >= low) & (size <= high)) == inside).astype(np.int64) * (bits << n * len(IOUS)) for n, (low, high) in enumerate(AREAS.values()))
+
+
+def _ordinals(starts: np.ndarray) -> np.ndarray:
+    """For each row its place from 0 since the last start."""
+    at = np.arange(len(starts))
+    return at - np.maximum.accumulate(np.where(starts, at, 0))
+
+
+def match_bits(group: np.ndarray, det: np.ndarray, truth: np.ndarray, over: np.ndarray, truth_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy matching in all settings at once; per detection the settings in which it is a hit, and those in which it hit a truth that does not count.
+
+    Rows are pairs of a detection (numbers from 0 in order; its groups follow each other) and a truth it overlaps, by falling
+    overlap. In each setting a detection takes the first of its truths that nobody has and that counts, else the first that does not count. All groups take a step together.
     """
-    dets = dets.sort_values(["score", "det_id"], ascending=[False, True], kind="stable").head(LIMITS[-1])
-    d, g = dets[["x1", "y1", "x2", "y2"]].to_numpy(float), truths[["x1", "y1", "x2", "y2"]].to_numpy(float)
-    area = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-    w = np.minimum(d[:, None, 2:], g[None, :, 2:]) - np.maximum(d[:, None, :2], g[None, :, :2])
-    inter = np.prod(np.maximum(w, 0), axis=2)
-    union = area(d)[:, None] + area(g)[None] - inter
-    over = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
-    # Only detections that reach the lowest threshold somewhere can be hits.
-    near = [(int(k), [(float(over[k, j]), int(j)) for j in np.flatnonzero(over[k] >= min(IOUS))]) for k in np.flatnonzero((over >= min(IOUS)).any(axis=1))]
-    hits, skips = np.zeros(len(d), np.int64), np.zeros(len(d), np.int64)
-    for n, (low, high) in enumerate(AREAS.values()):
-        ignored = ((area(g) < low) | (area(g) > high)).tolist()
-        outside = (area(d) < low) | (area(d) > high)
-        skips |= np.where(outside, (1 << len(IOUS)) - 1 << n * len(IOUS), 0)
-        for t, limit in enumerate(IOUS):
-            bit = 1 << n * len(IOUS) + t
-            used: set[int] = set()
-            for k, candidates in near:
-                free = [(not ignored[j], v, j) for v, j in candidates if v >= min(limit, 1 - 1e-10) and j not in used]
-                # Truths that count come before ignored ones; then the largest overlap, the later one on ties.
-                if free:
-                    at = max(free)[2]
-                    used.add(at)
-                    hits[k] |= bit
-                    skips[k] = skips[k] | bit if ignored[at] else skips[k] & ~bit
-    return dets[["det_id", "score"]].assign(place=np.arange(1, len(d) + 1), hits=hits, skips=skips)
+    n_det = int(det[-1]) + 1 if len(det) else 0
+    hits, ignored = np.zeros(n_det, np.int64), np.zeros(n_det, np.int64)
+    if not len(det):
+        return hits, ignored
+    new_det = np.diff(det, prepend=-1) > 0
+    slot = _ordinals(new_det)
+    first = np.flatnonzero(new_det)
+    turn = _ordinals(np.diff(group[first], prepend=group[0] - 1) != 0)[np.cumsum(new_det) - 1]
+    _, place = np.unique(np.stack([group, truth]), axis=1, return_inverse=True)
+    place = place.ravel()
+    reach = _bits(over)
+    ways = (_in_areas(truth_size, reach, True), _in_areas(truth_size, reach, False))
+    used = np.zeros(int(place.max()) + 1, np.int64)
+    order = np.lexsort((slot, turn))
+    steps = np.flatnonzero(np.diff(turn[order], prepend=-1, append=-1))
+    for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
+        mine = order[a:b]
+        edges = np.flatnonzero(np.diff(slot[mine], prepend=-1, append=-1)).tolist()
+        for counts, bits in zip((True, False), ways):
+            for low, high in zip(edges[:-1], edges[1:]):
+                at = mine[low:high]
+                new = bits[at] & ~used[place[at]] & ~hits[det[at]]
+                used[place[at]] |= new
+                hits[det[at]] |= new
+                if not counts:
+                    ignored[det[at]] |= new
+    return hits, ignored
 
 
 _MATCHED = "image_id bigint, cls int, det_id bigint, score double, place int, hits bigint, skips bigint"
 
 
+def _matched(iterator):
+    """``_MATCHED`` rows of pairs in order of image, class, place, falling overlap; detections without a pair have one row without truth."""
+    kept = None
+    for batch in _and_end(iterator):
+        rows = pa.Table.from_batches([x for x in (kept, batch) if x is not None]).combine_chunks() if batch is not None or kept is not None else None
+        kept = None
+        if rows is None or not rows.num_rows:
+            continue
+        number = lambda c: rows.column(c).to_numpy()  # noqa: B023, E731
+        image, cls = number("image_id"), number("cls")
+        fresh = np.ones(len(image), bool)
+        fresh[1:] = (image[1:] != image[:-1]) | (cls[1:] != cls[:-1])
+        if batch is not None:
+            # The last group may go on in the next batch.
+            end = int(np.flatnonzero(fresh)[-1])
+            kept = rows.slice(end).combine_chunks().to_batches()[0]
+            rows, image, cls, fresh = rows.slice(0, end), image[:end], cls[:end], fresh[:end]
+            if not end:
+                continue
+        place = number("place")
+        new = fresh.copy()
+        new[1:] |= place[1:] != place[:-1]
+        det, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        over = rows.column("over").fill_null(-1.0).to_numpy()
+        pair = over >= min(IOUS)
+        names, own = np.unique(det[pair], return_inverse=True)
+        hits, skips = np.zeros(len(first), np.int64), _in_areas(number("size")[first], np.full(len(first), (1 << len(IOUS)) - 1), False)
+        if len(names):
+            hits[names], ignored = match_bits(np.cumsum(fresh)[pair], own, rows.column("gt_id").fill_null(-1).to_numpy()[pair], over[pair], rows.column("gt_size").fill_null(0.0).to_numpy()[pair])
+            skips[names] = skips[names] & ~hits[names] | ignored
+        at = pa.array(first)
+        yield pa.RecordBatch.from_arrays([*[rows.column(c).combine_chunks().take(at) for c in ("image_id", "cls", "det_id", "score", "place")], pa.array(hits), pa.array(skips)], names=[c.split()[0] for c in _MATCHED.split(", ")])
+
+
+def _and_end(iterator):
+    yield from iterator
+    yield None
+
+
+_COUNTED = "total boolean, cls int, bit int, tp bigint, k bigint, h1 bigint, h10 bigint"
+
+
+def _counted(iterator):
+    """Along rows of falling score: for each class and setting the hits with the numbers of hits and of rows so far, and at the end the totals."""
+    sums: dict[int, np.ndarray] = {}  # class: hits, rows, hits at place 1, up to 10
+    shifts = np.arange(N_BITS)
+    for batch in iterator:
+        out = []
+        cls, place = batch.column("cls").to_numpy(), batch.column("place").to_numpy()
+        shown = (batch.column("skips").to_numpy()[:, None] >> shifts & 1) == 0
+        hit = ((batch.column("hits").to_numpy()[:, None] >> shifts & 1) == 1) & shown
+        for c in np.unique(cls).tolist():
+            own = cls == c
+            before = sums.setdefault(c, np.zeros((4, N_BITS), np.int64))
+            tp, k = np.cumsum(hit[own], axis=0) + before[0], np.cumsum(shown[own], axis=0) + before[1]
+            row, bit = np.nonzero(hit[own])
+            out.append((np.full(len(row), c), bit, tp[row, bit], k[row, bit]))
+            sums[c] = np.stack([tp[-1], k[-1], *[before[n + 2] + (hit[own] & (place[own] <= LIMITS[n])[:, None]).sum(0) for n in range(2)]])
+        if out:
+            c, bit, tp, k = (np.concatenate(x) for x in zip(*out))
+            none = np.zeros(len(c), np.int64)
+            yield _counts(False, c, bit, tp, k, none, none)
+    for c, found in sums.items():
+        yield _counts(True, np.full(N_BITS, c), shifts, *found)
+
+
+def _counts(total: bool, cls, bit, *numbers) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(cls), total)), pa.array(cls.astype(np.int32)), pa.array(bit.astype(np.int32)), *[pa.array(x.astype(np.int64)) for x in numbers]]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _COUNTED.split(", ")])
+
+
 def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     """``metric, value``: AP at IoU .5:.95, .5 and .75 and by size, AR with 1, 10, 100 detections and by size; null where nothing counts,
     and all of them without any detection.
 
     ``dets``: image_id, cls, det_id, score, x1..y2; ``truths``: image_id, cls, gt_id, x1..y2. Images and classes are matched
-    each on its own (a group is one image's boxes). The curves run along ranges of falling score, each shifted by the sums of those
+    each on its own, whole batches of them side by side, from pairs that Spark has joined. The curves run along ranges of falling score, each shifted by the sums of those
     before it, so no task sorts a whole class.
     """
     box = ["x1", "y1", "x2", "y2"]
-    d = dets.select("image_id", "cls", F.col("det_id"), "score", *box)
+    area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
+    place = F.row_number().over(Window.partitionBy("image_id", "cls").orderBy(F.desc("score"), "det_id"))
+    d = dets.select("image_id", "cls", "det_id", "score", *box, place.alias("place")).where(F.col("place") <= LIMITS[-1]).withColumn("size", area(""))
     # Names of its own, as both sides may come from one table.
-    g = truths.select(F.col("image_id").alias("g_image"), F.col("cls").alias("g_cls"), *[F.col(c).alias(f"g_{c}") for c in box])
-    names = [c.split()[0] for c in _MATCHED.split(", ")]
-
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        # A side without rows comes without columns.
-        truth = {c: part.rename(columns=lambda n: n.removeprefix("g_")) for c, part in right.groupby("g_cls")} if len(right) else {}
-        none = pd.DataFrame(columns=box)
-        parts = [_match_image(own, truth.get(c, none)).assign(image_id=int(key[0]), cls=int(c)) for c, own in left.groupby("cls")] if len(left) else []
-        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
-
-    matched = d.groupBy("image_id").cogroup(g.groupBy("g_image")).applyInPandas(match, _MATCHED)
-    matched = stored(matched, "matched")
+    g = truths.select(F.col("image_id").alias("g_image"), F.col("cls").alias("g_cls"), "gt_id", *[F.col(c).alias(f"g_{c}") for c in box]).withColumn("gt_size", area("g_"))
+    over = iou("", "g_")
+    # Only truths that reach the lowest threshold can be hit.
+    pairs = d.join(g, (F.col("image_id") == F.col("g_image")) & (F.col("cls") == F.col("g_cls")) & (over >= min(IOUS)), "left")
+    pairs = pairs.select("image_id", "cls", "det_id", "score", "place", "size", "gt_id", "gt_size", F.when(F.col("gt_id").isNotNull(), over).alias("over"))
+    ordered = pairs.repartition("image_id", "cls").sortWithinPartitions("image_id", "cls", "place", F.desc("over"), F.desc("gt_id"))
+    matched = stored(ordered.select(*[F.col(c).cast(k) for c, k in (("image_id", "bigint"), ("cls", "int"), ("det_id", "bigint"), ("score", "double"), ("place", "int"), ("size", "double"), ("gt_id", "bigint"), ("gt_size", "double"), ("over", "double"))]).mapInArrow(_matched, _MATCHED), "matched")
     none = matched.isEmpty()
-    ranged = matched.repartitionByRange(F.desc("score"), "image_id", "place").withColumn("_pid", F.spark_partition_id())
-    ranged = stored(ranged, "matched-by-score")  # read by all that follows, so its parts must not change
-    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    inside = F.filter(F.array(*[F.when((size >= low) & (size <= high), F.lit(name)) for name, (low, high) in AREAS.items()]), lambda n: n.isNotNull())
-    counts = truths.select("cls", F.explode(inside).alias("area")).groupBy("cls", "area").agg(F.count("*").alias("n_truth"))
-    bit = F.explode(F.sequence(F.lit(0), F.lit(len(AREAS) * len(IOUS) - 1))).alias("_bit")
-    each = ranged.select("*", bit).select(
-        "cls", F.get(F.array(*map(F.lit, AREAS)), F.expr(f"cast(_bit div {len(IOUS)} as int)")).alias("area"), (F.col("_bit") % len(IOUS)).alias("t"), "_pid", "score", "image_id", "place",
-        (F.expr("shiftright(hits, _bit) & 1") == 1).alias("hit"), (F.expr("shiftright(skips, _bit) & 1") == 1).alias("skip"),
-    )
-    # Precision and recall along falling score, for each class, area and threshold.
-    keys = ["cls", "area", "t"]
-    shown = each.where(~F.col("skip")).withColumn("hit", F.col("hit").cast("int"))
-    by = Window.partitionBy("_pid", *keys).orderBy(F.desc("score"), "image_id", "place")
+    ranged = matched.repartitionByRange(F.desc("score"), "image_id", "place").sortWithinPartitions(F.desc("score"), "image_id", "place", "det_id")
+    counted = stored(ranged.select("cls", "place", "hits", "skips").mapInArrow(_counted, _COUNTED).withColumn("_pid", F.spark_partition_id()), "counted")
+    size = area("")
+    inside = F.filter(F.array(*[F.when((size >= low) & (size <= high), F.lit(n)) for n, (low, high) in enumerate(AREAS.values())]), lambda n: n.isNotNull())
+    counts = truths.select(F.col("cls").cast("int").alias("cls"), F.explode(inside).alias("area")).groupBy("cls", "area").agg(F.count("*").alias("n_truth"))
+    counts = counts.select("cls", "n_truth", F.explode(F.expr(f"sequence(area * {len(IOUS)}, area * {len(IOUS)} + {len(IOUS) - 1})")).alias("bit"))
+    keys = ["cls", "bit"]
+    totals = counted.where("total")
     earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    sums = shown.groupBy("_pid", *keys).agg(F.sum("hit").alias("_tp"), F.count("*").alias("_k"))
-    sums = sums.select("_pid", *keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_tp", "_k")])
-    curve = shown.withColumn("tp", F.sum("hit").over(by)).withColumn("k", F.row_number().over(by)).join(sums, ["_pid", *keys])
-    curve = curve.withColumn("tp", F.col("tp") + F.col("_tp")).withColumn("k", F.col("k") + F.col("_k")).join(counts, ["cls", "area"])
+    sums = totals.select("_pid", *keys, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("tp", "k")])
     # Between hits recall stands still and precision falls, so the hits alone make the curve; those before have a recall of one hit less.
-    curve = curve.where("hit = 1").select("_pid", *keys, "k", (F.col("tp") / F.col("n_truth")).alias("recall"), ((F.col("tp") - 1) / F.col("n_truth")).alias("before"), (F.col("tp") / F.col("k")).alias("precision"))
+    curve = counted.where("not total").join(sums, ["_pid", *keys]).withColumns({"tp": F.col("tp") + F.col("_tp"), "k": F.col("k") + F.col("_k")}).join(counts, keys)
+    curve = curve.select("_pid", *keys, "k", (F.col("tp") / F.col("n_truth")).alias("recall"), ((F.col("tp") - 1) / F.col("n_truth")).alias("before"), (F.col("tp") / F.col("k")).alias("precision"))
     curve = stored(curve, "curve")
     later = Window.partitionBy(*keys).orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
     peaks = curve.groupBy("_pid", *keys).agg(F.max("precision").alias("_p")).select("_pid", *keys, F.max("_p").over(later).alias("_later"))
@@ -195,17 +276,13 @@ def average_precision(dets: DataFrame, truths: DataFrame) -> DataFrame:
     # At each of 101 recall points: the precision at the first place of that recall or more.
     low = F.when(F.col("before") > 0, F.col("before")).otherwise(-1.0)
     spans = curve.withColumn("_low", F.greatest(F.floor(low * 100 + 1e-9) + 1, F.lit(0))).withColumn("_high", F.floor(F.col("recall") * 100 + 1e-9))
-    points = spans.where("_high >= _low").select("cls", "area", "t", ((F.col("_high") - F.col("_low") + 1) * F.col("precision")).alias("v"))
-    thresholds = counts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(IOUS) - 1)))).where("n_truth > 0")
-    ap = thresholds.join(points.groupBy("cls", "area", "t").agg((F.sum("v") / 101).alias("ap")), ["cls", "area", "t"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
-    hits = [F.sum(F.when(F.col("hit") & ~F.col("skip") & (F.col("place") <= n), 1).otherwise(0)).alias(f"h{n}") for n in LIMITS]
-    ar = thresholds.join(each.groupBy("cls", "area", "t").agg(*hits), ["cls", "area", "t"], "left")
-    ar = ar.select("area", "t", *[(F.coalesce(f"h{n}", F.lit(0)) / F.col("n_truth")).alias(f"r{n}") for n in LIMITS])
-    where = lambda c, cond: F.avg(F.when(cond, F.col(c)))
-    every, area, t = F.lit(True), F.col("area"), F.col("t")
-    a = ap.agg(*[where("ap", (area == n) & c).alias(m) for m, n, c in (("AP", "all", every), ("AP50", "all", t == 0), ("AP75", "all", t == 5), ("AP_small", "small", every), ("AP_medium", "medium", every), ("AP_large", "large", every))])
-    r = ar.agg(*[where(f"r{k}", area == n).alias(m) for m, n, k in (("AR1", "all", 1), ("AR10", "all", 10), ("AR100", "all", 100), ("AR_small", "small", 100), ("AR_medium", "medium", 100), ("AR_large", "large", 100))])
-    figures = a.unpivot([], a.columns, "metric", "value").unionByName(r.unpivot([], r.columns, "metric", "value"))
+    points = spans.where("_high >= _low").groupBy(*keys).agg((F.sum((F.col("_high") - F.col("_low") + 1) * F.col("precision")) / 101).alias("ap"))
+    hits = totals.groupBy(*keys).agg(*[F.sum(c).alias(f"r{n}") for c, n in zip(("h1", "h10", "tp"), LIMITS)])
+    each = counts.join(points, keys, "left").join(hits, keys, "left")
+    each = each.select((F.expr(f"bit div {len(IOUS)}")).alias("area"), (F.col("bit") % len(IOUS)).alias("t"), F.coalesce("ap", F.lit(0.0)).alias("ap"), *[(F.coalesce(f"r{n}", F.lit(0)) / F.col("n_truth")).alias(f"r{n}") for n in LIMITS])
+    names = list(AREAS)
+    wanted = [("AP", "ap", "all", None), ("AP50", "ap", "all", 0), ("AP75", "ap", "all", 5), *[(f"AP_{n}", "ap", n, None) for n in names[1:]], *[(f"AR{k}", f"r{k}", "all", None) for k in LIMITS], *[(f"AR_{n}", "r100", n, None) for n in names[1:]]]
+    mean = lambda c, n, t: F.avg(F.when((F.col("area") == names.index(n)) & (F.lit(True) if t is None else F.col("t") == t), F.col(c)))
+    row = each.agg(*[mean(c, n, t).alias(m) for m, c, n, t in wanted])
+    figures = row.unpivot([], row.columns, "metric", "value")
     return figures.withColumn("value", F.lit(None).cast("double")) if none else figures
-
-
