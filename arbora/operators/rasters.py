@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.geo import Affine, map_to_pixel
 from arbora.functions.raster import height_to_u8
+from arbora.operators.batches import by_groups
 
 
 def grid_min_z(points: DataFrame, t: Affine, width: int, height: int) -> DataFrame:
@@ -78,22 +78,22 @@ def _filtered(pixels: DataFrame, n_rows: Rows, n_cols: int | None, radius: int,
     inside = sized.where("row between 0 and _nr - 1 and col between 0 and _nc - 1").select("tile", "row", "col", F.col("value").cast("double").alias("value"), "_nr", "_nc")
     dealt = inside.withColumn("_br", reach("row", "_nr")).withColumn("_bc", reach("col", "_nc"))
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tile, n_rows, n_cols, br, bc = key
-        y0, x0 = int(br) * BLOCK, int(bc) * BLOCK
+    def block(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n_rows, n_cols = int(px["_nr"][0]), int(px["_nc"][0])
+        y0, x0 = int(px["_br"][0]) * BLOCK, int(px["_bc"][0]) * BLOCK
         h, w = min(BLOCK, n_rows - y0), min(BLOCK, n_cols - x0)
-        r, c = pdf["row"].to_numpy() - y0 + radius, pdf["col"].to_numpy() - x0 + radius
+        r, c = px["row"] - y0 + radius, px["col"] - x0 + radius
         known, here = np.full((h + 2 * radius, w + 2 * radius), np.nan), np.zeros((h + 2 * radius, w + 2 * radius), bool)
         near = (r < known.shape[0]) & (c < known.shape[1])
-        known[r[near], c[near]], here[r[near], c[near]] = pdf["value"].to_numpy(float)[near], True
+        known[r[near], c[near]], here[r[near], c[near]] = px["value"][near], True
         # Places of the margin beyond the tile take the pixel that mirrors them; it lies in the block or its margin.
         mirror = lambda o, size, n: np.where((k := (np.arange(-radius, size + radius) + o) % (2 * n)) >= n, 2 * n - 1 - k, k) - o + radius
         out = along(known[np.ix_(mirror(y0, h, n_rows), mirror(x0, w, n_cols))])
         y, x = np.nonzero(here[radius : radius + h, radius : radius + w])
-        return pd.DataFrame({"tile": tile, "row": (y + y0).astype("int32"), "col": (x + x0).astype("int32"), "value": out[y, x]})
+        return {"row": (y + y0).astype(np.int32), "col": (x + x0).astype(np.int32), "value": out[y, x]}
 
-    made = dealt.groupBy("tile", "_nr", "_nc", "_br", "_bc").applyInPandas(block, f"tile {pixels.schema['tile'].dataType.simpleString()}, {_PIXELS}")
-    return made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    made = by_groups(dealt, ["tile", "_br", "_bc"], block, _PIXELS)
+    return made.select("tile", "row", "col", F.when(~F.isnan("value"), F.col("value")).alias("value"))
 
 
 def _weighted(values: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
@@ -181,27 +181,32 @@ def _lowest(f: np.ndarray) -> np.ndarray:
 def distance_to_background(mask: DataFrame) -> DataFrame:
     """Euclidean distance from each pixel of ``tile, row, col, on`` to the nearest one that is off; null where a tile has none.
 
-    Along the rows by running windows; along the columns by stripes of ``STRIPE`` columns.
+    First along the rows, by stripes of ``STRIPE`` rows, then along the columns, by stripes of as many columns.
     """
-    off = F.when(~F.col("on"), F.col("col"))
-    line = Window.partitionBy("tile", "row").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.last(off, ignorenulls=True).over(line.orderBy("col"))
-    right = F.last(off, ignorenulls=True).over(line.orderBy(F.desc("col")))
-    # least() skips nulls: the nearer of those there are.
-    rows = mask.withColumn("_d", F.least(F.col("col") - left, right - F.col("col")).cast("bigint"))
-    rows = rows.select("tile", "row", "col", "on", F.coalesce("_d", F.lit(-1)).alias("_d"), F.floor(F.col("col") / STRIPE).alias("_stripe"))
-
-    def stripe(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c, d = pdf["row"].to_numpy() - pdf["row"].min(), pdf["col"].to_numpy() - pdf["col"].min(), pdf["_d"].to_numpy()
-        far = np.int64(1) << 60  # a row that knows no background
-        f = np.full((r.max() + 1, c.max() + 1), far, np.int64)
-        f[r, c] = np.where(d >= 0, d * d, far)
+    far = np.int64(1) << 30  # a row that knows no background
+
+    def grid(px: dict[str, np.ndarray], values: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, c = px["row"] - px["row"].min(), px["col"] - px["col"].min()
+        out = np.full((r.max() + 1, c.max() + 1), fill, np.int64)
+        out[r, c] = values
+        return out, r, c
+
+    def along(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        off, r, c = grid(px, ~px["on"].astype(bool), 0)
+        at = np.arange(off.shape[1])
+        left = np.maximum.accumulate(np.where(off, at, -far), axis=1)
+        right = np.minimum.accumulate(np.where(off, at, 2 * far)[:, ::-1], axis=1)[:, ::-1]
+        return {"row": px["row"], "col": px["col"], "on": px["on"].astype(bool), "d": np.minimum(np.minimum(at - left, right - at), far)[r, c]}
+
+    def stripe(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        f, r, c = grid(px, px["d"] ** 2, far**2)
         square = _lowest(f)[r, c]
-        return pdf[["tile", "row", "col", "on"]].assign(distance=np.where(square < far, np.sqrt(square), np.nan))
+        return {"row": px["row"], "col": px["col"], "on": px["on"].astype(bool), "distance": np.where(square < far, np.sqrt(square), np.nan)}
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4])
-    made = rows.groupBy("tile", "_stripe").applyInPandas(stripe, f"{schema}, distance double")
-    return made.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+    rows = mask.select("tile", F.floor(F.col("row") / STRIPE).alias("_stripe"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "on")
+    rows = by_groups(rows, ["tile", "_stripe"], along, "row int, col int, on boolean, d bigint")
+    made = by_groups(rows.withColumn("_stripe", F.floor(F.col("col") / STRIPE)), ["tile", "_stripe"], stripe, "row int, col int, on boolean, distance double")
+    return made.select("tile", "row", "col", "on", F.when(~F.isnan("distance"), F.col("distance")).alias("distance"))
 
 
 def resample_bilinear(pixels: DataFrame, n_rows: int, n_cols: int, scale: float) -> DataFrame:

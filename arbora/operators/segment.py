@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.batches import by_groups
 from arbora.operators.flood import flood
 
 #: Side of the blocks of pixels whose components one task finds at a time.
@@ -55,14 +56,14 @@ def label_components(pixels: DataFrame, diagonal: bool = True, equal: str | None
     extra = [equal] if equal else []
     block = [F.floor(F.col(c) / BLOCK).alias(f"_b{c}") for c in ("row", "col")]
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-        first = _joined(r, c, pdf[equal].to_numpy() if equal else None, diagonal)
-        return pdf[["tile", *extra, "row", "col"]].assign(part=r[first] << 32 | c[first])
+    def inside(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        r, c = px["row"].astype(np.int64), px["col"].astype(np.int64)
+        first = _joined(r, c, px[equal] if equal else None, diagonal)
+        return {**{k: px[k] for k in (*extra, "row", "col")}, "part": r[first] << 32 | c[first]}
 
-    kept = pixels.select("tile", *extra, "row", "col")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
-    parts = cut(kept.groupBy("tile", *block).applyInPandas(inside, f"{schema}, part bigint"))
+    kept = pixels.select("tile", *block, *extra, "row", "col")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[3:])
+    parts = cut(by_groups(kept, ["tile", "_brow", "_bcol"], inside, f"{schema}, part bigint").drop("_brow", "_bcol"))
     # Pixels at the sides of blocks, and their neighbours in other blocks.
     side = lambda c: (F.col(c) % BLOCK).isin(0, BLOCK - 1)
     rim = parts.where(side("row") | side("col"))
@@ -150,16 +151,16 @@ def fill_holes(labels: DataFrame) -> DataFrame:
     label stays, as if they had been filled in ascending order.
     """
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
-        r, c = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
+    def fill(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        y0, x0 = int(px["row"].min()), int(px["col"].min())
+        r, c = px["row"] - y0, px["col"] - x0
         own = np.zeros((r.max() + 1, c.max() + 1), bool)
         own[r, c] = True
         y, x = np.nonzero(~_reached(~own))
-        return pd.DataFrame({"tile": pdf["tile"].iloc[0], "row": (y + y0).astype("int32"), "col": (x + x0).astype("int32"), "label": pdf["label"].iloc[0]})
+        return {"row": (y + y0).astype(np.int32), "col": (x + x0).astype(np.int32)}
 
-    schema = f"tile {labels.schema['tile'].dataType.simpleString()}, row int, col int, label int"
-    return labels.groupBy("tile", "label").applyInPandas(fill, schema).groupBy("tile", "row", "col").agg(F.max("label").alias("label"))
+    filled = by_groups(labels.select("tile", "label", "row", "col"), ["tile", "label"], fill, "row int, col int")
+    return filled.groupBy("tile", "row", "col").agg(F.max("label").alias("label"))
 
 
 def watershed(pixels: DataFrame, min_pixels: int = 10, fill: bool = True, checkpoint=None) -> DataFrame:

@@ -1,59 +1,110 @@
 """Spatial joins as equality joins on grid cells with an exact residual condition.
 
-A box is listed in every cell it touches, so two boxes that meet share a cell; a pair is kept only in the first cell
-that both have (the larger of the two lower corners), so no distinct step is needed. Cells should be about as large as the
-boxes: then a box has few cells, and a cell few boxes.
+Each box belongs to the level whose cells are as large as it or, at most, ``STEP`` times as large, so it touches four of them at most, whether it is a crown
+or a country, and a cell holds no more boxes than lie that near to each other. Two boxes are compared in the cells of the coarser one's level: the coarser
+is listed there as it is, the finer also in the cells of those coarser levels that the other side has. A pair is kept
+only in the first cell that both have (the larger of the two lower corners), so no distinct step is needed.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
+STEP = 8
+LOWEST, HIGHEST = -8, 12  #: levels; the cells of level n are STEP**n times the given size
 
 
-def _cells(df: DataFrame, cell: float, box: tuple[str, str, str, str], grow: float, prefix: str) -> DataFrame:
-    axis = lambda low, high: F.sequence(F.floor((F.col(low) - grow) / cell), F.floor((F.col(high) + grow) / cell))
+def _levelled(df: DataFrame, cell: float, box: tuple[str, str, str, str], grow: float) -> DataFrame:
+    """The rows with a whole box, with their level ``_l``."""
+    size = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])).cast("double") + 2 * grow
+    level = F.when(size > 0, F.least(F.greatest(F.ceil(F.log2(size / cell) / math.log2(STEP) - 1e-9), F.lit(LOWEST)), F.lit(HIGHEST))).otherwise(F.lit(LOWEST))
     whole = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in box]) == 0)
-    whole = whole.withColumn("_cx", F.explode(axis(box[0], box[2]))).withColumn("_cy", F.explode(axis(box[1], box[3])))
-    return whole.withColumn(f"{prefix}_x0", F.floor((F.col(box[0]) - grow) / cell)).withColumn(f"{prefix}_y0", F.floor((F.col(box[1]) - grow) / cell))
+    return whole.withColumn("_l", level.cast("int"))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur: twenty-one at most."""
+    return sorted(r[0] for r in df.select("_l").distinct().collect())
+
+
+def _cells(df: DataFrame, cell: float, box: tuple[str, str, str, str], grow: float, prefix: str, levels: list[int] | None, coarser: bool = False) -> DataFrame:
+    """``df`` in each cell that a box touches: of its own level, or of all ``levels`` that are as coarse (``coarser``: that are coarser)."""
+    if levels is None:
+        at = df.withColumn("_cl", F.col("_l"))
+    else:
+        at = df.withColumn("_cl", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda n: (n > F.col("_l")) if coarser else (n >= F.col("_l")))))
+    side = F.lit(float(cell)) * F.pow(F.lit(float(STEP)), F.col("_cl"))
+    place = lambda c, by: F.floor((F.col(c) + by) / side)
+    at = at.withColumns({f"{prefix}_x0": place(box[0], -grow), f"{prefix}_y0": place(box[1], -grow)})
+    at = at.withColumn("_cx", F.explode(F.sequence(F.col(f"{prefix}_x0"), place(box[2], grow)))).withColumn("_cy", F.explode(F.sequence(F.col(f"{prefix}_y0"), place(box[3], grow))))
+    return at.drop("_l")
+
+
+_CELL = ["_cl", "_cx", "_cy"]
+
+
+def _sides(a: DataFrame, b: DataFrame, cell: float, a_box, b_box, grow: float, same: bool = False) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of tables to join on ``_CELL``: the left boxes in their own cells with right ones as fine or finer, and finer left ones with the right ones' own cells."""
+    a, b = _levelled(a, cell, a_box, grow), _levelled(b, cell, b_box, 0.0)
+    own = _levels(a)
+    other = own if same else _levels(b)
+    sides = [(_cells(a, cell, a_box, grow, "_a", None), _cells(b, cell, b_box, 0.0, "_b", own or [0]))]
+    if own and other and max(other) > min(own):
+        sides.append((_cells(a, cell, a_box, grow, "_a", other, True), _cells(b, cell, b_box, 0.0, "_b", None)))
+    return sides
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, left_box=BOX, right_box=tuple(f"r_{c}" for c in BOX), keys: list[str] | None = None, grow: float = 0.0, strict: bool = False, condition: Column | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, cell: float, left_box=BOX, right_box=tuple(f"r_{c}" for c in BOX), keys: list[str] | None = None, grow: float = 0.0, strict: bool = False, condition: Column | None = None, same: bool = False) -> DataFrame:
     """Pairs whose boxes meet (touching counts, unless ``strict``); the sides have no column names in common but ``keys``.
 
-    ``grow`` widens the left boxes on all sides before the test; ``keys`` must be equal besides.
+    ``grow`` widens the left boxes on all sides before the test; ``keys`` must be equal besides. ``cell`` is a unit of length; levels fit the cells to the boxes.
+    ``same``: both sides hold the same boxes.
     """
-    a, b = _cells(left, cell, left_box, grow, "_a"), _cells(right, cell, right_box, 0.0, "_b")
-    joined = a.join(b, [*(keys or []), "_cx", "_cy"])
     first = (F.col("_cx") == F.greatest("_a_x0", "_b_x0")) & (F.col("_cy") == F.greatest("_a_y0", "_b_y0"))
     l, r = [F.col(c) for c in left_box], [F.col(c) for c in right_box]
     low = (lambda x, y: x < y) if strict else (lambda x, y: x <= y)
     meet = low(l[0] - grow, r[2]) & low(r[0], l[2] + grow) & low(l[1] - grow, r[3]) & low(r[1], l[3] + grow)
     if condition is not None:
         meet = meet & condition
-    return joined.where(first & meet).drop("_cx", "_cy", "_a_x0", "_a_y0", "_b_x0", "_b_y0")
+    out = None
+    for a, b in _sides(left, right, cell, left_box, right_box, grow, same):
+        pairs = a.join(b, [*(keys or []), *_CELL]).where(first & meet).drop(*_CELL, "_a_x0", "_a_y0", "_b_x0", "_b_y0")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def tiles_with_boxes(tiles: DataFrame, boxes: DataFrame, cell: float = 1000.0) -> DataFrame:
     """Semi join: the tiles that at least one box meets."""
-    axis = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    right = boxes.select(*[F.col(c).alias(f"r_{c}") for c in BOX]).where("r_xmin is not null and r_ymin is not null and r_xmax is not null and r_ymax is not null")
-    right = right.withColumn("_cx", F.explode(axis("r_xmin", "r_xmax"))).withColumn("_cy", F.explode(axis("r_ymin", "r_ymax")))
-    # Each cell of a tile asks on its own; a tile is kept if one of them finds a box.
-    left = tiles.withColumn("_cx", F.explode(axis("xmin", "xmax"))).withColumn("_cy", F.explode(axis("ymin", "ymax"))).alias("l")
-    meet = F.expr("l._cx = r._cx and l._cy = r._cy and l.xmin <= r_xmax and r_xmin <= l.xmax and l.ymin <= r_ymax and r_ymin <= l.ymax")
-    return left.join(right.alias("r"), meet, "left_semi").drop("_cx", "_cy").distinct()
+    right = boxes.select(*[F.col(c).alias(f"r_{c}") for c in BOX])
+    meet = F.expr("l._cl = r._cl and l._cx = r._cx and l._cy = r._cy and l.xmin <= r_xmax and r_xmin <= l.xmax and l.ymin <= r_ymax and r_ymin <= l.ymax")
+    out = None
+    for a, b in _sides(tiles, right, cell, BOX, tuple(right.columns), 0.0):
+        # Each cell of a tile asks on its own; a tile is kept if one of them finds a box.
+        kept = a.alias("l").join(b.alias("r"), meet, "left_semi").select(*tiles.columns)
+        out = kept if out is None else out.unionByName(kept)
+    return out.distinct()
 
 
 def points_in_tiles(points: DataFrame, tiles: DataFrame, cell: float = 1000.0) -> DataFrame:
     """Left join of points to the tiles they lie strictly inside; a point on an edge has no tile, one in two tiles two rows."""
-    axis = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-    cells = tiles.select("tile_id", *[F.col(c).alias(f"t_{c}") for c in BOX]).withColumn("_tx", F.explode(axis("t_xmin", "t_xmax"))).withColumn("_ty", F.explode(axis("t_ymin", "t_ymax")))
-    p = points.withColumn("_px", F.floor(F.col("x") / cell)).withColumn("_py", F.floor(F.col("y") / cell))
-    inside = F.expr("_px = _tx and _py = _ty and x > t_xmin and x < t_xmax and y > t_ymin and y < t_ymax")
-    return p.join(cells, inside, "left").drop("_px", "_py", "_tx", "_ty", *[f"t_{c}" for c in BOX])
+    box = tuple(f"t_{c}" for c in BOX)
+    levelled = _levelled(tiles.select("tile_id", *[F.col(c).alias(f"t_{c}") for c in BOX]), cell, box, 0.0)
+    levels = _levels(levelled) or [0]
+    out, left = None, points
+    for n in levels:
+        # One level after the other, as a rule there is one.
+        cells = _cells(levelled.where(F.col("_l") == n), cell, box, 0.0, "_t", None)
+        side = cell * float(STEP) ** n
+        inside = (F.floor(F.col("x") / side) == F.col("_cx")) & (F.floor(F.col("y") / side) == F.col("_cy")) & F.expr("x > t_xmin and x < t_xmax and y > t_ymin and y < t_ymax")
+        found = points.join(cells, inside, "left" if len(levels) == 1 else "inner").select(*points.columns, "tile_id")
+        out = found if out is None else out.unionByName(found)
+        if len(levels) > 1:
+            left = left.join(cells, inside, "left_anti")
+    return out if len(levels) == 1 else out.unionByName(left.withColumn("tile_id", F.lit(None).cast(tiles.schema["tile_id"].dataType)))
 
 
 def overlap_pairs(boxes: DataFrame, id_col: str, cell: float, min_iou: float, box=BOX) -> DataFrame:
@@ -62,7 +113,7 @@ def overlap_pairs(boxes: DataFrame, id_col: str, cell: float, min_iou: float, bo
 
     left = boxes.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"l_{k}") for c, k in zip(box, BOX)])
     right = boxes.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"r_{k}") for c, k in zip(box, BOX)])
-    pairs = box_join(left, right, cell, tuple(f"l_{c}" for c in BOX), condition=F.col("a") < F.col("b"), strict=True)
+    pairs = box_join(left, right, cell, tuple(f"l_{c}" for c in BOX), condition=F.col("a") < F.col("b"), strict=True, same=True)
     pairs = pairs.withColumn("iou", iou("l_", "r_", BOX))
     return pairs.where(F.col("iou") > min_iou).select("a", "b", "iou")
 

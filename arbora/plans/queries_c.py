@@ -96,7 +96,7 @@ _EDGES = """SELECT a, b, w * h / (aa + ba - w * h) AS iou FROM (SELECT a.box_id
 
 @query(duck(f"SELECT a, b, round(iou, 6) AS iou FROM ({_EDGES})", "map_boxes"))
 def c09_overlap_pairs(spark, d):
-    return spatial.overlap_pairs(load(spark, d, "map_boxes"), "box_id", 10.0, 0.3).select("a", "b", F.round("iou", 6).alias("iou"))
+    return spatial.overlap_pairs(load(spark, d, "map_boxes"), "box_id", 12.0, 0.3).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
 _HEIGHT = "SELECT tile, row, col, height FROM heights WHERE tile % 3 > 0"

@@ -20,7 +20,7 @@ def e01_greedy_match(spark, d):
 @query()
 def e02_suppress(spark, d):
     boxes = load(spark, d, "map_boxes")
-    edges = spatial.overlap_pairs(boxes, "box_id", 10.0, 0.3)
+    edges = spatial.overlap_pairs(boxes, "box_id", 12.0, 0.3)
     return matching.suppress(boxes, edges, checkpoint=stored).select("box_id")
 
 
