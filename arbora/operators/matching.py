@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.geo import iou
+from arbora.plans.workspace import forget
 
 
 def iou_pairs(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -68,23 +69,27 @@ def suppress(boxes: DataFrame, edges: DataFrame, id_col: str = "box_id", conf: s
     ``checkpoint`` (a function of a DataFrame) cuts the lineage of each round.
     """
     cut = checkpoint or (lambda df: df.checkpoint())
-    rank = boxes.select(F.col(id_col).alias("id"), F.struct(-F.col(conf), F.col(id_col)).alias("key"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    # (weak, strong) pairs: only a stronger neighbour can take a box away.
-    ranked = both.join(rank.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(rank.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
-    pairs = cut(ranked.where("kb < ka").select(F.col("a").alias("weak"), F.col("b").alias("strong")))
-    gone, stays = None, cut(rank.select("id").join(pairs.select(F.col("weak").alias("id")), "id", "left_anti"))
-    open_pairs = pairs
+    rank = cut(boxes.select(F.col(id_col).alias("id"), F.struct((-F.col(conf)).alias("c"), F.col(id_col).alias("i")).alias("key")))
+    # (weak, strong) pairs, one an edge: only a stronger neighbour can take a box away.
+    ranked = edges.select("a", "b").join(rank.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(rank.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
+    a_first = F.col("ka") < F.col("kb")
+    pairs = cut(ranked.where("ka <> kb").select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("weak"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("strong")).distinct())
+    gone = []
     while True:
-        lost = open_pairs.join(stays.select(F.col("id").alias("strong")), "strong", "left_semi").select(F.col("weak").alias("id")).distinct()
-        lost = cut(lost)
-        gone = lost if gone is None else cut(gone.unionByName(lost).distinct())
+        # Who has no stronger neighbour left stays, and its neighbours go.
+        dominated = pairs.select(F.col("weak").alias("strong")).distinct()
+        lost = cut(pairs.join(dominated, "strong", "left_anti").select(F.col("weak").alias("id")).distinct())
+        gone.append(lost)
         # Pairs of boxes that are gone decide nothing any more.
-        left = open_pairs.join(lost.select(F.col("id").alias("weak")), "weak", "left_anti").join(lost.select(F.col("id").alias("strong")), "strong", "left_anti")
+        left = pairs.join(lost.select(F.col("id").alias("weak")), "weak", "left_anti").join(lost.select(F.col("id").alias("strong")), "strong", "left_anti")
         left = cut(left)
+        forget(pairs)
+        pairs = left
         if left.isEmpty():
             break
-        undecided = left.select(F.col("strong").alias("id")).distinct()
-        stays = cut(undecided.join(left.select(F.col("weak").alias("id")), "id", "left_anti"))
-        open_pairs = left
-    return boxes.join(gone.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    every = gone[0]
+    for lost in gone[1:]:
+        every = every.unionByName(lost)
+    kept = cut(boxes.join(every.select(F.col("id").alias(id_col)), id_col, "left_anti"))
+    forget(rank, pairs, *gone)
+    return kept

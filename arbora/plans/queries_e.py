@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arbora.operators import chips, evaluate, matching, rasters, scoring, segment, spatial
 from arbora.plans.queries import query
+from arbora.plans.queries_c import _EDGES
 from arbora.plans.queries_d import _BOTH, _MATCH
 from arbora.plans.standins import duck, load
 from arbora.plans.workspace import stored
@@ -17,9 +18,20 @@ def e01_greedy_match(spark, d):
     return m.select("pred_id", "gt_id", F.round("iou", 6).alias("iou"))
 
 
-@query()
+def _suppression(source: str, rounds: int) -> str:
+    """Rounds of ``suppress`` over ``pairs`` (weak, strong); an error if any pair were left after them."""
+    steps = [f"""l{i} AS MATERIALIZED (SELECT DISTINCT weak AS id FROM p{i} WHERE strong NOT IN (SELECT weak FROM p{i})),
+ p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} WHERE weak NOT IN (SELECT id FROM l{i}) AND strong NOT IN (SELECT id FROM l{i}))""" for i in range(rounds)]
+    gone = " UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(rounds))
+    return f"WITH p0 AS MATERIALIZED ({source}), {', '.join(steps)}, gone AS (SELECT id FROM ({gone}) WHERE CASE WHEN (SELECT count(*) FROM p{rounds}) = 0 THEN true ELSE error('pairs are left') END)"
+
+
+_PAIRS = f"SELECT CASE WHEN first THEN b ELSE a END AS weak, CASE WHEN first THEN a ELSE b END AS strong FROM (SELECT e.a, e.b, p.conf > q.conf OR p.conf = q.conf AND e.a < e.b AS first FROM ({_EDGES}) AS e JOIN map_boxes AS p ON p.box_id = e.a JOIN map_boxes AS q ON q.box_id = e.b)"
+
+
+@query(duck(_suppression(_PAIRS, 14) + " SELECT box_id FROM map_boxes WHERE box_id NOT IN (SELECT id FROM gone)", "map_boxes"))
 def e02_suppress(spark, d):
-    boxes = load(spark, d, "map_boxes")
+    boxes = stored(load(spark, d, "map_boxes"))  # read several times
     edges = spatial.overlap_pairs(boxes, "box_id", 12.0, 0.3)
     return matching.suppress(boxes, edges, checkpoint=stored).select("box_id")
 
@@ -91,7 +103,12 @@ def e06_local_maxima(spark, d):
     return segment.local_maxima(_canopy(spark, d), 1, 3.0)
 
 
-@query()
+_TOPS = f"SELECT a.tile, a.row, a.col, a.h FROM ({_H}) AS a JOIN ({_H}) AS b ON a.tile = b.tile AND abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 WHERE a.canopy AND a.h > 3 GROUP BY a.tile, a.row, a.col, a.h HAVING a.h = max(b.h)"
+_PEAKS = f"""SELECT (weak.tile, weak.row, weak.col) AS weak, (strong.tile, strong.row, strong.col) AS strong FROM ({_TOPS}) AS weak JOIN ({_TOPS}) AS strong ON weak.tile = strong.tile AND abs(weak.row - strong.row) <= 2
+ AND abs(weak.col - strong.col) <= 2 AND (strong.h > weak.h OR strong.h = weak.h AND (strong.row, strong.col) < (weak.row, weak.col))"""
+
+
+@query(duck(_suppression(_PEAKS, 10) + f" SELECT tile, CAST(row_number() OVER (PARTITION BY tile ORDER BY h DESC, row, col) AS INTEGER) AS marker, row, col, h AS height FROM ({_TOPS}) WHERE (tile, row, col) NOT IN (SELECT id FROM gone)", "heights"))
 def e06_height_peaks(spark, d):
     return segment.space_peaks(segment.local_maxima(_canopy(spark, d), 2, 3.0), 2, stored)
 
