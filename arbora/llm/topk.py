@@ -1,15 +1,15 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
-Codes are cut into segments. Two codes within distance d agree in some segment up to d // segments, so once all
-segments were looked up at radius r every code closer than segments * (r + 1) has been seen. The index is a written table: for each
-segment, codes lie in buckets by the high bits of the segment's value, in blocks of bounded size. Each round looks the open
-queries up at the next radius, in the buckets whose high bits can lie within it; within a block either the values at that
-radius are enumerated and looked up or, where they outnumber the block's codes, the codes' own values are compared. A code is verified
-in the one segment and round that finds it first, and only if it is not farther than the query's kth distance over
-all blocks so far. A query is closed once its kth verified distance is covered; the radius grows until none is open.
+Codes are cut into segments. Two codes within distance d agree in some segment up to d // segments bits, so once all
+segments were looked up at radius r every code closer than segments * (r + 1) has been seen. The index is a written table of
+blocks of codes, which stay where they are: packets of queries, of bounded size, are broadcast to them with their kth distance so far. In a block, the
+segments' values at a radius are enumerated and looked up, and what is found is verified. After each round a query is closed
+if its kth verified distance over all blocks is covered; for the others the radius grows. Segments have about as many bits as a full block has codes in
+binary digits, so the first radii meet few codes; when the next one would enumerate more than a share of a block, one pass over
+all codes finishes the queries that are still open, and covers every distance.
 
 Equal codes are one entry with its k + 1 smallest distinct ids, each as often as it stands there, and equal query codes are answered once.
-There is no cap on buckets or candidates: a bucket of a frequent value has more blocks, queries travel in packets.
+There is no cap on candidates.
 
 Defined cases: null vectors are left out (neither queries nor answers); null elements count as 0; vectors may have any number of
 dimensions, the same in all rows, else it is an error; an id that is repeated with
@@ -28,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.llm._spark import Scratch, table, written
+from arbora.llm._spark import Scratch, shuffle_partitions, table, written
 
-BLOCK = 1 << 15  #: codes in a block of a bucket, about
-PACKET = 1 << 11  #: queries in a packet, about
-WIDTH, HIGH = 16, 4  #: bits of a segment, and those of them that choose the bucket
+BLOCK = 1 << 15  #: codes in a block, about
+LEAST = 1 << 10  #: and at least, however many tasks there are
+PACKET = 1 << 16  #: queries in a packet, about: a few MB
+WIDTH = 16  #: bits of a segment
+ROUNDS = ((0, 1, 2), (3,))  #: radii looked up a round; those after them would enumerate over a fifth of a block's codes
+PAIRS = 1 << 21  #: distances computed at a time
 CODE = "array<bigint>"  #: 64 dimensions a number
 
 
@@ -50,13 +53,8 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 
 def _segments(codes: np.ndarray) -> np.ndarray:
-    """(codes, segments) values of the segments of (codes, words) numbers; those of a word from its low bits on."""
-    return np.ascontiguousarray(codes.astype("<i8")).view("<u2").reshape(len(codes), -1)
-
-
-def _fresh(near: np.ndarray, s: int, radius: int) -> np.ndarray:
-    """Whether pairs, by their segments' distances, are found first in segment ``s`` at ``radius``: no other is nearer, none before as near."""
-    return (near[:, :s] > radius).all(1) & (near[:, s + 1 :] >= radius).all(1)
+    """(codes, segments) values of the segments of (codes, words) unsigned numbers; those of a word from its low bits on."""
+    return np.ascontiguousarray(codes).view("<u2").reshape(len(codes), -1)
 
 
 def lookup(codes: np.ndarray, queries: np.ndarray, s: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +84,39 @@ def nearest_of(distance: np.ndarray, weight: np.ndarray, least: int) -> np.ndarr
     return order if last >= len(order) else order[: int(np.searchsorted(distance[order], distance[order[last]], "right"))]
 
 
-def _found(queries: list, entries: list, distances: list, weights: list) -> pa.RecordBatch:
-    n = np.append(0, np.cumsum([len(e) for e in entries])).astype(np.int32)
-    cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    lists = [pa.ListArray.from_arrays(pa.array(n), pa.array(cat(x, np.int64))) for x in (entries, distances, weights)]
-    return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), *lists], names=["query", "entries", "distances", "weights"])
+def _grouped(q: np.ndarray, c: np.ndarray, d: np.ndarray, query: np.ndarray, name: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """``FOUND`` rows of pairs of places ``q`` (ascending) and ``c`` with their distances."""
+    edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1)) if len(q) else np.zeros(1, np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.astype(np.int64))) for x in (name[c], d, weight[c])]
+    return pa.RecordBatch.from_arrays([pa.array(query[q[edges[:-1]]]), *lists], names=["query", "entries", "distances", "weights"])
+
+
+def looked_up(own: np.ndarray, ask: np.ndarray, bound: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance) of the pairs within ``bound`` whose nearest segments are as far apart as one of ``radii``; both are (n, segments)."""
+    q, c = (np.concatenate(x) for x in zip(*[lookup(own, ask, s, r) for s in range(own.shape[1]) for r in radii]))
+    key = np.unique(q * len(own) + c)
+    q, c = key // len(own), key % len(own)
+    apart = np.bitwise_count(ask[q] ^ own[c])
+    d = apart.sum(1, dtype=np.int64)
+    # What has a nearer segment was found in an earlier round.
+    keep = (d <= bound[q]) & (apart.min(1) >= radii[0])
+    return q[keep], c[keep], d[keep]
+
+
+def scanned(own: np.ndarray, ask: np.ndarray, bound: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, code, distance) of the ``least`` nearest codes of each query within ``bound``, ties included; both are (n, words)."""
+    out = []
+    step = max(1, PAIRS // len(own))
+    for low in range(0, len(ask), step):
+        part = slice(low, low + step)
+        d = sum(np.bitwise_count(ask[part, None, w] ^ own[None, :, w]).astype(np.uint16) for w in range(own.shape[1]))
+        far = bound[part]
+        k = int(least[part].max())
+        if k < len(own):
+            far = np.minimum(far, np.partition(d, k - 1, axis=1)[:, k - 1])
+        q, c = np.nonzero(d <= far[:, None])
+        out.append((q + low, c, d[q, c].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 FOUND = "query bigint, entries array<bigint>, distances array<bigint>, weights array<bigint>"
@@ -114,85 +140,85 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # Rows of a query's own id do not count: k and as many rows as that id has are enough, or all there are.
     own_rows = counted.groupBy("vec_id").agg(F.sum("times").alias("own"))
     asking = scratch.written(queries.groupBy("vec_id", "code").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times")), "asking")
-    every = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
+    held = entries.agg(F.sum(F.size("ids")).alias("rows"), F.count("*").alias("codes")).first()
+    every = held["rows"] or 0
     asked = asking.select("vec_id", "code").join(own_rows, "vec_id", "left").groupBy("code").agg(F.least(k + F.max(F.coalesce("own", F.lit(0))), F.lit(every)).alias("least"))
     asked = scratch.written(asked.withColumn("query", F.monotonically_increasing_id()), "asked")
-    bucket = lambda s: f"cast(shiftright(code[{s * WIDTH // 64}], {s * WIDTH % 64 + WIDTH - HIGH}) & {(1 << HIGH) - 1} as int)"
-    places = F.explode(F.array(*[F.expr(f"struct({s} as s, {bucket(s)} as bucket)") for s in range(n_segments)])).alias("at")
-    index = entries.select("entry", "code", F.size("ids").cast("bigint").alias("weight"), places).select("entry", "code", "weight", "at.*")
-    # A row for each segment and bucket, whatever the number of codes.
-    parts = index.groupBy("s", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("parts"))
-    index = index.join(F.broadcast(parts), ["s", "bucket"]).withColumn("part", F.expr("pmod(xxhash64(entry), parts)"))
-    index = scratch.written(index.groupBy("s", "bucket", "part").agg(F.collect_list(F.struct("entry", "code", "weight")).alias("codes")), "index")
-    n_packets = max(1, -(-asked.count() // PACKET))
-
-    def look_up(radius: int):
+    tasks = shuffle_partitions(spark)
+    n_blocks = max(1, -(-held["codes"] // BLOCK), min(tasks, held["codes"] // LEAST))
+    block = entries.select(F.expr(f"pmod(xxhash64(entry), {n_blocks})").alias("block"), "entry", "code", F.size("ids").cast("bigint").alias("weight"))
+    # Files of a few blocks each: a round reads each of them where it lies.
+    index = block.repartition(min(n_blocks, 8 * tasks), "block").groupBy("block").agg(F.collect_list(F.struct("entry", "code", "weight")).alias("codes"))
+    index = scratch.written(index.select("codes"), "index")
+
+    def met(radii: tuple[int, ...] | None):
+        """Pairs of a block and a packet, looked up at ``radii``, or all of them."""
+
         def run(iterator):
+            codes_of = lambda x: x.field("code").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1).astype("<i8").view("<u8")
             for batch in iterator:
                 for row in range(batch.num_rows):
                     own, ask = batch.column("codes")[row].values, batch.column("queries")[row].values
-                    s = batch.column("s")[row].as_py()
-                    codes_of = lambda x: x.field("code").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-                    own_parts, ask_parts = _segments(codes_of(own)), _segments(codes_of(ask))
+                    if not len(ask):
+                        continue
                     name, weight = own.field("entry").to_numpy(zero_copy_only=False), own.field("weight").to_numpy(zero_copy_only=False)
                     query, least, bound = (ask.field(c).to_numpy(zero_copy_only=False) for c in ("query", "least", "bound"))
-                    out: tuple[list, list, list, list] = ([], [], [], [])
-                    for low in range(0, len(query), 256):
-                        q, c = lookup(own_parts, ask_parts[low : low + 256], s, radius)
-                        q = q + low
-                        apart = np.bitwise_count(ask_parts[q] ^ own_parts[c])
-                        d = apart.sum(1, dtype=np.int64)
-                        near = (d <= bound[q]) & _fresh(apart, s, radius)
-                        q, c, d = q[near], c[near], d[near]
-                        order = np.argsort(q, kind="stable")
-                        q, c, d = q[order], c[order], d[order]
-                        edges = np.flatnonzero(np.diff(q, prepend=-1, append=-1)) if len(q) else np.zeros(1, np.int64)
-                        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                            keep = a + nearest_of(d[a:b], weight[c[a:b]], int(least[q[a]]))
-                            for into, x in zip(out, (query[q[a]], name[c[keep]], d[keep], weight[c[keep]])):
-                                into.append(x)
-                    if out[0]:
-                        yield _found(*out)
+                    own, ask = codes_of(own), codes_of(ask)
+                    for low in range(0, len(query), 1 << 12):
+                        part = slice(low, low + (1 << 12))
+                        if radii is None:
+                            found = scanned(own, ask[part], bound[part], least[part])
+                        else:
+                            found = looked_up(_segments(own), _segments(ask[part]), bound[part], radii)
+                        if len(found[0]):
+                            yield _grouped(*found, query[part], name, weight)
 
         return run
 
     def merge(iterator):
         for batch in iterator:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            bounds, leasts = [], []
+            n, entries, distances, weights, bounds = [0], [], [], [], []
+            least = batch.column("least").to_numpy(zero_copy_only=False)
+            lists = [batch.column(c) for c in ("entries", "distances", "weights")]
             for row in range(batch.num_rows):
-                least = batch.column("least")[row].as_py()
-                e, d, w = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) if batch.column(c)[row].is_valid else np.zeros(0, np.int64) for c in ("entries", "distances", "weights"))
-                keep = nearest_of(d, w, least)
-                for into, x in zip(out, (batch.column("query")[row].as_py(), e[keep], d[keep], w[keep])):
-                    into.append(x)
+                e, d, w = (x[row].values.to_numpy(zero_copy_only=False) if x[row].is_valid else np.zeros(0, np.int64) for x in lists)
+                keep = nearest_of(d, w, int(least[row]))
+                for into, x in zip((entries, distances, weights), (e, d, w)):
+                    into.append(x[keep])
+                n.append(n[-1] + len(keep))
                 # The kth distance so far: what is farther is no answer.
-                bounds.append(int(d[keep[-1]]) if len(keep) and w[keep].sum() >= least else farthest)
-                leasts.append(least)
-            t = _found(*out)
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(bounds, pa.int64()), pa.array(leasts, pa.int64())], names=[*t.schema.names, "bound", "least"])
+                bounds.append(int(d[keep[-1]]) if len(keep) and w[keep].sum() >= least[row] else farthest)
+            made = [pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))) for x in (entries, distances, weights)]
+            yield pa.RecordBatch.from_arrays([batch.column("query"), *made, pa.array(bounds, pa.int64()), pa.array(least.astype(np.int64))], names=["query", "entries", "distances", "weights", "bound", "least"])
 
     farthest = n_segments * WIDTH
     none = F.array().cast(CODE)
     state = asked.select("query", none.alias("entries"), none.alias("distances"), none.alias("weights"), F.lit(farthest).cast("bigint").alias("bound"), "least")
     done = []
-    for radius in range(WIDTH + 1):
-        open_ = state.select("query", "bound", "least").join(asked.select("query", "code"), "query")
-        near = ", ".join(str(b) for b in range(1 << HIGH) if b.bit_count() <= radius)
-        sent = F.explode(F.array(*[F.expr(f"struct({s} as s, transform(array({near}), m -> m ^ {bucket(s)}) as buckets)") for s in range(n_segments)])).alias("at")
-        sent = open_.select("query", "code", "bound", "least", sent).select("query", "code", "bound", "least", "at.s", F.explode("at.buckets").alias("bucket"))
-        packets = sent.groupBy("s", "bucket", F.expr(f"pmod(xxhash64(query), {n_packets})").alias("packet")).agg(F.collect_list(F.struct("query", "code", "bound", "least")).alias("queries"))
-        met = packets.join(index, ["s", "bucket"]).repartition("s", "bucket", "part", "packet").select("s", "codes", "queries")
-        found = met.mapInArrow(look_up(radius), FOUND)
+    for radii in (*ROUNDS, None):
+        n_packets = -(-state.count() // PACKET)
+        open_ = scratch.written(state.select("query", "bound", "least").join(asked.select("query", "code"), "query").withColumn("packet", F.expr(f"pmod(xxhash64(query), {max(1, n_packets)})")), "open")
+        found = None
+        for p in range(n_packets):
+            packet = open_.where(F.col("packet") == p).agg(F.collect_list(F.struct("query", "code", "bound", "least")).alias("queries"))
+            # One row of about PACKET queries, whatever their number.
+            part = index.crossJoin(F.broadcast(packet)).mapInArrow(met(radii), FOUND)
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            break
+        if radii is not None:
+            # The pass over all codes finds what was found before as well.
+            found = found.unionByName(state.select("query", "entries", "distances", "weights"))
         flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("entries", "distances", "weights")]
-        found = found.unionByName(state.select("query", "entries", "distances", "weights")).groupBy("query").agg(*flat)
-        state = scratch.written(found.join(state.select("query", "least"), "query").mapInArrow(merge, f"{FOUND}, bound bigint, least bigint"), "state")
-        covered = n_segments * (radius + 1) - 1  # every code at most this far was seen
-        last = radius == WIDTH
-        done.append(state if last else state.where(F.col("bound") <= covered))
-        state = state.where(F.col("bound") > covered)
-        if last or state.isEmpty():
+        state = scratch.written(state.select("query", "least").join(found.groupBy("query").agg(*flat), "query", "left").mapInArrow(merge, f"{FOUND}, bound bigint, least bigint"), "state")
+        if radii is None:
+            done.append(state)
             break
+        covered = n_segments * (radii[-1] + 1) - 1  # every code at most this far was seen
+        done.append(state.where(F.col("bound") <= covered))
+        state = state.where(F.col("bound") > covered)
+    if not done:
+        done.append(state)
     best = done[0]
     for d in done[1:]:
         best = best.unionByName(d)
