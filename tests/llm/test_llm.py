@@ -935,3 +935,17 @@ def test_registry():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     json.dumps(entry.oracle_sql())
+
+
+def test_search_over_many_blocks_and_packets(spark, monkeypatch):
+    """Blocks and packets of a few rows; near neighbours that early radii cover, and far ones that the pass over all codes finds."""
+    for name, n in (("BLOCK", 16), ("LEAST", 4), ("PACKET", 7)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(12)
+    near = rng.normal(size=(1, 100)) + 0.05 * rng.normal(size=(40, 100))
+    data = [(i, v.tolist()) for i, v in enumerate([*near, *rng.normal(size=(110, 100)), *near[:5]])]
+    codes = topk.sign_codes(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"))
+    bits = np.array([v for _, v in data]) > 0
+    apart = (bits[:, None] != bits[None]).sum(2)
+    want = [(i, k + 1, int(j), int(apart[i, j])) for i in range(0, len(data), 3) for k, j in enumerate(sorted((j for j in range(len(data)) if j != i), key=lambda j: (apart[i, j], j))[:6])]  # noqa: B023
+    assert tuples(topk.search(codes, codes.where("vec_id % 3 = 0"), k=6), "vec_id", "rank", "neighbor_id", "distance") == sorted(want, key=str)
