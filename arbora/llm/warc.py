@@ -7,7 +7,8 @@ a record; as segments bound the records and ``records_per_file`` the files, a fi
 segments of one page may lie in different files.
 
 Reading parses each file on its own; whole records pass on, segments are grouped by origin, ordered by number,
-and checked (numbers 1 to n without gap, total length, chunk framing, payload digest).
+and checked (numbers 1 to n without gap, total length, chunk framing, payload digest). A payload digest is checked by the
+algorithm it names (md5, sha1, sha256, sha512; hexadecimal or base 32), one of an unknown algorithm is not; SHA-256 is what is reported.
 
 Of records with equal payloads of at least ``least_revisit`` bytes the one with the smallest id is the response and
 the others are revisit records without payload that refer to its record by ``WARC-Refers-To``. A payload that very many
@@ -22,6 +23,7 @@ wrong length, headers that are no numbers, a file that ends within a record; rea
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -171,6 +173,27 @@ def inflated(data: bytes) -> tuple[bytes, str | None]:
     return b"".join([*plain, data]), None
 
 
+# Algorithms by the labels that archives give their digests.
+ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512"}
+
+
+def digest_holds(stated: str, payload: bytes) -> bool:
+    """Whether a labelled digest (``algorithm:value``, the value in base 16 or 32) is the payload's, as far as its algorithm is known."""
+    label, _, value = stated.rpartition(":")
+    name = ALGORITHMS.get(label.strip().lower() or "sha256")
+    if name is None:
+        return True
+    found = hashlib.new(name, payload).digest()
+    value = value.strip()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def plain_sha256(stated: str | None) -> str | None:
+    """The bare hexadecimal value of a SHA-256 digest; other digests as they are."""
+    label, _, value = (stated or "").rpartition(":")
+    return value.strip().lower() if ALGORITHMS.get(label.strip().lower()) == "sha256" and re.fullmatch(r"[0-9a-fA-F]{64}", value.strip()) else stated
+
+
 def _record(h: dict, block: bytes, fault: str | None) -> tuple:
     def number(name: str) -> int | None:
         nonlocal fault
@@ -179,7 +202,7 @@ def _record(h: dict, block: bytes, fault: str | None) -> tuple:
             return None
         return int(h[name]) if h.get(name) else None
 
-    digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    digest = h.get("warc-payload-digest") or None
     segment = number("warc-segment-number")
     if segment is not None and not 0 < segment < 1 << 31:
         segment, fault = None, fault or "warc-segment-number is out of range"
@@ -249,13 +272,12 @@ def decode_payloads(assembled: DataFrame, keep_payload: bool = False) -> DataFra
                     if r["record_type"] == "response":
                         http, _, body = block.partition(b"\r\n\r\n")
                         payload = dechunked(body) if re.search(rb"(?i)\r\ntransfer-encoding:\s*chunked", http) else body
-                        digest = hashlib.sha256(payload).hexdigest()
-                        if r["payload_digest"] not in (None, digest):
+                        if r["payload_digest"] is not None and not digest_holds(r["payload_digest"], payload):
                             raise ValueError("the payload's digest does not hold")
-                        r["payload_digest"], r["payload_bytes"] = digest, len(payload)
+                        r["payload_digest"], r["payload_bytes"] = hashlib.sha256(payload).hexdigest(), len(payload)
                 except ValueError as e:
                     problem = str(e)
-                row = (r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], len(parts), problem, payload)
+                row = (r["page_id"], r["url"], r["payload_bytes"], plain_sha256(r["payload_digest"]), r["record_type"], r["refers_to"], len(parts), problem, payload)
                 rows.append(row[: len(names)])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
