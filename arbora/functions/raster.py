@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.ranks import percentiles
+
 # Band order and the stored channel statistics (R, G, B, NIR, height).
 BANDS = {"RGB": (1, 2, 3), "RGBI": (1, 2, 3, 4), "RGBIH": (1, 2, 3, 4, 5)}
 CHANNEL_MEAN = (0.3603, 0.3813, 0.3470, 0.6094, 0.1883)
@@ -61,9 +63,11 @@ def scale_to_unit(pixels: DataFrame, dtype: str, keys: list[str]) -> DataFrame:
     if dtype in ("uint8", "uint16"):
         scaled = v / (255.0 if dtype == "uint8" else 65535.0)
     else:
-        most = F.max(v).over(Window.partitionBy(*keys))
+        # Summed up in each task first: an image's pixels need not meet.
+        pixels = pixels.join(pixels.groupBy(*keys).agg(F.max(v).alias("_most")), keys)
+        most = F.col("_most")
         scaled = F.when(most > 300, v / 65535.0).when(most > 2, v / 255.0).otherwise(v)
-    return pixels.withColumn("value", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
+    return pixels.withColumn("value", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_most")
 
 
 def standardize(pixels: DataFrame, n: int = 5) -> DataFrame:
@@ -73,14 +77,14 @@ def standardize(pixels: DataFrame, n: int = 5) -> DataFrame:
     return pixels.where(F.col("band") <= n).withColumn("value", (F.col("value") - F.get(mean, F.col("band") - 1)) / F.get(std, F.col("band") - 1))
 
 
-def percentile_stretch(pixels: DataFrame, keys: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+def percentile_stretch(pixels: DataFrame, keys: list[str], low: float = 0.02, high: float = 0.98, checkpoint=None) -> DataFrame:
     """Stretch each image and band to 0..1 between two exact percentiles; where they meet, between least and greatest."""
     v = F.col("value").cast("double")
-    stats = pixels.groupBy(*keys).agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("_p"), F.min(v).alias("_min"), F.max(v).alias("_max"))
-    flat = F.col("_p")[1] <= F.col("_p")[0]
-    a, b = F.when(flat, F.col("_min")).otherwise(F.col("_p")[0]), F.when(flat, F.col("_max")).otherwise(F.col("_p")[1])
+    stats = percentiles(pixels, keys, [low, high], checkpoint=checkpoint).withColumnsRenamed({"low": "_min", "high": "_max", "p0": "_p0", "p1": "_p1"})
+    flat = F.col("_p1") <= F.col("_p0")
+    a, b = F.when(flat, F.col("_min")).otherwise(F.col("_p0")), F.when(flat, F.col("_max")).otherwise(F.col("_p1"))
     stretched = F.when(b > a, F.least(F.greatest((v - a) / F.nullif(b - a, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return pixels.join(stats, keys).withColumn("value", stretched).drop("_p", "_min", "_max")
+    return pixels.join(stats, keys, "left").withColumn("value", stretched).drop("_p0", "_p1", "_min", "_max")
 
 
 def draw(keys: list[str], seed: int, salt: str = "") -> Column:

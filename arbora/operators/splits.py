@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.plans.workspace import ranked
+from arbora.operators.ranks import values_at
+from arbora.plans.workspace import ranked, stored
 
 
 def _draw(key: str, seed: int):
@@ -32,11 +33,24 @@ def split_by_lists(tiles: DataFrame, train: DataFrame | None = None, val: DataFr
 
 
 def split_random(tiles: DataFrame, val_frac: float, seed: int = 0, key: str = "tile_id") -> DataFrame:
-    """round-half-even(n * val_frac) ids to val, by the order of their hashes."""
-    ids = tiles.select(key).distinct().withColumn("_h", _draw(key, seed))
+    """round-half-even(n * val_frac) ids to val, by the order of their hashes.
+
+    The last hash that belongs to val is found by counting; ids are then split by comparing with it.
+    """
+    ids = stored(tiles.select(key).distinct().withColumn("_h", _draw(key, seed)).withColumn("_n", F.expr("cast(conv(substr(_h, 1, 15), 16, 10) as bigint)")), "ids")
     n_val = round(ids.count() * val_frac)
-    chosen = ids.orderBy("_h", key).limit(n_val).select(key)
-    return ids.select(key).join(chosen.withColumn("split", F.lit("val")), key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    if not n_val:
+        return ids.select(key, F.lit("train").alias("split"))
+    one = ids.withColumn("_all", F.lit(0))
+    wanted = ids.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(0).alias("target"), F.lit(n_val - 1).alias("rank"))
+    last = values_at(one, wanted, ["_all"], "_n").first()["found"]
+    val = F.col("_n") <= last
+    spare = ids.where(val).count() - n_val
+    if spare:
+        # Ids whose numbers are the same, as good as never: the whole hash decides.
+        out = [r[key] for r in ids.where(F.col("_n") == last).orderBy(F.desc("_h"), F.desc(key)).limit(spare).collect()]
+        val &= ~F.col(key).isin(out)
+    return ids.select(key, F.when(val, "val").otherwise("train").alias("split"))
 
 
 def split_stratified(rows: DataFrame, key: str, label: str, val_frac: float, seed: int = 0) -> DataFrame:
