@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from arbora.plans.workspace import ranked
 
@@ -37,37 +38,54 @@ def chips_of(pixels: DataFrame, keys: list[str], size: int, scale: float = 255.0
     return band.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "values"))), lambda x: x["values"]).alias("bands"))
 
 
-def detect(chips: DataFrame, scorer: Scorer, keys: list[str], size: int, min_conf: float = 0.25) -> DataFrame:
-    """Apply a scorer to each chip: ``x1, y1, x2, y2, conf, cls`` in chip pixels, with the chip's keys and ``det_no``."""
-    kinds = dict(chips.dtypes)
+Boxes = list[list[tuple[float, float, float, float, float, int]]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                chip = np.stack([np.asarray(b, float) for b in row.bands]).reshape(len(row.bands), size, size)
-                found = [d for d in scorer(chip) if d[4] >= min_conf]
-                rows += [(*[getattr(row, k) for k in keys], n, *map(float, d[:5]), int(d[5])) for n, d in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[*keys, "det_no", "x1", "y1", "x2", "y2", "conf", "cls"])
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det_no int, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
-    return chips.select(*keys, "bands").mapInPandas(run, schema)
+def _tensors(chips: DataFrame, size: int) -> tuple[Column, list[int]]:
+    """The chips' values as one array a row, and their shape."""
+    one = chips.select(F.size("bands").alias("n")).first()
+    return F.flatten("bands"), [one["n"] if one else 1, size, size]
 
 
-def classify_chips(chips: DataFrame, model: Callable[[np.ndarray], np.ndarray], keys: list[str], size: int) -> DataFrame:
-    """Apply a model (chips, bands, size, size) -> (chips, classes): ``logits`` and ``p``, the first largest class."""
-    from arbora.functions.losses import argmax
+def detect_batches(chips: DataFrame, make_scorer: Callable[[], Callable[[np.ndarray], Boxes]], keys: list[str], size: int, min_conf: float = 0.25, batch_size: int = 64) -> DataFrame:
+    """``x1, y1, x2, y2, conf, cls`` in chip pixels, with the chip's keys and ``det_no``.
+
+    ``make_scorer`` is called once a worker and returns what scores (chips, bands, size, size) arrays, so that a model is loaded once
+    and sees batches.
+    """
+
+    def make():
+        score = make_scorer()
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            found = [[d for d in boxes if d[4] >= min_conf] for boxes in score(x)]
+            out = np.full((len(x), 6 * max(1, max(map(len, found)))), np.nan)  # as wide as the most boxes of a chip
+            for row, boxes in zip(out, found):
+                row[: 6 * len(boxes)] = np.ravel(boxes)
+            return out
 
-    kinds = dict(chips.dtypes)
+        return predict
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.stack([np.asarray(b, float) for b in bands]).reshape(-1, size, size) for bands in pdf["bands"]])
-                yield pdf[keys].assign(logits=list(np.asarray(model(x), float)))
+    values, shape = _tensors(chips, size)
+    numbers = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape])(values)
+    rows = chips.select(*keys, F.filter(numbers, lambda v: v.isNotNull() & ~F.isnan(v)).alias("_v")).where(F.size("_v") > 0)
+    each = rows.select(*keys, "_v", F.explode(F.expr("sequence(0, cast(size(_v) / 6 as int) - 1)")).alias("det_no"))
+    place = lambda k: F.get("_v", F.col("det_no") * 6 + k)
+    return each.select(*keys, "det_no", *[place(k).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2", "conf"))], place(5).cast("int").alias("cls"))
+
+
+def detect(chips: DataFrame, scorer: Scorer, keys: list[str], size: int, min_conf: float = 0.25) -> DataFrame:
+    """``detect_batches`` with a scorer of single chips."""
+    return detect_batches(chips, lambda: lambda x: [scorer(chip) for chip in x], keys, size, min_conf)
+
+
+def classify_chips(chips: DataFrame, model: Callable[[np.ndarray], np.ndarray], keys: list[str], size: int, batch_size: int = 64) -> DataFrame:
+    """Apply a model (chips, bands, size, size) -> (chips, classes): ``logits`` and ``p``, the first largest class."""
+    from arbora.functions.losses import argmax
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", logits array<double>"
-    return chips.select(*keys, "bands").mapInPandas(run, schema).withColumn("p", argmax(F.col("logits")))
+    values, shape = _tensors(chips, size)
+    logits = predict_batch_udf(lambda: lambda x: np.asarray(model(x), float), return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape])(values)
+    return chips.select(*keys, logits.alias("logits")).withColumn("p", argmax(F.col("logits")))
 
 
 def two_stage(detections: DataFrame, classes: DataFrame, id_col: str = "det_id") -> DataFrame:

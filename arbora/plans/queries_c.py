@@ -24,34 +24,35 @@ def c02_tile_semi_join(spark, d):
     return load(spark, d, "tiles").join(seen, "tile_id", "left_semi").select("tile_id")
 
 
-#: Chips of 128 m (512 pixels of 25 cm) over a corner of the world that the boxes reach.
-T = (0.25, 0.0, 355000.0, 0.0, -0.25, 6042100.0)
-_CHIPS = """SELECT r * 17 + c AS chip_id, CAST(r * 512 AS INTEGER) AS row0, CAST(c * 512 AS INTEGER) AS col0, 355000e0 + c * 128 AS xmin, 6042100e0 - r * 128 - 128 AS ymin, 355000e0 + c * 128 + 128 AS xmax, 6042100e0 - r * 128 AS ymax
- FROM (SELECT unnest(range(17)) AS c), (SELECT unnest(range(17)) AS r)"""
+#: Four chips of 512 m (512 pixels of 1 m) for each tile, overlapping by 12 m.
+T = (1.0, 0.0, 355000.0, 0.0, -1.0, 7000000.0)
+_CHIPS = """SELECT concat(tile_id, '_', 2 * r + c) AS chip_id, CAST(7000000 - (ymax - r * 500) AS INTEGER) AS row0, CAST(xmin + c * 500 - 355000 AS INTEGER) AS col0, xmin + c * 500 AS xmin, ymax - r * 500 - 512 AS ymin, xmin + c * 500 + 512 AS xmax, ymax - r * 500 AS ymax
+ FROM tiles, (SELECT unnest(range(2)) AS c), (SELECT unnest(range(2)) AS r)"""
 
 
-def _chips(spark):
-    axis = F.explode(F.sequence(F.lit(0), F.lit(16)))
-    g = spark.range(1).select(axis.alias("r")).withColumn("c", axis)
-    x, y = F.lit(355000.0) + F.col("c") * 128, F.lit(6042100.0) - F.col("r") * 128
-    return g.select((F.col("r") * 17 + F.col("c")).alias("chip_id"), (F.col("r") * 512).alias("row0"), (F.col("c") * 512).alias("col0"), x.alias("xmin"), (y - 128).alias("ymin"), (x + 128).alias("xmax"), y.alias("ymax"))
+def _chips(spark, d):
+    axis = F.explode(F.array(F.lit(0), F.lit(1)))
+    g = load(spark, d, "tiles").withColumn("r", axis).withColumn("c", axis)
+    x, y = F.col("xmin") + F.col("c") * 500, F.col("ymax") - F.col("r") * 500
+    name = F.concat(F.col("tile_id"), F.lit("_"), (2 * F.col("r") + F.col("c")).cast("string"))
+    return g.select(name.alias("chip_id"), (7000000 - y).cast("int").alias("row0"), (x - 355000).cast("int").alias("col0"), x.alias("xmin"), (y - 512).alias("ymin"), (x + 512).alias("xmax"), y.alias("ymax"))
 
 
-@query(duck(f"WITH chips AS ({_CHIPS}) SELECT chip_id, box_id FROM chips AS c JOIN map_boxes AS m ON m.xmin <= c.xmax + 0.01e0 AND c.xmin - 0.01e0 <= m.xmax AND m.ymin <= c.ymax + 0.01e0 AND c.ymin - 0.01e0 <= m.ymax", "map_boxes"))
+@query(duck(f"WITH chips AS ({_CHIPS}) SELECT chip_id, box_id FROM chips AS c JOIN map_boxes AS m ON m.xmin <= c.xmax + 0.01e0 AND c.xmin - 0.01e0 <= m.xmax AND m.ymin <= c.ymax + 0.01e0 AND c.ymin - 0.01e0 <= m.ymax", "tiles", "map_boxes"))
 def c03_chip_boxes(spark, d):
     boxes = load(spark, d, "map_boxes").select("box_id", *[F.col(c).alias(f"r_{c}") for c in spatial.BOX])
-    return spatial.box_join(_chips(spark), boxes, 128.0, grow=0.01).select(F.col("chip_id").cast("bigint").alias("chip_id"), "box_id")
+    return spatial.box_join(_chips(spark, d), boxes, 12.0, grow=0.01).select("chip_id", "box_id")
 
 
-_LABEL = f"""WITH chips AS ({_CHIPS}), l AS (SELECT chip_id, box_id, class_id AS cls, (((m.xmin - 355000) / 0.25e0 - col0) / 512 + ((m.xmax - 355000) / 0.25e0 - col0) / 512) / 2 AS xc,
- (((6042100 - m.ymin) / 0.25e0 - row0) / 512 + ((6042100 - m.ymax) / 0.25e0 - row0) / 512) / 2 AS yc, (m.xmax - m.xmin) / 0.25e0 / 512 AS w, (m.ymax - m.ymin) / 0.25e0 / 512 AS h FROM chips AS c JOIN map_boxes AS m
+_LABEL = f"""WITH chips AS ({_CHIPS}), l AS (SELECT chip_id, box_id, class_id AS cls, ((m.xmin - 355000 - col0) / 512 + (m.xmax - 355000 - col0) / 512) / 2 AS xc,
+ ((7000000 - m.ymin - row0) / 512 + (7000000 - m.ymax - row0) / 512) / 2 AS yc, (m.xmax - m.xmin) / 512 AS w, (m.ymax - m.ymin) / 512 AS h FROM chips AS c JOIN map_boxes AS m
  ON m.xmin <= c.xmax + 0.01e0 AND c.xmin - 0.01e0 <= m.xmax AND m.ymin <= c.ymax + 0.01e0 AND c.ymin - 0.01e0 <= m.ymax) SELECT chip_id, box_id, cls, round(xc, 6) AS xc, round(yc, 6) AS yc, round(w, 6) AS w, round(h, 6) AS h FROM l WHERE xc BETWEEN 0 AND 1 AND yc BETWEEN 0 AND 1"""
 
 
-@query(duck(_LABEL, "map_boxes"))
+@query(duck(_LABEL, "tiles", "map_boxes"))
 def b18_chip_labels(spark, d):
-    found = chips.chip_labels(_chips(spark), load(spark, d, "map_boxes"), 512, T, 128.0, "class_id")
-    return found.select(F.col("chip_id").cast("bigint").alias("chip_id"), "box_id", "cls", *[F.round(c, 6).alias(c) for c in ("xc", "yc", "w", "h")])
+    found = chips.chip_labels(_chips(spark, d), load(spark, d, "map_boxes"), 512, T, 12.0, "class_id")
+    return found.select("chip_id", "box_id", "cls", *[F.round(c, 6).alias(c) for c in ("xc", "yc", "w", "h")])
 
 
 @query(duck("SELECT tree_id, tile_id FROM trees LEFT JOIN tiles ON x > xmin AND x < xmax AND y > ymin AND y < ymax", "trees", "tiles"))
@@ -141,7 +142,7 @@ def c13_fallback_tile(spark, d):
     return sinks.first_available(wanted, there).select("x", "y", "status", "file", "fallback_index")
 
 
-_ZONES = "SELECT gt_id AS det_id, gt_id % 100 AS tile, CAST(x1 % 8 AS BIGINT) AS px1, CAST(y1 % 8 AS BIGINT) AS py1, CAST(least(8, x1 % 8 + 1 + gt_cls % 4) AS BIGINT) AS px2, CAST(least(8, y1 % 8 + gt_cls % 3) AS BIGINT) AS py2 FROM gt_boxes"
+_ZONES = "SELECT gt_id AS det_id, image_id AS tile, CAST(x1 % 8 AS BIGINT) AS px1, CAST(y1 % 8 AS BIGINT) AS py1, CAST(least(8, x1 % 8 + 1 + gt_cls % 4) AS BIGINT) AS px2, CAST(least(8, y1 % 8 + gt_cls % 3) AS BIGINT) AS py2 FROM gt_boxes"
 _ZONAL = f"SELECT det_id, value FROM ({_ZONES}) AS z JOIN (SELECT * FROM pixels WHERE band = 5) AS p ON p.tile = z.tile AND col >= px1 AND col < px2 AND row >= py1 AND row < py2"
 
 
@@ -149,7 +150,7 @@ def _zones(spark, d):
     g = load(spark, d, "gt_boxes")
     low = lambda c: (F.col(c) % 8).cast("bigint")
     most = F.lit(8).cast("bigint")
-    return g.select(F.col("gt_id").alias("det_id"), (F.col("gt_id") % 100).alias("tile"), low("x1").alias("px1"), low("y1").alias("py1"), F.least(most, low("x1") + 1 + F.col("gt_cls") % 4).alias("px2"), F.least(most, low("y1") + F.col("gt_cls") % 3).alias("py2"))
+    return g.select(F.col("gt_id").alias("det_id"), F.col("image_id").alias("tile"), low("x1").alias("px1"), low("y1").alias("py1"), F.least(most, low("x1") + 1 + F.col("gt_cls") % 4).alias("px2"), F.least(most, low("y1") + F.col("gt_cls") % 3).alias("py2"))
 
 
 @query(duck(_ZONAL, "gt_boxes", "pixels"))
@@ -173,15 +174,15 @@ def c15_anti_joins(spark, d):
     return unknown.unionByName(outside)
 
 
-@query(duck("SELECT i.image_id, count(g.gt_id) AS n_boxes FROM (SELECT DISTINCT l_orderkey % 300 AS image_id FROM lineitem) AS i LEFT JOIN gt_boxes AS g ON g.image_id = i.image_id GROUP BY i.image_id", "gt_boxes"))
+@query(duck("SELECT i.image_id, count(g.gt_id) AS n_boxes FROM (SELECT DISTINCT CAST(floor(l_orderkey / 16.0e0) AS BIGINT) AS image_id FROM lineitem) AS i LEFT JOIN gt_boxes AS g ON g.image_id = i.image_id GROUP BY i.image_id", "gt_boxes"))
 def c16_images_without_labels(spark, d):
-    images = load(spark, d, "lineitem").select((F.col("l_orderkey") % 300).alias("image_id")).distinct()
+    images = load(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 16.0).alias("image_id")).distinct()
     counts = load(spark, d, "gt_boxes").groupBy("image_id").agg(F.count("*").alias("n"))
     return images.join(counts, "image_id", "left").select("image_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_boxes"))
 
 
 #: Tiles of 8 x 8 pixels at steps of 6: neighbours overlap by two pixels.
-_WORLD = "SELECT tile, band, CAST(row + (tile // 10) * 6 AS INTEGER) AS wrow, CAST(col + (tile % 10) * 6 AS INTEGER) AS wcol, value FROM pixels WHERE tile < 100"
+_WORLD = "SELECT tile, band, CAST(row + (tile // 10) * 6 AS INTEGER) AS wrow, CAST(col + (tile % 10) * 6 AS INTEGER) AS wcol, value FROM pixels"
 
 
 @query(duck(f"SELECT band, CAST(wrow - 5 AS INTEGER) AS wrow, CAST(wcol - 10 AS INTEGER) AS wcol, value FROM (SELECT band, wrow, wcol, min_by(value, tile) AS value FROM ({_WORLD}) GROUP BY band, wrow, wcol) WHERE wcol >= 10 AND wcol < 30 AND wrow >= 5 AND wrow < 25", "pixels"))

@@ -228,10 +228,10 @@ def e16_sequential_ids(spark, d):
 
 def _points(spark, d):
     g = load(spark, d, "gt_boxes")
-    return g.select((F.col("gt_id") % 900).alias("point_id"), (F.col("image_id") % 100).alias("tile"), F.when(F.col("image_id") % 5 == 0, "val").otherwise("train").alias("split"), F.concat(F.lit("c"), (F.col("gt_cls") % 2).cast("string")).alias("class_name"), (F.col("x1") % 8).cast("int").alias("col"), (F.col("y1") % 8).cast("int").alias("row"))
+    return g.select(F.floor(F.col("gt_id") / 3.0).alias("point_id"), F.col("image_id").alias("tile"), F.when(F.col("image_id") % 5 == 0, "val").otherwise("train").alias("split"), F.concat(F.lit("c"), (F.col("gt_cls") % 2).cast("string")).alias("class_name"), (F.col("x1") % 8).cast("int").alias("col"), (F.col("y1") % 8).cast("int").alias("row"))
 
 
-_PATCHES = """SELECT point_id, tile, split, class_name, row0, col0 FROM (SELECT *, row_number() OVER (PARTITION BY split, class_name, point_id ORDER BY tile, row0, col0) AS n FROM (SELECT gt_id % 900 AS point_id, image_id % 100 AS tile,
+_PATCHES = """SELECT point_id, tile, split, class_name, row0, col0 FROM (SELECT *, row_number() OVER (PARTITION BY split, class_name, point_id ORDER BY tile, row0, col0) AS n FROM (SELECT CAST(floor(gt_id / 3.0e0) AS BIGINT) AS point_id, image_id AS tile,
  CASE WHEN image_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, concat('c', gt_cls % 2) AS class_name, CAST(y1 % 8 AS INTEGER) - 2 AS row0, CAST(x1 % 8 AS INTEGER) - 2 AS col0 FROM gt_boxes) WHERE row0 >= 0 AND col0 >= 0 AND row0 <= 4 AND col0 <= 4) WHERE n = 1"""
 
 
@@ -240,12 +240,12 @@ def _patches(spark, d):
     return chips.patches(_points(spark, d).join(sizes.select("tile"), "tile"), sizes, 4)
 
 
-@query(duck(_PATCHES.replace("FROM gt_boxes)", "FROM gt_boxes WHERE image_id % 100 IN (SELECT tile FROM pixels))"), "gt_boxes", "pixels"))
+@query(duck(_PATCHES.replace("FROM gt_boxes)", "FROM gt_boxes WHERE image_id IN (SELECT tile FROM pixels))"), "gt_boxes", "pixels"))
 def e17_patches(spark, d):
     return _patches(spark, d).select("point_id", "tile", "split", "class_name", "row0", "col0")
 
 
-@query(duck("""SELECT p.point_id, p.tile, x.band, sum(x.value) :: BIGINT AS total, count(*) AS n FROM (SELECT DISTINCT point_id, tile, row0, col0 FROM (""" + _PATCHES.replace("FROM gt_boxes)", "FROM gt_boxes WHERE image_id % 100 IN (SELECT tile FROM pixels))") + """) WHERE split = 'val' AND class_name = 'c0') AS p JOIN pixels AS x ON x.tile = p.tile
+@query(duck("""SELECT p.point_id, p.tile, x.band, sum(x.value) :: BIGINT AS total, count(*) AS n FROM (SELECT DISTINCT point_id, tile, row0, col0 FROM (""" + _PATCHES.replace("FROM gt_boxes)", "FROM gt_boxes WHERE image_id IN (SELECT tile FROM pixels))") + """) WHERE split = 'val' AND class_name = 'c0') AS p JOIN pixels AS x ON x.tile = p.tile
  AND x.row >= row0 AND x.row < row0 + 4 AND x.col >= col0 AND x.col < col0 + 4 GROUP BY p.point_id, p.tile, x.band""", "gt_boxes", "pixels"))
 def e17_patch_chips(spark, d):
     wanted = _patches(spark, d).where("split = 'val' and class_name = 'c0'")

@@ -69,11 +69,11 @@ def f08_split_by_folder(spark, d):
     return splits.by_folder(image_index(load(spark, d, "image_paths"))).select("image_path", "split")
 
 
-@query("SELECT CAST(e AS VARCHAR) AS tile_id FROM (SELECT DISTINCT concat('32_', 300 + event_id % 500, '_', 6000 + event_id % 7) AS e FROM events WHERE event_id % 11 > 0)")
+@query("SELECT CAST(e AS VARCHAR) AS tile_id FROM (SELECT DISTINCT concat('32_', 100 + event_id % 900, '_', 1000 + CAST(floor(event_id / 1800.0e0) AS BIGINT)) AS e FROM events WHERE event_id % 11 > 0)")
 def h01_tile_intake(spark, d):
     """Two arrivals of tiles, with repeats and bad ids, taken in by two runs of the same stream."""
     source, out, rejects, memory = (shared_path(spark, n) for n in ("arrivals", "tiles", "rejects", "stream"))
-    name = F.when(F.col("event_id") % 11 == 0, "bad").otherwise(F.format_string("%d-%d", 300 + F.col("event_id") % 500, 6000 + F.col("event_id") % 7))
+    name = F.when(F.col("event_id") % 11 == 0, "bad").otherwise(F.format_string("%d-%d", 100 + F.col("event_id") % 900, 1000 + F.floor(F.col("event_id") / 1800.0)))
     rows = load(spark, d, "events").select(name.alias("tile_id"), "event_id", "value")
     for part in (0, 1):
         rows.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)

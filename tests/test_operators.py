@@ -620,3 +620,82 @@ def test_medians_by_rank(spark):
     got = values(evaluate.impute_median(df, ["v", "w"], "s"))
     assert sorted(map(str, got)) == sorted(map(str, [("a", 3.0, 5.5), ("a", 1.0, 5.0), ("a", 2.0, 5.5), ("a", 2.0, 6.0), ("b", 4.0, None), ("b", 4.0, None), (None, 8.0, 7.0), (None, 8.0, 7.0)]))
     assert {r["v"] for r in evaluate.impute_median(df.where("v is null"), ["v"]).collect()} == {None}
+
+
+def test_boxes_of_all_sizes_and_many_in_one_cell(spark):
+    """From 1 m to 100 km in one join, and 100,000 boxes of a metre in what is one cell of the unit given."""
+    rng = random.Random(9)
+    box = lambda i, s: (i, x := rng.uniform(0, 100_000), y := rng.uniform(0, 100_000), x + s, y + s)
+    a = [box(i, rng.choice([0, 1, 1, 30, 1_000, 30_000, 100_000])) for i in range(150)]
+    b = [box(i, rng.choice([1, 5, 700, 20_000, 100_000])) for i in range(150)]
+    right = lambda df: df.select(F.col("id").alias("b"), *[F.col(c).alias(f"r_{c}") for c in spatial.BOX])
+    got = sorted(values(spatial.box_join(spark.createDataFrame(a, BOX_SCHEMA), right(spark.createDataFrame(b, BOX_SCHEMA)), 100.0).select("id", "b")))
+    assert got == sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    grid = spark.range(100_000).select(F.col("id").cast("int").alias("id"), (F.col("id") % 400 * 2.0).alias("xmin"), (F.floor(F.col("id") / 400) * 2.0).alias("ymin")).withColumns({"xmax": F.col("xmin") + 1, "ymax": F.col("ymin") + 1})
+    pairs = spatial.box_join(grid, right(grid), 1000.0, same=True)
+    assert pairs.where("id = b").count() == 100_000 == pairs.count()
+    large = spark.createDataFrame([(1, -5.0, -5.0, 5_000.0, 5_000.0)], BOX_SCHEMA)
+    assert spatial.box_join(grid, right(large), 1000.0).count() == 100_000 == spatial.box_join(large, right(grid), 1000.0).count()
+
+
+def test_points_and_tiles_of_several_sizes(spark):
+    tiles = [("a", 0.0, 0.0, 10.0, 10.0), ("b", 5.0, 5.0, 4000.0, 4000.0), ("c", 20.0, 20.0, 50.0, 60.0)]
+    points = [(i, 2.5 * i, 2.5 * i) for i in range(40)] + [(99, 9000.0, 1.0)]
+    found = spatial.points_in_tiles(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(tiles, "tile_id string, xmin double, ymin double, xmax double, ymax double"), 100.0)
+    wanted = []
+    for i, x, y in points:
+        own = [t[0] for t in tiles if t[1] < x < t[3] and t[2] < y < t[4]]
+        wanted += [(i, t) for t in own] or [(i, "")]
+    assert sorted((r["id"], r["tile_id"] or "") for r in found.collect()) == sorted(wanted)
+
+
+def test_a_scorer_sees_batches_and_is_made_once_a_worker(spark, tmp_path):
+    chips = spark.range(40).select(F.col("id"), F.array(*[F.array(*[F.col("id") * 1.0 + k for k in range(4)]) for _ in range(3)]).alias("bands")).repartition(2)
+    seen = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        open(os.path.join(seen, f"made-{uuid.uuid4()}"), "w").close()
+
+        def score(x):
+            open(os.path.join(seen, f"batch-{len(x)}-{uuid.uuid4()}"), "w").close()
+            assert x.shape[1:] == (3, 2, 2)
+            return [[(0.0, 0.0, 1.0, 2.0, 0.9, int(chip[0, 0, 0]))] * (int(chip[0, 0, 0]) % 3) + [(0.0, 0.0, 1.0, 1.0, 0.1, 5)] for chip in x]
+
+        return score
+
+    got = sorted((r["id"], r["det_no"], r["y2"], r["cls"]) for r in scoring.detect_batches(chips, make, ["id"], 2, batch_size=8).collect())
+    assert got == sorted((i, n, 2.0, i) for i in range(40) for n in range(i % 3))
+    import os
+
+    names = os.listdir(seen)
+    assert sum(n.startswith("made") for n in names) <= 4 and max(int(n.split("-")[1]) for n in names if n.startswith("batch")) == 8
+
+
+def test_intake_goes_on_past_a_failing_tile(spark, tmp_path):
+    """Twenty runs: a tile is taken once, one that fails is a reject with its error and taken when it comes again and works."""
+    from arbora.streaming.intake import intake
+
+    source, out, rejects, memory, flag = (str(tmp_path / n) for n in ("in", "out", "rejects", "memory", "flag"))
+
+    def step(row):
+        import os
+
+        if row["value"] < 0 and not os.path.exists(flag):
+            raise OSError(f"no file for {row['tile_id']}")
+        return f"{row['tile_id']}.tif"
+
+    read = lambda p: spark.read.option("recursiveFileLookup", True).parquet(p)
+    for n in range(20):
+        rows = [(f"{n}-{k}", -1.0 if k == 2 else 1.0) for k in range(3)] + [("0-0", 1.0), ("nonsense here", 1.0)] + [(f"{n - 1}-2", 1.0)] * (n % 2)
+        spark.createDataFrame(rows, "tile_id string, value double").coalesce(1).write.mode("append").parquet(source)
+        if n == 19:
+            open(flag, "w").close()
+        intake(spark, source, "tile_id string, value double", out, rejects, memory, step)
+    done = sorted(r["tile_id"] for r in read(out).collect())
+    assert len(done) == len(set(done)) == 2 * 20 + 10 + 1 and read(out).where("result = concat(tile_id, '.tif')").count() == len(done)
+    assert sorted(r["error"] for r in read(rejects).where("tile_id is not null").collect()) == sorted(f"OSError: no file for 32_{n}_2" for n in range(19))
+    assert read(rejects).where("tile_id is null").count() == 20
+    assert not (tmp_path / "memory" / "state").exists()
