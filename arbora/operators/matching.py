@@ -39,6 +39,11 @@ def match_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame, min_conf
     return rows.agg(total("tp").alias("tp"), (total("p") - total("tp")).alias("fp"), (total("g") - total("tp")).alias("fn"))
 
 
+def mean_match_iou(matches: DataFrame) -> DataFrame:
+    """One row: ``mean_iou`` of the matched pairs (0 without any) and their number ``n``."""
+    return matches.agg(F.coalesce(F.avg("iou"), F.lit(0.0)).alias("mean_iou"), F.count("*").alias("n"))
+
+
 def precision_recall(counts: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     both = counts.withColumn("precision", tp / (tp + fp + 1e-9)).withColumn("recall", tp / (tp + fn + 1e-9))

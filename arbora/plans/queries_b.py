@@ -279,6 +279,25 @@ def b32_focal_loss(spark, d):
     return losses.reduce_loss(rows, "loss").select(F.round("loss", 6).alias("loss"))
 
 
+_ALPHA = [round(0.15 + 0.1 * k, 2) for k in range(10)]
+_FOCAL = f"-CAST({_ALPHA} AS DOUBLE[])[y + 1] * (1 - exp(lp[y + 1])) ** 1.5e0 * lp[y + 1]"
+
+
+def _focal_rows(spark, d):
+    return load(spark, d, "logits").select("sample_id", losses.focal_loss(F.col("logits"), F.col("y"), 1.5, _ALPHA).alias("loss"))
+
+
+@query(duck(f"SELECT sample_id, round({_FOCAL}, 6) AS loss FROM ({_LOGP})", "logits"))
+def b32_focal_by_class(spark, d):
+    """A weight for each class, and no reduction."""
+    return losses.reduce_loss(_focal_rows(spark, d), "loss", "none").select("sample_id", F.round("loss", 6).alias("loss"))
+
+
+@query(duck(f"SELECT round(sum({_FOCAL}), 4) AS loss FROM ({_LOGP})", "logits"))
+def b32_focal_sum(spark, d):
+    return losses.reduce_loss(_focal_rows(spark, d), "loss", "sum").select(F.round("loss", 4).alias("loss"))
+
+
 @query(duck("SELECT avg(CAST(r <= 1 AS INT)) * 100 AS top1, avg(CAST(r <= 5 AS INT)) * 100 AS top5 FROM (SELECT 1 + len(list_filter(logits, lambda v: v > logits[y + 1])) AS r FROM logits)", "logits"))
 def b33_top_k(spark, d):
     return losses.top_k_percent(load(spark, d, "logits"))
@@ -293,3 +312,20 @@ def b34_crs_round_trip(spark, d):
     return back.select("tree_id", "x", "y", F.round("back_x", 3).alias("back_x"), F.round("back_y", 3).alias("back_y"), ok.alias("plausible"))
 
 
+
+
+# Another form of the projection than the library's: arc of the meridian by powers of the squared eccentricity, and a series in the distance from it.
+_E = "0.006694380022903416e0"  #: squared eccentricity of GRS80
+_ARC = f"""6378137e0 * ((1 - {_E} / 4 - 3 * {_E} ** 2 / 64 - 5 * {_E} ** 3 / 256 - 175 * {_E} ** 4 / 16384) * p - (3 * {_E} / 8 + 3 * {_E} ** 2 / 32 + 45 * {_E} ** 3 / 1024 + 105 * {_E} ** 4 / 4096) * sin(2 * p)
+ + (15 * {_E} ** 2 / 256 + 45 * {_E} ** 3 / 1024 + 525 * {_E} ** 4 / 16384) * sin(4 * p) - (35 * {_E} ** 3 / 3072 + 175 * {_E} ** 4 / 12288) * sin(6 * p) + 315 * {_E} ** 4 / 131072 * sin(8 * p))"""
+_SERIES = f"""SELECT tree_id, lon, lat, 500000 + 0.9996e0 * n * (w + (1 - t + c) * w ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * c - 58 * q) * w ** 5 / 120) AS x,
+ 0.9996e0 * (m + n * tan(p) * (w ** 2 / 2 + (5 - t + 9 * c + 4 * c ** 2) * w ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * c - 330 * q) * w ** 6 / 720)) AS y FROM (SELECT *, {_ARC} AS m, 6378137e0 / sqrt(1 - {_E} * sin(p) ** 2) AS n,
+ tan(p) ** 2 AS t, q * cos(p) ** 2 AS c, radians(lon - 9) * cos(p) AS w FROM (SELECT *, radians(lat) AS p, {_E} / (1 - {_E}) AS q FROM points))"""
+_LONLAT = "SELECT tree_id, 8.6e0 + (tree_id * 7919) % 800 / 1000e0 AS lon, 47.5e0 + (tree_id * 104729) % 7000 / 1000e0 AS lat FROM trees"
+
+
+@query(duck(f"WITH points AS ({_LONLAT}) SELECT tree_id, lon, lat, round(x, 1) AS x, round(y, 1) AS y FROM ({_SERIES})", "trees"))
+def b34_to_metres(spark, d):
+    trees = load(spark, d, "trees").select("tree_id", (8.6 + (F.col("tree_id") * 7919) % 800 / 1000.0).alias("lon"), (47.5 + (F.col("tree_id") * 104729) % 7000 / 1000.0).alias("lat"))
+    found = geo.align_crs(trees.withColumns({"x": F.col("lon"), "y": F.col("lat")}), 4326, 25832)
+    return found.select("tree_id", "lon", "lat", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))

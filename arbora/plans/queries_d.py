@@ -48,6 +48,11 @@ def d05_precision_recall_f1(spark, d):
     return scores.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(duck(f"SELECT round(coalesce(avg(iou), 0), 6) AS mean_iou, count(*) AS n FROM ({_MATCH})", *_BOTH))
+def d05_mean_match_iou(spark, d):
+    return matching.mean_match_iou(_sides(spark, d)[2]).select(F.round("mean_iou", 6).alias("mean_iou"), "n")
+
+
 @query(duck(f"""WITH m AS ({_MATCH}), c AS (SELECT pred_cls AS p, gt_cls AS g FROM m UNION ALL SELECT pred_cls, 10 FROM pred_boxes WHERE conf >= 0.25e0 AND pred_id NOT IN (SELECT pred_id FROM m)
  UNION ALL SELECT 10, gt_cls FROM gt_boxes WHERE gt_id NOT IN (SELECT gt_id FROM m)) SELECT CAST(a AS INTEGER) AS pred_cls, CAST(b AS INTEGER) AS gt_cls, count(p) AS n
  FROM (SELECT unnest(range(11)) AS a) JOIN (SELECT unnest(range(11)) AS b) ON true LEFT JOIN c ON p = a AND g = b GROUP BY a, b""", *_BOTH))
