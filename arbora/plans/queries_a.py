@@ -112,7 +112,7 @@ def a10_tabular(spark, d):
 def a11_feature_sink(spark, d):
     path = shared_path(spark, "features")
     sinks.write_features(load(spark, d, "map_boxes").withColumn("tile_id", F.col("class_id").cast("string")), path)
-    back = spark.read.parquet(path).where(F.col("wkt").startswith("POLYGON"))
+    back = sinks.read_tiled(spark, path, "tile_id").where(F.col("wkt").startswith("POLYGON"))
     return back.groupBy(F.col("tile_id").cast("string").alias("tile_id")).agg(F.count("*").alias("n"), F.sum((F.col("xmax") - F.col("xmin")).cast("bigint")).alias("width"))
 
 
@@ -147,8 +147,8 @@ def a15_raster_sink(spark, d):
 
     path = shared_path(spark, "raster")
     mask = load(spark, d, "pixels").withColumn("value", encode_mask(F.col("value") >= 128, "0255"))
-    sinks.write_raster(mask.repartition("tile"), path)
-    return spark.read.schema("tile bigint, band int, row int, col int, value int").parquet(path).where("band = 5")
+    sinks.write_raster(mask, path)
+    return sinks.read_tiled(spark, path, "tile").where("band = 5")
 
 
 _MODES = "SELECT tile_id, CASE WHEN CAST(right(tile_id, 1) AS INT) % 2 = 0 THEN 'RGBIH' ELSE 'RGB' END AS mode FROM tiles"

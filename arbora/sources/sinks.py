@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Products of a mode and the folder each product lies in.
@@ -16,9 +16,58 @@ def box_wkt() -> Column:
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", pair(x0, y0), pair(x1, y0), pair(x1, y1), pair(x0, y1), pair(x0, y0)), F.lit("))"))
 
 
+#: Rows of a file at most; how many there are follows from the data, not from the number of tiles.
+FILE_ROWS = 1 << 23
+BLOCK = 256  #: side of the blocks of pixels that lie together in a file
+
+
+def interleaved(y: Column, x: Column, bits: int = 12) -> Column:
+    """A key in which neighbours lie near each other: the low bits of two whole numbers in turn."""
+    out = F.lit(0)
+    for k in range(bits):
+        bit = lambda c, to: F.shiftleft(F.shiftright(c.cast("int"), k).bitwiseAND(F.lit(1)), to)  # noqa: B023, E731
+        out = out.bitwiseOR(bit(x, 2 * k)).bitwiseOR(bit(y, 2 * k + 1))
+    return out
+
+
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """The writes under ``path`` that were finished."""
+    home = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tiles")
+    files = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(home)] if files.exists(home) else []
+    done = [n for n in names if n.startswith("gen=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tiles/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("gen=")) for n in done)
+
+
+def write_tiled(df: DataFrame, path: str, tile: str, place: Column, order: tuple[str, ...] = ()) -> None:
+    """Rows of any number of tiles in files of bounded size, by ranges of tile and ``place``, each sorted so that row groups can be skipped.
+
+    A write is a generation beside the earlier ones; it counts once the list of its tiles is there, and replaces these tiles only.
+    """
+    spark = df.sparkSession
+    number = max(_generations(spark, path), default=-1) + 1
+    rows = df.withColumn("_place", place)
+    ranged = rows.repartitionByRange(tile, "_place").sortWithinPartitions(tile, "_place", *order).drop("_place")
+    ranged.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/rows/gen={number}")
+    spark.read.schema(df.schema).parquet(f"{path}/rows/gen={number}").select(tile).distinct().write.mode("overwrite").parquet(f"{path}/tiles/gen={number}")
+
+
+def read_tiled(spark: SparkSession, path: str, tile: str) -> DataFrame:
+    """What ``write_tiled`` has written: each tile as of its last write. A condition on the tile reaches the scan."""
+    found = _generations(spark, path)
+    if not found:
+        raise ValueError(f"nothing has been written to {path}")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/gen={n}" for n in found])
+    if len(found) > 1:
+        tiles = spark.read.option("basePath", f"{path}/tiles").parquet(*[f"{path}/tiles/gen={n}" for n in found])
+        rows = rows.join(tiles.groupBy(tile).agg(F.max("gen").alias("gen")), [tile, "gen"])
+    return rows.drop("gen")
+
+
 def write_features(df: DataFrame, path: str, key: str = "tile_id") -> None:
-    """Features by tile, boxes also as WKT; tiles written anew replace their older files only."""
-    df.withColumn("wkt", box_wkt()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Features by tile and place, boxes also as WKT; tiles written anew replace their older rows only (``read_tiled``)."""
+    cell = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0.0)) / BLOCK) % 4096
+    write_tiled(df.withColumn("wkt", box_wkt()), path, key, interleaved(cell("ymin"), cell("xmin")), ("ymin", "xmin"))
 
 
 def write_label_lines(df: DataFrame, path: str, line: Column, by: tuple[str, ...] = ("split", "chip_id")) -> None:
@@ -40,8 +89,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_raster(pixels: DataFrame, path: str) -> None:
-    """Long pixels by tile and band, sorted by place so that row groups can be skipped."""
-    pixels.sortWithinPartitions("tile", "band", "row", "col").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile", "band").parquet(path)
+    """Long pixels by tile and block, within a block by band and place; tiles written anew replace their older pixels only (``read_tiled``)."""
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    write_tiled(pixels, path, "tile", interleaved(block("row"), block("col")), ("band", "row", "col"))
 
 
 def pending(wanted: DataFrame, rasters: DataFrame, sidecars: DataFrame, key: str = "tile_id", overwrite: bool = False) -> DataFrame:
