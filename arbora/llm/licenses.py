@@ -2,8 +2,9 @@
 
 1. Document frequencies of the templates' words are counted over all documents; a word's weight is its IDF.
 2. Of each template the places of highest IDF are indexed, as many as leave the others together below ``coverage``: no
-   alignment that reaches it can do without them. Each (template, place in the file minus place in the template) at which
-   an indexed word stands is a candidate alignment, however many notices a file holds.
+   alignment that reaches it can do without them. The file's licence words of these look up their postings, which are intersected by
+   relative position (place in the file minus place in the template): a candidate alignment is one at which the words that meet
+   there, and those not indexed, can reach the coverage together, however many notices a file holds.
 3. At a candidate alignment the template is compared word by word; the licence is labelled if the share of equal words,
    weighted by IDF, reaches ``coverage`` and every mandatory phrase stands consecutively within the aligned region.
 
@@ -69,8 +70,34 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["attribution noncommercial 4 0"]),
     ("cc-by-nd-4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ["attribution noderivatives 4 0"]),
     ("ms-pl", "This source is subject to the Microsoft Public License", ["microsoft public license"]),
+    ("mit", "The MIT License (MIT)", ["mit license mit"]),
+    ("mit", "MIT License Copyright (c)", ["mit license copyright"]),
+    ("mit", "licensed under the terms of the MIT license", ["terms of the mit license"]),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", ["of merchantability fitness for a particular purpose and noninfringement"]),
+    ("apache-2.0", "Apache License Version 2.0, January 2004", ["apache license version 2 0"]),
+    ("apache-2.0", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", ["terms and conditions for use reproduction and distribution"]),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2", ["gnu general public license version 2"]),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3", ["gnu general public license version 3"]),
+    ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3", ["affero general public license version 3"]),
+    ("lgpl-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1", ["lesser general public license version 2 1"]),
+    ("lgpl-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3", ["lesser general public license version 3"]),
+    ("gpl", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", ["verbatim copies of this license document"]),
+    ("mpl-2.0", "Mozilla Public License Version 2.0", ["mozilla public license version 2 0"]),
+    ("bsd-3-clause", "BSD 3-Clause License", ["bsd 3 clause license"]),
+    ("bsd-2-clause", "BSD 2-Clause License", ["bsd 2 clause license"]),
+    ("isc", "ISC License", ["isc license"]),
+    ("epl-2.0", "Eclipse Public License - v 2.0", ["eclipse public license v 2 0"]),
 ]
 
+# Identifiers of the SPDX list that tags name, with their labels here; a rule makes their templates.
+SPDX = {
+    "MIT": "mit", "Apache-2.0": "apache-2.0", "GPL-2.0-only": "gpl-2.0", "GPL-3.0-only": "gpl-3.0", "GPL-2.0-or-later": "gpl-2.0-or-later", "GPL-3.0-or-later": "gpl-3.0-or-later",
+    "LGPL-2.1-only": "lgpl-2.1", "LGPL-2.1-or-later": "lgpl-2.1-or-later", "LGPL-3.0-only": "lgpl-3.0", "LGPL-3.0-or-later": "lgpl-3.0-or-later", "AGPL-3.0-only": "agpl-3.0", "AGPL-3.0-or-later": "agpl-3.0-or-later",
+    "BSD-2-Clause": "bsd-2-clause", "BSD-3-Clause": "bsd-3-clause", "BSD-4-Clause": "bsd-4-clause", "0BSD": "0bsd", "ISC": "isc", "MPL-2.0": "mpl-2.0", "EPL-1.0": "epl-1.0", "EPL-2.0": "epl-2.0", "CC0-1.0": "cc0-1.0",
+    "CC-BY-4.0": "cc-by-4.0", "CC-BY-SA-4.0": "cc-by-sa-4.0", "CC-BY-NC-4.0": "cc-by-nc-4.0", "Unlicense": "unlicense", "Zlib": "zlib", "BSL-1.0": "bsl-1.0", "OFL-1.1": "ofl-1.1",
+}
+TEMPLATES += [(label, f"SPDX-License-Identifier: {name}", [f"spdx license identifier {name}"]) for name, label in SPDX.items()]
+
 
 def _split(text: str) -> list[bytes]:
     w = words_of(pa.array([text]), ALNUM, lower=True)
@@ -98,6 +125,7 @@ class LicenseIndex:
     def _post(self) -> None:
         """Index each template's places of highest IDF, until the rest cannot reach the coverage alone."""
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.needed = []  # what the indexed words of an alignment have to weigh together
         for t, hs in enumerate(self.hashes):
             rest = total = sum(self.idf[h] for h in hs)
             for q in sorted(range(len(hs)), key=lambda q: (-self.idf[hs[q]], hs[q], q)):
@@ -105,6 +133,7 @@ class LicenseIndex:
                     break
                 self.postings[hs[q]].append((t, q))
                 rest -= self.idf[hs[q]]
+            self.needed.append((self.coverage - 1e-9) * total - rest)
         self.indexed = np.array(sorted(self.postings), np.uint64)
 
     def places(self, words: Words) -> np.ndarray:
@@ -116,7 +145,11 @@ class LicenseIndex:
 
     def align(self, places: list[int], hashes: list[int], base: int, words: Words) -> dict[str, tuple[float, int]]:
         """Labels of one document with their coverage and first word (from 0), best alignment each."""
-        candidates = {(t, p - q) for p, h in zip(places, hashes) for t, q in self.postings.get(h, ())}
+        met: dict[tuple[int, int], float] = defaultdict(float)
+        for p, h in zip(places, hashes):
+            for t, q in self.postings.get(h, ()):
+                met[t, p - q] += self.idf[h]
+        candidates = [(t, shift) for (t, shift), weight in met.items() if weight >= self.needed[t]]
         at = dict(zip(places, hashes))
         found: dict[str, tuple[float, int]] = {}
         for t, shift in candidates:
