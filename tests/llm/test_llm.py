@@ -949,3 +949,16 @@ def test_search_over_many_blocks_and_packets(spark, monkeypatch):
     apart = (bits[:, None] != bits[None]).sum(2)
     want = [(i, k + 1, int(j), int(apart[i, j])) for i in range(0, len(data), 3) for k, j in enumerate(sorted((j for j in range(len(data)) if j != i), key=lambda j: (apart[i, j], j))[:6])]  # noqa: B023
     assert tuples(topk.search(codes, codes.where("vec_id % 3 = 0"), k=6), "vec_id", "rank", "neighbor_id", "distance") == sorted(want, key=str)
+
+
+def test_licenses_of_tags_titles_and_bodies(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: GPL-2.0-or-later\nint main;": "gpl-2.0-or-later", "# SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: None": "",
+        "The MIT License (MIT)": "mit", "MIT License\n\nCopyright (c) 2020 A B": "mit", "licensed under the terms of the MIT license": "mit",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": "apache-2.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3": "agpl-3.0,gpl",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "gpl,lgpl-2.1", "BSD 2-Clause License": "bsd-2-clause", "an mit student has a license": "", "the terms of the license are short": "",
+    }
+    rng = random.Random(4)
+    data = [*enumerate(texts), *((100 + i, phrase(rng, 40)) for i in range(60))]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == list(texts.values())
