@@ -91,8 +91,8 @@ SELECT vec_id AS tile, 0.5e0 + 0.25e0 * (vec_id % 3) AS a, CASE WHEN vec_id % 5
 FROM embeddings""")
 #: And a grid of another origin, resolution and size for each of them.
 _both("grids", """
-SELECT vec_id AS tile, 0.3e0 + 0.4e0 * (vec_id % 4) AS a, 0e0 AS b, 354999.6531e0 + (vec_id * 37) % 2000 AS c, 0e0 AS d, -0.3e0 - 0.4e0 * (vec_id % 4) AS e,
-       6040000.1587e0 + (vec_id * 53) % 2000 + floor(vec_id / 2000.0e0) * 2000 AS f, CAST(6 + vec_id % 3 AS INT) AS n_rows, CAST(5 + vec_id % 4 AS INT) AS n_cols, CAST(25832 AS INT) AS srid
+SELECT vec_id AS tile, 0.3e0 + 0.4e0 * (vec_id % 4) AS a, 0e0 AS b, 354999.65314159e0 + (vec_id * 37) % 2000 AS c, 0e0 AS d, -0.3e0 - 0.4e0 * (vec_id % 4) AS e,
+       6040000.15871828e0 + (vec_id * 53) % 2000 + floor(vec_id / 2000.0e0) * 2000 AS f, CAST(6 + vec_id % 3 AS INT) AS n_rows, CAST(5 + vec_id % 4 AS INT) AS n_cols, CAST(25832 AS INT) AS srid
 FROM embeddings""")
 #: Points on and beside the raster of each truth box's image.
 _both("raster_points", f"""
