@@ -16,6 +16,8 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,29 +61,44 @@ def shape(column) -> np.ndarray:
     return np.stack([np.log1p(counts), upper, signs, digits, length, distinct / c / np.power(c, -0.15), seen / lines, np.log1p(counts / lines), top / c], axis=1)
 
 
+FOLDS = 3
+
+
+def _fit(x: np.ndarray, good: np.ndarray) -> dict:
+    """Bins and their log-odds; edges are quantiles of all kinds together."""
+    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
+    odds = []
+    for k, e in enumerate(edges):
+        b = np.searchsorted(e, x[:, k], "right")
+        y1, y0 = (np.bincount(b, weights=w, minlength=len(e) + 1) for w in (good, 1 - good))
+        share = (y1 + y0 + 1) / (y1 + y0 + 1).sum()
+        odds.append(np.log((y1 + 4 * share) / (good.sum() + 4)) - np.log((y0 + 4 * share) / ((1 - good).sum() + 4)))
+    return {"edges": edges, "odds": odds}
+
+
 def train(rows: DataFrame) -> dict:
-    """Bin edges and log-odds from ``text, label`` rows, as few as a sample: edges are quantiles of all kinds together."""
+    """Bins and log-odds from ``text, label`` rows, as few as a sample, and levels from evidence on texts that its bins have not seen (folds by text)."""
 
     def features(iterator):
         for t in batches(iterator):
             x = shape(t.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("label").to_numpy().astype(np.int64)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["good", "x"])
+            fold = [zlib.crc32((v or "").encode()) % FOLDS for v in t.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("label").to_numpy().astype(np.int64)), pa.array(fold, pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["good", "fold", "x"])
 
     # A few numbers a row of the bounded sample.
-    sample = rows.mapInArrow(features, "good bigint, x array<double>").collect()
-    good = np.array([r["good"] for r in sample], float)
+    sample = rows.mapInArrow(features, "good bigint, fold bigint, x array<double>").collect()
+    good, fold = np.array([r["good"] for r in sample], float), np.array([r["fold"] for r in sample])
     if not len(good) or good.min() == good.max():
         return {"edges": None, "base": float(good.mean()) if len(good) else 0.5}
     x = np.array([r["x"] for r in sample])
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    odds = []
-    for k, e in enumerate(edges):
-        b = np.searchsorted(e, x[:, k], "right")
-        y1, y0 = (np.bincount(b, weights=w, minlength=len(e) + 1) for w in (good, 1 - good))
-        share = (y1 + y0 + 1) / (y1 + y0 + 1).sum()
-        odds.append(np.log((y1 + 4 * share) / (good.sum() + 4)) - np.log((y0 + 4 * share) / ((1 - good).sum() + 4)))
-    model = {"edges": edges, "odds": odds, "base": float(good.mean())}
-    total = np.floor(evidence(model, x) * 2)
+    model = _fit(x, good) | {"base": float(good.mean())}
+    total = evidence(model, x)
+    for k in range(FOLDS):
+        out = fold == k
+        # A fold without both kinds outside keeps the evidence of all.
+        if out.any() and not out.all() and good[~out].min() < good[~out].max():
+            total[out] = evidence(_fit(x[~out], good[~out]), x[out])
+    total = np.floor(total * 2)
     keys, at = np.unique(total, return_inverse=True)
     n, hits = np.bincount(at).astype(float), np.bincount(at, weights=good)
     model["steps"], model["levels"] = keys[1:] / 2, monotone(n + 1.0, hits + model["base"])
