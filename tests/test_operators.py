@@ -699,3 +699,14 @@ def test_intake_goes_on_past_a_failing_tile(spark, tmp_path):
     assert sorted(r["error"] for r in read(rejects).where("tile_id is not null").collect()) == sorted(f"OSError: no file for 32_{n}_2" for n in range(19))
     assert read(rejects).where("tile_id is null").count() == 20
     assert not (tmp_path / "memory" / "state").exists()
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_tabular_classifier_learns_what_separates(spark, weight):
+    rng = np.random.default_rng(2)
+    centre = {0: (0.0, 0.0), 1: (6.0, 0.0), 2: (0.0, 6.0)}
+    rows = [(i, int(i % 3), *(np.array(centre[i % 3]) + 0.4 * rng.normal(size=2)).tolist(), 100.0, 1.0 + i % 2, "train" if i % 4 else "val") for i in range(240)]
+    df = spark.createDataFrame(rows, "tree_id bigint, y int, a double, b double, constant double, w double, split string")
+    model = scoring.fit_tabular(df.where("split = 'train'"), ["a", "b", "constant"], n_classes=3, weight=weight, max_iter=60)
+    found = scoring.predict_tabular(model, df).where("split = 'val'")
+    assert found.count() == 60 and found.where("p = y").count() >= 58
