@@ -4,6 +4,9 @@ Each box belongs to the level whose cells are as large as it or, at most, ``STEP
 or a country, and a cell holds no more boxes than lie that near to each other. Two boxes are compared in the cells of the coarser one's level: the coarser
 is listed there as it is, the finer also in the cells of those coarser levels that the other side has. A pair is kept
 only in the first cell that both have (the larger of the two lower corners), so no distinct step is needed.
+
+The joins are by sorted shuffles and say so: the size that Spark expects of boxes listed in cells is that of the boxes before, by which it would send millions
+of rows to the driver and every executor.
 """
 
 from __future__ import annotations
@@ -31,16 +34,19 @@ def _levels(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select("_l").distinct().collect())
 
 
-def _cells(df: DataFrame, cell: float, box: tuple[str, str, str, str], grow: float, prefix: str, levels: list[int] | None, coarser: bool = False) -> DataFrame:
+def _first(cell: float, c: str, by: float) -> Column:
+    """The first cell along an axis, at level ``_cl``, of a box that begins at ``c``, moved by ``by``."""
+    return F.floor((F.col(c) + by) / (F.lit(float(cell)) * F.pow(F.lit(float(STEP)), F.col("_cl"))))
+
+
+def _cells(df: DataFrame, cell: float, box: tuple[str, str, str, str], grow: float, levels: list[int] | None, coarser: bool = False) -> DataFrame:
     """``df`` in each cell that a box touches: of its own level, or of all ``levels`` that are as coarse (``coarser``: that are coarser)."""
     if levels is None:
         at = df.withColumn("_cl", F.col("_l"))
     else:
         at = df.withColumn("_cl", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda n: (n > F.col("_l")) if coarser else (n >= F.col("_l")))))
-    side = F.lit(float(cell)) * F.pow(F.lit(float(STEP)), F.col("_cl"))
-    place = lambda c, by: F.floor((F.col(c) + by) / side)
-    at = at.withColumns({f"{prefix}_x0": place(box[0], -grow), f"{prefix}_y0": place(box[1], -grow)})
-    at = at.withColumn("_cx", F.explode(F.sequence(F.col(f"{prefix}_x0"), place(box[2], grow)))).withColumn("_cy", F.explode(F.sequence(F.col(f"{prefix}_y0"), place(box[3], grow))))
+    span = lambda low, high: F.explode(F.sequence(_first(cell, low, -grow), _first(cell, high, grow)))
+    at = at.withColumn("_cx", span(box[0], box[2])).withColumn("_cy", span(box[1], box[3]))
     return at.drop("_l")
 
 
@@ -52,9 +58,9 @@ def _sides(a: DataFrame, b: DataFrame, cell: float, a_box, b_box, grow: float, s
     a, b = _levelled(a, cell, a_box, grow), _levelled(b, cell, b_box, 0.0)
     own = _levels(a)
     other = own if same else _levels(b)
-    sides = [(_cells(a, cell, a_box, grow, "_a", None), _cells(b, cell, b_box, 0.0, "_b", own or [0]))]
+    sides = [(_cells(a, cell, a_box, grow, None), _cells(b, cell, b_box, 0.0, own or [0]))]
     if own and other and max(other) > min(own):
-        sides.append((_cells(a, cell, a_box, grow, "_a", other, True), _cells(b, cell, b_box, 0.0, "_b", None)))
+        sides.append((_cells(a, cell, a_box, grow, other, True), _cells(b, cell, b_box, 0.0, None)))
     return sides
 
 
@@ -64,7 +70,8 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, left_box=BOX, right
     ``grow`` widens the left boxes on all sides before the test; ``keys`` must be equal besides. ``cell`` is a unit of length; levels fit the cells to the boxes.
     ``same``: both sides hold the same boxes.
     """
-    first = (F.col("_cx") == F.greatest("_a_x0", "_b_x0")) & (F.col("_cy") == F.greatest("_a_y0", "_b_y0"))
+    low_cell = lambda k: F.greatest(_first(cell, left_box[k], -grow), _first(cell, right_box[k], 0.0))
+    first = (F.col("_cx") == low_cell(0)) & (F.col("_cy") == low_cell(1))
     l, r = [F.col(c) for c in left_box], [F.col(c) for c in right_box]
     low = (lambda x, y: x < y) if strict else (lambda x, y: x <= y)
     meet = low(l[0] - grow, r[2]) & low(r[0], l[2] + grow) & low(l[1] - grow, r[3]) & low(r[1], l[3] + grow)
@@ -72,7 +79,7 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, left_box=BOX, right
         meet = meet & condition
     out = None
     for a, b in _sides(left, right, cell, left_box, right_box, grow, same):
-        pairs = a.join(b, [*(keys or []), *_CELL]).where(first & meet).drop(*_CELL, "_a_x0", "_a_y0", "_b_x0", "_b_y0")
+        pairs = a.join(b.hint("merge"), [*(keys or []), *_CELL]).where(meet & first).drop(*_CELL)
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
@@ -84,7 +91,7 @@ def tiles_with_boxes(tiles: DataFrame, boxes: DataFrame, cell: float = 1000.0) -
     out = None
     for a, b in _sides(tiles, right, cell, BOX, tuple(right.columns), 0.0):
         # Each cell of a tile asks on its own; a tile is kept if one of them finds a box.
-        kept = a.alias("l").join(b.alias("r"), meet, "left_semi").select(*tiles.columns)
+        kept = a.alias("l").join(b.alias("r").hint("merge"), meet, "left_semi").select(*tiles.columns)
         out = kept if out is None else out.unionByName(kept)
     return out.distinct()
 
@@ -97,7 +104,7 @@ def points_in_tiles(points: DataFrame, tiles: DataFrame, cell: float = 1000.0) -
     out, left = None, points
     for n in levels:
         # One level after the other, as a rule there is one.
-        cells = _cells(levelled.where(F.col("_l") == n), cell, box, 0.0, "_t", None)
+        cells = _cells(levelled.where(F.col("_l") == n), cell, box, 0.0, None).hint("merge")
         side = cell * float(STEP) ** n
         inside = (F.floor(F.col("x") / side) == F.col("_cx")) & (F.floor(F.col("y") / side) == F.col("_cy")) & F.expr("x > t_xmin and x < t_xmax and y > t_ymin and y < t_ymax")
         found = points.join(cells, inside, "left" if len(levels) == 1 else "inner").select(*points.columns, "tile_id")
