@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.geo import Affine, map_to_pixel
@@ -210,17 +210,24 @@ def distance_to_background(mask: DataFrame) -> DataFrame:
 
 
 def resample_bilinear(pixels: DataFrame, n_rows: int, n_cols: int, scale: float) -> DataFrame:
-    """Pixels of a grid ``scale`` times as fine (size rounded half to even), from the 4 nearest source pixels that are known."""
-    h, w = round(n_rows * scale), round(n_cols * scale)
-    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    target = pixels.select("tile").distinct().withColumn("row", axis(h)).withColumn("col", axis(w))
-    y, x = (F.col("row") + 0.5) * n_rows / h - 0.5, (F.col("col") + 0.5) * n_cols / w - 0.5
-    target = target.withColumns({"_y": y, "_x": x}).withColumn("_r", F.explode(F.array(F.floor("_y"), F.floor("_y") + 1))).withColumn("_c", F.explode(F.array(F.floor("_x"), F.floor("_x") + 1)))
-    weight = (1 - F.abs(F.col("_y") - F.col("_r"))) * (1 - F.abs(F.col("_x") - F.col("_c")))
-    clip = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
-    near = target.withColumn("_w", weight).where("_w > 0").withColumns({"_r": clip(F.col("_r"), n_rows), "_c": clip(F.col("_c"), n_cols)})
-    source = pixels.select("tile", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").cast("double").alias("v")).where("v is not null and not isnan(v)")
-    return near.join(source, ["tile", "_r", "_c"]).groupBy("tile", "row", "col").agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("value"))
+    """Pixels of a grid ``scale`` times as fine (size rounded half to even), from the 4 nearest source pixels that are known.
+
+    Each source pixel goes to the target pixels that draw on it, so there is no join, and sums begin where the source lies.
+    """
+
+    def drawing(c: str, n: int, size: int) -> Column:
+        """The target places along an axis that draw on place ``c``, with its weight there; places beyond the first and last centre draw on those alone."""
+        low = F.when(F.col(c) == 0, 0).otherwise(F.greatest(F.lit(0), F.floor((F.col(c) - 0.5) * size / n - 0.5)))
+        high = F.when(F.col(c) == n - 1, size - 1).otherwise(F.least(F.lit(size - 1), F.ceil((F.col(c) + 1.5) * size / n - 0.5)))
+        at = lambda t: F.least(F.greatest((t + 0.5) * n / size - 0.5, F.lit(0.0)), F.lit(n - 1.0))
+        places = F.transform(F.sequence(low.cast("int"), high.cast("int")), lambda t: F.struct(t.alias("to"), (1 - F.abs(at(t) - F.col(c))).alias("w")))
+        return F.explode(F.filter(places, lambda p: p["w"] > 0))
+
+    v = F.col("value").cast("double")
+    known = pixels.select("tile", "row", "col", v.alias("v")).where(f"v is not null and not isnan(v) and row between 0 and {n_rows - 1} and col between 0 and {n_cols - 1}")
+    spread = known.withColumn("_r", drawing("row", n_rows, round(n_rows * scale))).withColumn("_c", drawing("col", n_cols, round(n_cols * scale)))
+    weighted = spread.select("tile", F.col("_r.to").alias("row"), F.col("_c.to").alias("col"), "v", (F.col("_r.w") * F.col("_c.w")).alias("_w"))
+    return weighted.groupBy("tile", "row", "col").agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("value"))
 
 
 def resample_area(pixels: DataFrame, factor: int, keys: list[str]) -> DataFrame:
