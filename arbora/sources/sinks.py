@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +73,36 @@ def write_features(df: DataFrame, path: str, key: str = "tile_id") -> None:
 
 
 def write_label_lines(df: DataFrame, path: str, line: Column, by: tuple[str, ...] = ("split", "chip_id")) -> None:
-    df.select(*by, line.alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+    """Label lines in files of bounded size by ranges of ``by``, the lines of a chip next to each other: millions of chips make no file each.
+
+    ``label_files`` has the text of each chip's file, and ``export_label_files`` writes these for trainers.
+    """
+    rows = df.select(*by, line.alias("value"))
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+
+
+def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def label_files(lines: DataFrame, by: tuple[str, ...] = ("split", "chip_id")) -> DataFrame:
+    """``by, file_name, text``: what a trainer's label file of each chip is called (``<split>/<chip_id>.txt``) and holds, its lines in order."""
+    name = F.concat(F.concat_ws("/", *[F.col(c).cast("string") for c in by]), F.lit(".txt"))
+    text = F.concat(F.array_join(F.sort_array(F.collect_list("value")), "\n"), F.lit("\n"))
+    return lines.groupBy(*by).agg(text.alias("text")).select(*by, name.alias("file_name"), "text")
+
+
+def export_label_files(files: DataFrame, folder: str) -> None:
+    """Write ``file_name, text`` as one file each under a ``folder`` that all executors share; every task writes its own."""
+
+    def save(rows) -> None:
+        for row in rows:
+            target = os.path.join(folder, row["file_name"])
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "w", encoding="utf-8", newline="") as out:
+                out.write(row["text"])
+
+    files.select("file_name", "text").foreachPartition(save)
 
 
 def sidecar_json() -> Column:
