@@ -41,24 +41,39 @@ def chips_of(pixels: DataFrame, keys: list[str], size: int, scale: float = 255.0
 Boxes = list[list[tuple[float, float, float, float, float, int]]]
 
 
-def _tensors(chips: DataFrame, size: int) -> tuple[Column, list[int]]:
-    """The chips' values as one array a row, and their shape."""
-    one = chips.select(F.size("bands").alias("n")).first()
-    return F.flatten("bands"), [one["n"] if one else 1, size, size]
+def _tensors(chips: DataFrame, size: int) -> tuple[list[Column], list[list[int] | None]]:
+    """The chips' values as one array a row, as long as that of the chip of most bands, with the number of the chip's own bands; and their shapes.
+
+    The functions that take them are called nondeterministic, lest a filter on what a model found runs the model again.
+    """
+    most = chips.agg(F.max(F.size("bands"))).first()[0] or 1
+    n = F.size("bands")
+    blank = F.array_repeat(F.lit(0.0), (most - n) * size * size)
+    return [F.concat(F.flatten("bands"), blank), n], [[most, size, size], None]
+
+
+def _by_bands(x: np.ndarray, n: np.ndarray, score: Callable) -> list:
+    """What ``score`` gives for each chip; a call takes chips of as many bands, their own ones only."""
+    out = [None] * len(x)
+    for k in np.unique(n):
+        at = np.flatnonzero(n == k)
+        for i, found in zip(at.tolist(), score(x[at, : int(k)])):
+            out[i] = found
+    return out
 
 
 def detect_batches(chips: DataFrame, make_scorer: Callable[[], Callable[[np.ndarray], Boxes]], keys: list[str], size: int, min_conf: float = 0.25, batch_size: int = 64) -> DataFrame:
     """``x1, y1, x2, y2, conf, cls`` in chip pixels, with the chip's keys and ``det_no``.
 
     ``make_scorer`` is called once a worker and returns what scores (chips, bands, size, size) arrays, so that a model is loaded once
-    and sees batches.
+    and sees batches; chips of fewer bands make batches of their own.
     """
 
     def make():
         score = make_scorer()
 
-        def predict(x: np.ndarray) -> np.ndarray:
-            found = [[d for d in boxes if d[4] >= min_conf] for boxes in score(x)]
+        def predict(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+            found = [[d for d in boxes if d[4] >= min_conf] for boxes in _by_bands(x, n, score)]
             out = np.full((len(x), 6 * max(1, max(map(len, found)))), np.nan)  # as wide as the most boxes of a chip
             for row, boxes in zip(out, found):
                 row[: 6 * len(boxes)] = np.ravel(boxes)
@@ -66,8 +81,8 @@ def detect_batches(chips: DataFrame, make_scorer: Callable[[], Callable[[np.ndar
 
         return predict
 
-    values, shape = _tensors(chips, size)
-    numbers = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape])(values)
+    values, shapes = _tensors(chips, size)
+    numbers = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=shapes).asNondeterministic()(*values)
     rows = chips.select(*keys, F.filter(numbers, lambda v: v.isNotNull() & ~F.isnan(v)).alias("_v")).where(F.size("_v") > 0)
     each = rows.select(*keys, "_v", F.explode(F.expr("sequence(0, cast(size(_v) / 6 as int) - 1)")).alias("det_no"))
     place = lambda k: F.get("_v", F.col("det_no") * 6 + k)
@@ -80,12 +95,20 @@ def detect(chips: DataFrame, scorer: Scorer, keys: list[str], size: int, min_con
 
 
 def classify_chips(chips: DataFrame, model: Callable[[np.ndarray], np.ndarray], keys: list[str], size: int, batch_size: int = 64) -> DataFrame:
-    """Apply a model (chips, bands, size, size) -> (chips, classes): ``logits`` and ``p``, the first largest class."""
+    """Apply a model (chips, bands, size, size) -> (chips, classes): ``logits`` and ``p``, the first largest class; chips of fewer bands make batches of their own."""
     from arbora.functions.losses import argmax
 
-    values, shape = _tensors(chips, size)
-    logits = predict_batch_udf(lambda: lambda x: np.asarray(model(x), float), return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape])(values)
-    return chips.select(*keys, logits.alias("logits")).withColumn("p", argmax(F.col("logits")))
+    def predict(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        found = [np.asarray(v, float) for v in _by_bands(x, n, model)]
+        out = np.zeros((len(x), 1 + max(map(len, found))))  # the number of logits, then these
+        for row, v in zip(out, found):
+            row[0], row[1 : 1 + len(v)] = len(v), v
+        return out
+
+    values, shapes = _tensors(chips, size)
+    numbers = predict_batch_udf(lambda: predict, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=shapes).asNondeterministic()(*values)
+    logits = F.slice("_v", F.lit(2), F.col("_v")[0].cast("int"))
+    return chips.select(*keys, numbers.alias("_v")).select(*keys, logits.alias("logits")).withColumn("p", argmax(F.col("logits")))
 
 
 def two_stage(detections: DataFrame, classes: DataFrame, id_col: str = "det_id") -> DataFrame:
