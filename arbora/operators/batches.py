@@ -47,7 +47,8 @@ def _whole_groups(iterator, keys: list[str]):
 def by_groups(df: DataFrame, keys: list[str], make: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """The ``keys`` and what ``make`` returns (the columns of ``schema``) for the rows of each group, given as arrays by column, keys included.
 
-    Nulls are nan in numbers; a null key is a group for each of its rows.
+    Nulls are nan in numbers; a null key is a group for each of its rows. The number of partitions is given, as groups are work that their bytes do not
+    show: by these, Spark would bring thousands of them together in a few tasks.
     """
     names = [c.strip().split()[0] for c in schema.split(",")]
     kinds = {c: df.schema[c].dataType.simpleString() for c in keys}
@@ -76,4 +77,5 @@ def by_groups(df: DataFrame, keys: list[str], make: Callable[[dict[str, np.ndarr
                 yield made(rows)
                 parts, at, size = [], [], 0
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + f", {schema}")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + f", {schema}")

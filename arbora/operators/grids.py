@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions import geo
+from arbora.operators.batches import by_groups
 from arbora.operators.spatial import box_join
 from arbora.sources.scans import SRID, require
 
@@ -161,15 +162,16 @@ def _needed(pairs: DataFrame) -> DataFrame:
 def _source_blocks(pixels: DataFrame) -> DataFrame:
     """One row for each block of source pixels: the smallest box around its known values, as doubles row by row."""
 
-    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    def dense(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        r, c = px["row"], px["col"]
         box = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
-        box[r - r.min(), c - c.min()] = pdf["value"].to_numpy(float)
-        return pd.DataFrame({"source": pdf["source"].iloc[:1], "sr": pdf["sr"].iloc[:1], "sc": pdf["sc"].iloc[:1], "row0": [r.min()], "col0": [c.min()], "width": [box.shape[1]], "values": [box.tobytes()]})
+        box[r - r.min(), c - c.min()] = px["value"]
+        return {"row0": r.min(keepdims=True), "col0": c.min(keepdims=True), "width": np.array([box.shape[1]]), "values": np.array([box.tobytes()], object)}
 
-    known = pixels.select(F.col("tile").alias("source"), "row", "col", F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
+    known = pixels.select(F.col("tile").alias("source"), F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
     known = known.withColumns({"sr": F.floor(F.col("row") / BLOCK).cast("int"), "sc": F.floor(F.col("col") / BLOCK).cast("int")})
-    return known.groupBy("source", "sr", "sc").applyInPandas(dense, f"source {known.schema['source'].dataType.simpleString()}, sr int, sc int, row0 int, col0 int, width int, values binary")
+    made = by_groups(known, ["source", "sr", "sc"], dense, "row0 bigint, col0 bigint, width bigint, values binary")
+    return made.select("source", "sr", "sc", *[F.col(n).cast("int").alias(n) for n in ("row0", "col0", "width")], "values")
 
 
 def _sampled(target, source, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, row0: int, col0: int) -> np.ndarray:
@@ -222,25 +224,30 @@ def warp(pixels: DataFrame, sources: DataFrame, targets: DataFrame, pairs: DataF
     sized = heads(targets, "t_", "tile").join(sides, "tile", "left").withColumn("side", F.coalesce("side", F.lit(BLOCK)))
     every = sized.withColumn("br", axis("t_n_rows")).withColumn("bc", axis("t_n_cols")).select("tile", "br", "bc", "side", F.col("t_n_rows").alias("_rows"), F.col("t_n_cols").alias("_cols"))
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tile, br, bc = key
-        head = pdf[pdf["side"].notna()].iloc[0]
-        side = int(head["side"])
-        rows, cols = (g.astype(int) for g in np.meshgrid(np.arange(br * side, min(int(head["_rows"]), (br + 1) * side)), np.arange(bc * side, min(int(head["_cols"]), (bc + 1) * side)), indexing="ij"))
+    def block(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        head = int(np.flatnonzero(~np.isnan(px["side"].astype(float)))[0])
+        side, br, bc = int(px["side"][head]), int(px["br"][0]), int(px["bc"][0])
+        rows, cols = (g.astype(int) for g in np.meshgrid(np.arange(br * side, min(int(px["_rows"][head]), (br + 1) * side)), np.arange(bc * side, min(int(px["_cols"][head]), (bc + 1) * side)), indexing="ij"))
         out = np.full(rows.shape, np.nan)
-        for _, part in pdf[pdf["values"].notna()].sort_values("source", kind="stable").groupby("source", sort=True):
-            row = next(part.itertuples(index=False))
-            r0, c0 = int(row.r0) * BLOCK, int(row.c0) * BLOCK
-            values = np.full(((int(row.r1) + 1) * BLOCK - r0, (int(row.c1) + 1) * BLOCK - c0), np.nan)
-            for b in part.itertuples(index=False):
-                box = np.frombuffer(b.values).reshape(-1, int(b.width))
-                values[int(b.row0) - r0 : int(b.row0) - r0 + len(box), int(b.col0) - c0 : int(b.col0) - c0 + int(b.width)] = box
-            found = _sampled(_numbers(row, "t_"), _numbers(row, "s_"), rows, cols, values, r0, c0)
+        parts: dict = {}
+        for i, box in enumerate(px["values"]):
+            if box is not None:
+                parts.setdefault(px["source"][i], []).append(i)
+        for source in sorted(parts):
+            at = parts[source]
+            raster = lambda p: (tuple(px[f"{p}{c}"][at[0]] for c in AFFINE), int(px[f"{p}n_rows"][at[0]]), int(px[f"{p}n_cols"][at[0]]), int(px[f"{p}srid"][at[0]]))  # noqa: B023, E731
+            r0, r1, c0, c1 = (int(px[c][at[0]]) for c in ("r0", "r1", "c0", "c1"))
+            values = np.full(((r1 + 1 - r0) * BLOCK, (c1 + 1 - c0) * BLOCK), np.nan)
+            for i in at:
+                box = np.frombuffer(px["values"][i]).reshape(-1, int(px["width"][i]))
+                y, x = int(px["row0"][i]) - r0 * BLOCK, int(px["col0"][i]) - c0 * BLOCK
+                values[y : y + len(box), x : x + box.shape[1]] = box
+            found = _sampled(raster("t_"), raster("s_"), rows, cols, values, r0 * BLOCK, c0 * BLOCK)
             out = np.where(np.isnan(out), found, out)
-        return pd.DataFrame({"tile": tile, "row": rows.ravel().astype("int32"), "col": cols.ravel().astype("int32"), "value": out.ravel()})
+        return {"row": rows.ravel().astype(np.int32), "col": cols.ravel().astype(np.int32), "value": out.ravel()}
 
     rows = brought.unionByName(every, allowMissingColumns=True)
-    made = rows.groupBy("tile", "br", "bc").applyInPandas(block, f"tile {targets.schema['tile'].dataType.simpleString()}, row int, col int, value double")
+    made = by_groups(rows, ["tile", "br", "bc"], block, "row int, col int, value double").select("tile", "row", "col", "value")
     return made.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
