@@ -69,16 +69,22 @@ def dense(cells: DataFrame, a: str, b: str, size: int) -> DataFrame:
 def suppress(boxes: DataFrame, edges: DataFrame, id_col: str = "box_id", conf: str = "conf", checkpoint=None) -> DataFrame:
     """The boxes that remain when, by falling confidence, a box goes if one that stays overlaps it.
 
-    ``edges``: a, b of overlapping boxes. In each round every undecided box without a stronger undecided neighbour stays
+    ``edges``: a, b of overlapping boxes; if they bring ``a_conf`` and ``b_conf`` (of the column ``conf``), each once, nothing is joined to them. In each round every undecided box without a stronger undecided neighbour stays
     and its neighbours go, which decides the same as the loop. Ties in confidence go to the smaller id.
     ``checkpoint`` (a function of a DataFrame) cuts the lineage of each round.
     """
     cut = checkpoint or (lambda df: df.checkpoint())
-    rank = cut(boxes.select(F.col(id_col).alias("id"), F.struct((-F.col(conf)).alias("c"), F.col(id_col).alias("i")).alias("key")))
+    key = lambda c, i: F.struct((-F.col(c)).alias("c"), F.col(i).alias("i"))
+    known = {f"a_{conf}", f"b_{conf}"} <= set(edges.columns)
+    if known:
+        ranked = edges.select("a", "b", key(f"a_{conf}", "a").alias("ka"), key(f"b_{conf}", "b").alias("kb"))
+    else:
+        rank = cut(boxes.select(F.col(id_col).alias("id"), key(conf, id_col).alias("key")))
+        ranked = edges.select("a", "b").join(rank.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(rank.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
     # (weak, strong) pairs, one an edge: only a stronger neighbour can take a box away.
-    ranked = edges.select("a", "b").join(rank.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(rank.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
     a_first = F.col("ka") < F.col("kb")
-    pairs = cut(ranked.where("ka <> kb").select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("weak"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("strong")).distinct())
+    pairs = ranked.where("ka <> kb").select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("weak"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("strong"))
+    pairs = cut(pairs if known else pairs.distinct())
     gone = []
     while True:
         # Who has no stronger neighbour left stays, and its neighbours go.
@@ -96,5 +102,5 @@ def suppress(boxes: DataFrame, edges: DataFrame, id_col: str = "box_id", conf: s
     for lost in gone[1:]:
         every = every.unionByName(lost)
     kept = cut(boxes.join(every.select(F.col("id").alias(id_col)), id_col, "left_anti"))
-    forget(rank, pairs, *gone)
+    forget(*([] if known else [rank]), pairs, *gone)
     return kept

@@ -54,9 +54,16 @@ _CELL = ["_cl", "_cx", "_cy"]
 
 
 def _sides(a: DataFrame, b: DataFrame, cell: float, a_box, b_box, grow: float, same: bool = False) -> list[tuple[DataFrame, DataFrame]]:
-    """Pairs of tables to join on ``_CELL``: the left boxes in their own cells with right ones as fine or finer, and finer left ones with the right ones' own cells."""
+    """Pairs of tables to join on ``_CELL``: the left boxes in their own cells with right ones as fine or finer, and finer left ones with the right ones' own cells.
+
+    Where both hold the same boxes, those of one level are joined on their own cells, so that both tables are one plan under other names, shuffled once.
+    """
     a, b = _levelled(a, cell, a_box, grow), _levelled(b, cell, b_box, 0.0)
     own = _levels(a)
+    if same and not grow:
+        at, below = (lambda df, box: _cells(df, cell, box, 0.0, None)), (lambda df, box: _cells(df, cell, box, 0.0, own, True))
+        sides = [(at(a, a_box), at(b, b_box))]
+        return sides if len(own) < 2 else [*sides, (at(a, a_box), below(b, b_box)), (below(a, a_box), at(b, b_box))]
     other = own if same else _levels(b)
     sides = [(_cells(a, cell, a_box, grow, None), _cells(b, cell, b_box, 0.0, own or [0]))]
     if own and other and max(other) > min(own):
@@ -114,15 +121,14 @@ def points_in_tiles(points: DataFrame, tiles: DataFrame, cell: float = 1000.0) -
     return out if len(levels) == 1 else out.unionByName(left.withColumn("tile_id", F.lit(None).cast(tiles.schema["tile_id"].dataType)))
 
 
-def overlap_pairs(boxes: DataFrame, id_col: str, cell: float, min_iou: float, box=BOX) -> DataFrame:
-    """``a, b, iou`` of the pairs a < b of a table whose IoU is above ``min_iou``."""
+def overlap_pairs(boxes: DataFrame, id_col: str, cell: float, min_iou: float, box=BOX, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``a, b, iou`` of the pairs a < b of a table whose IoU is above ``min_iou``; of each column in ``extra`` also ``a_...`` and ``b_...``, its values for both."""
     from arbora.functions.geo import iou
 
-    left = boxes.select(F.col(id_col).alias("a"), *[F.col(c).alias(f"l_{k}") for c, k in zip(box, BOX)])
-    right = boxes.select(F.col(id_col).alias("b"), *[F.col(c).alias(f"r_{k}") for c, k in zip(box, BOX)])
+    left, right = (boxes.select(F.col(id_col).alias(i), *[F.col(c).alias(f"{side}_{k}") for c, k in zip(box, BOX)], *[F.col(c).alias(f"{i}_{c}") for c in extra]) for i, side in (("a", "l"), ("b", "r")))
     pairs = box_join(left, right, cell, tuple(f"l_{c}" for c in BOX), condition=F.col("a") < F.col("b"), strict=True, same=True)
     pairs = pairs.withColumn("iou", iou("l_", "r_", BOX))
-    return pairs.where(F.col("iou") > min_iou).select("a", "b", "iou")
+    return pairs.where(F.col("iou") > min_iou).select("a", "b", "iou", *[f"{i}_{c}" for c in extra for i in "ab"])
 
 
 def pixels_in_boxes(boxes: DataFrame, pixels: DataFrame, block: int = 64) -> DataFrame:
