@@ -89,20 +89,19 @@ def _stacks(batch: pa.RecordBatch, side: int):
     order = np.lexsort((width, height))
     at = 0
     while at < len(order):
-        most, k = 0, at
+        most, k = (0, 0), at
         while k < len(order):
-            h, w = int(height[order[at : k + 1]].max()) + 2, int(width[order[at : k + 1]].max()) + 2
+            h, w = max(most[0], int(height[order[k]]) + 2), max(most[1], int(width[order[k]]) + 2)
             if k > at and (k + 1 - at) * h * w > CELLS:
                 break
             most, k = (h, w), k + 1
         rows = order[at:k]
         level, marker = np.full((len(rows), *most), np.inf), np.zeros((len(rows), *most), np.int64)
-        for n, i in enumerate(rows.tolist()):
-            own = slice(starts[i], starts[i] + sizes[i])
-            r, c = pos[own] // side + 1, pos[own] % side + 1
-            # The mask is where the level is finite, so one that is not, or unknown, is the highest there is.
-            level[n, r, c] = np.nan_to_num(value[own], nan=np.finfo(float).max)
-            marker[n, r, c] = mark[own]
+        own = np.arange(sizes[rows].sum()) + np.repeat(starts[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows])
+        place = np.repeat(np.arange(len(rows)), sizes[rows]), pos[own] // side + 1, pos[own] % side + 1
+        # The mask is where the level is finite, so one that is not, or unknown, is the highest there is.
+        level[place] = np.nan_to_num(value[own], nan=np.finfo(float).max)
+        marker[place] = mark[own]
         yield rows, level, marker
         at = k
 
@@ -114,15 +113,14 @@ def _margin(batch: pa.RecordBatch, rows: np.ndarray, shape: tuple, prefix: str,
     for side in SIDES:
         if f"{prefix}{side}" in batch.schema.names:
             column = batch.column(f"{prefix}{side}")
-            for n, i in enumerate(rows.tolist()):
-                if column[i].is_valid:
-                    rim = np.frombuffer(column[i].as_py(), kind)
-                    if side in ("up", "down"):
-                        # The lower neighbour only touches a block that is as high as blocks are.
-                        if side == "up" or h == block:
-                            out[n, 0 if side == "up" else h + 1, 1 : w + 1] = rim[:w]
-                    elif side == "left" or w == block:
-                        out[n, 1 : h + 1, 0 if side == "left" else w + 1] = rim[:h]
+            for n in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)[rows]).tolist():
+                rim = np.frombuffer(column[int(rows[n])].as_py(), kind)
+                if side in ("up", "down"):
+                    # The lower neighbour only touches a block that is as high as blocks are.
+                    if side == "up" or h == block:
+                        out[n, 0 if side == "up" else h + 1, 1 : w + 1] = rim[:w]
+                elif side == "left" or w == block:
+                    out[n, 1 : h + 1, 0 if side == "left" else w + 1] = rim[:h]
     return out
 
 
@@ -193,8 +191,8 @@ def _exchanged(blocks: DataFrame, markers: bool, block: int, cut) -> DataFrame:
         rims = after
 
 
-def flood(canopy: DataFrame, checkpoint=None) -> DataFrame:
-    """``tile, row, col, label`` of the pixels ``tile, row, col, level, marker`` (0: none) that a marker has; see the module."""
+def flood(canopy: DataFrame, checkpoint=None, min_pixels: int = 0) -> DataFrame:
+    """``tile, row, col, label`` of the pixels ``tile, row, col, level, marker`` (0: none) that a marker has; see the module. Tiles of fewer pixels than ``min_pixels`` are left out."""
     cut, block = checkpoint or (lambda df: df.checkpoint()), BLOCK
     place = ((F.col("row") % block) * block + F.col("col") % block).cast("int").alias("pos")
     at = [F.floor(F.col(c) / block).cast("bigint").alias(k) for c, k in (("row", "br"), ("col", "bc"))]
@@ -210,17 +208,20 @@ def flood(canopy: DataFrame, checkpoint=None) -> DataFrame:
                 columns = [batch.column("tile").take(pa.array(rows[n])), pa.array((br * block + y - 1).astype(np.int32)), pa.array((bc * block + x - 1).astype(np.int32)), pa.array(owner[n, y, x].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["tile", "row", "col", "label"])
 
-    # A batch of large blocks must not fill a worker.
-    with settings(canopy.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
-        blocks = cut(canopy.select("tile", *at, pixel.alias("px")).groupBy(*KEYS).agg(F.collect_list("px").alias("px")))
-        keys = list(KEYS)
-        several = blocks.groupBy("tile").agg(F.count("*").alias("_n")).where("_n > 1").select("tile")
-        lone = blocks.join(several, "tile", "left_anti")
-        joined = blocks.join(several, "tile", "left_semi")
+    keys = list(KEYS)
+    # What is to be known of a tile is counted from its written blocks: the pixels come from filters that are not to run twice.
+    written = cut(canopy.select("tile", *at, pixel.alias("px")).groupBy(*KEYS).agg(F.collect_list("px").alias("px"), F.max("px.marker").alias("_m")))
+    tiles = written.groupBy("tile").agg(F.count("*").alias("_b"), F.sum(F.size("px")).alias("_n"), F.max("_m").alias("_m")).where((F.col("_n") >= min_pixels) & (F.col("_m") > 0))
+    blocks, largest = written.drop("_m"), written.agg(F.max(F.size("px"))).first()[0] or 1
+    # A batch of large blocks must not fill a worker; small ones go many at a time.
+    batch = min(max(64 * BLOCK * BLOCK // largest, 64), 4096)
+    with settings(canopy.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}):
+        lone = blocks.join(tiles.where("_b = 1").select("tile"), "tile", "left_semi")
+        joined = blocks.join(tiles.where("_b > 1").select("tile"), "tile", "left_semi")
         reach = _exchanged(joined, False, block, cut)
         known = joined.join(_beside(reach, "r_"), keys, "left")
         owners = _exchanged(known, True, block, cut)
         rows = lone.unionByName(known.join(_beside(owners, "m_"), keys, "left"), allowMissingColumns=True)
         result = cut(rows.mapInArrow(labels, f"tile {canopy.schema['tile'].dataType.simpleString()}, row int, col int, label int"))
-    forget(blocks, reach, owners)
+    forget(written, reach, owners)
     return result

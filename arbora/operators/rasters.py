@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.geo import Affine, map_to_pixel
 from arbora.functions.raster import height_to_u8
-from arbora.operators.batches import by_groups
+from arbora.operators.batches import by_groups, by_many, stacks
 
 
 def grid_min_z(points: DataFrame, t: Affine, width: int, height: int) -> DataFrame:
@@ -66,7 +66,7 @@ Rows = int | DataFrame
 def _filtered(pixels: DataFrame, n_rows: Rows, n_cols: int | None, radius: int, along) -> DataFrame:
     """``along`` applied to every block of a tile, which also gets the pixels up to ``radius`` around it, mirrored at the tile's edges.
 
-    Tiles are of one size or, with a table of sizes, each of its own. ``along(values)`` takes an array with a margin of ``radius`` (nan: unknown or absent) and returns the array without it.
+    Tiles are of one size or, with a table of sizes, each of its own. ``along(values)`` takes stacked arrays with a margin of ``radius`` (nan: unknown or absent) and returns them without it.
     Only pixels that exist give a row. A block is at most ``BLOCK + 2 * radius`` pixels wide, whatever the tile's size.
     """
     if radius > BLOCK:
@@ -78,28 +78,30 @@ def _filtered(pixels: DataFrame, n_rows: Rows, n_cols: int | None, radius: int,
     inside = sized.where("row between 0 and _nr - 1 and col between 0 and _nc - 1").select("tile", "row", "col", F.col("value").cast("double").alias("value"), "_nr", "_nc")
     dealt = inside.withColumn("_br", reach("row", "_nr")).withColumn("_bc", reach("col", "_nc"))
 
-    def block(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        n_rows, n_cols = int(px["_nr"][0]), int(px["_nc"][0])
-        y0, x0 = int(px["_br"][0]) * BLOCK, int(px["_bc"][0]) * BLOCK
-        h, w = min(BLOCK, n_rows - y0), min(BLOCK, n_cols - x0)
-        r, c = px["row"] - y0 + radius, px["col"] - x0 + radius
-        known, here = np.full((h + 2 * radius, w + 2 * radius), np.nan), np.zeros((h + 2 * radius, w + 2 * radius), bool)
-        near = (r < known.shape[0]) & (c < known.shape[1])
-        known[r[near], c[near]], here[r[near], c[near]] = px["value"][near], True
-        # Places of the margin beyond the tile take the pixel that mirrors them; it lies in the block or its margin.
-        mirror = lambda o, size, n: np.where((k := (np.arange(-radius, size + radius) + o) % (2 * n)) >= n, 2 * n - 1 - k, k) - o + radius
-        out = along(known[np.ix_(mirror(y0, h, n_rows), mirror(x0, w, n_cols))])
-        y, x = np.nonzero(here[radius : radius + h, radius : radius + w])
-        return {"row": (y + y0).astype(np.int32), "col": (x + x0).astype(np.int32), "value": out[y, x]}
-
-    made = by_groups(dealt, ["tile", "_br", "_bc"], block, _PIXELS)
+    def blocks(px: dict[str, np.ndarray], starts: np.ndarray):
+        n_rows, n_cols, y0, x0 = (px[c][starts].astype(np.int64) for c in ("_nr", "_nc", "_br", "_bc"))
+        y0, x0 = y0 * BLOCK, x0 * BLOCK
+        sizes = [np.minimum(BLOCK, n_rows - y0) + 2 * radius, np.minimum(BLOCK, n_cols - x0) + 2 * radius]
+        for (h, w, n_rows, n_cols, y0, x0), first, rows, slot in stacks(starts, len(px["row"]), np.stack([*sizes, n_rows, n_cols, y0, x0], axis=1)):
+            r, c = px["row"][rows] - y0 + radius, px["col"][rows] - x0 + radius
+            known, here = np.full((len(first), h, w), np.nan), np.zeros((len(first), h, w), bool)
+            near = (r < h) & (c < w)
+            at = slot[near], r[near], c[near]
+            known[at], here[at] = px["value"][rows][near], True
+            # Places of the margin beyond the tile take the pixel that mirrors them; it lies in the block or its margin.
+            mirror = lambda o, size, n: np.where((k := (np.arange(size) - radius + o) % (2 * n)) >= n, 2 * n - 1 - k, k) - o + radius
+            out = along(known[:, mirror(y0, h, n_rows)[:, None], mirror(x0, w, n_cols)])
+            n, y, x = np.nonzero(here[:, radius : h - radius, radius : w - radius])
+            yield first[n], {"row": (y + y0).astype(np.int32), "col": (x + x0).astype(np.int32), "value": out[n, y, x]}
+
+    made = by_many(dealt, ["tile", "_br", "_bc"], blocks, _PIXELS)
     return made.select("tile", "row", "col", F.when(~F.isnan("value"), F.col("value")).alias("value"))
 
 
 def _weighted(values: np.ndarray, weights: list[float], axis: int) -> np.ndarray:
-    """Weighted sum of neighbours along an axis, unknown ones counting as 0; nan where none is known."""
+    """Weighted sum of neighbours along the last axis or the one before (-2), unknown ones counting as 0; nan where none is known."""
     n = values.shape[axis] - len(weights) + 1
-    part = lambda a, k: np.take(a, range(k, k + n), axis=axis)
+    part = lambda a, k: a[..., k : k + n, :] if axis == -2 else a[..., k : k + n]
     filled, known = np.nan_to_num(values, nan=0.0), ~np.isnan(values)
     total, any_ = sum(w * part(filled, k) for k, w in enumerate(weights)), np.logical_or.reduce([part(known, k) for k in range(len(weights))])
     return np.where(any_, total, np.nan)
@@ -110,7 +112,7 @@ def smooth_gaussian(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None,
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     weights = [w / sum(raw) for w in raw]
-    return _filtered(pixels, n_rows, n_cols, radius, lambda v: _weighted(_weighted(v, weights, 0), weights, 1))
+    return _filtered(pixels, n_rows, n_cols, radius, lambda v: _weighted(_weighted(v, weights, -2), weights, -1))
 
 
 def smooth_median(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None, size: int = 3) -> DataFrame:
@@ -118,8 +120,8 @@ def smooth_median(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None, si
     r = size // 2
 
     def along(values: np.ndarray) -> np.ndarray:
-        h, w = values.shape[0] - 2 * r, values.shape[1] - 2 * r
-        near = np.sort(np.stack([values[i : i + h, j : j + w] for i in range(2 * r + 1) for j in range(2 * r + 1)]), axis=0)  # nan last
+        h, w = values.shape[-2] - 2 * r, values.shape[-1] - 2 * r
+        near = np.sort(np.stack([values[..., i : i + h, j : j + w] for i in range(2 * r + 1) for j in range(2 * r + 1)]), axis=0)  # nan last
         n = (~np.isnan(near)).sum(axis=0)
         at = lambda k: np.take_along_axis(near, np.clip(k, 0, len(near) - 1)[None], axis=0)[0]
         return (at((n - 1) // 2) + at(n // 2)) / 2
@@ -140,7 +142,7 @@ def sobel(pixels: DataFrame, n_rows: Rows, n_cols: int | None = None) -> DataFra
     smoother, slope = [0.25, 0.5, 0.25], [-0.5, 0.0, 0.5]
 
     def along(values: np.ndarray) -> np.ndarray:
-        down, across = (_weighted(_weighted(values, first, 0), second, 1) for first, second in ((slope, smoother), (smoother, slope)))
+        down, across = (_weighted(_weighted(values, first, -2), second, -1) for first, second in ((slope, smoother), (smoother, slope)))
         return np.sqrt((down * down + across * across) / 2)
 
     return _filtered(pixels, n_rows, n_cols, 1, along)

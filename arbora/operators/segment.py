@@ -119,11 +119,11 @@ def space_peaks(peaks: DataFrame, min_distance: int = 2, checkpoint=None) -> Dat
     p = peaks.withColumn("box_id", F.struct("tile", "row", "col")).withColumn("conf", F.col("height"))
     cell = min_distance + 1
     around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    a = p.select("tile", F.col("box_id").alias("a"), F.col("row").alias("r"), F.col("col").alias("c")).withColumn("_x", F.floor(F.col("c") / cell)).withColumn("_y", F.floor(F.col("r") / cell))
-    b = p.select("tile", F.col("box_id").alias("b"), "row", "col").withColumn("_i", around).withColumn("_j", around)
+    a = p.select("tile", F.col("box_id").alias("a"), F.col("conf").alias("a_conf"), F.col("row").alias("r"), F.col("col").alias("c")).withColumn("_x", F.floor(F.col("c") / cell)).withColumn("_y", F.floor(F.col("r") / cell))
+    b = p.select("tile", F.col("box_id").alias("b"), F.col("conf").alias("b_conf"), "row", "col").withColumn("_i", around).withColumn("_j", around)
     b = b.withColumns({"_x": F.floor(F.col("col") / cell) + F.col("_i"), "_y": F.floor(F.col("row") / cell) + F.col("_j")})
     near = (F.abs(F.col("r") - F.col("row")) <= min_distance) & (F.abs(F.col("c") - F.col("col")) <= min_distance)
-    edges = a.join(b, ["tile", "_x", "_y"]).where(near & (F.col("a") < F.col("b"))).select("a", "b")
+    edges = a.join(b, ["tile", "_x", "_y"]).where(near & (F.col("a") < F.col("b"))).select("a", "b", "a_conf", "b_conf")
     kept = suppress(p, edges, checkpoint=checkpoint)
     order = Window.partitionBy("tile").orderBy(F.desc("height"), "row", "col")
     return kept.select("tile", F.row_number().over(order).alias("marker"), "row", "col", "height")
@@ -170,8 +170,7 @@ def watershed(pixels: DataFrame, min_pixels: int = 10, fill: bool = True, checkp
     column. Parts of the canopy without a marker give no row; nor does a tile with fewer canopy pixels than ``min_pixels``.
     """
     canopy = pixels.where("canopy").select("tile", "row", "col", "level", F.coalesce("marker", F.lit(0)).cast("int").alias("marker"))
-    large = canopy.groupBy("tile").agg(F.count("*").alias("_n"), F.max("marker").alias("_m")).where((F.col("_n") >= min_pixels) & (F.col("_m") > 0)).select("tile")
-    labels = flood(canopy.join(large, "tile", "left_semi"), checkpoint)
+    labels = flood(canopy, checkpoint, min_pixels)
     return fill_holes(labels) if fill else labels
 
 
