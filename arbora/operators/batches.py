@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute in tasks)
 from pyspark.sql import DataFrame
 
 ROWS = 1 << 16  #: rows given back at a time, about
-CELLS = 1 << 20  #: cells of a stack of arrays, about; one array may be larger
+CELLS = 1 << 18  #: cells of a stack of arrays, about; one array may be larger
 
 
 def _whole_groups(iterator, keys: list[str]):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.geo import Affine, map_to_pixel
 from arbora.functions.raster import height_to_u8
-from arbora.operators.batches import by_groups, by_many, stacks
+from arbora.operators.batches import by_many, stacks
 
 
 def grid_min_z(points: DataFrame, t: Affine, width: int, height: int) -> DataFrame:
@@ -187,27 +187,33 @@ def distance_to_background(mask: DataFrame) -> DataFrame:
     """
     far = np.int64(1) << 30  # a row that knows no background
 
-    def grid(px: dict[str, np.ndarray], values: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r, c = px["row"] - px["row"].min(), px["col"] - px["col"].min()
-        out = np.full((r.max() + 1, c.max() + 1), fill, np.int64)
-        out[r, c] = values
-        return out, r, c
-
-    def along(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        off, r, c = grid(px, ~px["on"].astype(bool), 0)
-        at = np.arange(off.shape[1])
-        left = np.maximum.accumulate(np.where(off, at, -far), axis=1)
-        right = np.minimum.accumulate(np.where(off, at, 2 * far)[:, ::-1], axis=1)[:, ::-1]
-        return {"row": px["row"], "col": px["col"], "on": px["on"].astype(bool), "d": np.minimum(np.minimum(at - left, right - at), far)[r, c]}
-
-    def stripe(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        f, r, c = grid(px, px["d"] ** 2, far**2)
-        square = _lowest(f)[r, c]
-        return {"row": px["row"], "col": px["col"], "on": px["on"].astype(bool), "distance": np.where(square < far, np.sqrt(square), np.nan)}
+    def grids(px: dict[str, np.ndarray], starts: np.ndarray, values: np.ndarray, fill):
+        """Stacks of the groups' arrays, and where their rows lie in them."""
+        low = {c: np.minimum.reduceat(px[c], starts) for c in ("row", "col")}
+        kinds = np.stack([np.maximum.reduceat(px[c], starts) + 1 - low[c] for c in ("row", "col")], axis=1).astype(np.int64)
+        sizes = np.diff(np.append(starts, len(values)))
+        r, c = (px[k] - np.repeat(low[k], sizes) for k in ("row", "col"))
+        for (h, w), first, rows, slot in stacks(starts, len(values), kinds):
+            out, at = np.full((len(first), h, w), fill, np.int64), (slot, r[rows], c[rows])
+            out[at] = values[rows]
+            yield out, at, rows, {"row": px["row"][rows], "col": px["col"][rows], "on": px["on"][rows].astype(bool)}
+
+    def along(px: dict[str, np.ndarray], starts: np.ndarray):
+        for off, at, rows, same in grids(px, starts, ~px["on"].astype(bool), 0):
+            col = np.arange(off.shape[-1])
+            left = np.maximum.accumulate(np.where(off, col, -far), axis=-1)
+            right = np.minimum.accumulate(np.where(off, col, 2 * far)[..., ::-1], axis=-1)[..., ::-1]
+            yield rows, {**same, "d": np.minimum(np.minimum(col - left, right - col), far)[at]}
+
+    def stripe(px: dict[str, np.ndarray], starts: np.ndarray):
+        for f, at, rows, same in grids(px, starts, px["d"] ** 2, far**2):
+            # Columns do not depend on each other, so those of a stack lie side by side.
+            square = _lowest(f.transpose(1, 0, 2).reshape(f.shape[1], -1)).reshape(f.shape[1], f.shape[0], -1).transpose(1, 0, 2)[at]
+            yield rows, {**same, "distance": np.where(square < far, np.sqrt(square), np.nan)}
 
     rows = mask.select("tile", F.floor(F.col("row") / STRIPE).alias("_stripe"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "on")
-    rows = by_groups(rows, ["tile", "_stripe"], along, "row int, col int, on boolean, d bigint")
-    made = by_groups(rows.withColumn("_stripe", F.floor(F.col("col") / STRIPE)), ["tile", "_stripe"], stripe, "row int, col int, on boolean, distance double")
+    rows = by_many(rows, ["tile", "_stripe"], along, "row int, col int, on boolean, d bigint")
+    made = by_many(rows.withColumn("_stripe", F.floor(F.col("col") / STRIPE)), ["tile", "_stripe"], stripe, "row int, col int, on boolean, distance double")
     return made.select("tile", "row", "col", "on", F.when(~F.isnan("distance"), F.col("distance")).alias("distance"))
 
 

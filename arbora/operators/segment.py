@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.operators.batches import by_groups
+from arbora.operators.batches import by_groups, by_many, stacks
 from arbora.operators.flood import flood
 
 #: Side of the blocks of pixels whose components one task finds at a time.
@@ -130,13 +130,16 @@ def space_peaks(peaks: DataFrame, min_distance: int = 2, checkpoint=None) -> Dat
 
 
 def _reached(free: np.ndarray) -> np.ndarray:
-    """The free pixels that a path of free neighbours (side by side) joins to the border: whole runs at a time, by rows and columns in turn."""
+    """The free pixels of stacked arrays that a path of free neighbours (side by side) joins to the border: whole runs at a time, by rows and columns in turn."""
     out = np.zeros_like(free)
-    out[[0, -1]], out[:, [0, -1]] = free[[0, -1]], free[:, [0, -1]]
+    for edge in (np.s_[:, [0, -1]], np.s_[:, :, [0, -1]]):
+        out[edge] = free[edge]
     while True:
         before = int(out.sum())
-        for f, o in ((free, out), (free.T, out.T)):
-            runs = np.cumsum(np.diff(f, axis=1, prepend=False), axis=1) + np.arange(len(f))[:, None] * (f.shape[1] + 2)
+        for axes in ((0, 1, 2), (0, 2, 1)):
+            f, o = free.transpose(axes), out.transpose(axes)
+            lines = np.arange(f.shape[0] * f.shape[1]).reshape(f.shape[0], f.shape[1], 1)
+            runs = np.cumsum(np.diff(f, axis=2, prepend=False), axis=2) + lines * (f.shape[2] + 2)
             hit = np.zeros(int(runs.max()) + 1, bool)
             hit[runs[o]] = True
             o |= f & hit[runs]
@@ -151,15 +154,21 @@ def fill_holes(labels: DataFrame) -> DataFrame:
     label stays, as if they had been filled in ascending order.
     """
 
-    def fill(px: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        y0, x0 = int(px["row"].min()), int(px["col"].min())
-        r, c = px["row"] - y0, px["col"] - x0
-        own = np.zeros((r.max() + 1, c.max() + 1), bool)
-        own[r, c] = True
-        y, x = np.nonzero(~_reached(~own))
-        return {"row": (y + y0).astype(np.int32), "col": (x + x0).astype(np.int32)}
-
-    filled = by_groups(labels.select("tile", "label", "row", "col"), ["tile", "label"], fill, "row int, col int")
+    def fill(px: dict[str, np.ndarray], starts: np.ndarray):
+        y0, x0 = (np.minimum.reduceat(px[c], starts) for c in ("row", "col"))
+        sizes = np.diff(np.append(starts, len(px["row"])))
+        r, c = px["row"] - np.repeat(y0, sizes), px["col"] - np.repeat(x0, sizes)
+        # Arrays a little too large, so that many crowns are of one size; what is free there joins the border.
+        step = lambda n: np.where(n <= 64, -(-n // 4) * 4, -(-n // 32) * 32)
+        kinds = np.stack([step(np.maximum.reduceat(v, starts).astype(np.int64) + 1) for v in (r, c)], axis=1)
+        for (h, w), first, rows, slot in stacks(starts, len(r), kinds):
+            own = np.zeros((len(first), h, w), bool)
+            own[slot, r[rows], c[rows]] = True
+            n, y, x = np.nonzero(~_reached(~own))
+            group = np.searchsorted(starts, first)[n]
+            yield first[n], {"row": (y + y0[group]).astype(np.int32), "col": (x + x0[group]).astype(np.int32)}
+
+    filled = by_many(labels.select("tile", "label", "row", "col"), ["tile", "label"], fill, "row int, col int")
     return filled.groupBy("tile", "row", "col").agg(F.max("label").alias("label"))
 
 
